@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segstats.functions.scalar import hash_int, hash_uniform, let
+
 
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
@@ -36,9 +38,11 @@ def _previous(points: Column, i: Column) -> Column:
 
 def points_area(points: Column) -> Column:
     """Absolute shoelace area."""
-    terms = F.transform(points, lambda p, i: p["x"].cast("double") * _next(points, i)["y"]
-                        - _next(points, i)["x"].cast("double") * p["y"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2.0
+    def shoelace(pts: Column) -> Column:
+        terms = F.transform(pts, lambda p, i: p["x"].cast("double") * _next(pts, i)["y"] - _next(pts, i)["x"].cast("double") * p["y"])
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2.0
+
+    return let(points, shoelace)
 
 
 def polygon_area(ring: Column) -> Column:
@@ -74,31 +78,38 @@ def clamp_polygon(ring: Column, width: Column, height: Column) -> Column:
 
 def is_axis_rect(ring: Column) -> Column:
     """Four vertices on two distinct x and two distinct y values (truncated)."""
-    points = ring_points(ring)
-    xs = F.array_distinct(F.transform(points, lambda p: p["x"].cast("bigint")))
-    ys = F.array_distinct(F.transform(points, lambda p: p["y"].cast("bigint")))
-    return (F.size(points) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2)
+    def test(points: Column) -> Column:
+        xs = F.array_distinct(F.transform(points, lambda p: p["x"].cast("bigint")))
+        ys = F.array_distinct(F.transform(points, lambda p: p["y"].cast("bigint")))
+        return (F.size(points) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2)
+
+    return let(ring_points(ring), test)
 
 
 def dedupe_vertices(ring: Column) -> Column:
     """Round (half to even), drop consecutive repeats and the closing repeat."""
     points = F.transform(ring_points(ring), lambda p: _point(F.rint(p["x"].cast("double")).cast("bigint"),
                                                             F.rint(p["y"].cast("double")).cast("bigint")))
-    kept = F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))
-    closed = (F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1))
-    return flat_ring(F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept))
+    kept = let(points, lambda pts: F.filter(pts, lambda p, i: (i == 0) | (p != F.get(pts, i - 1))))
+
+    def opened(pts: Column) -> Column:
+        closed = (F.size(pts) > 1) & (F.get(pts, F.lit(0)) == F.get(pts, F.size(pts) - 1))
+        return F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
+
+    return flat_ring(let(kept, opened))
 
 
 def simplify_rectilinear(ring: Column) -> Column:
     """Drop repeated vertices and those inside a straight horizontal or vertical run."""
-    raw = ring_points(ring)
-    points = F.filter(raw, lambda p, i: p != _previous(raw, i))
+    def corners(points: Column) -> Column:
+        def turns(p: Column, i: Column) -> Column:
+            a, c = _previous(points, i), _next(points, i)
+            return ~(((a["x"] == p["x"]) & (p["x"] == c["x"])) | ((a["y"] == p["y"]) & (p["y"] == c["y"])))
 
-    def corner(p: Column, i: Column) -> Column:
-        a, c = _previous(points, i), _next(points, i)
-        return ~(((a["x"] == p["x"]) & (p["x"] == c["x"])) | ((a["y"] == p["y"]) & (p["y"] == c["y"])))
+        return F.when(F.size(points) < 3, points).otherwise(F.filter(points, turns))
 
-    return flat_ring(F.when(F.size(points) < 3, points).otherwise(F.filter(points, corner)))
+    distinct = let(ring_points(ring), lambda raw: F.filter(raw, lambda p, i: p != _previous(raw, i)))
+    return flat_ring(let(distinct, corners))
 
 
 def translate(ring: Column, dx: Column, dy: Column) -> Column:
@@ -160,15 +171,15 @@ def edge_on_rect_perimeter(ex0: Column, ey0: Column, ex1: Column, ey1: Column,
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd ray cast; 1e-9 keeps the slope finite."""
-    points = ring_points(ring)
+    def odd(points: Column) -> Column:
+        def crosses(p: Column, i: Column) -> Column:
+            q = _previous(points, i)
+            at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + F.lit(1e-9)) + p["x"]
+            return ((p["y"] > y) != (q["y"] > y)) & (x < at)
 
-    def crosses(p: Column, i: Column) -> Column:
-        q = _previous(points, i)
-        straddles = (p["y"] > y) != (q["y"] > y)
-        at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + F.lit(1e-9)) + p["x"]
-        return straddles & (x < at)
+        return F.size(F.filter(points, crosses)) % 2 == 1
 
-    return F.size(F.filter(points, crosses)) % 2 == 1
+    return let(ring_points(ring), odd)
 
 
 def rect_in_ring(x: Column, y: Column, w: Column, h: Column, ring: Column, margin: int = 8) -> Column:
@@ -184,8 +195,6 @@ def strip_tiles(x0: Column, y0: Column, x1: Column, y1: Column, n: Column, seed:
 
     Inner cuts are evenly spaced and moved by a hash draw of up to a fifth of a strip.
     """
-    from segstats.functions.scalar import hash_int, hash_uniform
-
     w, h = x1 - x0, y1 - y0
     across = w >= h
     span = F.when(across, w).otherwise(h)
@@ -196,12 +205,11 @@ def strip_tiles(x0: Column, y0: Column, x1: Column, y1: Column, n: Column, seed:
         F.sequence(F.lit(0), count),
         lambda i: start + F.floor(span * i / count).cast("bigint") + F.when((i == 0) | (i == count), F.lit(0)).otherwise(
             hash_int(-shift, shift, hash_uniform(seed, key, i)))))
-    strips = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-        F.when(across, F.get(cuts, i)).otherwise(x0).alias("x0"),
-        F.when(across, y0).otherwise(F.get(cuts, i)).alias("y0"),
-        F.when(across, F.get(cuts, i + 1)).otherwise(x1).alias("x1"),
-        F.when(across, y1).otherwise(F.get(cuts, i + 1)).alias("y1")))
-    return strips
+    return let(cuts, lambda c: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
+        F.when(across, F.get(c, i)).otherwise(x0).alias("x0"),
+        F.when(across, y0).otherwise(F.get(c, i)).alias("y0"),
+        F.when(across, F.get(c, i + 1)).otherwise(x1).alias("x1"),
+        F.when(across, y1).otherwise(F.get(c, i + 1)).alias("y1"))))
 
 
 def patch_index(height: Column, width: Column, block: int, stride: int) -> Column:

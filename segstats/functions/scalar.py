@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ IMAGENET_STD = (0.229, 0.224, 0.225)
 GRAY_SATURATION = 8.0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def foreground_score(logit0: Column, logit1: Column) -> Column:
     """Two-class softmax, probability of class 1."""
     return 1.0 / (1.0 + F.exp(logit0 - logit1))
@@ -40,8 +47,7 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    norm = F.greatest(l2_norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(F.greatest(l2_norm(v), F.lit(eps)), lambda norm: F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def cosine_sim(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
-from segstats.functions.scalar import hash_int, hash_uniform
+from segstats.functions.scalar import hash_int, hash_uniform, let
 from segstats.operators.matching import meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
@@ -37,20 +37,22 @@ def merge_span_array(spans: Column) -> Column:
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_span(last["a"], F.greatest(last["b"], s["b"]))))
         return F.when(F.size(acc) == 0, F.array(s)).when(s["a"] > last["b"] + 1, F.concat(acc, F.array(s))).otherwise(grown)
 
-    ordered = F.array_sort(spans)
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(ordered, _empty(), add))
+    return let(spans, lambda all_: F.when(F.size(all_) <= 1, all_).otherwise(F.aggregate(F.array_sort(all_), _empty(), add)))
 
 
 def subtract_span_array(spans: Column, holes: Column) -> Column:
     """Spans minus holes, both sorted and disjoint."""
 
-    def pieces(s: Column) -> Column:
-        inside = F.filter(holes, lambda h: (h["a"] <= s["b"]) & (h["b"] >= s["a"]))
+    def cut(s: Column, inside: Column) -> Column:
         starts = F.concat(F.array(s["a"]), F.transform(inside, lambda h: h["b"] + 1))
         ends = F.concat(F.transform(inside, lambda h: h["a"] - 1), F.array(s["b"]))
         return F.filter(F.zip_with(starts, ends, _span), lambda p: p["a"] <= p["b"])
 
-    return F.when(F.size(holes) == 0, spans).otherwise(F.flatten(F.transform(spans, pieces)))
+    def all_cut(cover: Column) -> Column:
+        pieces = F.transform(spans, lambda s: let(F.filter(cover, lambda h: (h["a"] <= s["b"]) & (h["b"] >= s["a"])), lambda inside: cut(s, inside)))
+        return F.when(F.size(cover) == 0, spans).otherwise(F.flatten(pieces))
+
+    return let(holes, all_cut)
 
 
 def _ring_edges(ring: Column) -> Column:
@@ -83,7 +85,10 @@ def _row_spans(edges: Column, y: Column) -> Column:
             e["x1"] * (e["y2"] - e["y1"]) + (y - e["y1"]) * (e["x2"] - e["x1"])).cast("double") / (e["y2"] - e["y1"]))
         return F.array_sort(xs)
 
-    def paired(xs: Column) -> Column:
+    def paired(crossed: Column) -> Column:
+        return let(crossed, pairs_of)
+
+    def pairs_of(xs: Column) -> Column:
         pairs = F.floor(F.size(xs) / 2).cast("int")
         index = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(index, lambda i: _span(F.ceil(F.get(xs, 2 * i)), F.floor(F.get(xs, 2 * i + 1))))

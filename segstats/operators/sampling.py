@@ -48,9 +48,14 @@ def epoch_order(df: DataFrame, ident: str, epoch: int, seed: int = 42) -> DataFr
     return row_numbers(hashed, ["_h", ident], out="position").drop("_h")
 
 
+def job_seeds(jobs: DataFrame, ident: str, seed: int) -> DataFrame:
+    """Adds ``job_seed``, which depends on the seed and the job number only."""
+    return jobs.withColumn("job_seed", F.lit(seed * JOB_STRIDE) + F.col(ident))
+
+
 def job_table(spark: SparkSession, start: int, n: int, seed: int) -> DataFrame:
     """(job_id, job_seed) for n jobs."""
-    return spark.range(start, start + n).select(F.col("id").alias("job_id"), (F.lit(seed * JOB_STRIDE) + F.col("id")).alias("job_seed"))
+    return job_seeds(spark.range(start, start + n).withColumnRenamed("id", "job_id"), "job_id", seed)
 
 
 def draw_modes(df: DataFrame, ident: str, weights: dict[str, float], seed: int = 42) -> DataFrame:
