@@ -238,7 +238,7 @@ def patch_index(s):
 # ---------------------------------------------------------------- intervals
 
 ISLANDS = """isl_{0} as (select {1}, lo, hi, sum(new) over (partition by {1} order by lo, hi rows unbounded preceding) as no from
- (select {1}, lo, hi, case when lo <= max(hi) over (partition by {1} order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from {2} where hi>lo) a),
+ (select {1}, lo, hi, case when lo <= max(hi) over (partition by {1} order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (select distinct {1}, lo, hi from {2} where hi>lo) d) a),
 m_{0} as (select {1}, min(lo) as lo, max(hi) as hi from isl_{0} group by {1}, no)"""
 
 

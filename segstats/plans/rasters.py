@@ -24,7 +24,7 @@ def raster_sql(view: str, tag: str) -> str:
 {tag}_raw as (select image_id, obj_id, ring_idx, y, ceil(min(x))::bigint as a, floor(max(x))::bigint as b from {tag}_pair group by image_id,obj_id,ring_idx,y,up,k//2
   union all select image_id, obj_id, ring_idx, y1, least(x1,x2), greatest(x1,x2) from {tag}_edges where y1=y2),
 {tag}_flag as (select *, case when a <= max(b) over (partition by image_id,obj_id,ring_idx=0,y order by a,b rows between unbounded preceding and 1 preceding)+1 then 0 else 1 end as new
-  from {tag}_raw where a<=b),
+  from (select distinct image_id, obj_id, case when ring_idx=0 then 0 else 1 end as ring_idx, y, a, b from {tag}_raw where a<=b) w),
 {tag}_runs as (select image_id, obj_id, outer_, y, min(a) as a, max(b) as b from (select *, ring_idx=0 as outer_, sum(new) over (partition by image_id,obj_id,ring_idx=0,y order by a,b rows unbounded preceding) as no
   from {tag}_flag) r group by image_id,obj_id,outer_,y,no),
 {tag}_o as (select image_id, obj_id, y, a, b from {tag}_runs where outer_), {tag}_h as (select image_id, obj_id, y, a, b from {tag}_runs where not outer_),
