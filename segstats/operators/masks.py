@@ -7,13 +7,16 @@ towards zero first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
+from segstats.functions.scanlines import batch_spans
 from segstats.operators.matching import meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
@@ -55,69 +58,29 @@ def subtract_span_array(spans: Column, holes: Column) -> Column:
     return let(holes, all_cut)
 
 
-def _ring_edges(ring: Column) -> Column:
-    """Edges (x1, y1, x2, y2) of a closed ring with truncated integer vertices."""
-    n = F.floor(F.size(ring) / 2).cast("int")
-
-    def at(i: Column) -> Column:
-        return F.get(ring, i).cast("bigint")
-
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: F.struct(
-        at(2 * i).alias("x1"), at(2 * i + 1).alias("y1"),
-        at(F.pmod(2 * i + 2, 2 * n)).alias("x2"), at(F.pmod(2 * i + 3, 2 * n)).alias("y2")))
-
-
-def _row_spans(edges: Column, y: Column) -> Column:
-    """Closed spans of one ring on row ``y``.
+def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), segmentation: str = "segmentation") -> DataFrame:
+    """Scan conversion of polygons with holes to spans, without a shuffle.
 
-    The ring is read twice, once with edges open at their top end and once at
-    their bottom end; the union of both readings and of the horizontal edges is
-    the closed region.
+    Objects are independent, so each Arrow batch is converted where it is, all
+    of its objects at once.  Output grows with the height of the objects: give a
+    table with few partitions more of them first (:func:`spread`).
     """
+    outline = F.get(F.col(segmentation), F.lit(0))
+    whole = F.transform(F.col(segmentation), lambda r: F.slice(r, 1, F.size(r) - F.size(r) % 2).cast("array<double>"))
+    rings = objects.where(F.size(outline) >= 2).select(*ids, whole.alias("rings"))
+    schema = T.StructType([*[rings.schema[c] for c in ids], *[T.StructField(c, T.LongType()) for c in ("y", "x0", "x1")]])
+    names = list(ids)
 
-    def crossings(open_top: bool) -> Column:
-        def covers(e: Column) -> Column:
-            low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-            return ((low <= y) & (y < high)) if open_top else ((low < y) & (y <= high))
-
-        xs = F.transform(F.filter(edges, covers), lambda e: (
-            e["x1"] * (e["y2"] - e["y1"]) + (y - e["y1"]) * (e["x2"] - e["x1"])).cast("double") / (e["y2"] - e["y1"]))
-        return F.array_sort(xs)
-
-    def paired(crossed: Column) -> Column:
-        return let(crossed, pairs_of)
-
-    def pairs_of(xs: Column) -> Column:
-        pairs = F.floor(F.size(xs) / 2).cast("int")
-        index = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(index, lambda i: _span(F.ceil(F.get(xs, 2 * i)), F.floor(F.get(xs, 2 * i + 1))))
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from batch_spans(batch, names, "rings")
 
-    level = F.transform(F.filter(edges, lambda e: (e["y1"] == y) & (e["y2"] == y)),
-                        lambda e: _span(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])))
-    every = F.filter(F.concat(paired(crossings(True)), paired(crossings(False)), level), lambda s: s["a"] <= s["b"])
-    return merge_span_array(every)
+    return rings.mapInArrow(convert, schema)
 
 
-def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), segmentation: str = "segmentation") -> DataFrame:
-    """Scan conversion of polygons with holes to spans, without a shuffle.
-
-    Each object turns into one row per scan line; the crossings of a line are
-    found inside that row.  Work and output grow with the height of the object,
-    and objects stay independent however many share an image.
-    """
-    outline = F.get(F.col(segmentation), F.lit(0))
-    holes = F.slice(F.col(segmentation), 2, F.greatest(F.size(segmentation) - 1, F.lit(0)))
-    rings = objects.where(F.size(outline) >= 2).select(
-        *ids, _ring_edges(outline).alias("_outer"), F.transform(holes, _ring_edges).alias("_holes"))
-    tops = F.transform(F.col("_outer"), lambda e: e["y1"])
-    lines = rings.select(*ids, "_outer", "_holes", F.explode(F.sequence(F.array_min(tops), F.array_max(tops))).alias("y"))
-    outer = lines.select(*ids, "y", "_holes", _row_spans(F.col("_outer"), F.col("y")).alias("_spans"))
-    covered = F.when(F.size("_holes") == 0, _empty()).otherwise(
-        merge_span_array(F.flatten(F.transform(F.col("_holes"), lambda h: _row_spans(h, F.col("y"))))))
-    cut = outer.select(*ids, "y", "_spans", covered.alias("_cover"))
-    return cut.select(*ids, "y", F.explode(subtract_span_array(F.col("_spans"), F.col("_cover"))).alias("_s")).select(
-        *ids, "y", F.col("_s.a").alias("x0"), F.col("_s.b").alias("x1"))
+def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """At least as many partitions as the session shuffles into, cut by a hash of the ids."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
 
 
 def box_spans(boxes: DataFrame, ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
@@ -334,7 +297,8 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
     200 squares centred on mask pixels, size min + (max - min) * sqrt(u); then
     50 boxes for each of five side fractions; else 32 x 32 at the centroid.
     Each (object, try) is a row; the first try whose box is fully covered wins.
-    A box is covered when the spans inside it add up to its area.
+    A box is covered when the spans inside it add up to its area; boxes larger
+    than the mask are dropped before any line is joined.
     """
     ids = ["image_id", "obj_id"]
     disjoint = merge_spans(spans, [*ids, "y"])
@@ -348,36 +312,46 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
     # Pixel number -> (x, y): a running count over the lines of one mask.
     n = F.col("x1") - F.col("x0") + 1
     lines = disjoint.withColumn("_upto", F.sum(n).over(Window.partitionBy(*ids).orderBy("y", "x0")))
-    tries = stats.select(*ids, "area", "width", "height", "_cap", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("try"))
-    tries = tries.select(
-        *ids, "try", "width", "height", F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size"))).alias("_size"),
-        hash_int(F.lit(0), F.col("area") - 1, u("pixel")).alias("_pixel"))
-    at = tries.join(lines.select(*ids, "y", "x0", "_upto", (F.col("_upto") - n).alias("_from")), ids).where(
-        (F.col("_pixel") >= F.col("_from")) & (F.col("_pixel") < F.col("_upto")))
-    half = F.floor(F.col("_size") / 2)
-    cx = F.col("x0") + F.col("_pixel") - F.col("_from")
-    squares = at.select(
-        *ids, "try", F.greatest(F.lit(0), F.least(cx - half, F.col("width") - F.col("_size"))).alias("bx"),
-        F.greatest(F.lit(0), F.least(F.col("y") - half, F.col("height") - F.col("_size"))).alias("by"),
-        F.col("_size").alias("bw"), F.col("_size").alias("bh"))
-    fractions = F.array(*[F.lit(f) for f in (0.6, 0.5, 0.4, 0.3, 0.2)])
-    later = stats.select(*ids, "x0", "y0", "x1", "y1", "w", "h", F.explode(F.sequence(F.lit(201), F.lit(450))).alias("try"))
-    frac = F.get(fractions, F.floor((F.col("try") - 201) / 50).cast("int"))
-    later = later.select("*", F.greatest(F.lit(min_size), F.floor(F.col("w") * frac)).alias("bw"),
-                         F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("bh"))
-    boxes = later.select(
-        *ids, "try", hash_int(F.col("x0"), F.greatest(F.col("x0"), F.col("x1") - F.col("bw")), u("x")).alias("bx"),
-        hash_int(F.col("y0"), F.greatest(F.col("y0"), F.col("y1") - F.col("bh")), u("y")).alias("by"), "bw", "bh")
-    # A covered box cannot be larger than its mask, which spares most of the line joins.
-    every = squares.unionByName(boxes).join(stats.select(*ids, "area"), ids).where(F.col("bw") * F.col("bh") <= F.col("area"))
-    band = 64
-    listed = every.withColumn("_band", F.explode(F.sequence(F.floor(F.col("by") / band), F.floor((F.col("by") + F.col("bh") - 1) / band))))
-    met = listed.join(disjoint.withColumn("_band", F.floor(F.col("y") / band)), [*ids, "_band"]).where(
-        (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + F.col("bh")))
-    common = F.greatest(F.lit(0), F.least("x1", F.col("bx") + F.col("bw") - 1) - F.greatest("x0", "bx") + 1)
-    inside = met.groupBy(*ids, "try", "bx", "by", "bw", "bh").agg(F.sum(common).alias("_in")).where(
-        F.col("_in") == F.col("bw") * F.col("bh"))
-    first = inside.groupBy(*ids).agg(F.min(F.struct("try", "bx", "by", "bw", "bh")).alias("_box"))
+    lines = settle(lines.select(*ids, "y", "x0", "x1", "_upto", (F.col("_upto") - n).alias("_from")))
+    stats = settle(stats)
+
+    def squares(left: DataFrame, first: int, last: int) -> DataFrame:
+        tries = left.select(*ids, "area", "width", "height", "_cap", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
+        tries = tries.select(
+            *ids, "try", "area", "width", "height", F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size"))).alias("_size"),
+            hash_int(F.lit(0), F.col("area") - 1, u("pixel")).alias("_pixel")).where(F.col("_size") * F.col("_size") <= F.col("area"))
+        at = tries.join(lines.drop("x1"), ids).where((F.col("_pixel") >= F.col("_from")) & (F.col("_pixel") < F.col("_upto")))
+        half = F.floor(F.col("_size") / 2)
+        cx = F.col("x0") + F.col("_pixel") - F.col("_from")
+        return at.select(*ids, "try", F.greatest(F.lit(0), F.least(cx - half, F.col("width") - F.col("_size"))).alias("bx"),
+                         F.greatest(F.lit(0), F.least(F.col("y") - half, F.col("height") - F.col("_size"))).alias("by"),
+                         F.col("_size").alias("bw"), F.col("_size").alias("bh"))
+
+    def boxes(left: DataFrame, first: int, last: int) -> DataFrame:
+        fractions = F.array(*[F.lit(f) for f in (0.6, 0.5, 0.4, 0.3, 0.2)])
+        later = left.select(*ids, "area", "x0", "y0", "x1", "y1", "w", "h", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
+        frac = F.get(fractions, F.floor((F.col("try") - first) / 50).cast("int"))
+        later = later.select("*", F.greatest(F.lit(min_size), F.floor(F.col("w") * frac)).alias("bw"),
+                             F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("bh")).where(F.col("bw") * F.col("bh") <= F.col("area"))
+        return later.select(*ids, "try", hash_int(F.col("x0"), F.greatest(F.col("x0"), F.col("x1") - F.col("bw")), u("x")).alias("bx"),
+                            hash_int(F.col("y0"), F.greatest(F.col("y0"), F.col("y1") - F.col("bh")), u("y")).alias("by"), "bw", "bh")
+
+    def first_inside(every: DataFrame) -> DataFrame:
+        band = 64
+        listed = every.withColumn("_band", F.explode(F.sequence(F.floor(F.col("by") / band), F.floor((F.col("by") + F.col("bh") - 1) / band))))
+        met = listed.join(lines.select(*ids, "y", "x0", "x1", F.floor(F.col("y") / band).alias("_band")), [*ids, "_band"]).where(
+            (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + F.col("bh")))
+        common = F.greatest(F.lit(0), F.least("x1", F.col("bx") + F.col("bw") - 1) - F.greatest("x0", "bx") + 1)
+        inside = met.groupBy(*ids, "try", "bx", "by", "bw", "bh").agg(F.sum(common).alias("_in")).where(
+            F.col("_in") == F.col("bw") * F.col("bh"))
+        return inside.groupBy(*ids).agg(F.min(F.struct("try", "bx", "by", "bw", "bh")).alias("_box"))
+
+    # Most masks are served by the first few squares; only the others go on to the later tries.
+    first, left = None, stats
+    for make, start, end in ((squares, 1, 10), (squares, 11, 200), (boxes, 201, 450)):
+        found = settle(first_inside(make(left, start, end)))
+        first = found if first is None else first.unionByName(found)
+        left = left.join(found, ids, "left_anti")
     side = F.lit(32).cast("bigint")
     return stats.join(first, ids, "left").select(
         *ids, F.coalesce("_box.bx", F.greatest(F.lit(0), F.col("cx") - 16)).cast("bigint").alias("x"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segstats.functions.scalar import affine_clip, hash_uniform, luma, normalize_channel
-from segstats.operators import masks, matching, metrics, pixels, reports
+from segstats.operators import masks, metrics, pixels, reports, sampling
 from segstats.plans.evaluation import RATES, grid_sql
 from segstats.plans.registry import big, query, r6, rounded
 from segstats.scale import settle
@@ -35,6 +35,7 @@ def raster_sql(view: str, tag: str) -> str:
   union all select image_id, obj_id, y, a, b from {tag}_o o where not exists (select 1 from {tag}_cut c where c.image_id=o.image_id and c.obj_id=o.obj_id and c.y=o.y and c.o0=o.a))"""
 
 
+ID = ["image_id", "obj_id"]
 SPANS = raster_sql("fx_polygons", "sp")
 PRED_SPANS = raster_sql("fx_pred_polygons", "ps")
 FINGERPRINT = "count(*) as n_spans, sum(x1-x0+1)::bigint as area, sum(y*x0)::bigint as left_sum, sum(y*x1)::bigint as right_sum"
@@ -48,11 +49,11 @@ def _fingerprint(spans, *ids):
 
 
 def _spans(s):
-    return masks.rasterize(s.polygons)
+    return masks.rasterize(masks.spread(s.polygons, ID))
 
 
 def _pred_spans(s):
-    return masks.rasterize(s.pred_polygons)
+    return masks.rasterize(masks.spread(s.pred_polygons, ID))
 
 
 @query(f"with {SPANS} select image_id, obj_id, {FINGERPRINT} from sp group by 1,2")
@@ -105,8 +106,9 @@ def suppress_overlaps(s):
 
 @query()
 def sample_reference_box(s):
-    first = settle(masks.box_spans(s.gt.withColumnRenamed("gt_idx", "obj_id")))
-    return masks.sample_reference_box(first, s.images, min_size=32, max_size=128)
+    """A patch of the reference instance of every image."""
+    chosen = sampling.reference_targets(s.gt).where("is_reference").withColumnRenamed("gt_idx", "obj_id")
+    return masks.sample_reference_box(masks.box_spans(chosen), s.images, min_size=32, max_size=128)
 
 
 @query("""with v as (select image_id, y, x, (gray-128)/32 as v from fx_pixels), o as (select * from v where 1/(1+exp(-v))>0.5),
