@@ -128,12 +128,13 @@ def evaluate_boxes(gt: DataFrame, preds: DataFrame, score_ts: Sequence[float] =
     if iou_t <= 0:
         raise ValueError("iou_t must be positive: pairs with IoU 0 are not in the table")
     s_cuts, m_cuts = sorted(score_ts), sorted(match_ts)
-    objects = gt.withColumn("ref_match", F.col("ref_match").cast("int"))
-    objects = collapse_boxes(objects, "gt_idx", ["ref_match"]).withColumn("gt_n", F.col("n"))
+    gt = gt.withColumn("ref_match", F.col("ref_match").cast("int"))
+    objects = collapse_boxes(gt, "gt_idx", ["ref_match"]).withColumnRenamed("n", "gt_n")
     signed = preds.withColumns({"si": _passed("score", s_cuts), "mi": _passed("sim", m_cuts)}).where(F.col("si") > 0)
     signed = collapse_boxes(signed, "q_idx", ["si", "mi"])
     pairs = box_pairs(objects, signed, cell=cell, keep_gt=["ref_match", "gt_n"], keep_pred=["si", "mi"])
-    return _grid_metrics(objects, signed, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
+    # Image totals and first ground truths come from the unfolded table: one aggregate, no folding again.
+    return _grid_metrics(gt.select("image_id", "gt_idx", "ref_match", F.lit(1).alias("n")), signed, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
 
 
 def threshold_sweep(gt: DataFrame, preds: DataFrame, score_ts: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5),

@@ -3,13 +3,14 @@
 * ``skew_join``      equi-join on keys that may be hot;
 * ``running``        running aggregates cut into chunks of bounded size;
 * ``kth_smallest``   the k-th row of a hash order without sorting the table;
-* ``settle``         reliable checkpoint in the folder the cluster names;
-* ``until_stable``   fixpoint loop over checkpointed rounds.
+* ``settle``         table written to the checkpoint folder the cluster names;
+* ``until_stable``   fixpoint loop over settled rounds.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -34,9 +35,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint; survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Cuts the lineage and survives executor loss like ``checkpoint()``, but stays
+    columnar, so readers take only the columns they need and plan with real sizes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def until_stable(
@@ -45,7 +53,7 @@ def until_stable(
     unfinished: Callable[[DataFrame], Column],
     max_rounds: int = 1000,
 ) -> DataFrame:
-    """Apply ``step`` until no row is ``unfinished``; every round is checkpointed."""
+    """Apply ``step`` until no row is ``unfinished``; every round is settled."""
     state = settle(state)
     for _ in range(max_rounds):
         if state.where(unfinished(state)).isEmpty():
