@@ -8,6 +8,7 @@ from segstats.functions import geometry as g
 from segstats.functions.scalar import hash_uniform, padded_name, scaled_count
 from segstats.operators import matching, reports, sampling, windows
 from segstats.plans.registry import big, query, r6, rounded
+from segstats.scale import settle
 from segstats.sources import records
 from segstats.streaming.jobs import metric_rollup as rollup
 
@@ -32,7 +33,7 @@ def _annotations(s):
  case when p.role<>'garage' then p.role else 'unknown' end as role, list_min(list_transform(range(0,len(segmentation[1])//2), lambda i: segmentation[1][2*i+1]))::double as bx
  from fx_polygons p join area a on a.image_id=p.image_id and a.obj_id=p.obj_id""")
 def annotation_json_roundtrip(s):
-    one = _annotations(s).select("image_id", F.to_json(F.array("a")).alias("annotations"))
+    one = settle(_annotations(s).select("image_id", F.to_json(F.array("a")).alias("annotations")))  # records as they would be stored
     parsed = records.normalise_annotations(one)
     listed = records.explode_annotations(parsed, "image_id")
     return rounded(big(listed.select("image_id", "id", "num_holes", "area", "category_name", "role", F.get("bbox", F.lit(0)).alias("bx")), "num_holes"), "area", "bx")

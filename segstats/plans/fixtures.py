@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 
+from segstats.operators.masks import spread
+
 SPARK_WORDS = {"list": "array", "each8": "explode(sequence(0L, 7L))", "text": "string",
                "hash32": "cast(conv(substr(md5({0}), 1, 8), 16, 10) as bigint)"}
 DUCK_WORDS = {"list": "list_value", "each8": "unnest(range(8))", "text": "varchar",
@@ -66,7 +68,7 @@ select o_orderpriority as run, o_custkey%15 as epoch, avg(case when o_orderkey%2
     "metrics": """
 select run, epoch, 'synth_iou' as tag, synth_iou as value from fx_runs union all select run, epoch, 'real_iou' as tag, real_iou as value from fx_runs""",
     "steps": """
-select o_orderpriority as run, o_custkey%15 as epoch, o_orderkey as step, cast((o_custkey*31+o_orderkey)%1000 as double)/1000 as value from orders""",
+select o_orderpriority as run, o_custkey%15 as epoch, o_orderkey as step, cast((o_custkey*31+o_orderkey)%1000 as double) as value from orders""",
     "pixels": """
 select image_id, y, x, cast((x*31+y*17+image_id*13)%256 as double) as gray, cast((x*31+y*17+image_id*13)%256 as double) as r,
  cast(case when image_id%2=0 then (x*31+y*17+image_id*13)%256 else (x*29+y*11+image_id*7)%256 end as double) as g, cast((x*31+y*17+image_id*13)%256 as double) as b
@@ -135,4 +137,6 @@ def view(source, name: str):
             inputs[table] = source.table(table)
     for used in inputs:
         text = re.sub(rf"\b(from|join) {used}\b", rf"\1 {{{used}}}", text)
-    return source.spark.sql(text, **inputs)
+    df = source.spark.sql(text, **inputs)
+    # Polygon work is long per row: use every core even when the table is one small file.
+    return spread(df, ["image_id", "obj_id"]) if name.endswith("polygons") else df

@@ -96,7 +96,7 @@ def is_axis_rect(s):
 
 
 POINTS = "pts as (select image_id, gt_idx as point_id, x0+w//10 as px, y0+h//12 as py from fx_gt)"
-IN_RING = "sum(case when (y1>{y})<>(y2>{y}) and {x} < (x2-x1)*({y}-y1)::double/(y2-y1+1e-9)+x1 then 1 else 0 end)%2"
+IN_RING = "sum(case when (y1>{y})<>(y2>{y}) and {x} < (x1-x2)*({y}-y2)::double/(y1-y2+1e-9)+x2 then 1 else 0 end)%2"
 
 
 def _points(s):
