@@ -85,14 +85,14 @@ def best_gt_per_pred(kept: DataFrame, gt: DataFrame, pairs: DataFrame, image: st
     ground truth drop out.
     """
     weight = F.col("n") if "n" in gt.columns else F.lit(1)
-    first = gt.groupBy(image).agg(F.min(F.struct(F.col("gt_idx").alias("g"), F.col("ref_match").alias("m"))).alias("_first"),
+    first = gt.groupBy(image).agg(F.min("gt_idx").alias("_first_gt"), F.min_by("ref_match", "gt_idx").alias("_first_match"),
                                   F.sum(weight * F.col("ref_match")).alias("n_wanted"))
     labelled = pairs if "ref_match" in pairs.columns else pairs.join(gt.select(image, "gt_idx", "ref_match"), [image, "gt_idx"])
     best = labelled.groupBy(image, "q_idx").agg(F.min(F.struct(
         (-F.col("iou")).alias("neg"), F.col("gt_idx").alias("g"), F.col("ref_match").alias("m"))).alias("_best"))
     placed = attach(kept, first, [image], ["q_idx"], how="inner").join(best, [image, "q_idx"], "left")
-    return placed.select(*kept.columns, F.coalesce("_best.g", "_first.g").alias("best_gt"),
-                         F.coalesce("_best.m", "_first.m").alias("best_ref_match"), "n_wanted")
+    return placed.select(*kept.columns, F.coalesce("_best.g", "_first_gt").alias("best_gt"),
+                         F.coalesce("_best.m", "_first_match").alias("best_ref_match"), "n_wanted")
 
 
 def overlap_pairs(rects: DataFrame, image: str = "image_id", ident: str = "gt_idx", cell: int = 512) -> DataFrame:
