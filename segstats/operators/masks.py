@@ -297,8 +297,8 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
     200 squares centred on mask pixels, size min + (max - min) * sqrt(u); then
     50 boxes for each of five side fractions; else 32 x 32 at the centroid.
     Each (object, try) is a row; the first try whose box is fully covered wins.
-    A box is covered when the spans inside it add up to its area; boxes larger
-    than the mask are dropped before any line is joined.
+    A box is covered when the spans inside it add up to its area; boxes that
+    cannot fit the mask are dropped before any line is joined.
     """
     ids = ["image_id", "obj_id"]
     disjoint = merge_spans(spans, [*ids, "y"])
@@ -316,10 +316,11 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
     stats = settle(stats)
 
     def squares(left: DataFrame, first: int, last: int) -> DataFrame:
-        tries = left.select(*ids, "area", "width", "height", "_cap", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
+        tries = left.select(*ids, "area", "w", "h", "width", "height", "_cap", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
         tries = tries.select(
-            *ids, "try", "area", "width", "height", F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size"))).alias("_size"),
-            hash_int(F.lit(0), F.col("area") - 1, u("pixel")).alias("_pixel")).where(F.col("_size") * F.col("_size") <= F.col("area"))
+            *ids, "try", "area", "w", "h", "width", "height", F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size"))).alias("_size"),
+            hash_int(F.lit(0), F.col("area") - 1, u("pixel")).alias("_pixel")).where(
+                (F.col("_size") * F.col("_size") <= F.col("area")) & (F.col("_size") <= F.least("w", "h")))
         at = tries.join(lines.drop("x1"), ids).where((F.col("_pixel") >= F.col("_from")) & (F.col("_pixel") < F.col("_upto")))
         half = F.floor(F.col("_size") / 2)
         cx = F.col("x0") + F.col("_pixel") - F.col("_from")
@@ -332,7 +333,8 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
         later = left.select(*ids, "area", "x0", "y0", "x1", "y1", "w", "h", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
         frac = F.get(fractions, F.floor((F.col("try") - first) / 50).cast("int"))
         later = later.select("*", F.greatest(F.lit(min_size), F.floor(F.col("w") * frac)).alias("bw"),
-                             F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("bh")).where(F.col("bw") * F.col("bh") <= F.col("area"))
+                             F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("bh")).where(
+                                 (F.col("bw") * F.col("bh") <= F.col("area")) & (F.col("bw") <= F.col("w")) & (F.col("bh") <= F.col("h")))
         return later.select(*ids, "try", hash_int(F.col("x0"), F.greatest(F.col("x0"), F.col("x1") - F.col("bw")), u("x")).alias("bx"),
                             hash_int(F.col("y0"), F.greatest(F.col("y0"), F.col("y1") - F.col("bh")), u("y")).alias("by"), "bw", "bh")
 
