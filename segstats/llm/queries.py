@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segstats.llm import exact, mixing, simhash
+from segstats.llm import exact, mixing, packing, simhash, token_shards
 from segstats.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -60,5 +69,5 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id
 from d join g using (text_sha256)"""
 
 
-for _query in (op2_simhash_near_dedup, op8_weighted_fair_mixing, op9_exact_dedup):
+for _query in (op2_simhash_near_dedup, op3_token_shards, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
     QUERIES[_query.__name__] = _query
