@@ -9,8 +9,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -67,6 +69,23 @@ def configure(spark: SparkSession) -> None:
     where the split costs another shuffle."""
     for key in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
         spark.conf.set(f"spark.sql.adaptive.{key}", "true")
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each context; Spark's own file server copies it to them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_segstats_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="segstats-package-"), "segstats.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._segstats_shipped = True
 
 
 def skew_join(
