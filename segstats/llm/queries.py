@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segstats.llm import exact, mixing, packing, simhash, token_shards
+from segstats.llm import exact, mixing, packing, simhash, substring, token_shards
 from segstats.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -69,5 +73,5 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id
 from d join g using (text_sha256)"""
 
 
-for _query in (op2_simhash_near_dedup, op3_token_shards, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
+for _query in (op2_simhash_near_dedup, op3_token_shards, op5_fixed_block_anchors, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
     QUERIES[_query.__name__] = _query
