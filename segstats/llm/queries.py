@@ -8,13 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segstats.llm import exact, mixing, packing, simhash, substring, token_shards
+from segstats.llm import exact, imatch, mixing, packing, simhash, substring, token_shards
 from segstats.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,5 +77,5 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id
 from d join g using (text_sha256)"""
 
 
-for _query in (op2_simhash_near_dedup, op3_token_shards, op5_fixed_block_anchors, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
+for _query in (op1_imatch_fingerprints, op2_simhash_near_dedup, op3_token_shards, op5_fixed_block_anchors, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
     QUERIES[_query.__name__] = _query
