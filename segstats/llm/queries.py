@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from segstats.llm import exact, imatch, mixing, packing, simhash, substring, token_shards
-from segstats.llm.common import prepare, table
+from segstats.llm import exact, html, imatch, mixing, packing, quality, simhash, substring, token_shards, toxicity
+from segstats.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -35,6 +39,10 @@ def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_weighted_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -77,5 +85,10 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id
 from d join g using (text_sha256)"""
 
 
-for _query in (op1_imatch_fingerprints, op2_simhash_near_dedup, op3_token_shards, op5_fixed_block_anchors, op6_vector_best_fit, op8_weighted_fair_mixing, op9_exact_dedup):
+def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+for _query in (op1_imatch_fingerprints, op2_simhash_near_dedup, op3_token_shards, op4_compression_toxicity, op5_fixed_block_anchors, op6_vector_best_fit,
+               op7_fourier_quality, op8_weighted_fair_mixing, op9_exact_dedup, op10_text_density):
     QUERIES[_query.__name__] = _query
