@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER, UPPER, fresh
+from segstats.llm.common import LOWER, UPPER, fresh, text_of
 from segstats.operators.matching import connected_groups
 from segstats.scale import settle
 
@@ -53,16 +53,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, out: str = "fp") -> DataFrame:
-    """doc_id and the fingerprint as a signed bigint."""
+    """doc_id, a hash of the whole text (``mark``) and the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             fps = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", out])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "mark", out])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id bigint, {out} bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text_of()).alias("mark"))
+    return rows.mapInArrow(run, f"doc_id bigint, mark bigint, {out} bigint")
 
 
 def _half(fp: Column, side: int) -> Column:
@@ -82,16 +82,14 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def components(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """``rows`` (doc_id, fp) with component_id: the smallest doc_id that links lead to."""
+    """``rows`` (doc_id, fp) with component_id: the smallest doc_id that links lead to, and _group, a number of its own for each component."""
     nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = settle(links(nodes.select("fp"), bits))
-    named = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("u")), "a").join(
-        nodes.select(F.col("fp").alias("b"), F.col("least").alias("v")), "b")
-    edges = settle(named.select("u", "v"))
-    linked = edges.select("u").unionByName(edges.select(F.col("v").alias("u"))).distinct()
-    groups = connected_groups(edges, linked, [], "u", "v").select(F.col("u").alias("least"), "group_id")
-    labels = nodes.join(groups, "least", "left").select("fp", F.coalesce("group_id", "least").alias("component_id"))
-    return rows.join(settle(labels), "fp")
+    linked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    groups = connected_groups(pairs.withColumnRenamed("a", "fp"), linked, [], "fp", "b")
+    placed = settle(nodes.join(groups, "fp", "left").select("fp", "least", F.coalesce("group_id", "fp").alias("_group")))
+    least = placed.groupBy("_group").agg(F.min("least").alias("component_id"))
+    return rows.join(settle(placed.select("fp", "_group").join(least, "_group")), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
@@ -101,11 +99,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows whose doc_id is the smallest of their group, once each, with all columns of ``docs``."""
-    (mark,) = fresh(docs, "_stays")
+    """Of each group the row with the smallest doc_id, once, with all columns of ``docs``; null doc_id only where a group has no other."""
+    ident, mark, many, null = fresh(docs, "_ident", "_mark", "_many", "_null")
     found = components(settle(with_fingerprints(docs, words)), bits)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keys = stays.select(F.col("doc_id").alias(mark), F.col("n").alias(mark + "n"))
-    kept = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(mark)))
-    once = kept.where(F.col(mark + "n") == 1).unionByName(kept.where(F.col(mark + "n") > 1).dropDuplicates([mark]))
+    ends = found.groupBy("_group", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).groupBy("_group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark", "n")).alias("r"))
+    stays = ends.select(F.col("r.null").alias(null), F.coalesce("r.doc_id", F.lit(0)).alias(ident), F.col("r.mark").alias(mark), (F.col("r.n") > 1).alias(many))
+    keyed = docs.withColumns({null: F.col("doc_id").isNull(), ident: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), mark: F.xxhash64(text_of())})
+    kept = keyed.join(settle(stays), [null, ident, mark])
+    once = kept.where(~F.col(many)).unionByName(kept.where(F.col(many)).dropDuplicates([null, ident, mark]))
     return once.select(*docs.columns)
