@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Luma weights of ITU-R BT.601 and the ImageNet channel statistics.
 LUMA = (0.299, 0.587, 0.114)
+BYTE_LUMA = (19595, 38470, 7471)
 IMAGENET_MEAN = (0.485, 0.456, 0.406)
 IMAGENET_STD = (0.229, 0.224, 0.225)
 GRAY_SATURATION = 8.0
@@ -90,6 +91,11 @@ def default_category(col: Column, default: str) -> Column:
     return F.coalesce(col, F.lit(default))
 
 
+def byte_luma(r: Column, g: Column, b: Column) -> Column:
+    """Luma as picture libraries store it: rounded to a byte by 16-bit fixed-point weights."""
+    return F.floor((r * BYTE_LUMA[0] + g * BYTE_LUMA[1] + b * BYTE_LUMA[2] + 32768) / 65536).cast("double")
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return r * LUMA[0] + g * LUMA[1] + b * LUMA[2]
 

@@ -85,3 +85,27 @@ def batch_spans(batch: pa.RecordBatch, ids: list[str], segmentation: str):
         rows = pa.array(obj)
         yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ids], pa.array(y), pa.array(x0), pa.array(x1)],
                                          names=[*ids, "y", "x0", "x1"])
+
+
+def line_gaps(left: pa.Array, right: pa.Array, block: int = 4_000_000) -> np.ndarray:
+    """Least distance of each pair of masks, given as lists of lines (y, x0, x1); NaN where a mask is empty."""
+    sides = []
+    for lists in (left, right):
+        lines = lists.flatten()
+        fields = [lines.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sides.append((fields, np.r_[0, ends[:-1]] if len(ends) else ends, ends))
+    out = np.full(len(left), np.nan)
+    (ay, a0, a1), astart, aend = sides[0][0], sides[0][1], sides[0][2]
+    (by, b0, b1), bstart, bend = sides[1][0], sides[1][1], sides[1][2]
+    for i in range(len(left)):
+        b = slice(bstart[i], bend[i])
+        step = max(1, block // max(1, bend[i] - bstart[i]))
+        for at in range(astart[i], aend[i], step):
+            a = slice(at, min(at + step, aend[i]))
+            if b.start == b.stop:
+                continue
+            dx = np.maximum(0, np.maximum(b0[b][None, :] - a1[a][:, None], a0[a][:, None] - b1[b][None, :]))
+            dy = ay[a][:, None] - by[b][None, :]
+            out[i] = np.fmin(out[i], np.sqrt((dx * dx + dy * dy).min()))
+    return out

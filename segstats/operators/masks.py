@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
-from segstats.functions.scanlines import batch_spans
+from segstats.functions.scanlines import batch_spans, line_gaps
 from segstats.operators.matching import meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
@@ -239,31 +239,38 @@ def resize_spans(spans: DataFrame, plans: DataFrame, image: str = "image_id") ->
     return sized.select(image, *ids, F.explode(F.sequence("_y0", "_y1")).alias("y"), "x0", "x1")
 
 
-def pairwise_gap(spans: DataFrame, categories: DataFrame, max_gap: int) -> DataFrame:
-    """Smallest pixel distance of same-category masks of an image, for pairs within ``max_gap``; 0 if they overlap.
+def pairwise_gap(spans: DataFrame, categories: DataFrame, max_gap: float | None = None) -> DataFrame:
+    """Smallest pixel distance of same-category masks of an image; 0 if they overlap.
 
-    Boxes that come within reach of each other are paired first; only their
-    scan lines are compared, in bands of ``max_gap`` + 1 lines.
+    One row per pair is the result asked for: all pairs, or with ``max_gap``
+    those within it, whose boxes are paired by grid cells first.  The lines of a
+    mask travel as one array; distances are taken in Arrow batches where a pair
+    is, in blocks of a bounded number of line pairs.
     """
-    boxes = mask_stats(spans).select("image_id", "obj_id", "x0", "y0", "x1", "y1")
-    named = boxes.join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
-    close = meeting_boxes(named, named.withColumnRenamed("obj_id", "other"), ["image_id", "category_name"], "obj_id", "other",
-                          reach=max_gap).where(F.col("obj_id") < F.col("other")).select("image_id", "category_name", "obj_id", "other")
-    band = max_gap + 1
-    left = attach(spans.select("image_id", "obj_id", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1")),
-                  spans.select("image_id", "obj_id").distinct().join(close.select("image_id", "obj_id").distinct(), ["image_id", "obj_id"], "left_semi"),
-                  ["image_id", "obj_id"], ["ya"], how="left_semi")
-    left = close.join(left, ["image_id", "obj_id"]).withColumn(
-        "_band", F.explode(F.sequence(F.floor((F.col("ya") - max_gap) / band), F.floor((F.col("ya") + max_gap) / band))))
-    right = spans.select("image_id", F.col("obj_id").alias("other"), F.col("y").alias("yb"), F.col("x0").alias("b0"), F.col("x1").alias("b1"),
-                         F.floor(F.col("y") / band).alias("_band"))
-    met = left.join(right, ["image_id", "other", "_band"]).where(F.abs(F.col("ya") - F.col("yb")) <= max_gap)
-    dx = F.greatest(F.lit(0), F.col("b0") - F.col("a1"), F.col("a0") - F.col("b1"))
-    dy = F.col("ya") - F.col("yb")
-    nearest = met.groupBy("image_id", "category_name", "obj_id", "other").agg(F.min(dx * dx + dy * dy).alias("_d2"))
-    return nearest.where(F.col("_d2") <= max_gap * max_gap).select(
-        "image_id", "category_name", "obj_id", "other", F.sqrt(F.col("_d2").cast("double")).alias("gap"))
+    line = F.struct(F.col("y").cast("bigint").alias("y"), F.col("x0").cast("bigint").alias("x0"), F.col("x1").cast("bigint").alias("x1"))
+    lines = spans.groupBy("image_id", "obj_id").agg(F.collect_list(line).alias("lines"))  # the lines of one mask
+    named = lines.join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
+    other = named.select("image_id", "category_name", F.col("obj_id").alias("other"), F.col("lines").alias("other_lines"))
+    if max_gap is None:
+        pairs = skew_join(named, other, ["image_id", "category_name"], ["obj_id"], ["other"]).where(F.col("obj_id") < F.col("other"))
+    else:
+        boxes = mask_stats(spans).join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
+        close = meeting_boxes(boxes.select("image_id", "category_name", "obj_id", "x0", "y0", "x1", "y1"),
+                              boxes.select("image_id", "category_name", F.col("obj_id").alias("other"), "x0", "y0", "x1", "y1"),
+                              ["image_id", "category_name"], "obj_id", "other", reach=int(-(-max_gap // 1)))
+        close = close.where(F.col("obj_id") < F.col("other")).select("image_id", "category_name", "obj_id", "other")
+        pairs = close.join(named.drop("category_name"), ["image_id", "obj_id"]).join(other.drop("category_name"), ["image_id", "other"])
+    keys = ["image_id", "category_name", "obj_id", "other"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = pa.array(line_gaps(batch.column("lines"), batch.column("other_lines")), pa.float64())
+            yield pa.record_batch([*[batch.column(k) for k in keys], gaps], names=[*keys, "gap"])
 
+    rows = pairs.select(*keys, "lines", "other_lines")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:4]) + ", gap double"
+    out = rows.mapInArrow(run, schema)
+    return out if max_gap is None else out.where(F.col("gap") <= max_gap)
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, image: str = "image_id", cell: int = 256) -> DataFrame:
     """(point, polygon) hits by even-odd ray casting; points meet polygons in grid cells of the polygon's box."""

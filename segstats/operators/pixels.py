@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstats.functions.scalar import GRAY_SATURATION, hash_uniform, luma, saturation
+from segstats.functions.scalar import GRAY_SATURATION, byte_luma, hash_uniform, luma, saturation
 from segstats.operators.masks import clip_spans
 from segstats.scale import skew_join
 
@@ -43,8 +43,8 @@ def mono_report(stats: DataFrame) -> DataFrame:
 
 
 def to_gray(pixels: DataFrame) -> DataFrame:
-    """All three channels replaced by their luma."""
-    v = luma(F.col("r"), F.col("g"), F.col("b"))
+    """All three channels replaced by their luma, a byte."""
+    v = byte_luma(F.col("r"), F.col("g"), F.col("b"))
     return pixels.withColumns({"r": v, "g": v, "b": v})
 
 

@@ -60,9 +60,9 @@ def category_report(annotations: DataFrame, by: Sequence[str] = ("image_id",), c
 def touch_report(members: DataFrame, gaps: DataFrame, touch: float = 3.0) -> DataFrame:
     """Per image and category: pairs, touching pairs, instances with a touching neighbour, smallest and median gap.
 
-    ``members``: image_id, obj_id, category_name; ``gaps``: all pairs within some
-    reach.  Pairs out of reach are counted from the group size; the median is
-    exact when it lies within reach and NULL when it does not.
+    ``members``: image_id, obj_id, category_name; ``gaps``: all pairs of a group.
+    The median takes the middle of the counted gaps, so half of all pairs have to
+    be known in any case.
     """
     key = ["image_id", "category_name"]
     sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n_instances"))
@@ -74,7 +74,7 @@ def touch_report(members: DataFrame, gaps: DataFrame, touch: float = 3.0) -> Dat
     pairs = F.col("n_instances") * (F.col("n_instances") - 1) / 2
     joined = sizes.join(near, key, "left").join(ends, key, "left").withColumn("n_pairs", pairs.cast("bigint"))
     counted = joined.na.fill(0, ["_near", "touching_pairs", "touching_instances"])
-    # Rank of the median among all pairs; gaps out of reach sort after the others.
+    # Rank of the median among all pairs.
     lower, upper = _median_rows(gaps, counted.select(*key, "n_pairs"), key)
     full = counted.join(lower, key, "left").join(upper, key, "left")
     return full.select(*key, "n_instances", "n_pairs", "touching_pairs", "touching_instances", "min_gap",

@@ -70,7 +70,8 @@ def mask_stats(s):
 def hole_subtract(s):
     """Outlines and holes rasterised apart, then subtracted as span tables."""
     outline = s.polygons.withColumn("segmentation", F.slice("segmentation", 1, 1))
-    holes = s.polygons.where(F.size("segmentation") > 1).withColumn("segmentation", F.slice("segmentation", 2, 1))
+    rings = F.slice("segmentation", 2, F.greatest(F.size("segmentation") - 1, F.lit(0)))
+    holes = s.polygons.withColumn("_hole", F.explode(rings)).withColumn("segmentation", F.array("_hole")).drop("_hole")
     return _fingerprint(masks.subtract_holes(masks.rasterize(outline), masks.rasterize(holes)), "image_id", "obj_id")
 
 
@@ -134,14 +135,13 @@ def resize_spans(s):
     return _fingerprint(masks.resize_spans(masks.box_spans(small), plans), "image_id", "obj_id")
 
 
-REACH = 24
 GAPS = f"""{SPANS}, named as (select sp.*, p.category_name from sp join fx_polygons p on p.image_id=sp.image_id and p.obj_id=sp.obj_id),
 gaps as (select a.image_id, a.category_name, a.obj_id, b.obj_id as other, sqrt(min(power(greatest(0,b.x0-a.x1,a.x0-b.x1),2)+power(a.y-b.y,2))) as gap from named a join named b
- on a.image_id=b.image_id and a.category_name=b.category_name and a.obj_id<b.obj_id and abs(a.y-b.y)<={REACH} group by 1,2,3,4 having min(power(greatest(0,b.x0-a.x1,a.x0-b.x1),2)+power(a.y-b.y,2))<={REACH * REACH})"""
+ on a.image_id=b.image_id and a.category_name=b.category_name and a.obj_id<b.obj_id group by 1,2,3,4)"""
 
 
 def _gaps(s):
-    return masks.pairwise_gap(settle(_spans(s)), s.polygons, REACH)
+    return masks.pairwise_gap(settle(_spans(s)), s.polygons)
 
 
 @query(f"with {GAPS} select image_id, category_name, obj_id, other, round(gap,6) as gap from gaps")
@@ -220,10 +220,10 @@ def pixel_transforms(s):
         r6(F.avg(normalize_channel(b, 2))).alias("blue"), r6(F.avg(affine_clip(r, F.lit(1.2), F.lit(-20.0)))).alias("affine"))
 
 
-@query("""select image_id, avg(l)::double as gray_mean, count(*) as n from (select image_id, round(0.299::double*r+0.587::double*g+0.114::double*b,3) as l from fx_pixels) p group by 1""".replace("avg(l)::double", "round(avg(l),6)"))
+@query("""select image_id, avg(l)::double as gray_mean, count(*) as n from (select image_id, floor((r*19595+g*38470+b*7471+32768)/65536)::double as l from fx_pixels) p group by 1""".replace("avg(l)::double", "round(avg(l),6)"))
 def gray_pixels(s):
     gray = pixels.to_gray(s.pixels)
-    return gray.groupBy("image_id").agg(r6(F.avg(F.round("g", 3))).alias("gray_mean"), F.count(F.lit(1)).alias("n"))
+    return gray.groupBy("image_id").agg(r6(F.avg("g")).alias("gray_mean"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""select m.image_id, m.obj_id as box_id, count(*) as n, sum(p.y-m.y0)::bigint as sy, sum(p.x-m.x0)::bigint as sx, round(avg(gray),6) as gray from fx_marks m join fx_pixels p

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segstats.schemas import ANNOTATION_FILE, ANNOTATIONS, TILE_MANIFEST
+from segstats.functions.scalar import byte_luma
+from segstats.schemas import ANNOTATION, ANNOTATION_FILE, ANNOTATIONS, TILE_MANIFEST
 
 
 def read_records(spark: SparkSession, path: str, config: str | None = None, split: str | None = "train",
@@ -26,16 +27,28 @@ def read_records(spark: SparkSession, path: str, config: str | None = None, spli
     return df.orderBy("record_id").limit(max_records) if max_records else df
 
 
+def parse_annotation_list(elements: Column) -> tuple[Column, Column]:
+    """(annotations, texts of the elements that do not fit the schema) of a list of JSON texts."""
+    marked = T.StructType([*ANNOTATION.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.transform(elements, lambda e: F.struct(F.from_json(e, marked, {"columnNameOfCorruptRecord": "_corrupt"}).alias("a"), e.alias("e")))
+    fits = lambda p: p["a"].isNotNull() & p["a"]["_corrupt"].isNull() & p["e"].startswith("{")
+    good = F.transform(F.filter(parsed, fits), lambda p: F.struct(*[p["a"][n].alias(n) for n in ANNOTATION.fieldNames()]))
+    return good, F.transform(F.filter(parsed, lambda p: ~F.coalesce(fits(p), F.lit(False))), lambda p: F.coalesce(p["e"], F.lit("null")))
+
+
 def normalise_annotations(records: DataFrame, col: str = "annotations") -> DataFrame:
     """Annotations as an array of structs, whether stored as JSON text or parsed.
 
-    Text that is no valid annotation list gives NULL annotations and stays in ``bad_annotations``.
+    Text that is no list gives NULL annotations and stays in ``bad_annotations``.
+    Of a list, the elements that do not fit the schema (no object, or a field of
+    another type) go there as a JSON list of texts, and the others are kept.
     """
     kind = records.schema[col].dataType
     if isinstance(kind, T.StringType):
-        parsed = F.from_json(F.col(col), ANNOTATIONS)
-        bad = F.when(F.col(col).isNotNull() & parsed.isNull(), F.col(col))
-        return records.withColumns({"bad_annotations": bad, col: parsed})
+        elements = F.when(F.ltrim(F.col(col)).startswith("["), F.from_json(F.col(col), "array<string>"))
+        good, bad = parse_annotation_list(elements)
+        rejected = F.when(F.col(col).isNotNull() & elements.isNull(), F.col(col)).when(F.size(bad) > 0, F.to_json(bad))
+        return records.withColumns({"bad_annotations": rejected, col: good})
     have = {f.name: f.dataType for f in kind.elementType.fields}
 
     def conform(a: Column) -> Column:
@@ -65,11 +78,20 @@ def read_annotation_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_local_records(spark: SparkSession, root: str) -> DataFrame:
-    """Annotation files joined with the bytes of their picture in ``images/``."""
+    """Annotation files with the bytes of their picture in ``images/``; ``picture_missing`` marks files whose picture is not there."""
     docs = read_annotation_files(spark, root)
     files = spark.read.format("binaryFile").load(f"{root}/images").select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("content").alias("image"))
-    return docs.join(files, "file_name")
+    return docs.join(files, "file_name", "left").withColumn("picture_missing", F.col("image").isNull())
+
+
+def read_synth_listing(spark: SparkSession, root: str) -> DataFrame:
+    """file_name and mode of every picture in ``images/`` in name order; mode is "unknown" without an annotation file."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(f"{root}/images").select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    docs = read_annotation_files(spark, root).select(F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.json$", "").alias("_stem"), "mode")
+    listed = names.withColumn("_stem", stem).join(docs, "_stem", "left")
+    return listed.select("file_name", F.coalesce("mode", F.lit("unknown")).alias("mode")).orderBy("file_name")
 
 
 def sorted_files(annotation_files: DataFrame, limit: int) -> DataFrame:
@@ -78,13 +100,12 @@ def sorted_files(annotation_files: DataFrame, limit: int) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (file_name, y, x, r, g, b, gray) of a folder of pictures.
+    """Pixels (file_name, y, x, r, g, b, gray) of a folder of pictures; :func:`unreadable_pictures` names the others.
 
     Spark decodes the files; the bytes of a picture (row by row, blue first)
     are unpacked in Arrow batches where they are.
     """
-    pictures = spark.read.format("image").option("dropInvalid", True).load(path).select(
-        F.element_at(F.split("image.origin", "/"), -1).alias("file_name"), "image.width", "image.height", "image.nChannels", "image.data")
+    pictures = _pictures(spark, path).where(F.col("width") > 0)
     schema = "file_name string, y int, x int, r int, g int, b int"
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,9 +120,17 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"file_name": rec.file_name, "y": y.ravel(), "x": x.ravel(), "r": red[part].ravel(),
                                         "g": green[part].ravel(), "b": blue[part].ravel()})
 
-    from segstats.functions.scalar import luma
+    return pictures.mapInPandas(unpack, schema).withColumn("gray", byte_luma(F.col("r"), F.col("g"), F.col("b")))
 
-    return pictures.mapInPandas(unpack, schema).withColumn("gray", luma(F.col("r"), F.col("g"), F.col("b")))
+
+def _pictures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("image").load(path).select(
+        F.element_at(F.split("image.origin", "/"), -1).alias("file_name"), "image.width", "image.height", "image.nChannels", "image.data")
+
+
+def unreadable_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """file_name of the files that are no picture Spark can decode."""
+    return _pictures(spark, path).where(~(F.col("width") > 0)).select("file_name")
 
 
 def read_tile_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -121,24 +150,20 @@ def parse_tile_manifest(text: DataFrame, col: str = "value") -> DataFrame:
     return named.select(F.row_number().over(order).alias("category_id"), "image_key", "pattern_key", "tile_file")
 
 
-def annotation_documents(annotations: DataFrame, headers: DataFrame, max_per_document: int = 10_000) -> DataFrame:
+def annotation_documents(annotations: DataFrame, headers: DataFrame) -> DataFrame:
     """One document {image, mode, annotations} per image, as a table ready to be written.
 
-    Images with more annotations than ``max_per_document`` are spread over
-    several documents by a hash of the annotation id, so no group grows without
-    bound; readers that list annotations see no difference.
+    A document is one value, so its list holds all annotations of the image, in
+    the order of ``ann_idx`` where there is one and of ``id`` otherwise.
     """
-    from segstats.functions.scalar import hash_bits
-    from segstats.scale import attach
-
-    parts = annotations.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / max_per_document).cast("int").alias("_parts"))
-    placed = attach(annotations, parts, ["image_id"], ["id"], how="inner").withColumn(
-        "part", F.pmod(hash_bits(3, "id"), F.col("_parts")).cast("int"))
+    place = "ann_idx" if "ann_idx" in annotations.columns else "id"
     body = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ANNOTATIONS.elementType.fields])
-    docs = placed.groupBy("image_id", "part").agg(F.array_sort(F.collect_list(body)).alias("annotations"))
+    entry = F.struct(F.col(place).alias("place"), F.col("id").alias("id"), body.alias("body"))
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    docs = annotations.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(entry), by_place), lambda e: e["body"]).alias("annotations"))
     # Images without annotations still get their document.
     whole = headers.join(docs, "image_id", "left")
-    return whole.select("image_id", F.coalesce("part", F.lit(0)).alias("part"), F.struct("file_name", "width", "height").alias("image"), "mode",
+    return whole.select("image_id", F.struct("file_name", "width", "height").alias("image"), "mode",
                         F.coalesce("annotations", F.array().cast(ANNOTATIONS)).alias("annotations"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from segstats.schemas import ANNOTATION_FILE
+from segstats.sources.records import parse_annotation_list
 
 
 def metric_rollup(metrics: DataFrame, window: str = "1 day", watermark: str = "1 hour", ts: str = "ts", tag: str = "tag",
@@ -23,16 +25,18 @@ def metric_rollup(metrics: DataFrame, window: str = "1 day", watermark: str = "1
 
 
 def read_annotation_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Annotation documents (one JSON per line) as their files arrive, with the text of rows that do not parse."""
+    """Annotation documents (one JSON per line) as their files arrive, with the text of rows that are broken in any part."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    doc = F.from_json(F.col("value"), ANNOTATION_FILE)
+    whole = T.StructType([*[f for f in ANNOTATION_FILE.fields if f.name != "annotations"], T.StructField("annotations", T.ArrayType(T.StringType())), T.StructField("_corrupt", T.StringType())])
+    doc = F.from_json(F.col("value"), whole, {"columnNameOfCorruptRecord": "_corrupt"})
     parsed = lines.select("value", doc.alias("_d"), F.current_timestamp().alias("arrived"))
-    return parsed.select("value", "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", "_d.annotations",
-                         F.col("_d.image.file_name").isNull().alias("bad"))
+    good, wrong = parse_annotation_list(F.col("_d.annotations"))
+    broken = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull() | F.col("_d.image.file_name").isNull() | F.coalesce(F.size(wrong) > 0, F.lit(False))
+    return parsed.select("value", "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", good.alias("annotations"), broken.alias("bad"))
 
 
 def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
-    """Write good documents to ``out/records`` once per file name and the rest to ``out/rejected``.
+    """Write good documents to ``out/records`` and the rest to ``out/rejected``, once per file name within the watermark.
 
     Runs over what has arrived and stops; a repeated batch rewrites its own folder, so a restart adds nothing twice.
     """
@@ -41,8 +45,10 @@ def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoi
     unique = docs.withColumn("doc_key", key).dropDuplicatesWithinWatermark(["doc_key"])
 
     def save(batch: DataFrame, number: int) -> None:
+        batch.persist()  # one run of the state for both writes
         good = batch.where(~F.col("bad")).select("file_name", "width", "height", "mode", "annotations")
         good.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
         batch.where("bad").select("value").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+        batch.unpersist()
 
     return (unique.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start())

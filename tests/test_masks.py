@@ -1,6 +1,9 @@
 """Masks against brute force."""
 
+import os
 import random
+import subprocess
+import sys
 from math import gcd
 
 import numpy as np
@@ -119,6 +122,35 @@ def test_gaps_equal_pixel_distances(spark):
     df = spark.createDataFrame(boxes, "image_id long, obj_id long, x0 long, y0 long, x1 long, y1 long, category_name string")
     got = {(r["obj_id"], r["other"]): r["gap"] for r in masks.pairwise_gap(masks.box_spans(df), df, 10).collect()}
     assert got == {(1, 2): pytest.approx(5.0), (1, 3): 0.0, (2, 3): pytest.approx(5 ** 0.5)}
+    every = {(r["obj_id"], r["other"]): r["gap"] for r in masks.pairwise_gap(masks.box_spans(df), df).collect()}
+    assert len(every) == 6 and every[1, 5] == pytest.approx((86 ** 2 * 2) ** 0.5) and {k: v for k, v in every.items() if v <= 10} == got
+
+
+def test_every_hole_is_removed(spark):
+    ring = lambda x, y, w: [x, y, x + w, y, x + w, y + w, x, y + w]
+    df = spark.createDataFrame([(0, 1, [[float(v) for v in r] for r in (ring(0, 0, 20), ring(2, 2, 3), ring(10, 10, 4))])], "image_id long, obj_id long, segmentation array<array<double>>")
+    whole = masks.mask_stats(masks.rasterize(df)).first()["area"]
+    outline = df.withColumn("segmentation", F.slice("segmentation", 1, 1))
+    holes = df.select("image_id", "obj_id", F.explode(F.slice("segmentation", 2, 9)).alias("r")).select("image_id", "obj_id", F.array("r").alias("segmentation"))
+    apart = masks.mask_stats(masks.subtract_holes(masks.rasterize(outline), masks.rasterize(holes))).first()["area"]
+    assert whole == apart == 21 * 21 - 16 - 25
+
+
+def test_executors_import_the_package_from_any_folder(tmp_path):
+    """Spark started elsewhere, without the package on the path of its workers."""
+    script = tmp_path / "job.py"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as entry
+print("rows", entry.queries()["rasterize_spans"](spark, "/root/testdata/sf0.001").count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
 
 
 def test_ink_skips_empty_masks_and_uses_strict_limit(spark):

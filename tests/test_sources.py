@@ -76,16 +76,56 @@ def test_tile_manifest_order(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "z", "p1", "a.png"), (2, "z", "p0", "b.png"), (3, "a", "q", "c.png")]
 
 
-def test_documents_round_trip_in_parts(spark, tmp_path):
-    anns = spark.createDataFrame([(0, n, "pattern1", SQUARE) for n in range(25)] + [(1, 0, "pattern1", SQUARE)],
-                                 "image_id long, id long, category_name string, segmentation array<array<long>>")
-    anns = anns.select("*", F.lit(1).alias("category_id"), F.lit("t").alias("reference_tile"), F.lit(0).alias("num_holes"), F.array(F.lit(0.0)).alias("bbox"), F.lit(16.0).alias("area"), F.lit("wall").alias("role"))
+def test_large_images_stay_one_document_in_order(spark, tmp_path):
+    anns = spark.range(10_001).select(F.lit(0).cast("long").alias("image_id"), F.col("id"), (10_000 - F.col("id")).alias("ann_idx")).unionByName(
+        spark.createDataFrame([(1, 7, 0)], "image_id long, id long, ann_idx long"))
+    anns = anns.select("*", F.lit("pattern1").alias("category_name"), F.lit(SQUARE[0]).cast("array<double>").alias("ring"), F.lit(1).alias("category_id"), F.lit("t").alias("reference_tile"),
+                       F.lit(0).alias("num_holes"), F.array(F.lit(0.0)).alias("bbox"), F.lit(16.0).alias("area"), F.lit("wall").alias("role")).withColumn("segmentation", F.array("ring"))
     heads = spark.createDataFrame([(i, f"{i}.png", 9, 9, "elevation") for i in range(3)], "image_id long, file_name string, width long, height long, mode string")
-    docs = records.annotation_documents(anns, heads, max_per_document=10)
-    assert docs.where("image_id = 0").count() == 3 and docs.where("image_id = 2").first()["annotations"] == []
+    docs = records.annotation_documents(anns, heads)
+    assert docs.count() == 3 and docs.where("image_id = 2").first()["annotations"] == []
+    assert [a["id"] for a in docs.where("image_id = 0").first()["annotations"]] == list(range(10_000, -1, -1))
     records.write_annotations(docs, str(tmp_path / "out"), "parquet")
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.select(F.explode("annotations")).count() == 26
+    assert back.select(F.explode("annotations")).count() == 10_002
+
+
+def test_pictures_that_are_missing_or_broken_are_marked(spark, data_set):
+    (data_set / "images" / "broken.png").write_bytes(b"no picture")
+    (data_set / "images" / "synth_000002.png").unlink()
+    recs = {r["file_name"]: r for r in records.read_local_records(spark, str(data_set)).collect()}
+    assert recs["synth_000002.png"]["picture_missing"] and not recs["synth_000001.png"]["picture_missing"]
+    assert [r["file_name"] for r in records.unreadable_pictures(spark, str(data_set / "images")).collect()] == ["broken.png"]
+    assert records.read_pixels(spark, str(data_set / "images")).where("file_name = 'broken.png'").isEmpty()
+    (data_set / "annotations" / "synth_000001.json").unlink()
+    assert [tuple(r) for r in records.read_synth_listing(spark, str(data_set)).collect()] == [("broken.png", "unknown"), ("synth_000000.png", "elevation"), ("synth_000001.png", "unknown")]
+
+
+def test_broken_annotations_are_kept_apart(spark):
+    good, wrong = annotation(5, SQUARE), {"id": "x", "segmentation": SQUARE}
+    text = spark.createDataFrame([(0, json.dumps([good, wrong, "junk", 7, None])), (1, '{"id": 1}'), (2, json.dumps([wrong]))], "record_id long, annotations string")
+    rows = {r["record_id"]: r for r in records.normalise_annotations(text).collect()}
+    assert [a["id"] for a in rows[0]["annotations"]] == [5] and len(json.loads(rows[0]["bad_annotations"])) == 4
+    assert rows[1]["annotations"] is None and rows[1]["bad_annotations"] == '{"id": 1}'
+    assert rows[2]["annotations"] == [] and json.loads(json.loads(rows[2]["bad_annotations"])[0]) == wrong
+
+
+def test_stream_rejects_broken_annotations(spark, tmp_path):
+    from segstats.streaming import jobs
+    (tmp_path / "in").mkdir()
+    head = {"image": {"file_name": "a.png", "width": 2, "height": 2}, "mode": "elevation"}
+    lines = [head | {"annotations": [annotation(1, SQUARE)]}, {**head, "image": {"file_name": "b.png"}, "annotations": "oops"},
+             {**head, "image": {"file_name": "c.png"}, "annotations": [{"id": "x"}]}, {**head, "image": {"file_name": "d.png"}, "annotations": []}]
+    (tmp_path / "in" / "x.json").write_text("\n".join([*map(json.dumps, lines), "no json"]))
+    jobs.ingest_annotations_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["file_name"] for r in spark.read.parquet(str(tmp_path / "out" / "records")).collect()) == ["a.png", "d.png"]
+    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 3
+
+
+def test_gray_is_a_byte(spark):
+    row = spark.createDataFrame([(200.0, 199.0, 201.0), (199.0, 200.0, 200.0), (255.0, 255.0, 255.0)], "r double, g double, b double")
+    from segstats.operators.pixels import to_gray
+    assert sorted(r["r"] for r in to_gray(row).collect()) == [200.0, 200.0, 255.0]
 
 
 def test_review_manifests(spark, tmp_path):
@@ -173,8 +213,10 @@ def test_losses_and_totals(spark):
     assert metrics.reference_loss(big).first()["loss_ref"] == pytest.approx(0.0)
 
 
-def test_touch_report_median_out_of_reach_is_null(spark):
-    members = spark.createDataFrame([(0, n, "a") for n in range(4)], "image_id long, obj_id long, category_name string")
-    gaps = spark.createDataFrame([(0, "a", 0, 1, 3.0), (0, "a", 1, 2, 4.0)], "image_id long, category_name string, obj_id long, other long, gap double")
-    row = reports.touch_report(members, gaps).first()
-    assert (row["n_pairs"], row["touching_pairs"], row["touching_instances"], row["min_gap"], row["median_gap"]) == (6, 1, 2, 3.0, None)
+def test_touch_report_takes_the_median_of_all_pairs(spark):
+    members = spark.createDataFrame([(0, n, "a") for n in range(4)] + [(1, 0, "b")], "image_id long, obj_id long, category_name string")
+    gaps = [(0, "a", i, j, float(g)) for (i, j), g in zip([(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)], [3, 4, 90, 200, 300, 400])]
+    rows = {r["image_id"]: r for r in reports.touch_report(members, spark.createDataFrame(gaps, "image_id long, category_name string, obj_id long, other long, gap double")).collect()}
+    r = rows[0]
+    assert (r["n_pairs"], r["touching_pairs"], r["touching_instances"], r["min_gap"], r["median_gap"]) == (6, 1, 2, 3.0, 145.0)
+    assert (rows[1]["n_pairs"], rows[1]["median_gap"]) == (0, None)
