@@ -309,3 +309,55 @@ def review_pair_check(manifest: DataFrame) -> DataFrame:
 def cross_run_pairs(manifests: DataFrame, runs: Sequence[str]) -> DataFrame:
     """One row per real picture with the synth chosen in each run."""
     return manifests.groupBy("real_filename").pivot("run", list(runs)).agg(F.min("synth_filename"))
+
+
+# ---------------------------------------------------------------- choice of review pairs
+
+PICTURE_FEATURES = ("aspect", "mean", "std", "white", "edge")
+#: Weights of the picture distance, in the order of PICTURE_FEATURES.
+PICTURE_WEIGHTS = (4.0, 2.0, 2.0, 2.5, 3.0)
+MAX_REALS = 4096
+
+
+def picture_distance(a: Column, b: Column) -> Column:
+    """Distance of two feature structs: log ratio of the aspects and weighted differences of the others."""
+    aspect = lambda f: F.greatest(f["aspect"], F.lit(1e-6))
+    parts = [F.abs(F.log(aspect(a) / aspect(b)))] + [F.abs(a[n] - b[n]) for n in PICTURE_FEATURES[1:]]
+    total = F.lit(PICTURE_WEIGHTS[0]) * parts[0]
+    for weight, part in zip(PICTURE_WEIGHTS[1:], parts[1:]):
+        total = total + F.lit(weight) * part
+    return total
+
+
+def choose_review_pairs(reals: DataFrame, synths: DataFrame) -> DataFrame:
+    """A synth for each real picture: in the order of ``pos``, the nearest unused one of its mode, or of any mode when none is left.
+
+    ``reals``: pos, real_filename, mode, features; ``synths``: synth_pos,
+    synth_filename, mode, features.  People look at every pair, so there are at
+    most MAX_REALS reals, which makes them small enough to copy to every task.
+
+    A real can lose at most as many synths to others as there are reals, so that
+    many of either kind per real are candidates.  All reals then ask for their
+    best candidate, the first in order keeps it and the others strike it out,
+    until nobody has to.  That ends in the same pairs as choosing one by one.
+    """
+    n = reals.count()
+    if n > MAX_REALS:
+        raise ValueError(f"{n} real pictures; a review set has {MAX_REALS} at most")
+    left = F.broadcast(reals.select(F.lit(0).alias("_k"), "pos", F.col("mode").alias("_mode"), F.col("features").alias("_f")))
+    pairs = synths.select(F.lit(0).alias("_k"), "synth_pos", "mode", "features").join(left, "_k")
+    wish = pairs.select("pos", "synth_pos", (F.col("mode") != F.col("_mode")).cast("int").alias("other_mode"), picture_distance(F.col("_f"), F.col("features")).alias("distance"))
+    nearest = Window.partitionBy("pos", "other_mode").orderBy("distance", "synth_pos")
+    wishes = settle(wish.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= n).drop("_rn"))
+    order = F.struct("other_mode", "distance", "synth_pos")
+    while True:
+        asked = settle(wishes.groupBy("pos").agg(F.min(order).alias("w")).select("pos", "w.synth_pos", "w.distance"))
+        first = asked.groupBy("synth_pos").agg(F.min("pos").alias("_first"))
+        struck = settle(asked.join(first, "synth_pos").where(F.col("pos") != F.col("_first")).select("pos", "synth_pos"))
+        if struck.isEmpty():
+            break
+        wishes = settle(wishes.join(struck, ["pos", "synth_pos"], "left_anti"))
+    chosen = asked.join(reals.select("pos", "real_filename"), "pos").join(synths.select("synth_pos", "synth_filename"), "synth_pos")
+    ranked = chosen.withColumn("pair_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1).cast("int"))  # MAX_REALS rows at most
+    name = F.format_string("%03d_%s.png", F.col("pair_id"), safe_name(F.col("real_filename")))
+    return ranked.select("pair_id", "real_filename", "synth_filename", name.alias("pair_image"), "distance")

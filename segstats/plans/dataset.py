@@ -29,26 +29,41 @@ def _annotations(s):
     return p.select("image_id", body.alias("a"))
 
 
-@query(f"""with {AREA} select p.image_id, p.id, a.holes as num_holes, round(a.area,6)::double as area, case when cat<2 then p.category_name else 'pattern' end as category_name,
- case when p.role<>'garage' then p.role else 'unknown' end as role, list_min(list_transform(range(0,len(segmentation[1])//2), lambda i: segmentation[1][2*i+1]))::double as bx
- from fx_polygons p join area a on a.image_id=p.image_id and a.obj_id=p.obj_id""")
+@query(f"""with {AREA} select p.image_id, p.id, row_number() over (partition by p.image_id order by p.id)-1 as ann_idx, a.holes as num_holes, round(a.area,6)::double as area,
+ case when cat<2 then p.category_name else 'pattern' end as category_name, case when p.role<>'garage' then p.role else 'unknown' end as role,
+ list_min(list_transform(range(0,len(segmentation[1])//2), lambda i: segmentation[1][2*i+1]))::double as bx from fx_polygons p join area a on a.image_id=p.image_id and a.obj_id=p.obj_id""")
 def annotation_json_roundtrip(s):
-    one = settle(_annotations(s).select("image_id", F.to_json(F.array("a")).alias("annotations")))  # records as they would be stored
-    parsed = records.normalise_annotations(one)
-    listed = records.explode_annotations(parsed, "image_id")
-    return rounded(big(listed.select("image_id", "id", "num_holes", "area", "category_name", "role", F.get("bbox", F.lit(0)).alias("bx")), "num_holes"), "area", "bx")
+    """All annotations of an image in one document, stored as JSON text and read again."""
+    docs = records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s))
+    stored = settle(docs.select("image_id", F.to_json("annotations").alias("annotations")))
+    listed = records.explode_annotations(records.normalise_annotations(stored), "image_id")
+    return rounded(big(listed.select("image_id", "id", "ann_idx", "num_holes", "area", "category_name", "role", F.get("bbox", F.lit(0)).alias("bx")), "num_holes", "ann_idx"), "area", "bx")
 
 
-@query("""select image_id, id, true as holes_ok, l_partkey%9<>0 as bbox_ok, l_partkey%7<>0 as area_ok, true as holes_inside, false as repeated_id from fx_polygons""")
+def _headers(s):
+    return s.images.select("image_id", F.concat(F.lit("img_"), F.col("image_id").cast("string"), F.lit(".png")).alias("file_name"), "width", "height", "mode")
+
+
+# Each check is spoiled for some annotations: hole counts, boxes, areas, the place of holes, ids.
+SPOILED = """spoiled as (select image_id, case when l_suppkey%17=0 then 0 else id end as id, rings, l_partkey, l_suppkey
+ from (select image_id, id, len(segmentation) as rings, l_partkey, obj_id//1000%1000000 as l_suppkey from fx_polygons) p)"""
+
+
+@query(f"""with {SPOILED} select image_id, id, l_partkey%11<>0 as holes_ok, l_partkey%9<>0 as bbox_ok, l_partkey%7<>0 as area_ok, not (rings>1 and l_suppkey%13=0) as holes_inside,
+ count(*) over (partition by image_id, id)>1 as repeated_id from spoiled""")
 def annotation_qa(s):
-    flat = _annotations(s).select("image_id", "a.*").join(s.polygons.select("image_id", "id", "l_partkey"), ["image_id", "id"])
-    spoiled = flat.withColumns({"area": F.when(F.col("l_partkey") % 7 == 0, F.col("area") + 1).otherwise(F.col("area")),
-                                "bbox": F.when(F.col("l_partkey") % 9 == 0, F.transform("bbox", lambda v: v + 1)).otherwise(F.col("bbox"))})
+    flat = _annotations(s).select("image_id", "a.*").join(s.polygons.select("image_id", "id", "l_partkey", F.expr("obj_id div 1000 % 1000000").alias("l_suppkey")), ["image_id", "id"])
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    moved = F.transform("segmentation", lambda ring, i: F.transform(ring, lambda v: v + F.when((i > 0) & (supp % 13 == 0), F.lit(100_000)).otherwise(F.lit(0))))
+    spoiled = flat.withColumns({"area": F.when(part % 7 == 0, F.col("area") + 1).otherwise(F.col("area")), "segmentation": moved,
+                                "bbox": F.when(part % 9 == 0, F.transform("bbox", lambda v: v + 1)).otherwise(F.col("bbox")),
+                                "num_holes": F.when(part % 11 == 0, F.col("num_holes") + 1).otherwise(F.col("num_holes")),
+                                "id": F.when(supp % 17 == 0, F.lit(0).cast("bigint")).otherwise(F.col("id"))})
     return reports.annotation_qa(spoiled)
 
 
-@query("""select count(*) as n, 0::bigint as bad_holes, sum((l_partkey%9=0)::int)::bigint as bad_bbox, sum((l_partkey%7=0)::int)::bigint as bad_area, 0::bigint as holes_outside,
- 0::bigint as repeated_ids from fx_polygons""")
+@query(f"""with {SPOILED} select count(*) as n, sum((l_partkey%11=0)::int)::bigint as bad_holes, sum((l_partkey%9=0)::int)::bigint as bad_bbox, sum((l_partkey%7=0)::int)::bigint as bad_area,
+ sum((rings>1 and l_suppkey%13=0)::int)::bigint as holes_outside, sum((copies>1)::int)::bigint as repeated_ids from (select *, count(*) over (partition by image_id, id) as copies from spoiled) t""")
 def annotation_violations(s):
     return reports.qa_violations(annotation_qa(s))
 
@@ -212,11 +227,51 @@ def review_pair_check(s):
     return matching.review_pair_check(_manifest(s))
 
 
-@query(f"""with {MANIFEST} select real_filename, min(case when run='1-URGENT' then synth_filename end) as "1-URGENT", min(case when run='3-MEDIUM' then synth_filename end) as "3-MEDIUM"
- from man where run in ('1-URGENT','3-MEDIUM') group by 1""")
+RUNS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"""with {MANIFEST} select real_filename, """ + ", ".join(f"""min(case when run='{r}' then synth_filename end) as "{r}\"""" for r in RUNS) + " from man group by 1")
 def cross_run_pairs(s):
-    runs = ["1-URGENT", "3-MEDIUM"]
-    return matching.cross_run_pairs(_manifest(s).where(F.col("run").isin(runs)), runs)
+    return matching.cross_run_pairs(_manifest(s), RUNS)
+
+
+PICTURES = """real as (select n_nationkey as pos, n_name as real_filename, case n_regionkey%3 when 0 then 'elevation' when 1 then 'freeform' else 'roof_plan' end as mode,
+  0.5+(n_nationkey*7%10)/8.0::double as aspect, (n_nationkey*3%11)/11.0::double as mean, (n_nationkey*5%13)/26.0::double as std, (n_nationkey%4)/4.0::double as white, (n_nationkey%6)/24.0::double as edge from nation),
+synth as (select p_partkey as synth_pos, concat('synth_', p_partkey, '.png') as synth_filename, case p_size%4 when 0 then 'elevation' when 1 then 'freeform' when 2 then 'roof_plan' else 'unknown' end as mode,
+  0.4+(p_partkey*37%101)/60.0::double as aspect, (p_partkey*13%97)/97.0::double as mean, (p_size*7%53)/106.0::double as std, (p_partkey*11%89)/89.0::double as white, (p_size%23)/92.0::double as edge from part)"""
+DISTANCE = """4.0::double*abs(ln(greatest(r.aspect,1e-6)/greatest(s.aspect,1e-6)))+2.0::double*abs(r.mean-s.mean)+2.0::double*abs(r.std-s.std)+2.5::double*abs(r.white-s.white)+3.0::double*abs(r.edge-s.edge)"""
+
+
+def _pictures(s, real: bool):
+    """Reals from nation, synths from part, with made-up features."""
+    if real:
+        k, mode, names = F.col("n_nationkey"), F.col("n_regionkey") % 3, ("elevation", "freeform", "roof_plan")
+        features = (0.5 + (k * 7 % 10) / 8.0, (k * 3 % 11) / 11.0, (k * 5 % 13) / 26.0, (k % 4) / 4.0, (k % 6) / 24.0)
+        ids = (k.alias("pos"), F.col("n_name").alias("real_filename"))
+    else:
+        k, size = F.col("p_partkey"), F.col("p_size")
+        mode, names = size % 4, ("elevation", "freeform", "roof_plan", "unknown")
+        features = (0.4 + (k * 37 % 101) / 60.0, (k * 13 % 97) / 97.0, (size * 7 % 53) / 106.0, (k * 11 % 89) / 89.0, (size % 23) / 92.0)
+        ids = (k.alias("synth_pos"), F.concat(F.lit("synth_"), k.cast("string"), F.lit(".png")).alias("synth_filename"))
+    named = F.get(F.array(*map(F.lit, names)), mode.cast("int"))
+    return s.table("nation" if real else "part").select(*ids, named.alias("mode"), F.struct(*[f.alias(n) for f, n in zip(features, matching.PICTURE_FEATURES)]).alias("features"))
+
+
+@query(f"""with recursive {PICTURES}, step(i, used, pick, d) as (select 0::bigint, []::bigint[], null::bigint, null::double union all
+  select st.i+1, list_append(any_value(st.used), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos))), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos)),
+   min({DISTANCE}) filter (s.mode=r.mode) from step st join (select *, row_number() over (order by pos)-1 as i from real) r on r.i=st.i join synth s on not list_contains(st.used, s.synth_pos) group by st.i)
+select (step.i-1)::int as pair_id, r.real_filename, s.synth_filename, round({DISTANCE},6) as distance from step join (select *, row_number() over (order by pos) as i from real) r on r.i=step.i
+ join synth s on s.synth_pos=step.pick""")
+def choose_review_pairs(s):
+    chosen = matching.choose_review_pairs(_pictures(s, True), _pictures(s, False))
+    return rounded(chosen.drop("pair_image"), "distance")
+
+
+@query(f"""with {PICTURES} select r.pos, s.synth_pos, round({DISTANCE},6) as distance from real r join synth s on r.mode=s.mode""")
+def picture_distance(s):
+    left = _pictures(s, True).select("pos", "mode", F.col("features").alias("a"))
+    pairs = _pictures(s, False).select("synth_pos", "mode", F.col("features").alias("b")).join(left, "mode")
+    return rounded(pairs.select("pos", "synth_pos", matching.picture_distance(F.col("a"), F.col("b")).alias("distance")), "distance")
 
 
 # ---------------------------------------------------------------- draws

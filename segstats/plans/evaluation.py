@@ -232,7 +232,11 @@ def match_cost(s):
     return rounded(_costs(s), "cost")
 
 
-@query()
+@query(f"""with recursive {COSTS}, c as materialized (select image_id, q_idx, gt_idx, round(cost,6) as cost from costs), step as (
+ select distinct image_id, []::bigint[] as uq, []::bigint[] as ug, null::bigint as q, null::bigint as g, null::double as cost from c union all
+ select image_id, list_append(uq, b.q), list_append(ug, b.g), b.q, b.g, b.c from (select st.image_id, st.uq, st.ug, arg_min({{{{'q': c.q_idx, 'g': c.gt_idx, 'c': c.cost}}}}, row(c.cost, c.q_idx, c.gt_idx)) as b
+  from step st join c on c.image_id=st.image_id and not list_contains(st.uq, c.q_idx) and not list_contains(st.ug, c.gt_idx) group by st.image_id, st.uq, st.ug) t)
+select image_id, q as q_idx, g as gt_idx, round(cost,6) as cost from step where q is not null""".replace("{{", "{").replace("}}", "}"))
 def assign_one_to_one(s):
     return rounded(matching.assign_one_to_one(_costs(s).withColumn("cost", F.round("cost", 6))), "cost")
 

@@ -275,8 +275,10 @@ def point_hits_interval(s):
     return intervals.point_hits_interval(mid, s.intervals.where(OTHER), ["grp"], ["event_id"])
 
 
-SEGS = """segs as (select image_id, room_id as seg_id, 'v' as kind, x1 as pos, y0 as lo, y1 as hi from fx_rooms)"""
-COVER = """sp as (select s.image_id, s.seg_id, r.room_id%2 as cluster, greatest(s.lo,r.y0) as lo, least(s.hi,r.y1) as hi, r.x0<=pos-1 and r.x1>=pos as near, r.x0<=pos and r.x1>=pos+1 as far
+SEGS = """segs as (select image_id, 2*room_id as seg_id, 'v' as kind, x1 as pos, y0 as lo, y1 as hi from fx_rooms union all
+ select image_id, 2*room_id+1 as seg_id, 'h' as kind, y1 as pos, x0 as lo, x1 as hi from fx_rooms)"""
+COVER = """sp as (select s.image_id, s.seg_id, r.room_id%2 as cluster, greatest(s.lo,case kind when 'v' then r.y0 else r.x0 end) as lo, least(s.hi,case kind when 'v' then r.y1 else r.x1 end) as hi,
+  case kind when 'v' then r.x0<=pos-1 and r.x1>=pos else r.y0<=pos-1 and r.y1>=pos end as near, case kind when 'v' then r.x0<=pos and r.x1>=pos+1 else r.y0<=pos and r.y1>=pos+1 end as far
  from segs s join fx_rooms r on s.image_id=r.image_id), nr as (select * from sp where near), fr as (select * from sp where far)"""
 
 
@@ -284,6 +286,9 @@ COVER = """sp as (select s.image_id, s.seg_id, r.room_id%2 as cluster, greatest(
 x as (select n.image_id, n.seg_id, greatest(n.lo,f.lo) as lo, least(n.hi,f.hi) as hi from m_n n join m_f f on n.image_id=f.image_id and n.seg_id=f.seg_id and n.cluster=f.cluster
  and least(n.hi,f.hi)>greatest(n.lo,f.lo)), """ + ISLANDS.format("x", "image_id, seg_id", "x") + " select image_id, seg_id, lo, hi from m_x")
 def two_sided_cover(s):
-    segs = s.rooms.select("image_id", F.col("room_id").alias("seg_id"), F.lit("v").alias("kind"), F.col("x1").alias("pos"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
+    """Right-hand and lower edges of all rooms."""
+    right = s.rooms.select("image_id", (2 * F.col("room_id")).alias("seg_id"), F.lit("v").alias("kind"), F.col("x1").alias("pos"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
+    lower = s.rooms.select("image_id", (2 * F.col("room_id") + 1).alias("seg_id"), F.lit("h").alias("kind"), F.col("y1").alias("pos"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
+    segs = right.unionByName(lower)
     rects = s.rooms.withColumn("cluster", F.col("room_id") % 2)
     return intervals.two_sided_cover(segs, rects, ["image_id"])

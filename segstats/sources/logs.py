@@ -13,10 +13,16 @@ NUMBER = r"([+-]?[0-9.]+|nan)"
 def read_review_manifest(spark: SparkSession, path: str) -> DataFrame:
     """CSV manifests under ``path/<run>/manifest.csv``; the run name comes from the folder."""
     rows = spark.read.csv(f"{path}/*/manifest.csv", schema=REVIEW_MANIFEST, header=True, quote='"', escape='"')
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest\.csv(?:/[^/]*)?$", 1)  # the file itself, or a folder that Spark wrote
     return rows.select(folder.alias("run"), *REVIEW_MANIFEST.fieldNames())
 
 
+def write_review_manifest(pairs: DataFrame, path: str, run: str) -> None:
+    """``path/<run>`` as one CSV file in the order of the pairs; a review set is small."""
+    rows = pairs.select(*REVIEW_MANIFEST.fieldNames()).repartition(1).sortWithinPartitions("pair_id")
+    rows.write.mode("overwrite").csv(f"{path}/{run}/manifest.csv", header=True, quote='"', escape='"')
+
+
 def parse_epoch_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """Numbers of every epoch line; real_iou and divergence are NULL where the line has none."""
     text = F.col(col)
