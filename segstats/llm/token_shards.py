@@ -140,13 +140,20 @@ class Shard:
         self.slots, self.doc_ids, self.nulls = take("<u4", self.n), take("<i8", self.n), take("?", self.n)
         self.ids = take(f"<u{width}", self.n_ids)
 
+    def find(self, keys: list[tuple[int | None, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each (doc_id, number) through the index, constant work for each; -1 and 0 if the shard does not hold it."""
+        h = np.array([key_hash(d, k, self.seed) for d, k in keys], np.uint64)
+        slots = slots_of(h, self.sizes, self.words, self.ranks)
+        there = slots >= 0
+        there[there] = self.marks[slots[there]] == h[there] >> np.uint64(32)
+        begin, length = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        begin[there], length[there] = self.places[slots[there]], self.lengths[slots[there]]
+        return begin, length
+
     def get(self, doc_id: int | None, number: int = 0) -> np.ndarray | None:
-        """Ids of a document in constant time; None if the shard does not hold it."""
-        h = np.array([key_hash(doc_id, number, self.seed)], np.uint64)
-        slot = int(slots_of(h, self.sizes, self.words, self.ranks)[0])
-        if slot < 0 or self.marks[slot] != int(h[0]) >> 32:
-            return None
-        return self.ids[int(self.places[slot]) : int(self.places[slot]) + int(self.lengths[slot])].astype("<u4")
+        """Ids of a document; None if the shard does not hold it."""
+        begin, length = (int(x[0]) for x in self.find([(doc_id, number)]))
+        return None if begin < 0 else self.ids[begin : begin + length].astype("<u4")
 
     def numbered_keys(self) -> Iterator[tuple[int | None, int]]:
         """(doc_id, number) of every document, in order."""
@@ -221,12 +228,12 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part, number = map(int, re.search(r"shard-(\d+)-(\d+)\.ids$", name).groups())
                 shard = Shard(content.as_buffer().to_pybytes())
-                at, rows = 0, []
-                for key in shard.numbered_keys():
-                    ids = shard.get(*key)
-                    rows.append((part, number, key[0], at, len(ids), zlib.crc32(ids.tobytes())))
-                    at += len(ids)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
+                keys = list(shard.numbered_keys())
+                begin, length = shard.find(keys)
+                wide = shard.ids.astype("<u4").tobytes()
+                sums = [zlib.crc32(wide[4 * b : 4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist())]
+                yield pa.record_batch([pa.array([part] * shard.n, pa.int32()), pa.array([number] * shard.n, pa.int32()), pa.array([d for d, _ in keys], pa.int64()),
+                                       pa.array(np.cumsum(length) - length), pa.array(length), pa.array(sums, pa.int64())],
                                       names=["part", "number", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.ids").load(folder).select("path", "content")

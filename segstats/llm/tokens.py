@@ -3,8 +3,11 @@
 Both supported kinds of pre-tokenizer end a piece wherever a single space stands
 between two characters that are not white space.  So a text is cut there, each
 piece is encoded by the library together with the space before it, and pieces
-that come again are taken from a bounded memory of the worker.  Files with any
-other pre-tokenizer are given whole texts.
+that come again are taken from a bounded memory of the worker.  A piece of Latin
+letters, of ASCII marks, or of one after the other is what the pre-tokenizer
+would hand to the model (the letters, then the marks, and single line ends), so
+it is given to the library's model at once.  Files with any other pre-tokenizer are given whole
+texts.
 """
 
 from __future__ import annotations
@@ -12,13 +15,17 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 from tokenizers import Tokenizer
 
-_DOUBLE = re.compile(r"\s | \s")
+_RARE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces remembered in one worker, and the longest that is; more are encoded each time.
-REMEMBERED, LONGEST = 300_000, 48
+#: Letters whose lower case and composition do not depend on what stands around them, then marks that no contraction begins with.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces of a generation that a worker remembers, and the longest that is.
+REMEMBERED, LONGEST = 250_000, 48
+_PROBES = ("The", "straße,", "École", "niño?!", "x", "...", "Ünder-", "of", "###", "Ĳssel.", "ſo", "so.\nThe", "a\nb\n...")
 
 _open: dict[str, Encoder] = {}
 
@@ -30,38 +37,99 @@ def encoder(path: str) -> Encoder:
     return _open[path]
 
 
-def _ends_pieces_at_spaces(tokenizer: Tokenizer) -> bool:
-    kind = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+def _ends_pieces_at_spaces(kind: dict) -> bool:
     if kind.get("type") == "ByteLevel":
         return kind["use_regex"] and not kind["add_prefix_space"]
     steps = kind.get("pretokenizers", [])
     return bool(steps) and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and "\\s" in str(steps[0]["pattern"])
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level models write for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Ids of pieces; what is not there is encoded.  Holds two generations of ``limit`` pieces: what the younger lacks is looked up in the older."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        self.encode, self.limit, self.older = encode, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cuts = _ends_pieces_at_spaces(self.tokenizer)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.space = "\u0120" if kind.get("type") == "ByteLevel" else ""  # how the model spells the space before a piece
+        self.lower = not self.space
+        self.letters = _byte_letters()
+        self.cuts = _ends_pieces_at_spaces(kind)
+        self.known = _Pieces(self._after_space, REMEMBERED)
+        self.words = _Pieces(lambda word: self._spelled(word, self.space), REMEMBERED // 4)
+        self.bare = _Pieces(lambda part: self._spelled(part, ""), REMEMBERED // 4)
+        self.line = b"" if self.lower else self._whole("\n")
+        self.plain = self.cuts and all(self._plain(p) == self._whole(f" {p}") for p in _PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _spelled(self, text: str, space: str) -> bytes:
+        text = text.lower() if self.lower else text
+        spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(space + spelled)]).tobytes()
+
+    def _plain(self, piece: str) -> bytes | None:
+        """Ids of a space and the letters and marks after it, or of several of these with single line ends between them; None for any other piece."""
+        if "\n" in piece:
+            first, *rest = [_PLAIN.fullmatch(p) for p in piece.split("\n")]
+            if first is None or not first[0] or not all(r is not None and r[0] for r in rest):
+                return None
+            return self._joined(first, self.words) + b"".join(self.line + self._joined(r, self.bare) for r in rest)
+        found = _PLAIN.fullmatch(piece)
+        if found is None or not piece:
+            return None
+        return self._joined(found, self.words) if found[1] and found[2] else self._spelled(piece, self.space)
+
+    def _joined(self, found: re.Match, memory: _Pieces) -> bytes:
+        letters, marks = found.groups()
+        if not letters:
+            return memory[marks]
+        return memory[letters] + (self.bare[marks] if marks else b"")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _after_space(self, piece: str) -> bytes:
+        if self.plain and piece.isascii():  # most of what is new: a word, perhaps with one mark
+            if piece.isalpha():
+                return array("I", [t.id for t in self.model.tokenize(self.space + (piece.lower() if self.lower else piece))]).tobytes()
+            if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
+                return self.words[piece[:-1]] + self.bare[piece[-1]]
+        ids = self._plain(piece) if self.plain else None
+        return self._whole(f" {piece}") if ids is None else ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of ``text`` without special tokens."""
-        if not self.cuts or " " not in text:
-            return self._encode([text])[0] if text else b""
-        if _DOUBLE.search(text):
-            pieces = _CUT.split(text)
-            head, rest = pieces[0], [p[1:] for p in pieces[1:]]
+        """The ids of a text without special tokens."""
+        if not self.cuts or not text:
+            return self._whole(text) if text else b""
+        if "  " in text or "\n " in text or " \n" in text or _RARE.search(text):
+            head, *rest = _CUT.split(text)
+            pieces = [p[1:] for p in rest]
         else:
-            head, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
-        if None in found:
-            new = list({p for p, ids in zip(rest, found) if ids is None})
-            ids_of = dict(zip(new, self._encode([f" {p}" for p in new])))
-            found = [ids_of[p] if ids is None else ids for p, ids in zip(rest, found)]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known.update((p, ids) for p, ids in ids_of.items() if len(p) <= LONGEST)
-        return (self._encode([head])[0] if head else b"") + b"".join(found)
+            head, *pieces = text.split(" ")
+        for memory in (self.known, self.words, self.bare):
+            memory.age()
+        return (self._whole(head) if head else b"") + b"".join(map(self.known.__getitem__, pieces))
