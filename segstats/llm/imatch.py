@@ -54,15 +54,24 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
 
 def subset_hashes(found: Column) -> Column:
     """From the sorted lexicon terms of a text: a 32-bit hash for each subset, 0 where it has no term."""
-    subsets = F.array(*[F.struct(F.lit(skip).alias("skip"), F.lit(density - 1).cast("bigint").alias("mask"), F.lit(i).cast("bigint").alias("own"))
-                        for skip, density, many in DENSITIES for i in range(many)])
 
-    def hashed(s: Column) -> Column:
-        mine = F.filter(found, lambda t: F.call_function("shiftright", t, s["skip"]).bitwiseAND(s["mask"]) == s["own"])
+    def place(t: Column, skip: int, density: int) -> Column:
+        return F.call_function("shiftright", t, F.lit(skip)).bitwiseAND(F.lit(density - 1))
+
+    def hashed(mine: Column) -> Column:
         h = F.xxhash64(mine)
         return F.when(h == _EMPTY, F.lit(0).cast("bigint")).otherwise(h.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    return F.transform(subsets, hashed)
+    out = []
+    for skip, density, many in DENSITIES:
+        if density == 1:
+            out.append(F.array(hashed(found)))
+            continue
+        # First the terms of any subset of this density, then those of each.
+        some = F.filter(found, lambda t: place(t, skip, density) < many)  # noqa: B023
+        out.append(F.transform(F.array(some), lambda s: F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: hashed(  # noqa: B023
+            F.filter(s, lambda t: place(t, skip, density) == i))))[0])  # noqa: B023
+    return F.concat(*out)
 
 
 def as_text(hashes: Column) -> Column:
@@ -111,17 +120,15 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
     words = kept.unionByName(docs.sparkSession.range(1).select(mark.alias("term"))).distinct()
     if kept.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    pairs = with_next(docs).withColumn("_row", F.monotonically_increasing_id()).withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    texts = pairs.select(
-        "_range", "_row", "_extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_own"),
-        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("_edited").alias("t")))).alias("v"))
-    rows = texts.select("_range", "_row", "_extra", "doc_id", "n_chars", "edited_sha256", "_own", "v.which", F.explode(F.array_append(terms(F.col("v.t")), mark)).alias("term"))
-    info = F.when((F.col("term") == 0) & (F.col("which") == 0), F.struct("_extra", "doc_id", "n_chars", "edited_sha256", "_own"))
-    found = rows.select("_range", "_row", "which", info.alias("info"), "term").join(words, "term")
-    each = found.groupBy("_range", "_row").agg(
+    pairs = with_next(docs).withColumn("_edited", edited(F.col("text"), text_of("next_text")))
+    info = F.struct("_extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_own"))
+    of = lambda text, side: F.transform(terms(F.col(text)), lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
+    # A row for each term of either text; what belongs to the document itself goes with a row of its own.
+    texts = pairs.select("_range", F.monotonically_increasing_id().alias("_row"), F.concat(of("text", 0), of("_edited", 1), F.array(F.struct(mark.alias("term"), F.lit(2).alias("side")))).alias("terms"), info.alias("info"))
+    rows = texts.select("_range", "_row", F.explode("terms").alias("t"), "info").select("_range", "_row", "t.term", "t.side", F.when(F.col("t.side") == 2, F.col("info")).alias("info"))
+    each = rows.join(words, "term").groupBy("_range", "_row").agg(
         F.first("info", ignorenulls=True).alias("info"),
-        F.collect_list(F.when((F.col("which") == 0) & (F.col("term") != 0), F.col("term"))).alias("own"),
-        F.collect_list(F.when((F.col("which") == 1) & (F.col("term") != 0), F.col("term"))).alias("changed"))
+        F.collect_list(F.when(F.col("side") == 0, F.col("term"))).alias("own"), F.collect_list(F.when(F.col("side") == 1, F.col("term"))).alias("changed"))
     hashed = each.select("_range", "info.*", subset_hashes(F.sort_array("own")).alias("own"), subset_hashes(F.sort_array("changed")).alias("changed"))
     order = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), "_own")
     full = hashed.withColumn("next", F.lead("own").over(order)).where(F.col("_extra") == 0)
