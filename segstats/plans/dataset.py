@@ -8,8 +8,10 @@ from segstats.functions import geometry as g
 from segstats.functions.scalar import hash_uniform, padded_name, scaled_count
 from segstats.operators import matching, reports, sampling, windows
 from segstats.plans.registry import big, query, r6, rounded
-from segstats.scale import settle
-from segstats.sources import records
+from segstats.scale import settle, shared_folder
+from segstats.schemas import ANNOTATION_FILE
+from segstats.sources import logs, records
+from segstats.streaming.jobs import ingest_annotations_stream
 from segstats.streaming.jobs import metric_rollup as rollup
 
 H32 = "('0x'||substr(md5({}),1,8))::bigint"
@@ -257,11 +259,14 @@ def _pictures(s, real: bool):
     return s.table("nation" if real else "part").select(*ids, named.alias("mode"), F.struct(*[f.alias(n) for f, n in zip(features, matching.PICTURE_FEATURES)]).alias("features"))
 
 
-@query(f"""with recursive {PICTURES}, step(i, used, pick, d) as (select 0::bigint, []::bigint[], null::bigint, null::double union all
-  select st.i+1, list_append(any_value(st.used), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos))), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos)),
-   min({DISTANCE}) filter (s.mode=r.mode) from step st join (select *, row_number() over (order by pos)-1 as i from real) r on r.i=st.i join synth s on not list_contains(st.used, s.synth_pos) group by st.i)
-select (step.i-1)::int as pair_id, r.real_filename, s.synth_filename, round({DISTANCE},6) as distance from step join (select *, row_number() over (order by pos) as i from real) r on r.i=step.i
- join synth s on s.synth_pos=step.pick""")
+CHOSEN = f"""with recursive {PICTURES}, step(i, used, pick) as (select 0::bigint, []::bigint[], null::bigint union all
+  select st.i+1, list_append(any_value(st.used), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos))), arg_min(s.synth_pos, row(s.mode<>r.mode, {DISTANCE}, s.synth_pos))
+  from step st join (select *, row_number() over (order by pos)-1 as i from real) r on r.i=st.i join synth s on not list_contains(st.used, s.synth_pos) group by st.i),
+chosen as (select (step.i-1)::int as pair_id, r.real_filename, s.synth_filename, round({DISTANCE},6) as distance from step
+ join (select *, row_number() over (order by pos) as i from real) r on r.i=step.i join synth s on s.synth_pos=step.pick)"""
+
+
+@query(CHOSEN + " select * from chosen")
 def choose_review_pairs(s):
     chosen = matching.choose_review_pairs(_pictures(s, True), _pictures(s, False))
     return rounded(chosen.drop("pair_image"), "distance")
@@ -274,6 +279,75 @@ def picture_distance(s):
     return rounded(pairs.select("pos", "synth_pos", matching.picture_distance(F.col("a"), F.col("b")).alias("distance")), "distance")
 
 
+# ---------------------------------------------------------------- sources: written to the shared folder and read again
+
+
+@query("""select image_id as record_id, mode, width, height from fx_images where image_id%10<2""")
+def records_of_a_split(s):
+    """Records in folders by config and split; one of each is read."""
+    path = shared_folder(s.spark, "records")
+    rows = s.images.select(F.col("image_id").alias("record_id"), "mode", "width", "height", F.lit("default").alias("config"),
+                           F.when(F.col("image_id") % 10 < 2, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    rows.write.partitionBy("config", "split").parquet(path)
+    return records.read_records(s.spark, path, "default", "test").select("record_id", "mode", "width", "height")
+
+
+@query(f"""with {AREA} select p.image_id, p.id, row_number() over (partition by p.image_id order by p.id)-1 as ann_idx, a.holes as num_holes, i.mode
+ from fx_polygons p join area a on a.image_id=p.image_id and a.obj_id=p.obj_id join fx_images i on i.image_id=p.image_id""")
+def annotation_files(s):
+    """Annotation documents written as JSON in folders by mode and read with the fixed schema."""
+    path = shared_folder(s.spark, "annotations")
+    records.write_annotations(records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)), path)
+    docs = s.spark.read.schema(ANNOTATION_FILE).json(path)
+    image = F.regexp_extract("image.file_name", r"(\d+)", 1).cast("bigint").alias("image_id")
+    return big(records.explode_annotations(docs.select(image, "mode", "annotations"), "image_id", "mode").select("image_id", "id", "ann_idx", "num_holes", "mode"), "ann_idx")
+
+
+@query("""select row_number() over (order by r_name, n_name)::int as category_id, r_name as image_key, n_name as pattern_key, concat('tile_', n_nationkey, '.png') as tile_file
+ from nation join region on n_regionkey=r_regionkey""")
+def tile_manifest(s):
+    """A manifest {image: {pattern: {tile_file}}} and its tiles in order."""
+    tiles = s.table("nation").join(s.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tile = F.struct(F.col("n_name").alias("key"), F.struct(F.concat(F.lit("tile_"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("tile_file")).alias("value"))
+    images = tiles.groupBy("r_name").agg(F.map_from_entries(F.array_sort(F.collect_list(tile))).alias("value"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("r_name").alias("key"), F.map_entries("value").alias("entries"))))
+    whole = images.agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.map_from_entries(e["entries"]).alias("value"))))).alias("value"))
+    return records.parse_tile_manifest(whole)
+
+
+@query(CHOSEN + """ select 'r1' as run, pair_id, real_filename, synth_filename, printf('%03d_%s.png', pair_id, replace(real_filename, ' ', '_')) as pair_image from chosen""")
+def review_manifest(s):
+    """The manifest of the chosen pairs, written as CSV and read again."""
+    path = shared_folder(s.spark, "review")
+    logs.write_review_manifest(matching.choose_review_pairs(_pictures(s, True), _pictures(s, False)), path, "r1")
+    return logs.read_review_manifest(s.spark, path)
+
+
+@query("""select run, tag, epoch as step, round(value,6) as value from fx_metrics""")
+def metric_tables(s):
+    """Metrics appended in two steps, and the table they make."""
+    path = shared_folder(s.spark, "metrics")
+    rows = s.metrics.select("run", "tag", F.col("epoch").alias("step"), "value")
+    for tag in ("synth_iou", "real_iou"):
+        logs.append_metrics(rows.where(F.col("tag") == tag), path)
+    return rounded(logs.read_metrics(s.spark, path), "value")
+
+
+@query("""with n as (select image_id, count(*) as n from fx_polygons group by 1)
+select concat('img_', i.image_id, '.png') as file_name, coalesce(n, 0) as n_annotations from fx_images i left join n on n.image_id=i.image_id where i.image_id%7<>0 and i.image_id%11<>0
+union all select null as file_name, count(*) as n_annotations from fx_images where image_id%7=0 or image_id%11=0""")
+def ingested_stream(s):
+    """Arriving documents; every seventh has no list of annotations, every eleventh a broken one.  The row without a name counts what was rejected."""
+    path = shared_folder(s.spark, "stream")
+    docs = records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)).withColumn("text", F.to_json(F.struct("image", "mode", "annotations")))
+    spoiled = F.when(F.col("image_id") % 7 == 0, F.to_json(F.struct("image", "mode", F.lit("oops").alias("annotations")))).when(
+        F.col("image_id") % 11 == 0, F.to_json(F.struct("image", "mode", F.array(F.struct(F.lit("x").alias("id"))).alias("annotations")))).otherwise(F.col("text"))
+    docs.select(spoiled.alias("value")).write.text(f"{path}/in")
+    ingest_annotations_stream(s.spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
+    good = s.spark.read.parquet(f"{path}/out/records").select("file_name", F.size("annotations").cast("bigint").alias("n_annotations"))
+    return good.unionByName(s.spark.read.parquet(f"{path}/out/rejected").agg(F.lit(None).cast("string").alias("file_name"), F.count(F.lit(1)).alias("n_annotations")))
+
+
 # ---------------------------------------------------------------- draws
 
 SPLIT = f"""h as (select o_orderkey, {H32.format("'42:'||o_orderkey")} as h from orders), r as (select *, row_number() over (order by h, o_orderkey) as rn, count(*) over () as n from h)"""
