@@ -87,17 +87,54 @@ def batch_spans(batch: pa.RecordBatch, ids: list[str], segmentation: str):
                                          names=[*ids, "y", "x0", "x1"])
 
 
+def batch_masks(batch: pa.RecordBatch, ids: list[str], segmentation: str):
+    """Objects of a batch with area, box and the list of their lines."""
+    n = len(ids)
+    for part in batch_spans(batch.append_column("_row", pa.array(np.arange(batch.num_rows))), [*ids, "_row"], segmentation):
+        row, y, x0, x1 = (part.column(k).to_numpy() for k in range(n, n + 4))
+        if not len(row):
+            continue
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # the spans of an object stand together, in order
+        ends = np.append(first, len(row)).astype(np.int32)
+        lines = pa.StructArray.from_arrays([pa.array(y), pa.array(x0), pa.array(x1)], names=["y", "x0", "x1"])
+        sums = [np.add.reduceat(x1 - x0 + 1, first), np.minimum.reduceat(x0, first), np.minimum.reduceat(y, first), np.maximum.reduceat(x1, first), np.maximum.reduceat(y, first)]
+        yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(first)) for k in range(n)], *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), lines)],
+                                         names=[*ids, "area", "x0", "y0", "x1", "y1", "lines"])
+
+
+def _lines_of(lists: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """y, x0, x1 of all lists, and where each list begins and ends."""
+    lines = lists.flatten()
+    fields = [lines.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return fields, np.r_[0, ends[:-1]] if len(ends) else ends, ends
+
+
+def line_overlaps(left: pa.Array, right: pa.Array, block: int = 4_000_000) -> np.ndarray:
+    """Common pixels of each pair of masks, given as lists of lines in order of y."""
+    (ay, a0, a1), astart, aend = _lines_of(left)
+    (by, b0, b1), bstart, bend = _lines_of(right)
+    out = np.zeros(len(left), np.int64)
+    for i in range(len(left)):
+        a, b = slice(astart[i], aend[i]), slice(bstart[i], bend[i])
+        if a.start == a.stop or b.start == b.stop:
+            continue
+        low, high = max(ay[a.start], by[b.start]), min(ay[a.stop - 1], by[b.stop - 1])
+        a = slice(a.start + np.searchsorted(ay[a], low), a.start + np.searchsorted(ay[a], high, side="right"))
+        b = slice(b.start + np.searchsorted(by[b], low), b.start + np.searchsorted(by[b], high, side="right"))
+        step = max(1, block // max(1, b.stop - b.start))
+        for at in range(a.start, a.stop, step):
+            c = slice(at, min(at + step, a.stop))
+            wide = np.minimum(a1[c][:, None], b1[b][None, :]) - np.maximum(a0[c][:, None], b0[b][None, :]) + 1
+            out[i] += int((np.maximum(wide, 0) * (ay[c][:, None] == by[b][None, :])).sum())
+    return out
+
+
 def line_gaps(left: pa.Array, right: pa.Array, block: int = 4_000_000) -> np.ndarray:
     """Least distance of each pair of masks, given as lists of lines (y, x0, x1); NaN where a mask is empty."""
-    sides = []
-    for lists in (left, right):
-        lines = lists.flatten()
-        fields = [lines.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-        sides.append((fields, np.r_[0, ends[:-1]] if len(ends) else ends, ends))
     out = np.full(len(left), np.nan)
-    (ay, a0, a1), astart, aend = sides[0][0], sides[0][1], sides[0][2]
-    (by, b0, b1), bstart, bend = sides[1][0], sides[1][1], sides[1][2]
+    (ay, a0, a1), astart, aend = _lines_of(left)
+    (by, b0, b1), bstart, bend = _lines_of(right)
     for i in range(len(left)):
         b = slice(bstart[i], bend[i])
         step = max(1, block // max(1, bend[i] - bstart[i]))

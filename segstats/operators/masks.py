@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
-from segstats.functions.scanlines import batch_spans, line_gaps
+from segstats.functions.scanlines import batch_masks, batch_spans, line_gaps, line_overlaps
 from segstats.operators.matching import meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
@@ -65,9 +65,7 @@ def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), s
     of its objects at once.  Output grows with the height of the objects: give a
     table with few partitions more of them first (:func:`spread`).
     """
-    outline = F.get(F.col(segmentation), F.lit(0))
-    whole = F.transform(F.col(segmentation), lambda r: F.slice(r, 1, F.size(r) - F.size(r) % 2).cast("array<double>"))
-    rings = objects.where(F.size(outline) >= 2).select(*ids, whole.alias("rings"))
+    rings = _rings(objects, ids, segmentation)
     schema = T.StructType([*[rings.schema[c] for c in ids], *[T.StructField(c, T.LongType()) for c in ("y", "x0", "x1")]])
     names = list(ids)
 
@@ -78,6 +76,13 @@ def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), s
     return rings.mapInArrow(convert, schema)
 
 
+def _rings(objects: DataFrame, ids: Sequence[str], segmentation: str) -> DataFrame:
+    """Objects that have an outline, with rings of whole points."""
+    outline = F.get(F.col(segmentation), F.lit(0))
+    whole = F.transform(F.col(segmentation), lambda r: F.slice(r, 1, F.size(r) - F.size(r) % 2).cast("array<double>"))
+    return objects.where(F.size(outline) >= 2).select(*ids, whole.alias("rings"))
+
+
 def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """At least as many partitions as the session shuffles into, cut by a hash of the ids."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
@@ -158,15 +163,56 @@ def _areas(spans: DataFrame, image: str, ident: str, out: str) -> DataFrame:
     return spans.groupBy(image, ident).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias(out))
 
 
+LINES = "array<struct<y:bigint,x0:bigint,x1:bigint>>"
+
+
+def rasterize_packed(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), segmentation: str = "segmentation") -> DataFrame:
+    """:func:`rasterize` with one row per object: its lines in order, area and box, all from the one conversion."""
+    rings, names = _rings(objects, ids, segmentation), list(ids)
+    schema = ", ".join(f"`{c}` {rings.schema[c].dataType.simpleString()}" for c in ids) + f", area bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, lines {LINES}"
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from batch_masks(batch, names, "rings")
+
+    return rings.mapInArrow(convert, schema)
+
+
+def pack_spans(spans: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Span tables in the form of :func:`rasterize_packed`; the lines of an object are brought together once."""
+    line = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("y", "x0", "x1")])
+    return spans.groupBy(*ids).agg(
+        F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("area"), F.min("x0").cast("bigint").alias("x0"), F.min("y").cast("bigint").alias("y0"),
+        F.max("x1").cast("bigint").alias("x1"), F.max("y").cast("bigint").alias("y1"), F.sort_array(F.collect_list(line)).alias("lines"))
+
+
 def mask_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_idx", image: str = "image_id",
-             candidates: DataFrame | None = None, x_bin: int = 2048) -> DataFrame:
-    """IoU of every overlapping mask pair of an image; zero pairs only where ``candidates`` asks for them."""
-    pieces = span_overlaps(a, b, a_id, b_id, image, x_bin)
-    inter = pieces.groupBy(image, a_id, b_id).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("inter"))
+             candidates: DataFrame | None = None, cell: int = 512) -> DataFrame:
+    """IoU of every overlapping mask pair of an image; zero pairs only where ``candidates`` asks for them.
+
+    Both sides are span tables or packed masks.  Only masks whose boxes overlap
+    meet, in grid cells of the boxes; areas ride along with the lines, which are
+    intersected in Arrow batches where the pair is.
+    """
+    a, b = (m if "lines" in m.columns else pack_spans(m, [image, i]) for m, i in ((a, a_id), (b, b_id)))
+    left = a.withColumnsRenamed({"area": "area_a", "lines": "lines_a"})
+    right = b.withColumnsRenamed({"area": "area_b", "lines": "lines_b"})
+    met = meeting_boxes(left, right, [image], a_id, b_id, cell, keep_a=["area_a", "lines_a"], keep_b=["area_b", "lines_b"])
+    rows = met.select(image, a_id, b_id, "area_a", "area_b", "lines_a", "lines_b")
+    keys = [image, a_id, b_id, "area_a", "area_b"]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", inter bigint"
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inter = pa.array(line_overlaps(batch.column("lines_a"), batch.column("lines_b")), pa.int64())
+            yield pa.record_batch([*[batch.column(k) for k in keys], inter], names=[*keys, "inter"])
+
+    sized = rows.mapInArrow(intersect, schema).where(F.col("inter") > 0)
     if candidates is not None:
-        inter = candidates.select(image, a_id, b_id).join(inter, [image, a_id, b_id], "left").na.fill(0, ["inter"])
-    sized = attach(inter, _areas(a, image, a_id, "area_a"), [image, a_id], [b_id])
-    sized = attach(sized, _areas(b, image, b_id, "area_b"), [image, b_id], [a_id]).na.fill(0, ["area_a", "area_b"])
+        asked = candidates.select(image, a_id, b_id)
+        sized = asked.join(sized.select(image, a_id, b_id, "inter"), [image, a_id, b_id], "left").na.fill(0, ["inter"])
+        sized = attach(sized, a.select(image, a_id, F.col("area").alias("area_a")), [image, a_id], [b_id])
+        sized = attach(sized, b.select(image, b_id, F.col("area").alias("area_b")), [image, b_id], [a_id]).na.fill(0, ["area_a", "area_b"])
     union = F.col("area_a") + F.col("area_b") - F.col("inter")
     return sized.select(image, a_id, b_id, "inter", union.alias("union_area"),
                         (F.col("inter").cast("double") / F.greatest(union, F.lit(1))).alias("iou"))

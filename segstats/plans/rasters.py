@@ -83,7 +83,7 @@ iou as (select i.image_id, gt_idx, q_idx, inter, aa.area+ab.area-inter as union_
 
 
 def _mask_pairs(s):
-    return masks.mask_iou(_spans(s).withColumnRenamed("obj_id", "gt_idx"), _pred_spans(s).withColumnRenamed("obj_id", "q_idx"))
+    return masks.mask_iou(masks.rasterize_packed(s.polygons).withColumnRenamed("obj_id", "gt_idx"), masks.rasterize_packed(s.pred_polygons).withColumnRenamed("obj_id", "q_idx"))
 
 
 @query(f"with {SPAN_IOU} select image_id, gt_idx, q_idx, inter, union_area, round(inter::double/greatest(union_area,1),6) as iou from iou")

@@ -79,7 +79,7 @@ def test_span_subtraction_and_merge(spark):
 def test_iou_is_symmetric_and_one_on_itself(spark):
     boxes = spark.createDataFrame([(0, 1, 0, 0, 9, 9), (0, 2, 5, 5, 14, 14), (0, 3, 4000, 0, 4200, 3)], "image_id long, obj_id long, x0 long, y0 long, x1 long, y1 long")
     spans = masks.box_spans(boxes)
-    iou = {(r["a"], r["b"]): r["iou"] for r in masks.mask_iou(spans.withColumnRenamed("obj_id", "a"), spans.withColumnRenamed("obj_id", "b"), "a", "b", x_bin=64).collect()}
+    iou = {(r["a"], r["b"]): r["iou"] for r in masks.mask_iou(spans.withColumnRenamed("obj_id", "a"), spans.withColumnRenamed("obj_id", "b"), "a", "b", cell=64).collect()}
     assert iou[1, 1] == iou[2, 2] == iou[3, 3] == 1.0
     assert iou[1, 2] == iou[2, 1] == pytest.approx(25 / 175)
     assert (1, 3) not in iou
