@@ -18,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 4096
@@ -131,28 +132,43 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ids: Seq
     return skew_join(left, right, keys, left_ids, how=how, salts=salts)
 
 
+def order_number(df: DataFrame, key: str) -> Column:
+    """A double that never falls as ``key`` rises: numbers and times themselves, text by its first seven bytes."""
+    kind, value = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return value.cast("double")
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return value.cast("timestamp").cast("double")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        head = F.substring(value.cast("binary"), 1, 7)
+        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
+    raise TypeError(f"{key}: no order number for {kind.simpleString()}")
+
+
 def range_chunks(df: DataFrame, key: str, rows_per_chunk: int = ROWS_PER_CHUNK,
                  max_chunks: int = MAX_CHUNKS) -> tuple[Column, int]:
     """A column that numbers ranges of ``key`` with about ``rows_per_chunk`` rows each.
 
     The cut points are approximate quantiles over the whole table, so no key
     group can put more than a chunk's worth of rows into one (group, chunk)
-    pair, however hot it is.  At most ``max_chunks`` numbers reach the driver.
-    Small tables get a single chunk.
+    pair, however hot it is, as long as its rows differ in ``key`` and the table
+    has at most ``max_chunks`` x ``rows_per_chunk`` rows; beyond, chunks grow.  At
+    most ``max_chunks`` numbers reach the driver.  Small tables get a single chunk.
     """
+    number = order_number(df, key)  # refused at any size if there is none
     n = df.count()
     chunks = min(max_chunks, -(-n // rows_per_chunk))
     if chunks <= 1:
         return F.lit(0), 1
     points = [i / chunks for i in range(1, chunks)]
-    found = df.agg(F.percentile_approx(F.col(key).cast("double"), points, 20 * chunks).alias("q")).first()["q"]
+    found = df.agg(F.percentile_approx(number, points, 20 * chunks).alias("q")).first()["q"]
     bounds = sorted(set(found))
     # Two-level lookup: first the block of cut points, then the place inside it.
     width = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
     heads = F.array(*[F.lit(b[0]) for b in blocks])
     nested = F.array(*[F.array(*[F.lit(v) for v in b]) for b in blocks])
-    value = F.col(key).cast("double")
+    value = number
     block = F.size(F.filter(heads, lambda h: h <= value))
     inner = F.size(F.filter(F.get(nested, block - 1), lambda b: b <= value))
     chunk = F.when(block == 0, F.lit(0)).otherwise((block - 1) * F.lit(width) + inner)
@@ -165,6 +181,7 @@ _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 def with_chunks(df: DataFrame, key: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Settle a table that :func:`running` will read, with ``_chunk`` when it is too big for one task per group."""
     df = settle(df)
+    order_number(df, key)
     if df.count() <= rows_per_chunk:
         return df
     chunk, n_chunks = range_chunks(df, key, rows_per_chunk)

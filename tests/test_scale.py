@@ -179,3 +179,17 @@ def test_batches_keep_or_drop_the_short_one(spark):
     plan = {r["batch_id"]: (r["n_images"], r["max_h"], r["max_w"]) for r in windows.batch_plan(images, 2, rows_per_chunk=2).collect()}
     assert plan == {0: (2, 64, 64), 1: (2, 64, 64), 2: (1, 64, 64)}
     assert windows.batch_plan(images, 2, drop_last=True).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "binary"])
+def test_running_takes_keys_of_any_kind(spark, kind):
+    """Text and time keys give the same numbers below and above the size where a table is cut."""
+    value = {"string": F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+             "timestamp": F.timestamp_seconds("id"), "binary": F.lpad(F.col("id").cast("string"), 4, "0").cast("binary")}[kind]
+    df = spark.range(60).select(F.pmod(F.col("id") * 7, F.lit(60)).alias("id")).withColumn("key", value).withColumn("n", F.lit(1).cast("bigint"))
+    out = []
+    for rows_per_chunk in (1000, 10):
+        cut = scale.with_chunks(df, "key", rows_per_chunk)
+        assert ("_chunk" in cut.columns) == (rows_per_chunk == 10)
+        out.append(sorted((r["id"], r["s"]) for r in scale.running(cut, [], ["key"], {"s": ("sum", "n")}).collect()))
+    assert out[0] == out[1] == [(i, i + 1) for i in range(60)]
