@@ -250,7 +250,7 @@ def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, fl
             covered, ["image_id", "obj_id"], "left").na.fill(0, ["covered"])
         limit = F.greatest(F.lit(floor), F.floor(F.col("area") * F.lit(frac)))
         new = settle(round_.select("image_id", "obj_id", (F.col("covered") <= limit).alias("accepted")))
-        decided = settle(decided.unionByName(new))
+        decided = decided.unionByName(new)  # settled rounds; none is written again
         waiting = settle(waiting.join(new, ["image_id", "obj_id"], "left_anti"))
     return items.join(decided, ["image_id", "obj_id"])
 

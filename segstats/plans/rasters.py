@@ -98,7 +98,14 @@ def eval_masks(s):
     return rounded(metrics.evaluate_pairs(s.gt, s.preds, _mask_pairs(s), (0.3, 0.5), (-0.2, 0.0)), *RATES)
 
 
-@query()
+@query(f"""with recursive {SPANS}, obj as materialized (select p.image_id, p.obj_id, row_number() over (partition by p.image_id order by p.obj_id) as rk, greatest(64, floor(coalesce(a.area,0)*0.03)) as most
+  from fx_polygons p left join (select image_id, obj_id, sum(x1-x0+1)::bigint as area from sp group by 1,2) a on a.image_id=p.image_id and a.obj_id=p.obj_id),
+px as materialized (select a.image_id, a.obj_id, b.obj_id as earlier, a.y*100000+unnest(range(greatest(a.x0,b.x0), least(a.x1,b.x1)+1)) as pixel from sp a join sp b
+  on a.image_id=b.image_id and a.y=b.y and b.obj_id<a.obj_id and a.x0<=b.x1 and b.x0<=a.x1),
+step as (select distinct image_id, 0::bigint as k, []::bigint[] as acc, null::bigint as obj_id, null::boolean as accepted from obj union all
+  select image_id, k+1, case when ok then list_append(acc, obj_id) else acc end, obj_id, ok from (select st.image_id, st.k, st.acc, o.obj_id, count(distinct p.pixel)<=any_value(o.most) as ok
+   from step st join obj o on o.image_id=st.image_id and o.rk=st.k+1 left join px p on p.image_id=o.image_id and p.obj_id=o.obj_id and list_contains(st.acc, p.earlier) group by 1,2,3,4) t)
+select image_id, obj_id, accepted from step where obj_id is not null""")
 def suppress_overlaps(s):
     order = s.polygons.select("image_id", "obj_id", F.col("obj_id").alias("pos"))
     return masks.suppress_overlaps(order, settle(_spans(s))).select("image_id", "obj_id", "accepted")
