@@ -29,7 +29,6 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
  header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 NEVER = frozenset("""aside button canvas dialog embed footer form head iframe input label legend menu nav noscript object optgroup option script search select style svg
  template textarea title video audio""".split())
-RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_MAIN = frozenset("""ad ads adbox adsense advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
  disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo
@@ -37,7 +36,6 @@ NOT_MAIN = frozenset("""ad ads adbox adsense advert advertisement adverts advert
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # ---- end of fixed values
 
-_P_STAYS_OPEN_IN = BLOCKS - {"p"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _TOKEN = re.compile(
@@ -76,7 +74,9 @@ class Page:
         self.parent, self.name = [-1], ["body"]
         self.texts: list[tuple[int, str]] = []  # a run of text and the node it stands in
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
-        open_, hidden, anchors = [0], [], 0
+        open_: list[int] = [0]
+        hidden: list[str] = []
+        anchors = 0
         run: list[str] = []
         linked = 0
         at = 0
@@ -163,12 +163,8 @@ class Page:
 
     def _close_for(self, name: str, open_: list[int], close) -> None:
         """Close what may not hold a ``name``: an open paragraph, and siblings whose end tag is left out."""
-        for i in range(len(open_) - 1, 0, -1):
-            if self.name[open_[i]] == "p":
-                close(i)
-                break
-            if self.name[open_[i]] not in ("b", "i"):
-                break
+        if self.name[open_[-1]] == "p":
+            close(len(open_) - 1)
         for i in range(len(open_) - 1, 0, -1):
             other = self.name[open_[i]]
             if other in _SCOPES.get(name, ()):
