@@ -318,6 +318,7 @@ def pairwise_gap(spans: DataFrame, categories: DataFrame, max_gap: float | None
     out = rows.mapInArrow(run, schema)
     return out if max_gap is None else out.where(F.col("gap") <= max_gap)
 
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, image: str = "image_id", cell: int = 256) -> DataFrame:
     """(point, polygon) hits by even-odd ray casting; points meet polygons in grid cells of the polygon's box."""
     box = polygon_bbox(F.col("ring"))
@@ -344,9 +345,12 @@ def rects_in_polygons(rects: DataFrame, polygons: DataFrame, image: str = "image
     return met.where(inside).select(image, "rect_id", "poly_id")
 
 
-def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 128, max_size: int = 512, seed: int = 42) -> DataFrame:
+def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 128, max_size: int = 512, seed: int = 42,
+                         objects: DataFrame | None = None) -> DataFrame:
     """A square patch that lies wholly inside each mask, drawn by hash.
 
+    ``objects`` (image_id, obj_id) names masks that may be empty: without a span they get (0, 0, 32, 32).
+
     200 squares centred on mask pixels, size min + (max - min) * sqrt(u); then
     50 boxes for each of five side fractions; else 32 x 32 at the centroid.
     Each (object, try) is a row; the first try whose box is fully covered wins.
@@ -401,6 +405,7 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
             F.col("_in") == F.col("bw") * F.col("bh"))
         return inside.groupBy(*ids).agg(F.min(F.struct("try", "bx", "by", "bw", "bh")).alias("_box"))
 
+    # Fixed values of the draw: 200 squares, 50 boxes for each of five fractions, 32 pixels.
     # Most masks are served by the first few squares; only the others go on to the later tries.
     first, left = None, stats
     for make, start, end in ((squares, 1, 10), (squares, 11, 200), (boxes, 201, 450)):
@@ -408,8 +413,13 @@ def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 1
         first = found if first is None else first.unionByName(found)
         left = left.join(found, ids, "left_anti")
     side = F.lit(32).cast("bigint")
-    return stats.join(first, ids, "left").select(
+    drawn = stats.join(first, ids, "left").select(
         *ids, F.coalesce("_box.bx", F.greatest(F.lit(0), F.col("cx") - 16)).cast("bigint").alias("x"),
         F.coalesce("_box.by", F.greatest(F.lit(0), F.col("cy") - 16)).cast("bigint").alias("y"),
         F.coalesce("_box.bw", side).cast("bigint").alias("w"), F.coalesce("_box.bh", side).cast("bigint").alias("h"),
         F.coalesce("_box.try", F.lit(0)).cast("bigint").alias("try"))
+    if objects is None:
+        return drawn
+    nothing = objects.select(*ids).distinct().join(stats.select(*ids), ids, "left_anti")
+    zero = F.lit(0).cast("bigint")
+    return drawn.unionByName(nothing.select(*ids, zero.alias("x"), zero.alias("y"), side.alias("w"), side.alias("h"), zero.alias("try")))

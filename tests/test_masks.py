@@ -115,6 +115,10 @@ def test_reference_box_lies_inside_its_mask(spark):
             assert (r["try"], r["x"], r["y"], r["w"], r["h"]) == (0, 0, 134, 32, 32)
         else:
             assert r["try"] > 0 and x0 <= r["x"] and r["x"] + r["w"] - 1 <= x1 and y0 <= r["y"] and r["y"] + r["h"] - 1 <= y1
+    named = boxes.select("image_id", "obj_id").unionByName(spark.createDataFrame([(2, 9)], "image_id long, obj_id long"))
+    every = masks.sample_reference_box(masks.box_spans(boxes), heads, min_size=32, max_size=128, objects=named).collect()
+    assert {r["image_id"]: r for r in every if r["obj_id"] == 0} == got and len(every) == 4
+    assert [(r["x"], r["y"], r["w"], r["h"]) for r in every if r["obj_id"] == 9] == [(0, 0, 32, 32)]
 
 
 def test_gaps_equal_pixel_distances(spark):
