@@ -18,7 +18,7 @@ from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_rin
 from segstats.functions.scalar import hash_int, hash_uniform, let
 from segstats.functions.scanlines import batch_masks, batch_spans, line_gaps, line_overlaps
 from segstats.operators.matching import meeting_boxes
-from segstats.scale import attach, settle, skew_join
+from segstats.scale import attach, forget, settle, skew_join
 
 SPAN = "struct<a:bigint,b:bigint>"
 NO_SPANS = f"array<{SPAN}>"
@@ -251,7 +251,8 @@ def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, fl
         limit = F.greatest(F.lit(floor), F.floor(F.col("area") * F.lit(frac)))
         new = settle(round_.select("image_id", "obj_id", (F.col("covered") <= limit).alias("accepted")))
         decided = decided.unionByName(new)  # settled rounds; none is written again
-        waiting = settle(waiting.join(new, ["image_id", "obj_id"], "left_anti"))
+        before, waiting = waiting, settle(waiting.join(new, ["image_id", "obj_id"], "left_anti"))
+        forget(before)
     return items.join(decided, ["image_id", "obj_id"])
 
 

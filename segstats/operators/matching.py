@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from segstats.functions.geometry import box_iou, rect_intersection_area
 from segstats.functions.scalar import hash_bits, sigmoid, softplus
-from segstats.scale import attach, settle, skew_join, until_stable
+from segstats.scale import attach, forget, settle, skew_join, until_stable
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -245,8 +245,9 @@ def assign_one_to_one(costs: DataFrame) -> DataFrame:
         by_g = state.groupBy("image_id", "gt_idx").agg(F.min(order).alias("_b")).select("image_id", "_b.*")
         chosen = settle(by_q.join(by_g, ["image_id", "q_idx", "gt_idx", "cost"]))
         fixed = chosen if fixed is None else fixed.unionByName(chosen)
-        state = state.join(chosen.select("image_id", "q_idx"), ["image_id", "q_idx"], "left_anti")
+        before, state = state, state.join(chosen.select("image_id", "q_idx"), ["image_id", "q_idx"], "left_anti")
         state = settle(state.join(chosen.select("image_id", "gt_idx"), ["image_id", "gt_idx"], "left_anti"))
+        forget(before)
     return fixed if fixed is not None else state
 
 
@@ -356,7 +357,9 @@ def choose_review_pairs(reals: DataFrame, synths: DataFrame) -> DataFrame:
         struck = settle(asked.join(first, "synth_pos").where(F.col("pos") != F.col("_first")).select("pos", "synth_pos"))
         if struck.isEmpty():
             break
-        wishes = settle(wishes.join(struck, ["pos", "synth_pos"], "left_anti"))
+        before, wishes = wishes, settle(wishes.join(struck, ["pos", "synth_pos"], "left_anti"))
+        for table in (before, asked, struck):
+            forget(table)
     chosen = asked.join(reals.select("pos", "real_filename"), "pos").join(synths.select("synth_pos", "synth_filename"), "synth_pos")
     ranked = chosen.withColumn("pair_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos")) - 1).cast("int"))  # MAX_REALS rows at most
     name = F.format_string("%03d_%s.png", F.col("pair_id"), safe_name(F.col("real_filename")))

@@ -52,7 +52,18 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`settle` returned; frames that read it must not be used any more."""
+    path = getattr(df, "_settled", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def until_stable(
@@ -61,12 +72,13 @@ def until_stable(
     unfinished: Callable[[DataFrame], Column],
     max_rounds: int = 1000,
 ) -> DataFrame:
-    """Apply ``step`` until no row is ``unfinished``; every round is settled."""
+    """Apply ``step`` until no row is ``unfinished``; every round is settled, and only the last one stays."""
     state = settle(state)
     for _ in range(max_rounds):
         if state.where(unfinished(state)).isEmpty():
             return state
-        state = settle(step(state))
+        before, state = state, settle(step(state))
+        forget(before)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 

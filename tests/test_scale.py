@@ -193,3 +193,13 @@ def test_running_takes_keys_of_any_kind(spark, kind):
         assert ("_chunk" in cut.columns) == (rows_per_chunk == 10)
         out.append(sorted((r["id"], r["s"]) for r in scale.running(cut, [], ["key"], {"s": ("sum", "n")}).collect()))
     assert out[0] == out[1] == [(i, i + 1) for i in range(60)]
+
+
+def test_rounds_leave_one_table(spark):
+    import os
+    from urllib.parse import urlparse
+    scale.ensure_checkpoint_dir(spark)
+    folder = urlparse(spark.sparkContext.getCheckpointDir()).path
+    before = set(os.listdir(folder))
+    out = scale.until_stable(spark.range(3).withColumn("n", F.lit(5)), lambda d: d.withColumn("n", F.col("n") - 1), lambda d: F.col("n") > 0)
+    assert [r["n"] for r in out.collect()] == [0, 0, 0] and len(set(os.listdir(folder)) - before) == 1
