@@ -124,6 +124,9 @@ def skew_join(
     ``right_ids`` (inner joins) the right rows are cut too, into salts ** 2 meetings.
     """
     if salts <= 1:
+        spark = left.sparkSession
+        if spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") != "true" or spark.conf.get("spark.sql.adaptive.enabled") != "true":
+            configure(spark)  # a session that was not prepared would leave the hot key whole
         return left.join(right, list(keys), how)
     if right_ids is not None and how != "inner":
         raise ValueError("both sides can be cut in an inner join only")

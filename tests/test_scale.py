@@ -203,3 +203,10 @@ def test_rounds_leave_one_table(spark):
     before = set(os.listdir(folder))
     out = scale.until_stable(spark.range(3).withColumn("n", F.lit(5)), lambda d: d.withColumn("n", F.col("n") - 1), lambda d: F.col("n") > 0)
     assert [r["n"] for r in out.collect()] == [0, 0, 0] and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_skew_join_prepares_the_session(spark):
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    df = spark.range(3).withColumn("k", F.lit(1))
+    assert scale.skew_join(df, df.withColumnRenamed("id", "other"), ["k"], ["id"]).count() == 9
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
