@@ -5,8 +5,8 @@ between two characters that are not white space.  So a text is cut there, each
 piece is encoded by the library together with the space before it, and pieces
 that come again are taken from a bounded memory of the worker.  A piece of Latin
 letters, of ASCII marks, or of one after the other is what the pre-tokenizer
-would hand to the model (the letters, then the marks, and single line ends), so
-it is given to the library's model at once.  Files with any other pre-tokenizer are given whole
+would hand to the model (the letters, then the marks), so it is given to the
+library's model at once; a single line end may stand in the place of the space.  Files with any other pre-tokenizer are given whole
 texts.
 """
 
@@ -20,12 +20,13 @@ from collections.abc import Callable
 from tokenizers import Tokenizer
 
 _RARE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split() only
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Letters whose lower case and composition do not depend on what stands around them, then marks that no contraction begins with.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*)([!-&(-/:-@\[-`{-~]*)")
 #: Pieces of a generation that a worker remembers, and the longest that is.
 REMEMBERED, LONGEST = 250_000, 48
-_PROBES = ("The", "straße,", "École", "niño?!", "x", "...", "Ünder-", "of", "###", "Ĳssel.", "ſo", "so.\nThe", "a\nb\n...")
+_PROBES = ("The", "straße,", "École", "niño?!", "x", "...", "Ünder-", "of", "###", "Ĳssel.", "ſo")
 
 _open: dict[str, Encoder] = {}
 
@@ -84,7 +85,8 @@ class Encoder:
         self.words = _Pieces(lambda word: self._spelled(word, self.space), REMEMBERED // 4)
         self.bare = _Pieces(lambda part: self._spelled(part, ""), REMEMBERED // 4)
         self.line = b"" if self.lower else self._whole("\n")
-        self.plain = self.cuts and all(self._plain(p) == self._whole(f" {p}") for p in _PROBES)
+        self.plain = self.cuts and all(self._plain(p) == self._whole(f" {p}") for p in _PROBES) and (
+            self.lower or all(self._plain(f"\n{p}") == self._whole(f"\n{p}") for p in _PROBES))
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,12 +97,10 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(space + spelled)]).tobytes()
 
     def _plain(self, piece: str) -> bytes | None:
-        """Ids of a space and the letters and marks after it, or of several of these with single line ends between them; None for any other piece."""
-        if "\n" in piece:
-            first, *rest = [_PLAIN.fullmatch(p) for p in piece.split("\n")]
-            if first is None or not first[0] or not all(r is not None and r[0] for r in rest):
-                return None
-            return self._joined(first, self.words) + b"".join(self.line + self._joined(r, self.bare) for r in rest)
+        """Ids of a space, or of a line end in its place, and the letters and marks after it; None for any other piece."""
+        if piece[:1] == "\n" and not self.lower:
+            found = _PLAIN.fullmatch(piece, 1)
+            return None if found is None else self.line + (self._joined(found, self.bare) if found[0] else b"")
         found = _PLAIN.fullmatch(piece)
         if found is None or not piece:
             return None
@@ -119,17 +119,27 @@ class Encoder:
             if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
                 return self.words[piece[:-1]] + self.bare[piece[-1]]
         ids = self._plain(piece) if self.plain else None
-        return self._whole(f" {piece}") if ids is None else ids
+        return self._whole(piece if piece[:1] == "\n" and not self.lower else f" {piece}") if ids is None else ids
+
+    def _dropped(self, text: str) -> list[str]:
+        """Pieces for a tokenizer that drops white space and case; Latin-1 letters have one lower case each, wherever they stand."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.split() if "<|" in text else text.lower().split()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text without special tokens."""
-        if not self.cuts or not text:
+        if not self.cuts or not text or (self.lower and _SEPARATORS.search(text)):
             return self._whole(text) if text else b""
-        if "  " in text or "\n " in text or " \n" in text or _RARE.search(text):
-            head, *rest = _CUT.split(text)
-            pieces = [p[1:] for p in rest]
-        else:
-            head, *pieces = text.split(" ")
         for memory in (self.known, self.words, self.bare):
             memory.age()
+        if self.lower:
+            return b"".join(map(self.known.__getitem__, self._dropped(text)))
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RARE.search(text):
+            head, *rest = _CUT.split(text)
+            pieces = [p[1:] for p in rest]
+        else:  # a line end begins a piece of its own with the word after it
+            head, *pieces = text.replace("\n", " \n").split(" ")
         return (self._whole(head) if head else b"") + b"".join(map(self.known.__getitem__, pieces))
