@@ -33,7 +33,7 @@ from segstats.scale import settle
 #: Kept terms stand in 1/2000 to 37 % of the documents.
 IDF_BAND = (1.0, math.log(2000))
 #: (bits skipped in the term hash, terms of the lexicon per term of a subset, subsets)
-DENSITIES = ((0, 1, 1), (3, 4, 2), (8, 16, 6), (14, 64, 16), (22, 256, 16))
+DENSITIES = ((0, 1, 1), (3, 4, 2), (8, 16, 5), (14, 64, 16), (22, 256, 32))
 BROADCAST_TERMS = 2_000_000
 ROWS_PER_RANGE = 50_000
 _EMPTY = 42  # what xxhash64 gives for an empty array
