@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+import uuid
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ import public_tokenizers  # noqa: E402
 
 from segstats.llm import common, exact, html, imatch, mixing, packing, quality, simhash, substring, token_shards, tokens, toxicity  # noqa: E402
 
+RUN = uuid.uuid4().hex  # tables of earlier runs may be left in the warehouse
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 key = lambda x: tuple((v is not None, str(v)) for v in x)
 
@@ -383,7 +385,7 @@ def test_mixed_documents_are_whole_and_near_target(table):
 
 
 def test_exact_decisions(spark, awkward, rows, nothing):
-    out = exact.decisions(awkward, exact.DigestIndex(spark, "exact_awkward")).collect()
+    out = exact.decisions(awkward, exact.DigestIndex(spark, f"exact_awkward_{RUN}")).collect()
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     expected = {}
     for d, t in rows:
@@ -392,31 +394,31 @@ def test_exact_decisions(spark, awkward, rows, nothing):
     for r in out:
         group = next(g for t, g in expected.items() if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
         assert r["group_size"] == len(group) and r["keep_id"] == max((d for d in group if d is not None), default=None)
-    assert exact.decisions(nothing, exact.DigestIndex(spark, "exact_nothing")).count() == 0
+    assert exact.decisions(nothing, exact.DigestIndex(spark, f"exact_nothing_{RUN}")).count() == 0
 
 
 def test_later_batches_meet_the_index(spark):
-    index = exact.DigestIndex(spark, "exact_batches", buckets=4)
+    index = exact.DigestIndex(spark, f"exact_batches_{RUN}", buckets=4)
     first, second = cases.docs(spark, ["A b", "c"], [1, 2]), cases.docs(spark, ["a B", "d", "D"], [9, 10, 11])
     assert {r["doc_id"] for r in exact.keep_first_seen(first, index).collect()} == {1, 2}
     again = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact.decisions(second, index).collect()}
     assert again == {9: (1, False), 10: (11, False), 11: (11, True)}
     assert index.read().count() == 3
     assert not any(r["kept"] for r in exact.decisions(second, index).collect()) and index.read().count() == 3
-    spark.sql("drop table exact_batches")
+    spark.sql(f"drop table exact_batches_{RUN}")
 
 
 def test_index_is_read_without_a_shuffle(spark):
-    index = exact.DigestIndex(spark, "exact_plan", buckets=4)
+    index = exact.DigestIndex(spark, f"exact_plan_{RUN}", buckets=4)
     exact.keep_first_seen(cases.docs(spark, ["A b", "c"], [1, 2]), index)
     new = cases.docs(spark, ["x"], [3]).select(exact.digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n"))
     plan = new.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
-    spark.sql("drop table exact_plan")
+    spark.sql(f"drop table exact_plan_{RUN}")
 
 
 def test_kept_rows_keep_their_columns(spark, awkward, rows):
-    kept = exact.keep_first_seen(awkward, exact.DigestIndex(spark, "exact_rows"))
+    kept = exact.keep_first_seen(awkward, exact.DigestIndex(spark, f"exact_rows_{RUN}"))
     assert kept.columns == awkward.columns
     assert kept.count() == len({(t or "").lower() for _, t in rows})
 
