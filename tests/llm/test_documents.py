@@ -440,6 +440,11 @@ def test_article_of_a_page():
         "Quoted text of some length here.", "Second paragraph also a link inside."]
 
 
+@pytest.mark.parametrize("icon", ['<svg-icon name="x"></svg-icon>', "<title-bar>", "<template-x></template-x>", '<svg viewBox="0 0 1 1"/>', "<svg/>", '<svg a="/>"><title>no</title></svg>', "<svg\n><path d=''/></svg>"])
+def test_text_after_icons_stays(icon):
+    assert html.main_text(f"<p>a</p>{icon}<p>the rest</p>") == "a\nthe rest"
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "just text <b>x</b>", "<p>a<p>b<div>c", "<nav>menu</nav>", "<p>cut &am <a href='x", "<!-- open", "<" * 3000, "<p " * 3000, "<div>" * 3000 + "deep", "&lt;p&gt;&#233;&nbsp;x"]
     out = [r["text"] for r in html.extract(spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")).orderBy("page_id").collect()]
