@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements; elements that are never main text
-(by their name, or by whole words of their class, id or role) are left out of
-it.  Every node has the characters per tag of its subtree, adjusted for the
+(by their name, or by whole words of their class, id or role) are in it as well,
+end like any others, and count as absent afterwards.  Every other node has the characters per tag of its subtree, adjusted for the
 share of linked characters and link tags.  The densest node sets a threshold:
 the least density on its way to the body.  From the body down, each node at or
 above the threshold gives the subtree with the largest sum of child densities;
@@ -36,7 +36,8 @@ NOT_MAIN = frozenset("""ad ads adbox adsense advert advertisement adverts advert
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # ---- end of fixed values
 
-_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_IN_HEAD = frozenset("base head html link meta noscript script style svg template title".split())
+_SIBLINGS = {"a": {"a"}, "button": {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,9 +75,11 @@ class Page:
         self.parent, self.name = [-1], ["body"]
         self.texts: list[tuple[int, str]] = []  # a run of text and the node it stands in
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
+        self.out = [False]
         open_: list[int] = [0]
-        hidden: list[str] = []
+        inline: set[str] = set()  # names of left-out elements that are no blocks; these are nodes too
         anchors = 0
+        outside: dict[int, int] = {}  # open links around a left-out element
         run: list[str] = []
         linked = 0
         at = 0
@@ -94,14 +97,19 @@ class Page:
 
         def add_text(raw: str) -> None:
             nonlocal linked
-            if raw and not hidden:
+            if raw:
                 text = unescape(raw)
+                if self.name[open_[-1]] == "head" and text.strip():
+                    close(len(open_) - 1)
                 run.append(text)
                 if anchors:
                     linked += len(text.strip())
 
         def close(upto: int) -> None:
+            nonlocal anchors
             close_run()
+            for node in reversed(open_[upto:]):
+                anchors = outside.get(node, anchors)
             del open_[upto:]
 
         for m in _TOKEN.finditer(html):
@@ -111,60 +119,60 @@ class Page:
             if not name:
                 continue
             if m[2] or m[5]:
-                if hidden:
-                    if name in hidden:
-                        while hidden.pop() != name:
-                            pass
+                found = 0
+                if name in BLOCKS or name in inline:
+                    found = next((i for i in range(len(open_) - 1, 0, -1) if self.name[open_[i]] == name), 0)
+                if found:
+                    close(found)
                 elif name == "a":
                     anchors = max(0, anchors - 1)
-                elif name in BLOCKS:
-                    found = next((i for i in range(len(open_) - 1, 0, -1) if self.name[open_[i]] == name), 0)
-                    if found:
-                        close(found)
-                    elif name == "p":
-                        close_run()
+                elif name == "p":
+                    close_run()
                 continue
             attributes = m[4] or m[7] or ""
+            if self.name[open_[-1]] == "head" and name not in _IN_HEAD:
+                close(len(open_) - 1)
             if name in VOID:
-                if not hidden:
-                    if name == "br":
-                        run.append(" ")
-                    elif name == "hr":
-                        close_run()
-                    self.tags[open_[-1]] += name not in ("br", "wbr")
-                continue
-            if hidden:
-                hidden.append(name)
+                if name == "br":
+                    run.append(" ")
+                elif name == "hr":
+                    close_run()
+                self.tags[open_[-1]] += name not in ("br", "wbr")
                 continue
             inside_main = any(self.name[i] in ("article", "main") for i in open_)
-            if _left_out(name, attributes, inside_main):
-                if name not in BLOCKS or name in NEVER:
-                    close_run()
-                else:
-                    self._close_for(name, open_, close)
-                if not attributes.rstrip().endswith("/"):
-                    hidden.append(name)
+            out = _left_out(name, attributes, inside_main)
+            if out and attributes.rstrip().endswith("/"):
+                close_run()
                 continue
-            if name == "a":
-                anchors += 1
-                self.link_tags[open_[-1]] += 1
-                self.tags[open_[-1]] += 1
-            elif name in BLOCKS and name != "body":
+            if name in BLOCKS or name in inline:
                 self._close_for(name, open_, close)
+            if name in BLOCKS and name != "body" or out or name in inline and any(self.name[i] == name for i in open_):
                 close_run()
                 self.parent.append(open_[-1])
                 self.name.append(name)
+                self.out.append(out)
                 for counts in (self.chars, self.links, self.tags, self.link_tags):
                     counts.append(0)
                 open_.append(len(self.name) - 1)
-                anchors = 0
+                if out:
+                    outside[open_[-1]] = anchors
+                if name in BLOCKS:
+                    anchors = 0
+                else:
+                    inline.add(name)
+            elif name == "a":
+                anchors += 1
+                self.link_tags[open_[-1]] += 1
+                self.tags[open_[-1]] += 1
         add_text(html[at:])
         close_run()
 
     def _close_for(self, name: str, open_: list[int], close) -> None:
         """Close what may not hold a ``name``: an open paragraph, and siblings whose end tag is left out."""
-        if self.name[open_[-1]] == "p":
-            close(len(open_) - 1)
+        if name in BLOCKS:
+            block = next(i for i in range(len(open_) - 1, -1, -1) if self.name[open_[i]] in BLOCKS)
+            if self.name[open_[block]] == "p":
+                close(block)
         for i in range(len(open_) - 1, 0, -1):
             other = self.name[open_[i]]
             if other in _SCOPES.get(name, ()):
@@ -173,11 +181,20 @@ class Page:
                 close(i)
                 break
 
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite density of every node, and the sum over its children (a leaf: its own)."""
+    def left_out(self) -> list[bool]:
+        """For every node whether it is in a left-out element."""
+        gone = list(self.out)
+        for i in range(1, len(gone)):
+            gone[i] = gone[i] or gone[self.parent[i]]
+        return gone
+
+    def densities(self, gone: list[bool]) -> tuple[list[float], list[float]]:
+        """Composite density of every node, and the sum over its children (a leaf: its own); nodes that are ``gone`` count as absent."""
         n = len(self.name)
         c, lc, t, lt = list(self.chars), list(self.links), list(self.tags), list(self.link_tags)
         for i in range(n - 1, 0, -1):
+            if gone[i]:
+                continue
             p = self.parent[i]
             c[p] += c[i]
             lc[p] += lc[i]
@@ -186,7 +203,7 @@ class Page:
         body = lc[0] / max(1, c[0])
         density = []
         for i in range(n):
-            if not c[i]:
+            if gone[i] or not c[i]:
                 density.append(0.0)
                 continue
             base = math.log(c[i] / max(1, c[i] - lc[i]) * lc[i] + body * c[i] + math.e)  # above 1 in a page with links
@@ -195,6 +212,8 @@ class Page:
         sums = [0.0] * n
         has_child = [False] * n
         for i in range(1, n):
+            if gone[i]:
+                continue
             sums[self.parent[i]] += density[i]
             has_child[self.parent[i]] = True
         return density, [s if h else d for s, h, d in zip(sums, has_child, density)]
@@ -205,9 +224,9 @@ class Page:
             out.append(self.parent[out[-1]])
         return out
 
-    def main_node(self) -> int:
+    def main_node(self, gone: list[bool]) -> int:
         """Root of the article."""
-        density, sums = self.densities()
+        density, sums = self.densities(gone)
         n = len(density)
         if n == 1:
             return 0
@@ -231,10 +250,11 @@ class Page:
         return holder[-1] if holder else root
 
     def text(self) -> str:
-        root = self.main_node()
+        gone = self.left_out()
+        root = self.main_node(gone)
         inside = [i == root for i in range(len(self.name))]
         for i in range(root + 1, len(self.name)):
-            inside[i] = inside[self.parent[i]]
+            inside[i] = inside[self.parent[i]] and not gone[i]
         return "\n".join(t for node, t in self.texts if inside[node])
 
 

@@ -445,6 +445,15 @@ def test_text_after_icons_stays(icon):
     assert html.main_text(f"<p>a</p>{icon}<p>the rest</p>") == "a\nthe rest"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<head><meta charset=utf-8><title>t</title><body><p>article</p>", "article"), ("<html><head><link rel=x><p>article", "article"), ("<head><title>t</title>article", "article"),
+    ("<ul><li class=share>x<li>y</ul><p>article</p>", "y\narticle"), ("<p class=notice>x<p>article</p>", "article"), ("<div><span class=share>x</div><p>article", "article"),
+    ("<p><a class=share href=x>x<a href=y>y</a> article</p>", "y article"), ("<nav><ul><li>a<li>b</ul><p>c</nav><p>article", "article"),
+    ("<div><span class=share><span>x</span>x</span>article</div>", "article"), ("<table><tr><td class=ad>x<td>article</table>", "article")])
+def test_left_out_elements_end_where_others_do(page, text):
+    assert html.main_text(page) == text
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "just text <b>x</b>", "<p>a<p>b<div>c", "<nav>menu</nav>", "<p>cut &am <a href='x", "<!-- open", "<" * 3000, "<p " * 3000, "<div>" * 3000 + "deep", "&lt;p&gt;&#233;&nbsp;x"]
     out = [r["text"] for r in html.extract(spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")).orderBy("page_id").collect()]
