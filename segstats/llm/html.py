@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements; elements that are never main text
-(by their name, or by whole words of their class, id or role) are in it as well,
-end like any others, and count as absent afterwards.  Every other node has the characters per tag of its subtree, adjusted for the
+(by their name or role, or hidden) are in it as well, end like any others, and
+count as absent afterwards.  So do forms and elements with certain whole words in
+class or id, unless they hold the main node of the tree that has them all, text
+in a <main>, or most of the text.  Every other node has the characters per tag of its subtree, adjusted for the
 share of linked characters and link tags.  The densest node sets a threshold:
 the least density on its way to the body.  From the body down, each node at or
 above the threshold gives the subtree with the largest sum of child densities;
@@ -51,21 +53,27 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _left_out(name: str, attributes: str, inside_main: bool) -> bool:
-    """Whether an element is never main text."""
-    if name in NEVER or (name == "header" and not inside_main):
-        return True
+KEPT, DOUBTED, NEVER_MAIN = 0, 1, 2
+
+
+def _left_out(name: str, attributes: str, inside_main: bool) -> int:
+    """Whether an element is never main text, or DOUBTED: a form, or one with words in class or id that may be about its neighbours."""
+    if (name in NEVER and name != "form") or (name == "header" and not inside_main):
+        return NEVER_MAIN
+    out = DOUBTED if name == "form" else KEPT
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return out
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
-            return True
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES - {"form"}):
+            return NEVER_MAIN
+        if key == "role" and value.lower() == "form":
+            out = DOUBTED
         if key in ("class", "id"):
             words = {w.lower() for w in _PARTS.findall(value)}
             if words & NOT_MAIN and not (name in ("h1", "header") and inside_main and words & NOT_MAIN <= {"header"}):
-                return True
-    return False
+                out = DOUBTED
+    return out
 
 
 class Page:
@@ -75,7 +83,7 @@ class Page:
         self.parent, self.name = [-1], ["body"]
         self.texts: list[tuple[int, str]] = []  # a run of text and the node it stands in
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
-        self.out = [False]
+        self.out = [KEPT]
         open_: list[int] = [0]
         inline: set[str] = set()  # names of left-out elements that are no blocks; these are nodes too
         anchors = 0
@@ -182,11 +190,46 @@ class Page:
                 break
 
     def left_out(self) -> list[bool]:
-        """For every node whether it is in a left-out element."""
-        gone = list(self.out)
-        for i in range(1, len(gone)):
+        """For every node whether it is in a left-out element.
+
+        Doubted elements stay if they hold the main node of all that is not
+        NEVER_MAIN, text in a <main>, or most of the text; but not beside a
+        <main> with text, nor without blocks of their own where an <article> or
+        <main> outside has text.  If nothing else is left, the one with the
+        most text stays.
+        """
+        n = len(self.out)
+        gone = [o == NEVER_MAIN for o in self.out]
+        for i in range(1, n):
             gone[i] = gone[i] or gone[self.parent[i]]
-        return gone
+        doubted = [i for i in range(n) if self.out[i] == DOUBTED and not gone[i]]
+        if not doubted:
+            return gone
+        chars = [0 if g else c for g, c in zip(gone, self.chars)]
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        inside = [False] * n  # of a doubted element
+        in_main = [name == "main" for name in self.name]
+        for i in range(1, n):
+            inside[i] = self.out[i] == DOUBTED or inside[self.parent[i]]
+            in_main[i] = in_main[i] or in_main[self.parent[i]]
+        mains = {j for i in range(n) if self.name[i] == "main" and chars[i] for j in self.path(i)}
+        marked = any(self.name[i] in ("article", "main") and chars[i] and not inside[i] for i in range(n))
+        blocks = set(self.parent)
+        main_path = set(self.path(self.main_node(gone)))
+        holds = mains | {i for i in doubted if (i in main_path or 2 * chars[i] > chars[0]) and (not mains or in_main[i]) and (not marked or i in blocks)}
+
+        def without() -> list[bool]:
+            out = list(gone)
+            for i in range(1, n):
+                out[i] = out[i] or out[self.parent[i]] or (self.out[i] == DOUBTED and i not in holds)
+            return out
+
+        left = without()
+        if chars[0] and not any(c for c, g in zip(self.chars, left) if not g):
+            holds.update(self.path(max(doubted, key=lambda i: (chars[i], i))))
+            left = without()
+        return left
 
     def densities(self, gone: list[bool]) -> tuple[list[float], list[float]]:
         """Composite density of every node, and the sum over its children (a leaf: its own); nodes that are ``gone`` count as absent."""

@@ -454,6 +454,20 @@ def test_left_out_elements_end_where_others_do(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrap", ["div class=content-sidebar-wrap", "div class='post has-comments'", "div class='site header-fixed'", "div id=social-science", "form action=x", "div role=form"])
+def test_wrappers_of_the_article_stay(wrap):
+    article = "<h1>Title</h1><p>The text of the article, which is longer than the rest.</p><p>And more of it.</p>"
+    expected = "Title\nThe text of the article, which is longer than the rest.\nAnd more of it."
+    rest = "<nav><a href=x>Home</a></nav><div class=sidebar><p>Aside text.</p></div>"
+    for inner in (article, f"<main>{article}</main>", f"<div class=sidebar><p>Latest posts</p></div><div>{article}</div>"):
+        assert html.main_text(f"<body>{rest}<{wrap}>{inner}</{wrap.split()[0]}><div class=share>Share</div></body>") == expected
+
+
+def test_main_inside_a_wrapper_stays_beside_long_comments():
+    comments = "<div class=comments>" + "<p>A comment that is as long as can be.</p>" * 3 + "</div>"
+    assert "The article." in html.main_text(f"<div class='page has-comments'><main><p>The article.</p></main></div>{comments}")
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "just text <b>x</b>", "<p>a<p>b<div>c", "<nav>menu</nav>", "<p>cut &am <a href='x", "<!-- open", "<" * 3000, "<p " * 3000, "<div>" * 3000 + "deep", "&lt;p&gt;&#233;&nbsp;x"]
     out = [r["text"] for r in html.extract(spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")).orderBy("page_id").collect()]
