@@ -8,7 +8,10 @@ joined by shuffle beyond.  The distinct lexicon terms of a text are sorted and
 hashed once for the whole lexicon and once for each of several random subsets of
 it, at four densities: long texts differ in the dense subsets after few edits,
 short texts have no terms in the sparse ones, and the share of equal hashes
-grades what two texts have in common.
+grades what two texts have in common.  A text with more lexicon terms than the
+sparsest of these subsets thins has further levels, each a quarter as dense,
+until a subset has about one of its terms; two texts are compared on the levels
+that both have.
 
 The document before and the document after meet in ranges of doc_id: one shuffle
 of the texts by range, a window inside it, and one extra row per range that is
@@ -34,6 +37,8 @@ from segstats.scale import settle
 IDF_BAND = (1.0, math.log(2000))
 #: (bits skipped in the term hash, terms of the lexicon per term of a subset, subsets)
 DENSITIES = ((0, 1, 1), (3, 4, 2), (8, 16, 5), (14, 64, 16), (22, 256, 32))
+#: Each further level has a quarter of the terms of the one before, in so many subsets.
+FURTHER = 32
 BROADCAST_TERMS = 2_000_000
 ROWS_PER_RANGE = 50_000
 _EMPTY = 42  # what xxhash64 gives for an empty array
@@ -53,7 +58,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
 
 
 def subset_hashes(found: Column) -> Column:
-    """From the sorted lexicon terms of a text: a 32-bit hash for each subset, 0 where it has no term."""
+    """From the sorted lexicon terms of a text: a 32-bit hash for each subset, 0 where it has no term; long texts have further subsets."""
 
     def place(t: Column, skip: int, density: int) -> Column:
         return F.call_function("shiftright", t, F.lit(skip)).bitwiseAND(F.lit(density - 1))
@@ -71,7 +76,20 @@ def subset_hashes(found: Column) -> Column:
         some = F.filter(found, lambda t: place(t, skip, density) < many)  # noqa: B023
         out.append(F.transform(F.array(some), lambda s: F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: hashed(  # noqa: B023
             F.filter(s, lambda t: place(t, skip, density) == i))))[0])  # noqa: B023
-    return F.concat(*out)
+
+    def thinned(level: Column) -> Column:
+        # The terms of any subset of the level, with their subset, from a hash of its own for each level.
+        share = F.pow(F.lit(4.0), level).cast("bigint") * DENSITIES[-1][1]
+        placed = F.transform(found, lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t, level), share).alias("i")))
+        some = F.filter(placed, lambda v: v["i"] < FURTHER)
+        return F.flatten(F.transform(F.array(some), lambda s: F.transform(F.sequence(F.lit(0), F.lit(FURTHER - 1)), lambda i: hashed(
+            F.transform(F.filter(s, lambda v: v["i"] == i), lambda v: v["t"])))))
+
+    # One level for each factor of 4, begun or whole, above the sparsest density.
+    levels = F.ceil(F.log(4.0, F.size(found) / F.lit(DENSITIES[-1][1])) - 1e-9).cast("int")
+    none = F.array().cast("array<bigint>")
+    further = F.when(F.size(found) > DENSITIES[-1][1], F.flatten(F.transform(F.sequence(F.lit(1), levels), thinned))).otherwise(none)
+    return F.concat(*out, further)
 
 
 def as_text(hashes: Column) -> Column:
@@ -79,7 +97,9 @@ def as_text(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets with terms in either text whose hashes are equal."""
+    """Share of the subsets with terms in either text whose hashes are equal, over the levels of both."""
+    n = F.least(F.size(a), F.size(b))
+    a, b = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
     both = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda v: v))
     either = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda v: v))
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)

@@ -94,6 +94,13 @@ def test_fingerprints_of_awkward_rows(awkward, rows, nothing):
     assert imatch.fingerprints(nothing).collect() == []
 
 
+def test_half_changed_long_texts_keep_hashes_in_common(spark):
+    texts = [" ".join(f"w{d}x{i}" for i in range(n)) for d, n in enumerate([6000, 1500, 5000, 300, 2000])]
+    found = imatch.fingerprints(cases.docs(spark, texts)).collect()
+    for r in found:
+        assert r["near_next"] == 0 and (r["near_edited"] > 0.03 or r["doc_id"] == 3)
+
+
 def test_lexicon_join_by_shuffle_gives_the_same(table, monkeypatch):
     before = imatch.fingerprints(table).collect()
     monkeypatch.setattr(imatch, "BROADCAST_TERMS", -1)
