@@ -18,8 +18,8 @@ of the texts by range, a window inside it, and one extra row per range that is
 the head of the next range.
 
 Defined results: null text is empty; terms are the words in lower case; a text
-without lexicon terms has the fingerprint of only zeros, and two such texts have
-likeness 1; documents follow each other by descending doc_id, then SHA-256 of the text, null
+without lexicon terms is hashed as one term made of all its distinct terms; texts
+without words have the fingerprint of only zeros, and two of them have likeness 1; documents follow each other by descending doc_id, then SHA-256 of the text, null
 doc_id last, and the first follows the last; an empty table gives no rows.
 """
 
@@ -141,15 +141,21 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
     if kept.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
     pairs = with_next(docs).withColumn("_edited", edited(F.col("text"), text_of("next_text")))
-    info = F.struct("_extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_own"))
-    of = lambda text, side: F.transform(terms(F.col(text)), lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
+    pairs = pairs.withColumns({"_terms": terms(F.col("text")), "_edited_terms": terms(F.col("_edited"))})
+    whole = lambda found: F.when(F.size(found) > 0, F.xxhash64(F.sort_array(found)))
+    info = F.struct("_extra", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("_own"),
+                    whole(F.col("_terms")).alias("_whole"), whole(F.col("_edited_terms")).alias("_edited_whole"))
+    of = lambda found, side: F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
     # A row for each term of either text; what belongs to the document itself goes with a row of its own.
-    texts = pairs.select("_range", F.monotonically_increasing_id().alias("_row"), F.concat(of("text", 0), of("_edited", 1), F.array(F.struct(mark.alias("term"), F.lit(2).alias("side")))).alias("terms"), info.alias("info"))
+    texts = pairs.select("_range", F.monotonically_increasing_id().alias("_row"), F.concat(of("_terms", 0), of("_edited_terms", 1), F.array(F.struct(mark.alias("term"), F.lit(2).alias("side")))).alias("terms"), info.alias("info"))
     rows = texts.select("_range", "_row", F.explode("terms").alias("t"), "info").select("_range", "_row", "t.term", "t.side", F.when(F.col("t.side") == 2, F.col("info")).alias("info"))
     each = rows.join(words, "term").groupBy("_range", "_row").agg(
         F.first("info", ignorenulls=True).alias("info"),
         F.collect_list(F.when(F.col("side") == 0, F.col("term"))).alias("own"), F.collect_list(F.when(F.col("side") == 1, F.col("term"))).alias("changed"))
-    hashed = each.select("_range", "info.*", subset_hashes(F.sort_array("own")).alias("own"), subset_hashes(F.sort_array("changed")).alias("changed"))
+    # In place of no lexicon term: all terms of the text as one.
+    held = lambda found, instead: F.when((F.size(found) == 0) & F.col(instead).isNotNull(), F.array(instead)).otherwise(F.sort_array(found))
+    each = each.select("_range", "info.*", held("own", "info._whole").alias("own"), held("changed", "info._edited_whole").alias("changed"))
+    hashed = each.withColumns({"own": subset_hashes(F.col("own")), "changed": subset_hashes(F.col("changed"))})
     order = Window.partitionBy("_range").orderBy("_extra", F.desc_nulls_last("doc_id"), "_own")
     full = hashed.withColumn("next", F.lead("own").over(order)).where(F.col("_extra") == 0)
     return full.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),

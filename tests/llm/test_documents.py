@@ -101,6 +101,15 @@ def test_half_changed_long_texts_keep_hashes_in_common(spark):
         assert r["near_next"] == 0 and (r["near_edited"] > 0.03 or r["doc_id"] == 3)
 
 
+def test_texts_without_lexicon_terms_match_by_all_terms_only(spark):
+    texts = ["the and of", "The and", "of and the", "the of", "", "  ", None]
+    found = {r["doc_id"]: r for r in imatch.fingerprints(cases.docs(spark, texts)).collect()}
+    prints = [found[i]["fingerprint"] for i in range(7)]
+    assert prints[0] == prints[2] and len(set(prints)) == 4
+    assert {p for p in prints if not p.strip("0")} == set(prints[4:]) and len(set(prints[4:])) == 1
+    assert [found[i]["near_next"] for i in range(7)] == [0, 0, 0, 0, 0, 1, 1]
+
+
 def test_lexicon_join_by_shuffle_gives_the_same(table, monkeypatch):
     before = imatch.fingerprints(table).collect()
     monkeypatch.setattr(imatch, "BROADCAST_TERMS", -1)
