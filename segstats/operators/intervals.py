@@ -21,10 +21,10 @@ def merge_intervals(df: DataFrame, by: Sequence[str], rows_per_chunk: int = ROWS
     ``max(hi)``.  Copies with the same start are folded before any sort.
     """
     starts = df.where(F.col("hi") > F.col("lo")).groupBy(*by, "lo").agg(F.max("hi").alias("hi"))
-    starts = with_chunks(starts, "lo", rows_per_chunk)
-    seen = running(starts, by, ["lo"], {"_before": ("max", "hi")}, through=False)
+    starts = with_chunks(starts, ["lo"], rows_per_chunk, by)
+    seen = running(starts, by, ["lo"], {"_before": ("max", "hi")}, through=False, rows_per_chunk=rows_per_chunk)
     opens = F.col("_before").isNull() | (F.col("lo") > F.col("_before"))
-    marked = running(seen.withColumn("_open", F.when(opens, F.col("lo"))), by, ["lo"], {"_island": ("max", "_open")})
+    marked = running(seen.withColumn("_open", F.when(opens, F.col("lo"))), by, ["lo"], {"_island": ("max", "_open")}, rows_per_chunk=rows_per_chunk)
     return marked.groupBy(*by, F.col("_island").alias("lo")).agg(F.max("hi").alias("hi"))
 
 
@@ -53,8 +53,8 @@ def complement(hidden: DataFrame, by: Sequence[str], bounds: DataFrame,
                rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Gaps between the merged ``hidden`` intervals inside the bounds (key, first, last)."""
     merged = attach(merge_intervals(hidden, by, rows_per_chunk), bounds, by, ["lo"], how="inner")
-    merged = with_chunks(merged, "lo", rows_per_chunk)
-    before = running(merged, by, ["lo"], {"_end": ("max", "hi")}, through=False)
+    merged = with_chunks(merged, ["lo"], rows_per_chunk, by)
+    before = running(merged, by, ["lo"], {"_end": ("max", "hi")}, through=False, rows_per_chunk=rows_per_chunk)
     inner = before.select(*by, F.coalesce("_end", "first").alias("lo"), F.col("lo").alias("hi"))
     tail = merged.groupBy(*by).agg(F.max("hi").alias("lo"), F.max("last").alias("hi"))
     return inner.unionByName(tail).where(F.col("lo") < F.col("hi"))

@@ -194,8 +194,8 @@ def roc_auc(scores: DataFrame, score: str = "sim", label: str = "label", weight:
     Scores are counted per distinct value, and each positive is credited with
     the negatives below it plus half of those at its own score.
     """
-    counts = with_chunks(_by_score(scores, score, label, weight), "score", rows_per_chunk)
-    below = running(counts, [], ["score"], {"_below": ("sum", "neg")}, through=False)
+    counts = with_chunks(_by_score(scores, score, label, weight), ["score"], rows_per_chunk)
+    below = running(counts, [], ["score"], {"_below": ("sum", "neg")}, through=False, rows_per_chunk=rows_per_chunk)
     credit = F.col("pos") * (F.coalesce("_below", F.lit(0.0)) + F.col("neg") / 2)
     sums = below.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(credit).alias("_u"))
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)

@@ -14,7 +14,7 @@ from segstats.scale import running, settle, with_chunks
 def _strips(rects: DataFrame, by: Sequence[str]) -> DataFrame:
     """Covered y intervals of every strip between neighbouring x coordinates: key, x_lo, x_hi, lo, hi."""
     cuts = rects.select(*by, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    cuts = with_chunks(cuts, "x")
+    cuts = with_chunks(cuts, ["x"], by=by)
     strips = running(cuts, by, ["x"], {"_before": ("max", "x")}, through=False).where(F.col("_before").isNotNull())
     strips = strips.select(*by, F.col("_before").alias("lo"), F.col("x").alias("hi"))
     wide = rects.distinct().select(*by, F.col("x0").alias("lo"), F.col("x1").alias("hi"), "y0", "y1")

@@ -84,7 +84,7 @@ def touch_report(members: DataFrame, gaps: DataFrame, touch: float = 3.0) -> Dat
 def _median_rows(gaps: DataFrame, sizes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     from segstats.scale import attach, running, with_chunks
 
-    counts = with_chunks(gaps.groupBy(*key, "gap").agg(F.count(F.lit(1)).alias("_n")), "gap")
+    counts = with_chunks(gaps.groupBy(*key, "gap").agg(F.count(F.lit(1)).alias("_n")), ["gap"], by=key)
     upto = attach(running(counts, key, ["gap"], {"_upto": ("sum", "_n")}), sizes, key, ["gap"], how="inner")
 
     def row(rank: Column, out: str) -> DataFrame:

@@ -12,8 +12,8 @@ from segstats.scale import ROWS_PER_CHUNK, attach, row_numbers, running, with_ch
 
 def avg_rank(df: DataFrame, score: str, ids: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Ascending rank with ties averaged, found once per distinct score and looked up by every row."""
-    counts = with_chunks(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), score, rows_per_chunk)
-    upto = running(counts, [], [score], {"_upto": ("sum", "_n")})
+    counts = with_chunks(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [score], rows_per_chunk)
+    upto = running(counts, [], [score], {"_upto": ("sum", "_n")}, rows_per_chunk=rows_per_chunk)
     ranks = upto.select(score, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias("avg_rank"))
     return attach(df, ranks, [score], ids, how="inner")
 
@@ -21,8 +21,8 @@ def avg_rank(df: DataFrame, score: str, ids: Sequence[str], rows_per_chunk: int
 def running_best(metrics: DataFrame, by: Sequence[str] = ("run",), order: str = "epoch", value: str = "value",
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """``is_best``: the value beats every earlier one of its run, and 0."""
-    chunked = with_chunks(metrics, order, rows_per_chunk)
-    before = running(chunked, by, [order], {"_before": ("max", value)}, through=False)
+    chunked = with_chunks(metrics, [order], rows_per_chunk, by)
+    before = running(chunked, by, [order], {"_before": ("max", value)}, through=False, rows_per_chunk=rows_per_chunk)
     beats = F.col(value) > F.greatest(F.coalesce("_before", F.lit(0.0)), F.lit(0.0))
     return before.withColumn("is_best", F.coalesce(beats, F.lit(False))).drop("_before", "_chunk")
 
@@ -30,8 +30,8 @@ def running_best(metrics: DataFrame, by: Sequence[str] = ("run",), order: str =
 def moving_mean(metrics: DataFrame, by: Sequence[str] = ("run", "epoch"), order: str = "step", value: str = "value",
                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Mean of all values of a group up to each step."""
-    counted = with_chunks(metrics.withColumn("_one", F.lit(1)), order, rows_per_chunk)
-    sums = running(counted, by, [order], {"_s": ("sum", value), "_n": ("sum", "_one")})
+    counted = with_chunks(metrics.withColumn("_one", F.lit(1)), [order], rows_per_chunk, by)
+    sums = running(counted, by, [order], {"_s": ("sum", value), "_n": ("sum", "_one")}, rows_per_chunk=rows_per_chunk)
     return sums.withColumn("running_mean", F.col("_s") / F.col("_n")).drop("_s", "_n", "_one", "_chunk")
 
 

@@ -1,7 +1,7 @@
 """Building blocks that keep one hot key from landing in one task.
 
 * ``skew_join``      equi-join on keys that may be hot;
-* ``running``        running aggregates cut into chunks of bounded size;
+* ``running``        running aggregates as a prefix scan over chunks of bounded size, to any depth;
 * ``kth_smallest``   the k-th row of a hash order without sorting the table;
 * ``settle``         table written to the checkpoint folder the cluster names;
 * ``until_stable``   fixpoint loop over settled rounds.
@@ -18,10 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 4096
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -147,60 +145,27 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ids: Seq
     return skew_join(left, right, keys, left_ids, how=how, salts=salts)
 
 
-def order_number(df: DataFrame, key: str) -> Column:
-    """A double that never falls as ``key`` rises: numbers and times themselves, text by its first seven bytes."""
-    kind, value = df.schema[key].dataType, F.col(key)
-    if isinstance(kind, T.NumericType | T.BooleanType):
-        return value.cast("double")
-    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
-        return value.cast("timestamp").cast("double")
-    if isinstance(kind, T.StringType | T.BinaryType):
-        head = F.substring(value.cast("binary"), 1, 7)
-        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("double")
-    raise TypeError(f"{key}: no order number for {kind.simpleString()}")
-
-
-def range_chunks(df: DataFrame, key: str, rows_per_chunk: int = ROWS_PER_CHUNK,
-                 max_chunks: int = MAX_CHUNKS) -> tuple[Column, int]:
-    """A column that numbers ranges of ``key`` with about ``rows_per_chunk`` rows each.
-
-    The cut points are approximate quantiles over the whole table, so no key
-    group can put more than a chunk's worth of rows into one (group, chunk)
-    pair, however hot it is, as long as its rows differ in ``key`` and the table
-    has at most ``max_chunks`` x ``rows_per_chunk`` rows; beyond, chunks grow.  At
-    most ``max_chunks`` numbers reach the driver.  Small tables get a single chunk.
+_AGGS = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
+
+
+def with_chunks(df: DataFrame, order: str | Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK, by: Sequence[str] = ()) -> DataFrame:
+    """Settle a table that :func:`running` will read, with ``_chunk`` when it is too big for one task per group.
+
+    The chunks are ranges of (by, order, a number of the row), so rows that tie in
+    the whole ``order`` are cut as well, a group lies in neighbouring chunks, and
+    the number of chunks grows with the table without a limit.  A single name
+    stands for the first of several order keys: its ties stay together.
     """
-    number = order_number(df, key)  # refused at any size if there is none
-    n = df.count()
-    chunks = min(max_chunks, -(-n // rows_per_chunk))
-    if chunks <= 1:
-        return F.lit(0), 1
-    points = [i / chunks for i in range(1, chunks)]
-    found = df.agg(F.percentile_approx(number, points, 20 * chunks).alias("q")).first()["q"]
-    bounds = sorted(set(found))
-    # Two-level lookup: first the block of cut points, then the place inside it.
-    width = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    nested = F.array(*[F.array(*[F.lit(v) for v in b]) for b in blocks])
-    value = number
-    block = F.size(F.filter(heads, lambda h: h <= value))
-    inner = F.size(F.filter(F.get(nested, block - 1), lambda b: b <= value))
-    chunk = F.when(block == 0, F.lit(0)).otherwise((block - 1) * F.lit(width) + inner)
-    return chunk.cast("int"), len(bounds) + 1
-
-
-_AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
-
-
-def with_chunks(df: DataFrame, key: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Settle a table that :func:`running` will read, with ``_chunk`` when it is too big for one task per group."""
     df = settle(df)
-    order_number(df, key)
-    if df.count() <= rows_per_chunk:
+    chunks = -(-df.count() // rows_per_chunk)
+    if chunks <= 1:
         return df
-    chunk, n_chunks = range_chunks(df, key, rows_per_chunk)
-    return df.withColumn("_chunk", chunk) if n_chunks > 1 else df
+    keys = [order] if isinstance(order, str) else [*order, "_tie"]
+    numbered = df.withColumn("_tie", F.monotonically_increasing_id())  # of a written table: the same in every attempt
+    cut = numbered.repartitionByRange(chunks, *by, *keys).withColumn("_chunk", F.spark_partition_id()).drop("_tie")
+    out = settle(cut)
+    forget(df)
+    return out
 
 
 def running(
@@ -209,44 +174,54 @@ def running(
     order: Sequence[str],
     values: dict[str, tuple[str, str]],
     through: bool = True,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Running sum / max / min along ``order`` inside each ``by`` group.
+    """Running sum / max / min / xor along ``order`` inside each ``by`` group; null keys are a group.
 
     ``values`` maps an output name to (aggregate, input column); ``through``
     includes the current row, otherwise only the rows before it count.  With a
-    ``_chunk`` column (see :func:`with_chunks`, cut along ``order[0]``) one
-    window runs inside each (group, chunk), a second one over the chunk totals,
-    at most MAX_CHUNKS rows per group, and the two are combined.
+    ``_chunk`` column (see :func:`with_chunks`, called with the same ``by`` and
+    ``order``) one window runs inside each (group, chunk) and the totals of the
+    groups that lie in several chunks, at most two for each chunk, are carried on
+    by the same function: totals of totals, to any depth.  Double sums depend on
+    where a table is cut, by rounding.
     """
     inside_end = 0 if through else -1
     keys = list(by) or [F.lit(0)]
     if "_chunk" not in df.columns:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, inside_end)
         return df.select("*", *[_AGGS[fn](c).over(w).alias(out) for out, (fn, c) in values.items()])
-    totals = df.groupBy(*by, "_chunk").agg(*[_AGGS[fn](c).alias(f"_t_{out}") for out, (fn, c) in values.items()])
-    over_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *by, "_chunk", *[_AGGS[fn](f"_t_{out}").over(over_chunks).alias(f"_c_{out}") for out, (fn, _) in values.items()])
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, inside_end)
     local = df.select("*", *[_AGGS[fn](c).over(inside).alias(f"_l_{out}") for out, (fn, c) in values.items()])
-    if not by:
-        carry = F.broadcast(carry)  # one row per chunk, at most MAX_CHUNKS
-    joined = local.join(carry, [*by, "_chunk"], "left")
+    carry = _carried(df, by, values, rows_per_chunk)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*by, "_chunk"]]
+    joined = local.alias("l").join(carry.alias("c"), reduce(lambda a, b: a & b, same), "left")
 
     def both(out: str, fn: str) -> Column:
         a, b = F.col(f"_l_{out}"), F.col(f"_c_{out}")
-        if fn == "sum":
-            return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+        if fn in ("sum", "xor"):
+            return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b if fn == "sum" else a.bitwiseXOR(b))
         return F.greatest(a, b) if fn == "max" else F.least(a, b)
 
-    return joined.select(*df.columns, *[both(out, fn).alias(out) for out, (fn, _) in values.items()])
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], *[both(out, fn).alias(out) for out, (fn, _) in values.items()])
+
+
+def _carried(df: DataFrame, by: Sequence[str], values: dict[str, tuple[str, str]], rows_per_chunk: int) -> DataFrame:
+    """For the groups that lie in several chunks, what the chunks before each chunk add up to."""
+    totals = settle(df.groupBy(*by, F.col("_chunk").alias("_at")).agg(*[_AGGS[fn](c).alias(f"_t_{out}") for out, (fn, c) in values.items()]))
+    if by:
+        wide = totals.groupBy(*[F.col(k).alias(f"_w_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_n_chunks")).where("_n_chunks > 1")
+        totals = totals.join(wide, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in by]), "left_semi")
+    cut = with_chunks(totals, ["_at"], max(2, rows_per_chunk), by)
+    sums = running(cut, by, ["_at"], {f"_c_{out}": (fn, f"_t_{out}") for out, (fn, _) in values.items()}, through=False, rows_per_chunk=rows_per_chunk)
+    return settle(sums.select(*by, F.col("_at").alias("_chunk"), *[f"_c_{out}" for out in values]))
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "rn",
                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """1-based row number along ``order`` (first column numeric), without one task per group."""
-    ones = with_chunks(df.withColumn("_one", F.lit(1).cast("bigint")), order[0], rows_per_chunk)
-    return running(ones, by, order, {out: ("sum", "_one")}).drop("_one", "_chunk")
+    """1-based row number along ``order``, without one task per group."""
+    ones = with_chunks(df.withColumn("_one", F.lit(1).cast("bigint")), order, rows_per_chunk, by)
+    return running(ones, by, order, {out: ("sum", "_one")}, rows_per_chunk=rows_per_chunk).drop("_one", "_chunk")
 
 
 def kth_smallest(df: DataFrame, hash_col: str, id_col: str, k: Column) -> Column:
@@ -281,8 +256,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[flo
     keys = list(by) or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     counts = base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(n.alias("_n"))
-    counts = with_chunks(counts, "_v", rows_per_chunk)
-    upto = running(counts, keys, ["_v"], {"_upto": ("sum", "_n")})
+    counts = with_chunks(counts, ["_v"], rows_per_chunk, keys)
+    upto = running(counts, keys, ["_v"], {"_upto": ("sum", "_n")}, rows_per_chunk=rows_per_chunk)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = attach(upto, totals, keys, ["_v"], how="inner")
     asked = F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: _holds(p, "floor") | _holds(p, "ceil"))

@@ -210,3 +210,24 @@ def test_skew_join_prepares_the_session(spark):
     df = spark.range(3).withColumn("k", F.lit(1))
     assert scale.skew_join(df, df.withColumnRenamed("id", "other"), ["k"], ["id"]).count() == 9
     assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+
+
+@pytest.mark.parametrize("through", [True, False])
+def test_prefix_scan_of_ties_and_null_keys_to_any_depth(spark, through):
+    """One group with a single order value, a null group and many small ones, cut into chunks of 3 rows, whose totals are cut again."""
+    rows = [(None if n % 5 == 0 else 0 if n % 5 < 3 else n, 7 if n % 5 in (1, 2) else n, n) for n in range(400)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    cut = scale.with_chunks(df, ["o"], 3, by=["k"])
+    assert cut.groupBy("_chunk").count().agg(F.max("count")).first()[0] < 40 and cut.select("_chunk").distinct().count() > 60
+    got = scale.running(cut, ["k"], ["o"], {"s": ("sum", "v"), "x": ("xor", "v")},
+                        through=through, rows_per_chunk=3).collect()
+    assert len(got) == 400
+    for k in {r["k"] for r in got}:
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: (r["o"], (r["s"] or 0)))
+        s = x = None
+        for r in mine:
+            after = ((s or 0) + r["v"], (x or 0) ^ r["v"])
+            assert (r["s"], r["x"]) == (after if through else (s, x))
+            s, x = after
+    numbers = scale.row_numbers(df.select("k", "o"), ["o"], ["k"], rows_per_chunk=3).groupBy("k").agg(F.count("rn"), F.countDistinct("rn"), F.max("rn")).collect()
+    assert all(r[1] == r[2] == r[3] for r in numbers)
