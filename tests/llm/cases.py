@@ -86,3 +86,76 @@ def repeats(rows, window=13):
                 gone[i:i + window] = [True] * window
         out.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
     return out
+
+
+def merkle(rows, fanout=8):
+    """The rows of op11 for (doc_id, source, lang, n_chars, text) rows, by plain lists."""
+    H = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def leaf(r):
+        return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def tree(nodes):
+        """Root and, for each node, its [(place, siblings)]."""
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, i in enumerate(at):
+                run = nodes[i - i % fanout: i - i % fanout + fanout]
+                paths[k].append((i % fanout, run[:i % fanout] + run[i % fanout + 1:]))
+            nodes = [H("".join(nodes[i:i + fanout])) for i in range(0, len(nodes), fanout)]
+            at = [i // fanout for i in at]
+        return nodes[0], paths
+
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r[2], []).append(r)
+    langs = sorted(by_lang, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {}
+    for v in langs:
+        mine = sorted(by_lang[v], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[v] = (mine, *tree([leaf(r) for r in mine]))
+    if not langs:
+        return []
+    root, tops = tree([trees[v][1] for v in langs])
+    out = []
+    for v, top in zip(langs, tops):
+        mine, sub, paths = trees[v]
+        for r, path in zip(mine, paths):
+            path = path + top
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None
+            d = leaf((*r[:4], "".join(c.lower() if "A" <= c <= "Z" else c for c in r[4]))) if changed else leaf(r)
+            for place, siblings in path:
+                d = H("".join(siblings[:place]) + d + "".join(siblings[place:]))
+            out.append((r[0], leaf(r), sub, root, H("".join("".join(s) for _, s in path)), d, d == root))
+    return out
+
+
+def trie(rows):
+    """The rows of op12 for (conv_id, turn, role, text) rows, by plain dictionaries."""
+    def content(role, text):
+        role, text = role or "", text or ""
+        return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest(), role, text
+
+    convs = {}
+    for c, turn, role, text in rows:
+        convs.setdefault(c, []).append((turn is not None, turn or 0, *content(role, text)))
+    convs = {c: [t[3:] for t in sorted(ts)] for c, ts in convs.items()}
+    nodes = {}
+    for c in convs:
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % 4
+        seq = (convs.get(c - c % 20, [])[:h] if h else []) + convs[c][h:]
+        for d in range(len(seq) + 1):
+            nodes.setdefault(tuple(seq[:d]), []).append((c, d == len(seq)))
+    big = 2**63 - 1
+    least = lambda members: min(big if c is None else c for c, _ in members)
+    name = lambda c: None if c == big else c
+    value = {k: (len(m) - 1) * (len(k[-1][1].encode().split()) if k else 0) for k, m in nodes.items()}
+    out = []
+    for k, m in nodes.items():
+        below = [u for u in nodes if u[:len(k)] == k]
+        children = [u for u in below if len(u) == len(k) + 1]
+        inner = {u[:-1] for u in below if len(u) > len(k)} | {u[:i] for u in below for i in range(len(k), len(u))}
+        ends = ",".join(map(str, sorted(c for c, e in m if e and c is not None)))
+        out.append((name(least(m)), len(k), name(least(nodes[k[:-1]])) if k else None, len(m), len(children), sum(u not in inner for u in below),
+                    sum(value[u] for u in below), hashlib.sha256(ends.encode()).hexdigest()))
+    return out
