@@ -14,8 +14,9 @@ longer than the lookahead it is merged, the tokens that end before the last
 ``lookahead`` bytes are stable and are emitted, and the rest stays in the window.
 A boundary of the final tokens is crossed by no merge, so going on from there
 gives the same tokens.  Text is read in slices; memory does not depend on the
-length of the text, of a word or of a run of marks.  Pieces that come again are
-looked up in a bounded memory of the worker instead of being merged again.
+length of the text, of a word or of a run of marks.  The windows of short pieces
+end with their piece; those of a slice are merged together, a row of a matrix
+each.  Pieces that come again are looked up in a bounded memory of the worker.
 
 Special tokens of the file that stand in a text are single ids, as in the
 library.  Files without byte-level pre-tokenizer, with a normalizer, or whose
@@ -31,10 +32,12 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -63,8 +66,10 @@ _OTHER = rf"[^\s{_LETTER}{_NUMBER}]"
 #: The pattern of byte-level pre-tokenizers (fixed values of the format).
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+", regex.V1)
 _RUNS = [regex.compile(p, regex.V1) for p in (rf"{_LETTER}+", rf"{_NUMBER}+", r"\s+", rf"{_OTHER}+")]
-#: Characters of a text that are looked at at once, bytes that are merged at once besides the lookahead, length from which a piece is open, pieces that are remembered.
-SLICE, BLOCK, OPEN, REMEMBERED, LONGEST = 1 << 16, 1 << 10, 1 << 12, 250_000, 48
+#: Characters of a text, and of several short ones, that are looked at at once; bytes that are merged at once besides the lookahead; length from which a piece is open.
+SLICE, TOGETHER, BLOCK, OPEN = 1 << 16, 1 << 20, 1 << 10, 1 << 12
+#: Pieces of a generation that a worker remembers, and the longest that is; bytes of a window that shares a matrix with others, and how many share one at least.
+REMEMBERED, LONGEST, SHORT, FEW = 250_000, 48, 64, 32
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
@@ -103,6 +108,9 @@ class _Ranks(dict):
         return 1 << 40
 
 
+_NEVER = np.int32(1 << 30)
+
+
 class Rules:
     """A byte-level BPE file: merges over numbers 0-255 (bytes) and 256 + rank, and the ids behind them."""
 
@@ -130,6 +138,53 @@ class Rules:
             self.special[t["content"]] = t["id"]
             self.bytes_of_id[t["id"]] = bytes(map(byte_of.__getitem__, t["content"])) if all(c in byte_of for c in t["content"]) else t["content"].encode()
 
+        self.pair_keys = np.array(sorted(a * len(spelled) + b for a, b in self.ranks), np.int64)
+        self.pair_new = np.array([self.ranks[divmod(int(k), len(spelled))] for k in self.pair_keys], np.int32)
+        self.id_table = np.array(self.ids, np.uint32)
+
+    def _new(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair merges to; _NEVER for pairs that do not merge."""
+        keys = left.astype(np.int64) * len(self.ids) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_new[at], _NEVER)
+
+    def merged_windows(self, windows: list[bytes]) -> list[bytes]:
+        """Ids of short windows that end with their piece, as bytes: one matrix row each, the best pair of every row merged at a time."""
+        width = max(map(len, windows))
+        sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+        tokens = np.frombuffer(b"".join(w.ljust(width + 1, b"\0") for w in windows), np.uint8).reshape(len(windows), width + 1).astype(np.int32)
+        columns = np.arange(width)
+        pairs = np.where(columns < sizes[:, None] - 1, self._new(tokens[:, :-1], tokens[:, 1:]), _NEVER)
+        rows = np.arange(len(windows))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(rows):
+            k = pairs.argmin(axis=1)
+            every = np.arange(len(rows))
+            new = pairs[every, k]
+            going = new < _NEVER
+            if not going.all():
+                done.append((rows[~going], tokens[~going, :-1]))
+                rows, tokens, pairs, k, new = rows[going], tokens[going], pairs[going], k[going], new[going]
+                every = np.arange(len(rows))
+                if not len(rows):
+                    break
+            size = sizes[rows] - 1
+            sizes[rows] = size
+            after = np.arange(width + 1) + (np.arange(width + 1) > k[:, None])  # the right part of the pair goes
+            tokens = np.take_along_axis(tokens, np.minimum(after, width), axis=1)
+            pairs = np.take_along_axis(pairs, np.minimum(after[:, :-1], width - 1), axis=1)
+            tokens[every, k] = new
+            pairs[:, -1] = _NEVER
+            pairs[every, k] = np.where(k < size - 1, self._new(new, tokens[every, k + 1]), _NEVER)
+            left = np.maximum(k - 1, 0)
+            pairs[every, left] = np.where(k > 0, self._new(tokens[every, left], new), pairs[every, left])
+        out: list[bytes] = [b""] * len(windows)
+        for which, found in done:
+            ids = self.id_table[found]
+            for row, n, line in zip(which.tolist(), sizes[which].tolist(), ids):
+                out[row] = line[:n].tobytes()
+        return out
+
     def merged(self, tokens: list[int]) -> list[int]:
         """Merge until nothing merges: the lowest rank first, from left to right."""
         ranks = self.ranks
@@ -187,8 +242,8 @@ class Encoder:
     def __init__(self, path: str, slice_: int = SLICE, block: int = BLOCK, open_: int = OPEN):
         self.rules = Rules(path)
         self.slice, self.block, self.open = slice_, block, open_
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Memory()
+        self.pieces = _Memory()
         special = sorted(self.rules.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.held = max(map(len, special), default=1) - 1
@@ -222,28 +277,117 @@ class Encoder:
                 return n
         return 0
 
-    def unit(self, text: str) -> bytes:
-        """Ids of a stretch of whole pieces; stretches that come again are remembered."""
-        ids = self.known.get(text)
-        if ids is None:
-            ids = self.older.get(text)
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as bytes; short ones are looked at together."""
+        out: list[bytes] = [b""] * len(texts)
+        some: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            if len(text) > self.slice or self.special is not None and self.special.search(text):
+                out[k] = self.ids(text).tobytes()
+                continue
+            some.append(k)
+            size += len(text)
+            if size > TOGETHER:
+                self._fill(out, some, texts)
+                some, size = [], 0
+        self._fill(out, some, texts)
+        return out
+
+    def _fill(self, out: list[bytes], some: list[int], texts: list[str]) -> None:
+        for k, ids in zip(some, self.joined([texts[k] for k in some])):
+            out[k] = ids
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of stretches of whole pieces."""
+        cut = [_stretches(t) for t in texts]
+        self.known.learn({w for _, words in cut for w in words}, self._stretch_ids)
+        heads = {head for head, _ in cut if head}
+        found = dict(zip(heads, self._piece_ids([PIECE.findall(head) for head in heads]))) | {"": b""}
+        get = self.known.young.__getitem__
+        return [found[head] + b"".join(map(get, words)) for head, words in cut]
+
+    def _stretch_ids(self, words: list[str]) -> list[bytes]:
+        parts = []
+        for w in words:
+            if w.isalpha():
+                parts.append((" " + w,))
+            elif w[-1:] in _ENDS and w[:-1].isalpha():
+                parts.append((" " + w[:-1], w[-1]))
+            else:
+                parts.append(PIECE.findall(w if w[:1] == "\n" else " " + w))
+        return self._piece_ids(parts)
+
+    def _piece_ids(self, parts: list) -> list[bytes]:
+        """Ids of lists of pieces."""
+        self.pieces.learn({p for ps in parts for p in ps}, self._merged)
+        get = self.pieces.young.__getitem__
+        return [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in parts]
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        windows = [p.encode() for p in pieces]
+        out: list[bytes] = [b""] * len(windows)
+        for least, most in ((0, 12), (12, 24), (24, SHORT)):
+            some = [k for k, w in enumerate(windows) if least < len(w) <= most]
+            if len(some) < FEW:
+                for k in some:
+                    out[k] = array("I", [self.rules.ids[t] for t in self.rules.merged(list(windows[k]))]).tobytes()
+                continue
+            for at in range(0, len(some), 1 << 14):
+                part = some[at : at + (1 << 14)]
+                for k, ids in zip(part, self.rules.merged_windows([windows[k] for k in part])):
+                    out[k] = ids
+        for k, w in enumerate(windows):
+            if len(w) > SHORT:
+                ids = array("I")
+                piece = Transducer(self.rules, ids, self.block)
+                piece.feed(w)
+                piece.end()
+                out[k] = ids.tobytes()
+        return out
+
+
+#: White space that is neither a single space nor a single line end, or touches another: such texts are cut with care.
+_ODD = re.compile("[\t\r\v\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+#: Marks that end a stretch of letters as a piece of their own.
+_ENDS = frozenset(".,;:!?")
+#: Before a space that stands between two characters that are not white space: the pre-tokenizer always begins a piece there.
+_SPACE = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
+_WHITE, _AFTER = regex.compile(r"\s"), regex.compile(r" \S")
+
+
+def _stretches(text: str) -> tuple[str, list[str]]:
+    """What stands before the first cut, and the stretches after it, each without the space it begins with unless it begins with a line end."""
+    if _ODD.search(text):
+        head, *rest = _SPACE.split(text)
+        return head, [w[1:] for w in rest]
+    head, *rest = text.replace("\n", " \n").split(" ")
+    if rest and not rest[-1]:  # a space at the end is a piece
+        return text, []
+    return head, rest
+
+
+class _Memory:
+    """Ids of strings in two generations: what the younger lacks is looked up in the older before it is found anew."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, wanted: set[str], find) -> None:
+        """Make the younger generation hold ``wanted``."""
+        if len(self.young) > REMEMBERED:
+            self.older = {k: v for k, v in self.young.items() if len(k) <= LONGEST}
+            self.young = {}
+        new = []
+        for w in wanted - self.young.keys():
+            ids = self.older.get(w)
             if ids is None:
-                ids = self._pieces(text)
-            if len(text) <= LONGEST:
-                self.known[text] = ids
-                if len(self.known) > REMEMBERED:  # two generations: what the younger lacks is looked up in the older
-                    self.older, self.known = self.known, {}
-        return ids
-
-    def _pieces(self, text: str) -> bytes:
-        parts = PIECE.findall(text)
-        if len(parts) > 1:
-            return b"".join(map(self.unit, parts))
-        out = array("I")
-        piece = Transducer(self.rules, out, self.block)
-        piece.feed(text.encode())
-        piece.end()
-        return out.tobytes()
+                new.append(w)
+            else:
+                self.young[w] = ids
+        if new:
+            self.young.update(zip(new, find(new)))
 
 
 class _Segment:
@@ -285,16 +429,7 @@ class _Segment:
         return done
 
     def _whole(self, text: str) -> bytes:
-        """Ids of whole pieces.  A single space between two other characters begins a piece, so stretches are cut there."""
-        if not text:
-            return b""
-        head, *rest = _SPACE.split(text)
-        unit, known = self.encoder.unit, self.encoder.known
-        out = [unit(head)] if head else []
-        for word in rest:
-            ids = known.get(word)
-            out.append(unit(word) if ids is None else ids)
-        return b"".join(out)
+        return self.encoder.joined([text])[0] if text else b""
 
     def _open_end(self, text: str) -> int:
         """Where the last piece begins, which later text may change, with the white space before it, whose pieces depend on it."""
@@ -341,11 +476,6 @@ class _Segment:
         return text[size:]
 
 
-#: Before a space that stands between two characters that are not white space: the pre-tokenizer always begins a piece there.
-_SPACE = regex.compile(r"(?<=\S)(?= \S)", regex.V1)
-_WHITE, _AFTER = regex.compile(r"\s"), regex.compile(r" \S")
-
-
 class Decoder:
     """Bytes of ids to text as they come: UTF-8 as a state machine that holds an unfinished character; what is no UTF-8 becomes U+FFFD."""
 
@@ -374,9 +504,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path).ids
+        many = encoder(path).many
         for batch in batches:
-            lists = pa.array([ids(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))
+            lists = pa.array([np.frombuffer(b, np.int32) for b in many([t.as_py() or "" for t in batch.column(1)])], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column(0), lists], names=["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -398,24 +528,22 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, from the ids and the decoded text slice by slice."""
-
-    def digests(text: str, known: Encoder, names: list[str]) -> tuple[int, str, str]:
-        n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(known.rules)
-        for part in known.stream(text[i : i + known.slice] for i in range(0, len(text), known.slice)):
-            if part:
-                ids = memoryview(part).cast("I").tolist()
-                ids_hash.update(("," if n else "").encode() + ",".join(map(names.__getitem__, ids)).encode())
-                text_hash.update(decoder.feed(ids).encode())
-                n += len(ids)
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, from the ids and the text decoded from them."""
+
+    def digests(found: bytes, rules: Rules, names: list[str]) -> tuple[int, str, str]:
+        ids, ids_hash, text_hash, decoder = memoryview(found).cast("I"), hashlib.sha256(), hashlib.sha256(), Decoder(rules)
+        for at in range(0, len(ids), SLICE):
+            part = ids[at : at + SLICE].tolist()
+            ids_hash.update(("," if at else "").encode() + ",".join(map(names.__getitem__, part)).encode())
+            text_hash.update(decoder.feed(part).encode())
         text_hash.update(decoder.end().encode())
-        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+        return len(ids), ids_hash.hexdigest(), text_hash.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         names = [str(i) for i in range(max(known.rules.bytes_of_id) + 1)]
         for batch in batches:
-            rows = [digests(t.as_py() or "", known, names) for t in batch.column(1)]
+            rows = [digests(b, known.rules, names) for b in known.many([t.as_py() or "" for t in batch.column(1)])]
             n, ids, texts = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -119,11 +119,18 @@ ALPHABET = ["a", "b", " ", "  ", "\n", "'s", "'", "ll", "'l", "é", "1", "²", "
 
 def test_ids_of_random_texts_equal_the_library(library, encoders):
     rnd = random.Random(3)
-    for _ in range(4000):
-        text = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(1, 30)))
-        want = library.encode(text, add_special_tokens=False).ids
-        for encoder in encoders:
-            assert list(encoder.ids(text)) == want, text
+    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(1, 30))) for _ in range(3000)]
+    want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    for encoder in encoders:
+        assert [list(encoder.ids(text)) for text in texts] == want
+        assert [list(memoryview(ids).cast("I")) for ids in encoder.many(texts)] == want
+
+
+def test_windows_of_a_matrix_equal_the_plain_merge(library, encoders):
+    """Rows of many lengths, merged together."""
+    rnd, rules = random.Random(6), encoders[0].rules
+    words = ["".join(rnd.choice(["a", "e", "ing", "th", "é", "ß", "guarant", "1", "!"]) for _ in range(rnd.randrange(1, 9))).encode() for _ in range(3000)]
+    assert rules.merged_windows(words) == [bpe.array("I", [rules.ids[t] for t in rules.merged(list(w))]).tobytes() for w in words]
 
 
 def test_words_longer_than_any_window_equal_the_library(library, encoders):
