@@ -379,15 +379,13 @@ class _Memory:
         if len(self.young) > REMEMBERED:
             self.older = {k: v for k, v in self.young.items() if len(k) <= LONGEST}
             self.young = {}
-        new = []
-        for w in wanted - self.young.keys():
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.young[w] = ids
+        young, older = self.young, self.older
+        new = [w for w in wanted if w not in young]
+        if older:
+            young.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
         if new:
-            self.young.update(zip(new, find(new)))
+            young.update(zip(new, find(new)))
 
 
 class _Segment:
