@@ -7,6 +7,13 @@ and meet the fingerprints whose half is exactly that variant.  The colliding
 pairs are deduplicated and verified over all 64 bits.  No pair within the radius
 is missed, and equal fingerprints meet as one.
 
+:func:`keep_one_of_similar` is the form for a corpus: texts are near copies when
+their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
+puts fingerprints many bits apart.  So fingerprints of 256 bits are cut into
+eight blocks; each block emits all variants within 1 bit, half of the radius 2,
+variants meet variants, and colliding pairs within the radius of the whole
+fingerprint are verified by their shingles.
+
 The groups are the connected components of the links, labelled with their
 smallest doc_id.  A hot fingerprint is one node whatever the number of its
 documents, and the join that gives the labels back is split at run time.
@@ -24,12 +31,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.llm.common import LOWER, UPPER, fresh, text_of
+from segstats.llm.components import connected
 from segstats.operators.matching import connected_groups
-from segstats.scale import settle
+from segstats.scale import forget, settle
 
 SEED = 42
 BITS = 3
@@ -109,3 +117,130 @@ def keep_one_of_each(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataF
     kept = keyed.join(settle(stays), [null, ident, mark])
     once = kept.where(~F.col(many)).unionByName(kept.where(F.col(many)).dropDuplicates([null, ident, mark]))
     return once.select(*docs.columns)
+
+
+# ---------------------------------------------------------------- near copies by shingle similarity
+
+#: Words of a shingle and similarity of near copies; words of the shingles that are hashed into fingerprints, their 64-bit lanes, bits of a block, and
+#: the radius of a whole fingerprint (near copies of 0.8 lie 39 bits apart at the mean where edits are one block, others fewer; strangers 100 and more).
+SHINGLE, SIMILAR = 5, 0.8
+FEATURE, LANES, BLOCK_BITS, RADIUS = 2, 4, 32, 56
+
+
+def _shingles(found: list[bytes], words: int) -> list[bytes]:
+    if not found:
+        return []
+    return list(map(b" ".join, zip(*(found[i:] for i in range(words))))) if len(found) >= words else [b" ".join(found)]
+
+
+def long_fingerprint(text: bytes, words: int = FEATURE, lanes: int = LANES) -> list[int]:
+    """``lanes`` SimHashes of 64 bits with hashes of their own, as signed numbers."""
+    shingles = _shingles(text.translate(_LOWER).split(), words)
+    out = []
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), _BLOCK):
+            part = shingles[at : at + _BLOCK]
+            rows = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(SEED + lane)), np.uint64, len(part)).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _long_prints(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [long_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(3)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(prints, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "fp"])
+
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, digest string, fp array<bigint>")
+
+
+def _shingle_sets(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, text) -> node, shingles: the distinct hashes of the five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ((t.as_buffer().to_pybytes() if t.is_valid else b"").translate(_LOWER).split() for t in batch.column(1))
+            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s))).view(np.int64) for s in (_shingles(w, SHINGLE) for w in texts)]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.record_batch([batch.column(0), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two long fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def _collisions(nodes: DataFrame) -> DataFrame:
+    """node, key and the smallest node of every variant that several nodes emit."""
+    per = 64 // BLOCK_BITS
+    mask = F.lit((1 << BLOCK_BITS) - 1)
+    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j).cast("bigint") for j in range(BLOCK_BITS)])
+    blocks = [F.struct(F.lit(k).cast("bigint").alias("no"), F.shiftrightunsigned(F.get("fp", F.lit(k // per)), BLOCK_BITS * (k % per)).bitwiseAND(mask).alias("bits"))
+              for k in range(LANES * per)]
+    cut = nodes.select("node", F.inline(F.array(*blocks)))
+    balls = cut.select("node", F.explode(F.transform(flips, lambda f: F.shiftleft("no", BLOCK_BITS).bitwiseOR(F.col("bits").bitwiseXOR(f)))).alias("key"))
+    same = Window.partitionBy("key")
+    met = balls.select("node", "key", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("_last"))
+    return met.where(F.col("lead") != F.col("_last")).drop("_last")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar; only the texts of ``pairs`` are read."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = settle(_shingle_sets(texts.join(wanted, "node").select("node", "text")))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    every = F.size("sa") + F.size("sb") - shared
+    near = pairs.join(left, "a").join(right, "b").where((every == 0) | (shared >= SIMILAR * every)).select("a", "b")
+    out = settle(near)
+    forget(sets)
+    return out
+
+
+def similar_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, doc_id, text), settled -> row, doc_id, group: equal for rows that links of near copies join.
+
+    Two passes leave no colliding pair untested and make no table of all pairs of
+    a group: first every node meets the smallest node of each variant, then the
+    members of a variant that are not in one component yet meet each other.
+    """
+    text = F.translate(text_of(), UPPER, LOWER)
+    prints = settle(_long_prints(rows.select("row", "doc_id", F.sha2(text, 256).alias("digest"), F.col("text").cast("string").alias("text"))))
+    nodes = settle(prints.groupBy("digest").agg(F.min("row").alias("node"), F.max("fp").alias("fp")))
+    fps = nodes.select("node", "fp")
+    met = settle(_collisions(fps))
+    texts = rows.withColumnRenamed("row", "node")
+
+    stars = met.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    links = _verified(settle(stars.where(_apart("fa", "fb") <= RADIUS).select("a", "b")), texts)
+
+    labels = connected(links)
+    labelled = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    members = settle(labelled.join(mixed, "key").join(fps, "node"))
+    one, two = (members.select("key", *[F.col(c).alias(c + side) for c in ("node", "label", "fp")]) for side in "ab")
+    rest = one.join(two, "key").where((F.col("labela") != F.col("labelb")) & (F.col("nodea") < F.col("nodeb")) & (_apart("fpa", "fpb") <= RADIUS))
+    more = _verified(settle(rest.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()), texts)
+
+    final = connected(links.unionByName(more))
+    placed = nodes.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
+    out = settle(prints.select("row", "doc_id", "digest").join(placed, "digest").select("row", "doc_id", "group"))
+    for done in (prints, met, members):
+        forget(done)
+    return out
+
+
+def keep_one_of_similar(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id, with all columns of ``docs``; null doc_id only where a group has no other."""
+    (row,) = fresh(docs, "_row")
+    held = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = similar_groups(held.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("r")).select(F.col("r.row").alias(row))
+    return held.join(settle(stay), row, "left_semi").select(*docs.columns)

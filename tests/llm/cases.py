@@ -159,3 +159,27 @@ def trie(rows):
         out.append((name(least(m)), len(k), name(least(nodes[k[:-1]])) if k else None, len(m), len(children), sum(u not in inner for u in below),
                     sum(value[u] for u in below), hashlib.sha256(ends.encode()).hexdigest()))
     return out
+
+
+def shingle_set(text, words=5):
+    found = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def similar_pairs(rows, least=0.8):
+    """Pairs of doc_ids whose sets of five-word shingles are similar, through every shingle that texts share."""
+    sets = {d: shingle_set(t) for d, t in rows}
+    where = {}
+    for d, s in sets.items():
+        for x in s or (None,):
+            where.setdefault(x, []).append(d)
+    seen, out = set(), []
+    for ids in where.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                x, y = sets[a], sets[b]
+                if (b, a) not in seen and min(len(x), len(y)) >= least * max(len(x), len(y)):
+                    seen.add((b, a))
+                    if len(x & y) >= least * len(x | y):
+                        out.append((b, a))
+    return out

@@ -1,6 +1,7 @@
 """The queries of the subpackage and the pipeline on the smallest tables."""
 
 import os
+import random
 import sys
 
 import pytest
@@ -12,6 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
 from segstats.llm import common, mixing, packing, simhash  # noqa: E402
+from segstats.llm.components import connected  # noqa: E402
 from segstats.scale import settle  # noqa: E402
 
 
@@ -42,8 +44,10 @@ def test_stages(spark):
             assert docs.select("doc_id").subtract(before.select("doc_id")).isEmpty() and docs.count() <= before.count() - (name == "exact dedup")
     exact = seen["exact dedup"].collect()
     assert len({r["text"].lower() for r in exact}) == len(exact)
-    pairs = [(r["doc_id"], cases.simhash(r["text"])) for r in exact]
-    assert {r["doc_id"] for r in seen["near dedup"].collect()} == set(cases.components(pairs))
+    stays = {r["doc_id"] for r in seen["near dedup"].collect()}
+    pairs = cases.similar_pairs([(r["doc_id"], r["text"]) for r in exact])
+    assert pairs and not [p for p in pairs if stays.issuperset(p)]
+    assert {r["doc_id"] for r in exact} - stays <= {d for p in pairs for d in p}
     mixed = seen["mixing"]
     copies = mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0]
     assert 1 <= copies <= mixing.REPEATS
@@ -57,6 +61,43 @@ def test_pipeline_runs_on_awkward_rows(spark):
     assert docs.count() > 0
 
 
+def _edited(words, every, rnd):
+    return [w if k % every else f"new{rnd.randrange(10 ** 6)}" for k, w in enumerate(words)]
+
+
+def test_near_copies_are_found_and_strangers_stay(spark):
+    """Copies with scattered words changed, with a block changed, cut and grown, short and long; a group of many copies; strangers of few common words."""
+    rnd, texts = random.Random(8), []
+    for n in (40, 120, 400, 1500):
+        for _ in range(12):
+            words = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            block = max(1, n // 12)
+            texts += [words, _edited(words, max(50, n // 3), rnd), words[:n // 2] + [f"x{rnd.randrange(10 ** 6)}" for _ in range(block)] + words[n // 2 + block:],
+                      words[: n - n // 10], words + [f"y{k}" for k in range(n // 10)]]
+    hub = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+    texts += [_edited(hub, rnd.randrange(60, 200), rnd) for _ in range(60)] + [[rnd.choice(["der", "die", "und", "in"]) for _ in range(80)] for _ in range(20)]
+    texts = [" ".join(t) for t in texts]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    rows = [(d, texts[k]) for d, k in enumerate(order)] + [(None, None), (2000, ""), (2001, " \n")]
+    docs = cases.docs(spark, [t for _, t in rows], [d for d, _ in rows])
+    kept = [r["doc_id"] for r in simhash.keep_one_of_similar(docs).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= {d for d, _ in rows}
+    pairs = cases.similar_pairs(rows)
+    both = [p for p in pairs if set(p) <= set(kept)]
+    assert len(pairs) > 2000 and len(both) <= 0.02 * len(pairs)
+    assert {d for d, _ in rows} - set(kept) <= {d for p in pairs for d in p}
+    assert [d for d in kept if d is None or d >= 2000] == [2000]  # three texts without words are one group, named by a doc_id
+
+
+def test_components_of_chains_stars_and_pairs(spark):
+    rnd = random.Random(9)
+    links = [(i, i + 1) for i in range(100)] + [(500, k) for k in range(501, 560)] + [(700, 701), (701, 700), (900, 900)]
+    rnd.shuffle(links)
+    found = {r["node"]: r["label"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(101)} | {k: 500 for k in range(500, 560)} | {700: 700, 701: 700}
+
+
 def test_near_copies_in_a_chain_are_one_group(spark):
     rows = spark.createDataFrame([(i, (1 << 3 * i) - 1) for i in range(12)], "doc_id long, fp long")
     assert {r["component_id"] for r in simhash.components(rows).collect()} == {0}
