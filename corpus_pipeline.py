@@ -29,9 +29,9 @@ def exact_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays."""
+    """Of each group of near copies, five-word shingles similar to 0.8 or more, the row with the smallest doc_id stays."""
     prepare(spark)
-    return simhash.keep_one_of_each(docs)
+    return simhash.keep_one_of_similar(docs)
 
 
 def sources_are_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
