@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -73,7 +72,7 @@ from queued"""
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact.decisions(docs, exact.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    return exact.decisions(docs, exact.DigestIndex(spark))
 
 
 ORACLES["op9_exact_dedup"] = """

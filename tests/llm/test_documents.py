@@ -424,6 +424,26 @@ def test_later_batches_meet_the_index(spark):
     spark.sql(f"drop table exact_batches_{RUN}")
 
 
+def test_slices_of_one_batch_meet_in_the_index(spark):
+    """Copies lie in several slices: the anti-join with what the earlier slices appended takes them out; the index ends with one row per text."""
+    index = exact.DigestIndex(spark, f"exact_slices_{RUN}", buckets=4)
+    docs = cases.docs(spark, [f"text {i % 10}" for i in range(100)], list(range(100)))
+    out = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.decisions(docs, index, "a").collect()}
+    assert out == {i: (90 + i % 10, 10, i >= 90) for i in range(100)}
+    assert index.read().count() == 10 and index.read().agg(F.sum("group_size")).first()[0] < 100  # later slices found their digests there
+    assert {r["doc_id"]: r["kept"] for r in exact.decisions(docs, index, "a").collect()} == {i: i >= 90 for i in range(100)}  # the batch again
+    assert index.read().count() == 10 and not any(r["kept"] for r in exact.decisions(docs, index, "b").collect())
+    spark.sql(f"drop table exact_slices_{RUN}")
+
+
+def test_null_beside_minus_one_and_no_table_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = cases.docs(spark, ["a", "A", "b", None, ""], [-1, None, None, 5, 5])
+    kept = [(r["doc_id"], r["text"]) for r in exact.keep_first_seen(docs, exact.DigestIndex(spark)).collect()]
+    assert len(kept) == 3 and (-1, "a") in kept and (None, "b") in kept
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_index_is_read_without_a_shuffle(spark):
     index = exact.DigestIndex(spark, f"exact_plan_{RUN}", buckets=4)
     exact.keep_first_seen(cases.docs(spark, ["A b", "c"], [1, 2]), index)

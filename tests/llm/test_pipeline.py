@@ -85,7 +85,7 @@ def test_near_copies_are_found_and_strangers_stay(spark):
     assert len(kept) == len(set(kept)) and set(kept) <= {d for d, _ in rows}
     pairs = cases.similar_pairs(rows)
     both = [p for p in pairs if set(p) <= set(kept)]
-    assert len(pairs) > 2000 and len(both) <= 0.02 * len(pairs)
+    assert len(pairs) > 1500 and len(both) <= 0.02 * len(pairs)
     assert {d for d, _ in rows} - set(kept) <= {d for p in pairs for d in p}
     assert [d for d in kept if d is None or d >= 2000] == [2000]  # three texts without words are one group, named by a doc_id
 
