@@ -6,8 +6,6 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +23,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     prepare(spark)
-    return exact.keep_first_seen(docs, exact.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
+    return exact.keep_first_seen(docs, exact.DigestIndex(spark))
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

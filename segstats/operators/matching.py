@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from segstats.functions.geometry import box_iou, rect_intersection_area
 from segstats.functions.scalar import hash_bits, sigmoid, softplus
@@ -130,61 +129,110 @@ def semi_by_membership(df: DataFrame, members: DataFrame, keys: Sequence[str], i
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def _blocks(df: DataFrame, by: Sequence[str], ident: str, rows: int, out: str) -> DataFrame:
-    """Number blocks of about ``rows`` rows inside each key by a hash of the id; adds the block count."""
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(f"{out}s"))
-    sized = attach(df, sizes, by, [ident], how="inner")
-    return sized.withColumn(out, F.pmod(hash_bits(17, ident), F.col(f"{out}s")).cast("int"))
+#: Pivots of a key at most; rows of a block.
+PIVOTS, BLOCK_ROWS = 64, 2048
 
 
-def topk_nearest(queries: DataFrame, corpus: DataFrame, k: int = 8, by: Sequence[str] = (), block_rows: int = 2048) -> DataFrame:
-    """The k corpus vectors with the smallest squared distance to each query vector.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
 
-    ``queries``: key, query_id, vector; ``corpus``: key, vec_id, vector.  A block
-    nested-loop join: both sides are cut into blocks, every query block visits
-    every corpus block of its key in a task of its own, and only the k best of a
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; off by rounding of about 1e-13 of the squared lengths."""
+    return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T))
+
+
+def _cells(df: DataFrame, ident: str, pivots: DataFrame, by: Sequence[str], block_rows: int) -> DataFrame:
+    """``df`` (by, ident, vector) with the nearest pivot of its key (_pivot), the distance to it (_far) and a block of about ``block_rows`` rows of that cell."""
+    kinds = f"{', '.join(f'`{b}` {df.schema[b].dataType.simpleString()}' for b in by)}, {ident} bigint, vector array<double>, _pivot int, _far double"
+    part = F.pmod(hash_bits(17, ident), F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows))).cast("int")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = attach(df, sizes, by, [ident], how="inner").withColumn("_part", part)
+    parts = dealt.groupBy(*by).agg(F.max("_part").alias("_last"))
+    sent = pivots.join(parts, list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+
+    def place(key: tuple, rows: pa.Table, centres: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            near, far = np.zeros(0, np.int32), np.zeros(0)
+        else:
+            d = _distances(_matrix(rows["vector"]), _matrix(centres["centre"]))
+            near = d.argmin(axis=1)
+            far = np.sqrt(d[np.arange(len(d)), near])
+        return pa.table({**{c: rows[c] for c in (*by, ident, "vector")}, "_pivot": pa.array(centres["_pivot"].to_numpy()[near] if len(near) else near, pa.int32()), "_far": far})
+
+    group = [*by, "_part"]
+    placed = settle(dealt.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(place, kinds))
+    sizes = placed.groupBy(*by, "_pivot").agg(F.count(F.lit(1)).alias("_n"))
+    return attach(placed, sizes, [*by, "_pivot"], [ident], how="inner").withColumn("_block", part).drop("_n")
+
+
+def block_pairs(queries: DataFrame, corpus: DataFrame, pivots: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """The pairs of blocks (by, _qp, _qb, _cp, _cb) that can hold one of the k nearest of some query.
+
+    By the triangle inequality a block of the corpus lies at least
+    |pivots| - both radii and at most |pivots| + both radii from every query of a
+    block; it is visited unless k corpus vectors are surely nearer.
+    """
+    shape = lambda df, p, b, r: df.groupBy(*by, F.col("_pivot").alias(p), F.col("_block").alias(b)).agg(F.max("_far").alias(r), F.count(F.lit(1)).alias(f"{r}_n"))
+    q, c = shape(queries, "_qp", "_qb", "_qr"), shape(corpus, "_cp", "_cb", "_cr")
+    one, two = (pivots.select(*by, F.col("_pivot").alias(p), F.col("centre").alias(v)) for p, v in (("_qp", "_v"), ("_cp", "_w")))
+    apart = F.sqrt(F.aggregate(F.zip_with("_v", "_w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    between = one.join(two, list(by)).select(*by, "_qp", "_cp", apart.alias("_d"))  # PIVOTS squared rows of a key at most
+    met = q.join(between, [*by, "_qp"]).join(c, [*by, "_cp"])
+    slack = 1e-9 * (1 + F.col("_d") + F.col("_qr") + F.col("_cr"))
+    bounds = met.select(*by, "_qp", "_qb", "_cp", "_cb", "_cr_n", (F.col("_d") - F.col("_qr") - F.col("_cr") - slack).alias("_least"),
+                        (F.col("_d") + F.col("_qr") + F.col("_cr") + slack).alias("_most"))
+    nearer = Window.partitionBy(*by, "_qp", "_qb").orderBy("_most").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    limit = Window.partitionBy(*by, "_qp", "_qb")
+    enough = bounds.withColumn("_sure", F.sum("_cr_n").over(nearer)).withColumn("_limit", F.min(F.when(F.col("_sure") >= k, F.col("_most"))).over(limit))
+    return enough.where(F.col("_limit").isNull() | (F.col("_least") <= F.col("_limit"))).select(*by, "_qp", "_qb", "_cp", "_cb")
+
+
+def topk_nearest(queries: DataFrame, corpus: DataFrame, k: int = 8, by: Sequence[str] = (), block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """The k corpus vectors with the smallest squared distance to each query vector, exactly.
+
+    ``queries``: key, query_id, vector; ``corpus``: key, vec_id, vector.  Every
+    vector goes to the cell of the nearest of some corpus vectors drawn by hash
+    (``pivots`` of a key at most), cells are cut into blocks, and only pairs of
+    blocks that :func:`block_pairs` cannot rule out meet, each in a task of its
+    own: one matrix product, whose k smallest per query and all within its
+    rounding are computed again difference by difference.  Only the k best of a
     block leave it; a second step merges them.  Ties go to the lowest vec_id.
     """
     if not by:
         queries, corpus, by = queries.withColumn("_all", F.lit(0)), corpus.withColumn("_all", F.lit(0)), ["_all"]
-    q = _blocks(queries.select(*by, "query_id", "vector"), by, "query_id", block_rows, "_qb")
-    # Fresh column ids: both sides may come from one table.
-    corpus = corpus.select(*[F.col(n).alias(n) for n in [*by, "vec_id", "vector"]])
-    c = _blocks(corpus, by, "vec_id", block_rows, "_cb")
-    blocks_c = c.groupBy(*by).agg(F.max("_cbs").alias("_cbs"))
-    blocks_q = q.groupBy(*by).agg(F.max("_qbs").alias("_qbs"))
-    q = attach(q.drop("_qbs"), blocks_c, by, ["query_id"], how="inner").withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0), F.col("_cbs") - 1))).drop("_cbs")
-    c = attach(c.drop("_cbs"), blocks_q, by, ["vec_id"], how="inner").withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.col("_qbs") - 1))).drop("_qbs")
-    schema = T.StructType([*[queries.schema[b] for b in by], T.StructField("query_id", T.LongType()),
-                           T.StructField("vec_id", T.LongType()), T.StructField("dist", T.DoubleType())])
-    names = list(by)
-
-    def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [*names, "query_id", "vec_id", "dist"]
-        if left.empty or right.empty:
-            return pd.DataFrame({n: pd.Series(dtype="int64") for n in columns}).astype({"dist": "float64"})
-        ids = right["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, vecs = ids[order], np.stack(right["vector"].to_numpy()[order]).astype("float64")
-        out = []
-        for qid, v in zip(left["query_id"], left["vector"]):
-            d = ((vecs - np.asarray(v, dtype="float64")) ** 2).sum(axis=1)
-            if len(d) > k:
-                limit = np.partition(d, k - 1)[k - 1]
-                near = np.flatnonzero(d <= limit)
-                pick = near[np.argsort(d[near], kind="stable")[:k]]
-            else:
-                pick = np.argsort(d, kind="stable")
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[pick], "dist": d[pick]}))
-        found = pd.concat(out, ignore_index=True)
-        for n, v in zip(names, key):
-            found[n] = v
-        return found[columns]
-
-    group = [*by, "_qb", "_cb"]
-    found = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(nearest, schema)
+    by = list(by)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    queries = queries.select(*by, F.col("query_id").cast("bigint").alias("query_id"), vector)
+    corpus = corpus.select(*[F.col(n).alias(n) for n in by], F.col("vec_id").cast("bigint").alias("vec_id"), vector)  # fresh column ids: both sides may be one table
+    drawn = corpus.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.when(hash_bits(23, "vec_id") < _share(corpus, by, pivots), F.struct(hash_bits(23, "vec_id").alias("h"), "vec_id", "vector")))), 1, pivots).alias("p"))
+    first = corpus.groupBy(*by).agg(F.min(F.struct(hash_bits(23, "vec_id").alias("h"), "vec_id", "vector")).alias("f"))  # a key may have drawn none
+    centres = settle(drawn.join(first, by).select(*by, F.posexplode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array("f"))).alias("_pivot", "c")).select(*by, "_pivot", F.col("c.vector").alias("centre")))
+    q, c = _cells(queries, "query_id", centres, by, block_rows), _cells(corpus, "vec_id", centres, by, block_rows)
+    pairs = settle(block_pairs(q, c, centres, by, k))
+    group = [*by, "_qp", "_qb", "_cp", "_cb"]
+    q = skew_join(q.withColumnsRenamed({"_pivot": "_qp", "_block": "_qb"}).drop("_far"), pairs, [*by, "_qp", "_qb"], ["query_id"])
+    c = skew_join(c.withColumnsRenamed({"_pivot": "_cp", "_block": "_cb"}).drop("_far"), pairs, [*by, "_cp", "_cb"], ["vec_id"])
+    kinds = ", ".join(f"`{b}` {q.schema[b].dataType.simpleString()}" for b in by)
+
+    def nearest(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({**{b: left[b][:0] for b in by}, "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        right = right.sort_by("vec_id")
+        a, b, ids = _matrix(left["vector"]), _matrix(right["vector"]), right["vec_id"].to_numpy()
+        rough = _distances(a, b)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(a), np.inf)
+        margin = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max())
+        i, j = np.nonzero(rough <= (limit + margin)[:, None])
+        exact = ((b[j] - a[i]) ** 2).sum(axis=1)
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, exact = i[rank < k], j[rank < k], exact[rank < k]
+        return pa.table({**{name: left[name].take(pa.array(i)) for name in by}, "query_id": left["query_id"].take(pa.array(i)), "vec_id": ids[j], "dist": exact})
+
+    found = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInArrow(nearest, f"{kinds}, query_id bigint, vec_id bigint, dist double")
     # At most k rows per visited block reach the merge; row_number <= k lets Spark
     # cut every query to k rows before the shuffle as well.
     w = Window.partitionBy(*by, "query_id").orderBy("dist", "vec_id")
@@ -192,6 +240,12 @@ def topk_nearest(queries: DataFrame, corpus: DataFrame, k: int = 8, by: Sequence
     return merged.select(*by, "query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "dist").drop("_all")
 
 
+def _share(corpus: DataFrame, by: Sequence[str], pivots: int) -> int:
+    """Hashes below this draw some ``pivots`` vectors of the largest key; smaller keys get fewer, as they need."""
+    largest = corpus.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return min(1 << 32, (1 << 32) * pivots // largest)
+
+
 def pick_neighbour(nearest: DataFrame, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """One of the k nearest per query, drawn by hash."""
     choice = F.min(F.struct(hash_bits(seed, "query_id", "rank").alias("h"), F.col("rank").alias("rank"),
@@ -203,13 +257,65 @@ def pick_neighbour(nearest: DataFrame, seed: int, by: Sequence[str] = ()) -> Dat
 # ---------------------------------------------------------------- matching cost and assignment
 
 
+#: Points, queries and ground truths of a block of the matrix product: at most 16 MB of doubles on either side.
+POINT_BLOCK, ROW_BLOCK = 4096, 512
+
+
+def _point_products(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
+    """image_id, q_idx, gt_idx, xg = sum of logit * value, pg = sum of sigmoid(logit) * value, one row per pair and block of points.
+
+    Both sides are packed into (image, block of points, blocks of queries and of
+    ground truths); each meeting is one product of two matrices.
+    """
+    numbered = lambda c, n: F.floor(F.col(c) / n).cast("bigint")
+    preds = pred_points.select("image_id", numbered("point_id", POINT_BLOCK).alias("_pb"), numbered("q_idx", ROW_BLOCK).alias("_qb"), F.col("q_idx").cast("bigint").alias("q_idx"),
+                               F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col("logit").cast("double").alias("v"))
+    truths = gt_points.where(F.col("value") > 0).select(
+        "image_id", numbered("point_id", POINT_BLOCK).alias("_pb"), numbered("gt_idx", ROW_BLOCK).alias("_gb"), F.col("gt_idx").cast("bigint").alias("gt_idx"),
+        F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col("value").cast("double").alias("v"))
+    packed = lambda df, block, row: df.groupBy("image_id", "_pb", block, row).agg(F.collect_list("p").alias("ps"), F.collect_list("v").alias("vs"))
+    q, g = packed(preds, "_qb", "q_idx"), packed(truths, "_gb", "gt_idx")  # POINT_BLOCK points in a row at most
+    blocks = lambda df, block: df.groupBy("image_id", "_pb").agg(F.collect_set(block).alias(f"{block}s"))
+    q, g = (q.join(blocks(truths, "_gb"), ["image_id", "_pb"]).withColumn("_gb", F.explode("_gbs")).drop("_gbs"),
+            g.join(blocks(preds, "_qb"), ["image_id", "_pb"]).withColumn("_qb", F.explode("_qbs")).drop("_qbs"))
+    keys = ["image_id", "_pb", "_qb", "_gb"]
+    kinds = ", ".join(f"{c} {t}" for c, t in (("image_id", q.schema["image_id"].dataType.simpleString()), ("q_idx", "bigint"), ("gt_idx", "bigint"), ("xg", "double"), ("pg", "double")))
+
+    def side(table: pa.Table, row: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the rows, and of every entry its row, its point and its value."""
+        places = table["ps"].combine_chunks()
+        lines = np.repeat(np.arange(table.num_rows), np.asarray(places.value_lengths()))
+        return table[row].to_numpy(), lines, np.asarray(places.flatten()), np.asarray(table["vs"].combine_chunks().flatten())
+
+    def product(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"image_id": left["image_id"][:0], "q_idx": pa.array([], pa.int64()), "gt_idx": pa.array([], pa.int64()), "xg": pa.array([], pa.float64()), "pg": pa.array([], pa.float64())})
+        qs, q_lines, q_points, logits = side(left, "q_idx")
+        gs, g_lines, g_points, values = side(right, "gt_idx")
+        points = np.unique(g_points)  # only where some ground truth is
+        here = np.isin(q_points, points)
+        q_cells = q_lines[here] * len(points) + np.searchsorted(points, q_points[here])
+        matrix = lambda cells, weights, rows: np.bincount(cells, weights, rows * len(points)).reshape(rows, len(points))
+        v = matrix(g_lines * len(points) + np.searchsorted(points, g_points), values, len(gs))
+        x = matrix(q_cells, logits[here], len(qs))
+        sure = matrix(q_cells, 1 / (1 + np.exp(-np.clip(logits[here], -700, 700))), len(qs))
+        met = (sure @ v.T).ravel()
+        some = np.flatnonzero(met)
+        i, j = np.divmod(some, len(gs))
+        image = left["image_id"].combine_chunks().take(pa.array(np.zeros(len(some), np.int64)))
+        return pa.table({"image_id": image, "q_idx": qs[i], "gt_idx": gs[j], "xg": (x @ v.T).ravel()[some], "pg": met[some]})
+
+    return q.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInArrow(product, kinds)
+
+
 def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0)) -> DataFrame:
     """Cost of every (query, ground truth) of an image: -class, point BCE and point dice, weighted.
 
     ``preds``: image_id, q_idx, logit0, logit1; ``pred_points``: image_id, q_idx,
     point_id, logit; ``gt_points``: image_id, gt_idx, point_id, value in [0, 1].
     BCE(x, g) = softplus(x) - x*g, so the sums over all points come from one
-    aggregate per query, and only points with g > 0 are joined.
+    aggregate per query, and what both sides share are matrix products
+    (:func:`_point_products`): no row holds a point of a pair.
     """
     from segstats.functions.scalar import foreground_score
 
@@ -219,9 +325,7 @@ def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, w
     per_query = per_query.join(preds.select("image_id", "q_idx", foreground_score(F.col("logit0"), F.col("logit1")).alias("_fg")),
                                ["image_id", "q_idx"])
     per_gt = gt_points.groupBy("image_id", "gt_idx").agg(F.sum("value").alias("_gsum"))
-    hits = skew_join(gt_points.where(F.col("value") > 0), pred_points, ["image_id", "point_id"], ["gt_idx"], ["q_idx"])
-    common = hits.groupBy("image_id", "q_idx", "gt_idx").agg(
-        F.sum(F.col("logit") * F.col("value")).alias("_xg"), F.sum(p * F.col("value")).alias("_pg"))
+    common = _point_products(pred_points, gt_points).groupBy("image_id", "q_idx", "gt_idx").agg(F.sum("xg").alias("_xg"), F.sum("pg").alias("_pg"))
     pairs = skew_join(per_query, per_gt, ["image_id"], ["q_idx"], ["gt_idx"]).join(
         common, ["image_id", "q_idx", "gt_idx"], "left").na.fill(0.0, ["_xg", "_pg"])
     bce = (F.col("_soft") - F.col("_xg")) / F.col("_points")

@@ -63,12 +63,30 @@ def evaluate_pairs(gt: DataFrame, preds: DataFrame, pairs: DataFrame, score_ts:
     return _grid_metrics(gt, preds, pairs, sorted(score_ts), sorted(match_ts), iou_t, count_unmatched_images)
 
 
+def _staircase(per_gt: DataFrame) -> DataFrame:
+    """image_id, gt_idx, q_idx, iou, and per score cut-off s the range [m, end) of match cut-offs at which the prediction is the best of the ground truth.
+
+    ``entries`` hold the best prediction of every (si, mi), best first.  At score
+    cut-off s an entry begins where the entries before it that pass s have all
+    failed, and ends where it fails itself.
+    """
+    def lines(e: Column, k: Column) -> Column:
+        better = F.slice("entries", F.lit(1), k)
+
+        def line(i: Column) -> Column:
+            begins = F.array_max(F.transform(F.filter(better, lambda b: b["si"] > i), lambda b: b["mi"]))
+            return F.struct(i.alias("s"), F.coalesce(begins, F.lit(0)).alias("m"), e["mi"].alias("end"), e["q_idx"].alias("q_idx"), (-e["neg"]).alias("iou"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), e["si"] - 1), line), lambda x: x["m"] < x["end"])
+
+    return per_gt.select("image_id", "gt_idx", F.inline(F.flatten(F.transform("entries", lines))))
+
+
 def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
                   count_unmatched_images: bool) -> DataFrame:
     """Metrics from folded tables: gt with n, preds with n, si, mi (cut-offs passed), pairs with both sides' columns."""
     pairs = settle(pairs)  # read by both aggregates below
     n_s, n_m = len(s_cuts), len(m_cuts)
-    grid = [(i, j) for i in range(n_s) for j in range(n_m)]
 
     def spread(df: DataFrame, *keep: str) -> DataFrame:
         """Small histograms by (si, mi), once per grid point passed."""
@@ -76,23 +94,17 @@ def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Seq
             *keep, "mi", F.explode(F.sequence(F.lit(0), F.col("si") - 1)).alias("s"))
         return both.select(*keep, "s", F.explode(F.sequence(F.lit(0), F.col("mi") - 1)).alias("m"))
 
-    # Per ground truth: the best prediction at every grid point, and how many score cut-offs its best-scored cover passes.
-    order = F.struct((-F.col("iou")).alias("neg"), F.col("q_idx").alias("q"))
-    best_at = [F.min(F.when((F.col("ref_match") == 1) & (F.col("si") > i) & (F.col("mi") > j), order)).alias(f"b{i}_{j}") for i, j in grid]
-    per_gt = pairs.where(F.col("iou") >= iou_t).groupBy("image_id", "gt_idx", "gt_n").agg(F.max("si").alias("si"), *best_at)
-    # One list per ground truth: a row for the cover (no query) and one per grid point with a candidate.
-    entry = lambda s, m, q, neg, n: F.struct(s.cast("int").alias("s"), m.cast("int").alias("m"), q.alias("q_idx"), (-neg).alias("iou"), n.alias("n"))
-    nothing = F.lit(0)
-    points = F.filter(F.array(*[entry(F.lit(i), F.lit(j), F.col(f"b{i}_{j}.q"), F.col(f"b{i}_{j}.neg"), nothing) for i, j in grid]),
-                      lambda e: e["q_idx"].isNotNull())
-    cover = entry(F.col("si"), F.lit(-1), F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.col("gt_n"))
-    listed = per_gt.select("image_id", "gt_idx", F.explode(F.concat(F.array(cover), points)).alias("e")).select("image_id", "gt_idx", "e.*")
-    # A prediction serves the first ground truth that claims it.
-    claims = listed.groupBy("s", "m", "image_id", "q_idx").agg(
-        F.min(F.struct("gt_idx", "iou")).alias("w"), F.sum("n").alias("n"))
-    summed = claims.groupBy("s", "m").agg(F.count("q_idx").alias("tp"), F.sum(F.when(F.col("q_idx").isNotNull(), F.col("w.iou"))).alias("iou_sum"),
-                                          F.sum("n").alias("found"))
-    summed = summed.select(F.when(F.col("m") >= 0, F.col("s")).alias("s"), F.col("m"), "tp", "iou_sum", "found", F.col("s").alias("si"))
+    # Per ground truth: how many score cut-offs its best-scored cover passes, and its staircase.
+    order = F.min(F.struct((-F.col("iou")).alias("neg"), F.col("q_idx").alias("q_idx")))
+    cells = pairs.where(F.col("iou") >= iou_t).groupBy("image_id", "gt_idx", "gt_n", "ref_match", "si", "mi").agg(order.alias("o"))
+    entry = F.when((F.col("ref_match") == 1) & (F.col("mi") > 0), F.struct("o.neg", "o.q_idx", "si", "mi"))
+    per_gt = settle(cells.groupBy("image_id", "gt_idx", "gt_n").agg(F.max("si").alias("si"), F.sort_array(F.collect_list(entry)).alias("entries")))  # a row per grid point at most
+    found = per_gt.groupBy("si").agg(F.sum("gt_n").alias("found"))
+    # All claims on a prediction end at the cut-off it fails, so where an earlier ground truth begins, a later one ends.
+    earlier = Window.partitionBy("image_id", "q_idx", "s").orderBy("gt_idx").rowsBetween(Window.unboundedPreceding, -1)
+    claims = _staircase(per_gt).withColumn("end", F.least("end", F.min("m").over(earlier))).where(F.col("m") < F.col("end"))
+    ends = F.array(F.struct("m", F.lit(1).alias("tp"), F.col("iou").alias("iou_sum")), F.struct(F.col("end").alias("m"), F.lit(-1).alias("tp"), (-F.col("iou")).alias("iou_sum")))
+    steps = claims.select("s", F.inline(ends)).where(F.col("m") < n_m).groupBy("s", "m").agg(F.sum("tp").alias("tp"), F.sum("iou_sum").alias("iou_sum"))
     # Kept predictions by number of cut-offs passed, with the label of their best ground truth.
     matchable = preds.where(F.col("mi") > 0)
     labelled = best_gt_per_pred(matchable, gt, pairs.where(F.col("mi") > 0))
@@ -103,10 +115,10 @@ def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Seq
     totals = gt.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gt_total"), F.coalesce(F.sum(F.col("n") * F.col("ref_match")), F.lit(0)).alias("wanted"))
     # From here on there are a few rows per grid point.
     small = settle(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-        summed.withColumn("part", F.lit("match")), hist.withColumn("part", F.lit("kept")), totals.withColumn("part", F.lit("total"))]))
+        steps.withColumn("part", F.lit("match")), found.withColumn("part", F.lit("found")), hist.withColumn("part", F.lit("kept")), totals.withColumn("part", F.lit("total"))]))
     part = lambda name: small.where(F.col("part") == name)
-    tps = part("match").where(F.col("m") >= 0).select("s", "m", "tp", "iou_sum")
-    det = spread(part("match").where(F.col("m") < 0).withColumn("mi", F.lit(n_m)), "found")
+    tps = part("match").select("s", F.explode(F.sequence("m", F.lit(n_m - 1))).alias("m"), "tp", "iou_sum")
+    det = spread(part("found").withColumn("mi", F.lit(n_m)), "found")
     kept = spread(part("kept"), "kept", "match_total", "match_ok")
     whole = spread(part("total").select("gt_total", "wanted").withColumns({"si": F.lit(n_s), "mi": F.lit(n_m)}), "gt_total", "wanted")
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [whole, tps, kept, det])

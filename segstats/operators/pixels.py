@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstats.functions.scalar import GRAY_SATURATION, byte_luma, hash_uniform, luma, saturation
@@ -12,20 +14,44 @@ from segstats.operators.masks import clip_spans
 from segstats.scale import skew_join
 
 
+def running_counts(pixels: DataFrame) -> DataFrame:
+    """One row per picture line: image_id, y, x_from and ``upto``, whose element k counts the pixels with x < x_from + k.
+
+    A run of the line is counted by two look-ups, whatever its length and however many runs cross it.
+    """
+    lines = pixels.groupBy("image_id", "y").agg(F.min("x").cast("bigint").alias("x_from"), F.collect_list(F.col("x").cast("bigint")).alias("xs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [pa.array(np.r_[0, np.cumsum(np.bincount(np.asarray(xs.values) - first))], pa.int32()) for first, xs in zip(batch.column(2).to_pylist(), batch.column(3))]
+            ends = np.cumsum([0, *map(len, counts)])
+            flat = pa.concat_arrays(counts) if counts else pa.array([], pa.int32())
+            yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["image_id", "y", "x_from", "upto"])
+
+    kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ("image_id", "y", "x_from"))
+    return lines.mapInArrow(run, f"{kinds}, upto array<int>")
+
+
+def counted(upto: str, x_from: str, x0: Column, x1: Column) -> Column:
+    """Pixels of a line (see :func:`running_counts`) with x0 <= x <= x1."""
+    at = lambda x: F.get(upto, F.greatest(F.lit(0), F.least(x - F.col(x_from), F.size(upto) - 1)).cast("int"))
+    return F.greatest(F.lit(0), at(x1 + 1) - at(x0))
+
+
 def ink_coverage(pixels: DataFrame, spans: DataFrame, headers: DataFrame, threshold: int = 200,
                  ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
     """Share of the pixels of each mask that are darker than ``threshold``; empty masks drop out.
 
-    The mask area comes from the spans, so only dark pixels are joined.
+    Dark pixels become running counts of their line, and every span of a mask
+    looks up two of them: the join has a row per span, not per span and pixel.
     """
     inside = clip_spans(spans, headers)
-    area = inside.groupBy(*ids).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_area"))
     own = [c for c in ids if c != "image_id"]
-    dark = pixels.where(F.col("gray") < threshold).select("image_id", "y", "x")
-    met = skew_join(dark, inside, ["image_id", "y"], ["x"], own).where((F.col("x0") <= F.col("x")) & (F.col("x") <= F.col("x1")))
-    ink = met.groupBy(*ids).agg(F.count(F.lit(1)).alias("_ink"))
-    return area.join(ink, list(ids), "left").select(*ids, F.col("_area").alias("area"),
-                                                    (F.coalesce("_ink", F.lit(0)) / F.col("_area")).alias("ink"))
+    dark = running_counts(pixels.where(F.col("gray") < threshold).select("image_id", "y", "x"))
+    met = skew_join(inside, dark, ["image_id", "y"], own, how="left")
+    ink = F.coalesce(counted("upto", "x_from", F.col("x0"), F.col("x1")), F.lit(0))
+    sums = met.groupBy(*ids).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_area"), F.sum(ink).alias("_ink"))
+    return sums.select(*ids, F.col("_area").alias("area"), (F.col("_ink") / F.col("_area")).alias("ink"))
 
 
 def tile_stats(pixels: DataFrame, key: str = "image_id") -> DataFrame:
@@ -49,13 +75,23 @@ def to_gray(pixels: DataFrame) -> DataFrame:
 
 
 def crop(pixels: DataFrame, boxes: DataFrame, box_id: str = "box_id") -> DataFrame:
-    """Pixels of each box (x, y, w, h), with coordinates relative to its corner."""
+    """Pixels of each box (x, y, w, h), with coordinates relative to its corner.
+
+    A picture line is one row with its pixels in order; a box line takes its
+    stretch of it, by place where the line has no gaps.
+    """
+    values = [c for c in pixels.columns if c not in ("image_id", "y", "x")]
+    lines = pixels.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *values))).alias("_px"))
+    first, last = (F.get("_px", i)["x"] for i in (F.lit(0), F.size("_px") - 1))
+    lines = lines.select("image_id", "y", "_px", first.alias("_x0"), (last - first + 1 == F.size("_px")).alias("_whole"))
     rows = boxes.select("image_id", box_id, F.col("x").alias("_bx"), F.col("y").alias("_by"), F.col("w").alias("_bw"),
                         F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"))
-    met = skew_join(pixels, rows, ["image_id", "y"], ["x"], [box_id]).where(
-        (F.col("x") >= F.col("_bx")) & (F.col("x") < F.col("_bx") + F.col("_bw")))
-    values = [c for c in pixels.columns if c not in ("image_id", "y", "x")]
-    return met.select("image_id", box_id, (F.col("y") - F.col("_by")).alias("y"), (F.col("x") - F.col("_bx")).alias("x"), *values)
+    met = skew_join(rows, lines, ["image_id", "y"], [box_id])
+    start = F.greatest(F.col("_bx") - F.col("_x0"), F.lit(0))
+    by_place = F.slice("_px", (start + 1).cast("int"), F.greatest(F.col("_bx") + F.col("_bw") - F.col("_x0") - start, F.lit(0)).cast("int"))
+    by_value = F.filter("_px", lambda p: (p["x"] >= F.col("_bx")) & (p["x"] < F.col("_bx") + F.col("_bw")))
+    cut = met.select("image_id", box_id, (F.col("y") - F.col("_by")).alias("y"), "_bx", F.inline(F.when(F.col("_whole"), by_place).otherwise(by_value)))
+    return cut.select("image_id", box_id, "y", (F.col("x") - F.col("_bx")).alias("x"), *values)
 
 
 def bilinear_sample(raster: DataFrame, points: DataFrame, headers: DataFrame, value: str = "v", image: str = "image_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,34 @@ def test_review_names(spark):
     rows = [("v1", 0, "A b.c, d", "s1.png", "000_A_b_c_d.png"), ("v1", 1, "x", "s2.png", "001_y.png")]
     row = matching.review_pair_check(spark.createDataFrame(rows, "run string, pair_id int, real_filename string, synth_filename string, pair_image string")).first()
     assert row["bad_names"] == 1 and row["one_to_one"]
+
+
+def test_sweep_of_a_thousand_points_equals_single_cut_offs(spark):
+    """One sweep over 40 x 25 cut-offs; the plan of the staircases does not grow with the grid."""
+    rnd = random.Random(11)
+    gt = spark.createDataFrame([(i, g, rnd.randrange(40), rnd.randrange(40), 20, 20, rnd.randrange(3) > 0) for i in range(12) for g in range(5)],
+                               "image_id long, gt_idx long, x long, y long, w long, h long, ref_match boolean")
+    preds = spark.createDataFrame([(i, q, rnd.randrange(40), rnd.randrange(40), 20, 20, rnd.random(), rnd.random() - 0.3) for i in range(12) for q in range(40)],
+                                  "image_id long, q_idx long, x long, y long, w long, h long, score double, sim double")
+    scores, matches = [k / 40 for k in range(40)], [k / 30 - 0.2 for k in range(25)]
+    swept = {(r["score_t"], r["match_t"]): r for r in metrics.threshold_sweep(gt, preds, scores, matches, iou_t=0.3).collect()}
+    assert len(swept) == 1000
+    for s, m in rnd.sample(sorted(swept), 4):
+        one = metrics.threshold_sweep(gt, preds, [s], [m], iou_t=0.3).first().asDict()
+        many = swept[s, m].asDict()
+        assert {k: pytest.approx(v) for k, v in one.items()} == many
+
+
+def test_nearest_neighbours_skip_blocks_of_far_clusters(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(12, 6)) * 50
+    vectors = (centres[np.arange(1200) % 12] + rnd.normal(size=(1200, 6))).tolist()
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(vectors)], "grp int, vec_id long, vector array<double>")
+    got = matching.topk_nearest(df.withColumnRenamed("vec_id", "query_id"), df, k=3, by=["grp"], block_rows=40).collect()
+    all_of = np.array(vectors)
+    want = {(q, r + 1): v for q in range(1200) for r, v in enumerate(np.lexsort((np.arange(1200), ((all_of - all_of[q]) ** 2).sum(1)))[:3])}
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == want
+    centre = df.where("vec_id < 12").selectExpr("grp", "cast(vec_id as int) as _pivot", "vector as centre")
+    q, c = (matching._cells(df.withColumnRenamed("vec_id", n), n, centre, ["grp"], 40) for n in ("query_id", "vec_id"))
+    blocks = c.select("_pivot", "_block").distinct().count()
+    assert matching.block_pairs(q, c, centre, ["grp"], 3).count() <= blocks ** 2 / 4
