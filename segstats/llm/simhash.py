@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER, UPPER, fresh, text_of
+from segstats.llm.common import LOWER, UPPER, fresh, parts, text_of
 from segstats.llm.components import connected
 from segstats.operators.matching import connected_groups
 from segstats.scale import forget, settle
@@ -125,6 +125,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataF
 #: the radius of a whole fingerprint (near copies of 0.8 lie 39 bits apart at the mean where edits are one block, others fewer; strangers 100 and more).
 SHINGLE, SIMILAR = 5, 0.8
 FEATURE, LANES, BLOCK_BITS, RADIUS = 2, 4, 32, 56
+NODES_PER_TASK = 4096
 
 
 def _shingles(found: list[bytes], words: int) -> list[bytes]:
@@ -176,7 +177,8 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _collisions(nodes: DataFrame) -> DataFrame:
-    """node, key and the smallest node of every variant that several nodes emit."""
+    """node, key and the smallest node of every variant that several nodes emit; a task makes the variants of some ``NODES_PER_TASK`` nodes."""
+    nodes = nodes.repartition(parts(nodes.count(), NODES_PER_TASK, nodes.sparkSession))
     per = 64 // BLOCK_BITS
     mask = F.lit((1 << BLOCK_BITS) - 1)
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j).cast("bigint") for j in range(BLOCK_BITS)])
