@@ -117,10 +117,9 @@ def bilinear_sample(raster: DataFrame, points: DataFrame, headers: DataFrame, va
     return found.groupBy(image, "point_id").agg(F.sum(F.col("w") * F.col("_value")).alias("value"))
 
 
-def sample_points(spark, n: int, seed: int) -> DataFrame:
-    """n uniform points (u, v) of the unit square."""
-    return spark.range(n).select(F.col("id").alias("point_id"), hash_uniform(seed, F.lit("u"), "id").alias("u"),
-                                 hash_uniform(seed, F.lit("v"), "id").alias("v"))
+def sample_points(rows: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
+    """``rows`` with a uniform point (u, v) of the unit square each, drawn by hash of their ``ids``."""
+    return rows.withColumns({axis: hash_uniform(seed, F.lit(axis), *ids) for axis in ("u", "v")})
 
 
 def image_features(pixels: DataFrame) -> DataFrame:

@@ -86,6 +86,9 @@ def reference_targets(annotations: DataFrame, seed: int = 42, image: str = "imag
                                  "is_reference": F.col(ident) == F.col("reference_idx")})
 
 
-def select_records(df: DataFrame, ident: str, indices: Sequence[int]) -> DataFrame:
-    """Records of an explicit index list."""
-    return df.where(F.col(ident).isin(list(indices)))
+def select_records(df: DataFrame, ident: str, indices: Sequence[int] | DataFrame) -> DataFrame:
+    """Records of an explicit index list of any length, or of a table whose first column holds the indices."""
+    if not isinstance(indices, DataFrame):
+        indices = df.sparkSession.createDataFrame([(i,) for i in indices], df.select(ident).schema)
+    wanted = indices.select(F.col(indices.columns[0]).alias("_wanted")).distinct()
+    return df.join(wanted, df[ident] == wanted["_wanted"], "left_semi")

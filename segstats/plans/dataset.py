@@ -375,7 +375,9 @@ def epoch_order(s):
 
 @query("select o_orderkey as job_id, 7*1000003+o_orderkey as job_seed from orders")
 def job_table(s):
-    return sampling.job_seeds(s.table("orders").select(F.col("o_orderkey").alias("job_id")), "job_id", 7)
+    """A job for every order; order keys are numbered without gaps."""
+    first, n = s.table("orders").agg(F.min("o_orderkey"), F.count(F.lit(1))).first()
+    return sampling.job_table(s.spark, first or 0, n, 7)
 
 
 @query(f"""with u as (select o_orderkey, {H32.format("'42:'||o_orderkey")}/4294967296.0::double as u from orders)

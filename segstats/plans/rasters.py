@@ -249,8 +249,8 @@ def sample_points(s):
 
 
 def _sampled(s):
-    return s.gt.select("image_id", F.col("gt_idx").alias("point_id"), hash_uniform(9, F.lit("u"), "image_id", "gt_idx").alias("u"),
-                       hash_uniform(9, F.lit("v"), "image_id", "gt_idx").alias("v"))
+    rows = pixels.sample_points(s.gt.select("image_id", "gt_idx"), ["image_id", "gt_idx"], seed=9)
+    return rows.withColumnRenamed("gt_idx", "point_id")
 
 
 @query("""with pts as (select gt_idx as point_id, image_id, ('0x'||substr(md5('9:u:'||image_id||':'||gt_idx),1,8))::bigint/4294967296.0::double as u,

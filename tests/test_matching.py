@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from segstats import scale
 from segstats.operators import matching, metrics
 
 
@@ -169,10 +170,11 @@ def test_review_names(spark):
 def test_sweep_of_a_thousand_points_equals_single_cut_offs(spark):
     """One sweep over 40 x 25 cut-offs; the plan of the staircases does not grow with the grid."""
     rnd = random.Random(11)
-    gt = spark.createDataFrame([(i, g, rnd.randrange(40), rnd.randrange(40), 20, 20, rnd.randrange(3) > 0) for i in range(12) for g in range(5)],
-                               "image_id long, gt_idx long, x long, y long, w long, h long, ref_match boolean")
-    preds = spark.createDataFrame([(i, q, rnd.randrange(40), rnd.randrange(40), 20, 20, rnd.random(), rnd.random() - 0.3) for i in range(12) for q in range(40)],
-                                  "image_id long, q_idx long, x long, y long, w long, h long, score double, sim double")
+    box = lambda: (x := rnd.randrange(40), y := rnd.randrange(40), x + 19, y + 19)
+    gt = spark.createDataFrame([(i, g, *box(), rnd.randrange(3) > 0) for i in range(12) for g in range(5)],
+                               "image_id long, gt_idx long, x0 long, y0 long, x1 long, y1 long, ref_match boolean")
+    preds = spark.createDataFrame([(i, q, *box(), rnd.random(), rnd.random() - 0.3) for i in range(12) for q in range(40)],
+                                  "image_id long, q_idx long, x0 long, y0 long, x1 long, y1 long, score double, sim double")
     scores, matches = [k / 40 for k in range(40)], [k / 30 - 0.2 for k in range(25)]
     swept = {(r["score_t"], r["match_t"]): r for r in metrics.threshold_sweep(gt, preds, scores, matches, iou_t=0.3).collect()}
     assert len(swept) == 1000
@@ -191,7 +193,7 @@ def test_nearest_neighbours_skip_blocks_of_far_clusters(spark):
     all_of = np.array(vectors)
     want = {(q, r + 1): v for q in range(1200) for r, v in enumerate(np.lexsort((np.arange(1200), ((all_of - all_of[q]) ** 2).sum(1)))[:3])}
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == want
-    centre = df.where("vec_id < 12").selectExpr("grp", "cast(vec_id as int) as _pivot", "vector as centre")
+    centre = scale.settle(df.where("vec_id < 12").selectExpr("grp", "cast(vec_id as int) as _pivot", "vector as centre"))
     q, c = (matching._cells(df.withColumnRenamed("vec_id", n), n, centre, ["grp"], 40) for n in ("query_id", "vec_id"))
     blocks = c.select("_pivot", "_block").distinct().count()
     assert matching.block_pairs(q, c, centre, ["grp"], 3).count() <= blocks ** 2 / 4
