@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
 from segstats.functions.scanlines import batch_masks, batch_spans, line_gaps, line_overlaps
-from segstats.operators.matching import meeting_boxes
+from segstats.operators.matching import connected_groups, meeting_boxes
 from segstats.scale import attach, forget, settle, skew_join
 
 SPAN = "struct<a:bigint,b:bigint>"
@@ -221,9 +222,12 @@ def mask_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_id
 def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, floor: int = 64) -> DataFrame:
     """Walk the items of an image in order; drop one that covers too much of what was accepted before.
 
-    ``items``: image_id, obj_id, pos (the order); adds ``accepted``.  An item is
-    decided once all earlier items that overlap it are; all such items of all
-    images are decided in the same round.
+    ``items``: image_id, obj_id, pos (the order; ties by obj_id); adds
+    ``accepted``.  Items that overlap, directly or through others, form a group;
+    groups do not depend on each other, and each is walked once: its overlaps
+    pass through a task in order, which keeps the overlaps of the item at hand and
+    the ids dropped so far.  The rounds are those of finding the groups, the
+    logarithm of the longest chain.
     """
     order = items.select("image_id", "obj_id", "pos")
     area = _areas(spans, "image_id", "obj_id", "area")
@@ -231,29 +235,63 @@ def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, fl
     pieces = span_overlaps(spans, other, "obj_id", "earlier").where(F.col("obj_id") != F.col("earlier"))
     ranks = order.select("image_id", F.col("obj_id").alias("earlier"), F.col("pos").alias("earlier_pos"))
     pieces = attach(attach(pieces, order, ["image_id", "obj_id"], ["earlier", "y"], how="inner"), ranks, ["image_id", "earlier"],
-                    ["obj_id", "y"], how="inner").where(F.col("earlier_pos") < F.col("pos")).drop("pos", "earlier_pos")
-    pieces = settle(pieces)
-    links = settle(pieces.select("image_id", "obj_id", "earlier").distinct())
-    blocked = links.select("image_id", "obj_id").distinct()
-    decided = settle(order.join(blocked, ["image_id", "obj_id"], "left_anti").select("image_id", "obj_id", F.lit(True).alias("accepted")))
-    waiting = settle(blocked.join(area, ["image_id", "obj_id"]))
-    while not waiting.isEmpty():
-        verdict = decided.select("image_id", F.col("obj_id").alias("earlier"), "accepted")
-        alive = attach(links.join(waiting.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi"), verdict,
-                       ["image_id", "earlier"], ["obj_id"])
-        ready = alive.groupBy("image_id", "obj_id").agg(F.max(F.col("accepted").isNull()).alias("_open")).where(~F.col("_open"))
-        taken = alive.where("accepted").select("image_id", "obj_id", "earlier")
-        covering = pieces.join(ready.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi").join(
-            taken, ["image_id", "obj_id", "earlier"], "left_semi")
-        covered = _areas(merge_spans(covering, ["image_id", "obj_id", "y"]), "image_id", "obj_id", "covered")
-        round_ = waiting.join(ready.select("image_id", "obj_id"), ["image_id", "obj_id"], "left_semi").join(
-            covered, ["image_id", "obj_id"], "left").na.fill(0, ["covered"])
-        limit = F.greatest(F.lit(floor), F.floor(F.col("area") * F.lit(frac)))
-        new = settle(round_.select("image_id", "obj_id", (F.col("covered") <= limit).alias("accepted")))
-        decided = decided.unionByName(new)  # settled rounds; none is written again
-        before, waiting = waiting, settle(waiting.join(new, ["image_id", "obj_id"], "left_anti"))
-        forget(before)
-    return items.join(decided, ["image_id", "obj_id"])
+                    ["obj_id", "y"], how="inner")
+    before = F.struct("earlier_pos", "earlier") < F.struct(F.col("pos").alias("earlier_pos"), F.col("obj_id").alias("earlier"))
+    pieces = settle(pieces.where(before).drop("earlier_pos"))
+    links = pieces.select("image_id", "obj_id", "earlier").distinct()
+    met = links.select("image_id", "obj_id").unionByName(links.select("image_id", F.col("earlier").alias("obj_id")))
+    groups = settle(connected_groups(settle(links), met, ["image_id"], "obj_id", "earlier"))
+    sized = attach(pieces, groups.join(area, ["image_id", "obj_id"]), ["image_id", "obj_id"], ["earlier", "y"], how="inner")
+    limit = F.greatest(F.lit(floor), F.floor(F.col("area") * F.lit(frac))).cast("bigint")
+    walk = sized.select("image_id", "group_id", "pos", "obj_id", F.col("earlier").cast("bigint").alias("earlier"), F.col("y").cast("bigint").alias("y"),
+                        F.col("x0").cast("bigint").alias("x0"), F.col("x1").cast("bigint").alias("x1"), limit.alias("limit"))
+    # A group is small in most tables; a large one passes through its task in order, a few numbers of an item at a time.
+    sorted_ = walk.repartition("image_id", "group_id").sortWithinPartitions("image_id", "group_id", "pos", "obj_id")
+    kinds = ", ".join(f"{c} {walk.schema[c].dataType.simpleString()}" for c in ("image_id", "obj_id"))
+    dropped = settle(sorted_.mapInArrow(_walk, kinds)).withColumn("_dropped", F.lit(True))
+    return items.join(dropped, ["image_id", "obj_id"], "left").withColumn("accepted", F.col("_dropped").isNull()).drop("_dropped")
+
+
+def _union_length(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> int:
+    """Pixels in the union of runs [x0, x1] of lines y."""
+    low, width = x0.min(), x1.max() - x0.min() + 2
+    start = (y - y.min()) * width + (x0 - low)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], (start + x1 - x0 + 1)[order]
+    reached = np.r_[start[:1], np.maximum.accumulate(end)[:-1]]
+    return int(np.maximum(0, end - np.maximum(start, reached)).sum())
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of overlaps sorted by group and item, the items that are dropped."""
+    group, dropped, rest = None, [], None
+
+    def decide(item: pa.Table) -> bool:
+        nonlocal group, dropped
+        key = (item["image_id"][0].as_py(), item["group_id"][0].as_py())
+        if key != group:
+            group, dropped = key, []
+        earlier, y, x0, x1 = (item[c].to_numpy() for c in ("earlier", "y", "x0", "x1"))
+        stays = ~np.isin(earlier, dropped)
+        if not stays.any() or _union_length(y[stays], x0[stays], x1[stays]) <= item["limit"][0].as_py():
+            return False
+        dropped.append(item["obj_id"][0].as_py())
+        return True
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        keys = [table[c].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("image_id", "group_id", "obj_id")]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        starts = np.r_[0, cuts]
+        gone = [int(i) for i, j in zip(starts, cuts) if decide(table.slice(int(i), int(j - i)))]
+        rest = table.slice(int(starts[-1]))  # the last item may go on
+        if gone:
+            yield from table.select(["image_id", "obj_id"]).take(pa.array(gone)).combine_chunks().to_batches()
+    if rest is not None and rest.num_rows and decide(rest):
+        yield from rest.select(["image_id", "obj_id"]).slice(0, 1).combine_chunks().to_batches()
 
 
 def threshold_mask(raster: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), value: str = "v", threshold: float = 0.5) -> DataFrame:

@@ -163,3 +163,12 @@ def test_ink_skips_empty_masks_and_uses_strict_limit(spark):
     heads = spark.createDataFrame([(0, 4, 4)], "image_id long, width long, height long")
     got = {r["obj_id"]: r["ink"] for r in pixels.ink_coverage(px, spans, heads, threshold=20).collect()}
     assert got == {1: 0.5}
+
+
+def test_suppression_of_a_chain_of_two_hundred(spark):
+    """Every item overlaps the one before it too much, so every other one stays; the rounds do not follow the chain."""
+    n = 200
+    items = spark.createDataFrame([(1, i, i) for i in range(n)] + [(2, 0, 0)], "image_id long, obj_id long, pos long")
+    spans = spark.createDataFrame([(1, i, y, 12 * i, 12 * i + 19) for i in range(n) for y in range(10)] + [(2, 0, 0, 0, 5)], "image_id long, obj_id long, y long, x0 long, x1 long")
+    got = {(r["image_id"], r["obj_id"]): r["accepted"] for r in masks.suppress_overlaps(items, spans).collect()}
+    assert got == {(1, i): i % 2 == 0 for i in range(n)} | {(2, 0): True}
