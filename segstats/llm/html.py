@@ -54,6 +54,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 KEPT, DOUBTED, NEVER_MAIN = 0, 1, 2
+#: Words in class or id by which an <article> is a reader's comment.
+OF_READERS = {"comment", "comments"}
 
 
 def _left_out(name: str, attributes: str, inside_main: bool) -> int:
@@ -61,7 +63,7 @@ def _left_out(name: str, attributes: str, inside_main: bool) -> int:
     if (name in NEVER and name != "form") or (name == "header" and not inside_main):
         return NEVER_MAIN
     out = DOUBTED if name == "form" else KEPT
-    if not attributes or name in ("html", "body", "main", "article"):
+    if not attributes or name in ("html", "body", "main"):
         return out
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
@@ -71,6 +73,8 @@ def _left_out(name: str, attributes: str, inside_main: bool) -> int:
             out = DOUBTED
         if key in ("class", "id"):
             words = {w.lower() for w in _PARTS.findall(value)}
+            if name == "article":
+                words &= OF_READERS
             if words & NOT_MAIN and not (name in ("h1", "header") and inside_main and words & NOT_MAIN <= {"header"}):
                 out = DOUBTED
     return out
@@ -85,6 +89,8 @@ class Page:
         self.chars, self.links, self.tags, self.link_tags = [0], [0], [0], [0]
         self.out = [KEPT]
         open_: list[int] = [0]
+        self.where: dict[str, list[int]] = {"body": [0]}  # places of each name in open_
+        blocks = [0]  # places of blocks in open_
         inline: set[str] = set()  # names of left-out elements that are no blocks; these are nodes too
         anchors = 0
         outside: dict[int, int] = {}  # open links around a left-out element
@@ -118,7 +124,10 @@ class Page:
             close_run()
             for node in reversed(open_[upto:]):
                 anchors = outside.get(node, anchors)
+                self.where[self.name[node]].pop()
             del open_[upto:]
+            while blocks[-1] >= upto:
+                blocks.pop()
 
         for m in _TOKEN.finditer(html):
             add_text(html[at : m.start()])
@@ -129,7 +138,7 @@ class Page:
             if m[2] or m[5]:
                 found = 0
                 if name in BLOCKS or name in inline:
-                    found = next((i for i in range(len(open_) - 1, 0, -1) if self.name[open_[i]] == name), 0)
+                    found = self._last(name)
                 if found:
                     close(found)
                 elif name == "a":
@@ -147,14 +156,18 @@ class Page:
                     close_run()
                 self.tags[open_[-1]] += name not in ("br", "wbr")
                 continue
-            inside_main = any(self.name[i] in ("article", "main") for i in open_)
+            inside_main = self._last("article", "main") > 0
             out = _left_out(name, attributes, inside_main)
             if out and attributes.rstrip().endswith("/"):
                 close_run()
                 continue
             if name in BLOCKS or name in inline:
-                self._close_for(name, open_, close)
-            if name in BLOCKS and name != "body" or out or name in inline and any(self.name[i] == name for i in open_):
+                if name in BLOCKS and self.name[open_[blocks[-1]]] == "p":
+                    close(blocks[-1])
+                sibling = self._last(*_SIBLINGS.get(name, ()))
+                if sibling > self._last(*_SCOPES.get(name, ())):
+                    close(sibling)
+            if name in BLOCKS and name != "body" or out or name in inline and self._last(name):
                 close_run()
                 self.parent.append(open_[-1])
                 self.name.append(name)
@@ -162,9 +175,11 @@ class Page:
                 for counts in (self.chars, self.links, self.tags, self.link_tags):
                     counts.append(0)
                 open_.append(len(self.name) - 1)
+                self.where.setdefault(name, []).append(len(open_) - 1)
                 if out:
                     outside[open_[-1]] = anchors
                 if name in BLOCKS:
+                    blocks.append(len(open_) - 1)
                     anchors = 0
                 else:
                     inline.add(name)
@@ -175,19 +190,9 @@ class Page:
         add_text(html[at:])
         close_run()
 
-    def _close_for(self, name: str, open_: list[int], close) -> None:
-        """Close what may not hold a ``name``: an open paragraph, and siblings whose end tag is left out."""
-        if name in BLOCKS:
-            block = next(i for i in range(len(open_) - 1, -1, -1) if self.name[open_[i]] in BLOCKS)
-            if self.name[open_[block]] == "p":
-                close(block)
-        for i in range(len(open_) - 1, 0, -1):
-            other = self.name[open_[i]]
-            if other in _SCOPES.get(name, ()):
-                break
-            if other in _SIBLINGS.get(name, ()):
-                close(i)
-                break
+    def _last(self, *names: str) -> int:
+        """Place of the innermost open element with one of the names; 0 without any."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
 
     def left_out(self) -> list[bool]:
         """For every node whether it is in a left-out element.
@@ -213,7 +218,10 @@ class Page:
         for i in range(1, n):
             inside[i] = self.out[i] == DOUBTED or inside[self.parent[i]]
             in_main[i] = in_main[i] or in_main[self.parent[i]]
-        mains = {j for i in range(n) if self.name[i] == "main" and chars[i] for j in self.path(i)}
+        over_main = [name == "main" and c > 0 for name, c in zip(self.name, chars)]
+        for i in range(n - 1, 0, -1):
+            over_main[self.parent[i]] = over_main[self.parent[i]] or over_main[i]
+        mains = {i for i in range(n) if over_main[i]}
         marked = any(self.name[i] in ("article", "main") and chars[i] and not inside[i] for i in range(n))
         blocks = set(self.parent)
         main_path = set(self.path(self.main_node(gone)))
@@ -285,9 +293,8 @@ class Page:
             reached[i] = density[i] >= threshold and (i == 0 or reached[self.parent[i]])
             if reached[i] and sums[best[i]] > 0:
                 chosen.append(best[i])
-        around = set(self.path(chosen[0])) if chosen else {0}
-        for node in set(chosen[1:]):
-            around &= set(self.path(node))
+        # Nodes are numbered in page order, so what is around the first and the last is around all.
+        around = set(self.path(min(chosen))) & set(self.path(max(chosen))) if chosen else {0}
         root = max(around)  # parents come before their children
         holder = [i for i in self.path(root) if self.name[i] in ("article", "main")]
         return holder[-1] if holder else root

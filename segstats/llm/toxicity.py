@@ -12,8 +12,11 @@ lengths.  How many windows of a document gain how much decides, through a
 logistic curve fitted on labelled rows.
 
 Bounds: ``sample`` documents of each label, first in hash order, train the
-dictionaries and the curve; weights restore the shares of all labelled rows.
-Every word of every text is scored.
+dictionaries and the curve; weights restore the shares of all labelled rows.  Of
+rows that repeat a sampled doc_id the text with the smallest SHA-256 is used.
+Whole sampled texts count; near copies of a sampled text are left out of the
+counts, the shared part is the 300 most frequent ordinary words and the own part
+of a dictionary at most 4 KB.  Every word of every text is scored.
 
 Defined results: null text is empty and scored as a text without windows;
 without labels of both kinds every score is the share of toxic labels (0 if
@@ -169,8 +172,7 @@ def train(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: i
     common = [w for w, _ in Counter(w for x in o for w in set(windows(x))).most_common(300 + 2000) if w not in out]
     base = b" ".join(reversed(common[:300]))
     content = _content([w for w, _ in sorted(out.items(), key=lambda i: (i[1], i[0]))], 1 << 12)
-    plain = [w for x in o for w in windows(x)[:200] if w not in out]
-    model.toxic, model.ordinary = base + content, base + _content(plain, len(content))
+    model.toxic, model.ordinary = base + content, base + _content(list(reversed(common[300:])), len(content))
     gains = model.gains()
     x = np.array([gains.features(text) for text in [*toxic, *ordinary]])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
@@ -188,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for mark in (True, False):
         chosen = known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # sample rows at most
+        rows = rows.groupBy("doc_id").agg(F.min_by("text", F.coalesce(F.sha2("text", 256), F.lit(""))).alias("text"))  # one text of each, whatever repeats
         found = {r["doc_id"]: (r["text"] or "").encode() for r in rows.collect()}
         texts[mark] = [found[d] for d in sorted(found)]
     return train(texts[True], texts[False], counts.get(True, 0), counts.get(False, 0))

@@ -518,3 +518,29 @@ def test_pages_of_the_table_keep_their_article(spark):
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_time_of_deep_pages_is_linear():
+    """40,000 open elements in a few seconds, where the square of it would take minutes."""
+    import time
+
+    for page in ("<ul><li>aa" * 40_000, "<div>" * 40_000 + "x", "<main>a" * 20_000, "<table><tr><td>a" * 20_000):
+        began = time.process_time()
+        assert html.main_text(page)
+        assert time.process_time() - began < 10
+
+
+def test_comments_in_articles_go_and_articles_about_comments_stay():
+    story = "<article><h1>T</h1><p>The story has many words in it and goes on for a while.</p></article>"
+    text = html.main_text(f'<body>{story}<article class="comment"><p>A reader says something.</p></article>')
+    assert text.startswith("T\nThe story") and "reader" not in text
+    assert "goes on" in html.main_text('<body><article class="post has-comments"><h1>T</h1><p>The only story here goes on and on.</p></article>')
+
+
+def test_training_takes_one_text_of_each_labelled_document(spark):
+    """10,000 rows of one labelled doc_id with many texts: one text trains, the same in every order."""
+    common.prepare(spark)
+    docs = cases.docs(spark, [f"plain words number {i} idiot" for i in range(10_000)] + [f"plain words number {i}" for i in range(300)], [3] * 10_000 + list(range(100, 400)))
+    labels = spark.createDataFrame([(3, 1)] + [(i, int(i % 7 == 0)) for i in range(100, 400)], "doc_id long, toxic int")
+    models = [toxicity.fit(d, labels) for d in (docs, docs.orderBy(F.rand(5)))]
+    assert (models[0].toxic, models[0].ordinary, list(models[0].coefficients)) == (models[1].toxic, models[1].ordinary, list(models[1].coefficients))
