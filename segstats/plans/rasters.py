@@ -111,7 +111,26 @@ def suppress_overlaps(s):
     return masks.suppress_overlaps(order, settle(_spans(s))).select("image_id", "obj_id", "accepted")
 
 
-@query()
+def _u(stage: str) -> str:
+    return f"(('0x'||substr(md5('42:{stage}:'||image_id||':'||obj_id||':'||try),1,8))::bigint/4294967296.0::double)"
+
+
+# The masks are boxes, so a try lies inside when its corners do, and pixel n of a mask is a quotient and a remainder.
+@query(f"""with i as (select image_id, category_name, gt_idx, row_number() over (partition by image_id, category_name order by ('0x'||substr(md5('42:'||image_id||':'||gt_idx),1,8))::bigint, gt_idx) as rn from fx_gt),
+t as (select image_id, gt_idx from i where rn=1 qualify row_number() over (partition by image_id order by ('0x'||substr(md5('43:'||image_id||':'||category_name),1,8))::bigint, category_name)=1),
+m as (select g.image_id, g.gt_idx as obj_id, x0, y0, x1, y1, w, h, w*h as area, width, height, greatest(least(128, floor(w*0.7::double), floor(h*0.7::double)), 32) as cap
+  from t join fx_gt g on g.image_id=t.image_id and g.gt_idx=t.gt_idx join fx_images p on p.image_id=g.image_id),
+a as (select *, floor(32+(cap-32)*sqrt({_u("size")}))::bigint as size, floor({_u("pixel")}*area)::bigint as pixel from (select *, unnest(range(1, 201)) as try from m) r),
+b as (select *, greatest(0, least(x0+pixel%w-size//2, width-size)) as bx, greatest(0, least(y0+pixel//w-size//2, height-size)) as by_, size as bw, size as bh from a
+  where size*size<=area and size<=least(w,h)),
+c as (select *, greatest(32, floor(w*f))::bigint as bw, greatest(32, floor(h*f))::bigint as bh from
+  (select *, [0.6::double,0.5,0.4,0.3,0.2][(try-201)//50+1] as f from (select *, unnest(range(201, 451)) as try from m) r) v),
+d as (select *, (x0+floor({_u("x")}*(greatest(x0, x1-bw)-x0+1)))::bigint as bx, (y0+floor({_u("y")}*(greatest(y0, y1-bh)-y0+1)))::bigint as by_ from c
+  where bw*bh<=area and bw<=w and bh<=h),
+e as (select image_id, obj_id, x0, y0, x1, y1, try, bx, by_, bw, bh from b union all select image_id, obj_id, x0, y0, x1, y1, try, bx, by_, bw, bh from d),
+f as (select * from e where bx>=x0 and by_>=y0 and bx+bw-1<=x1 and by_+bh-1<=y1 qualify row_number() over (partition by image_id, obj_id order by try)=1)
+select m.image_id, m.obj_id, coalesce(f.bx, greatest(0, (m.x0+m.x1)//2-16))::bigint as x, coalesce(f.by_, greatest(0, (m.y0+m.y1)//2-16))::bigint as y,
+ coalesce(f.bw, 32)::bigint as w, coalesce(f.bh, 32)::bigint as h, coalesce(f.try, 0)::bigint as try from m left join f on f.image_id=m.image_id and f.obj_id=m.obj_id""")
 def sample_reference_box(s):
     """A patch of the reference instance of every image."""
     chosen = sampling.reference_targets(s.gt).where("is_reference").withColumnRenamed("gt_idx", "obj_id")
