@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from segstats.functions.scalar import affine_clip, hash_uniform, luma, normalize_channel
+from segstats.functions.scalar import affine_clip, luma, normalize_channel
 from segstats.operators import masks, metrics, pixels, reports, sampling
 from segstats.plans.evaluation import RATES, grid_sql
 from segstats.plans.registry import big, query, r6, rounded
