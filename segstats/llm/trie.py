@@ -15,7 +15,8 @@ The list of a sequence is hashed as a stream: the ids of a range of 4,096 are
 joined where they are, and the ranges pass one after the other.
 
 Defined results: turns are ordered by turn (null first), equal ones by the
-SHA-256 of role and text; null role and text are empty; turns of null conv_id
+SHA-256 of role and text; null role and text are empty; remainders have the sign
+of the conv_id, as in SQL; turns of null conv_id
 are one conversation without a shared opening, whose id is larger than any and
 not listed (the largest bigint stands for it inside); a conversation that has
 no turns when rebuilt is a member of the root; an empty table gives no rows;

@@ -143,7 +143,7 @@ def trie(rows):
     nodes = {}
     for c in convs:
         h = 0 if c is None else zlib.crc32(str(c).encode()) % 4
-        seq = (convs.get(c - c % 20, [])[:h] if h else []) + convs[c][h:]
+        seq = (convs.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] if h else []) + convs[c][h:]  # the remainder has the sign of c, as in SQL
         for d in range(len(seq) + 1):
             nodes.setdefault(tuple(seq[:d]), []).append((c, d == len(seq)))
     big = 2**63 - 1
