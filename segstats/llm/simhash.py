@@ -12,7 +12,8 @@ their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
 puts fingerprints many bits apart.  So fingerprints of 256 bits are cut into
 eight blocks; each block emits all variants within 1 bit, half of the radius 2,
 variants meet variants, and colliding pairs within the radius of the whole
-fingerprint are verified by their shingles.
+fingerprint are verified by their shingles, unless a sketch of their shingles
+proves them unlike.
 
 The groups are the connected components of the links, labelled with their
 smallest doc_id.  A hot fingerprint is one node whatever the number of its
@@ -26,6 +27,7 @@ that repeat a doc_id are documents of their own; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segstats.llm.common import LOWER, UPPER, fresh, parts, text_of
+from segstats.llm.common import LOWER, UPPER, drop_shuffles, fresh, parts, text_of
 from segstats.llm.components import connected
 from segstats.operators.matching import connected_groups
 from segstats.scale import forget, settle
@@ -125,7 +127,11 @@ def keep_one_of_each(docs: DataFrame, words: int = 3, bits: int = BITS) -> DataF
 #: the radius of a whole fingerprint (near copies of 0.8 lie 39 bits apart at the mean where edits are one block, others fewer; strangers 100 and more).
 SHINGLE, SIMILAR = 5, 0.8
 FEATURE, LANES, BLOCK_BITS, RADIUS = 2, 4, 32, 56
+#: Words of 64 bits in a parity sketch: texts of up to some thousand shingles.
+PARITIES = 8
 NODES_PER_TASK = 4096
+#: Blocks whose variants are shuffled at once; leads that members of a variant meet before they meet each other.
+BLOCKS_AT_ONCE, FURTHER_LEADS = 2, 2
 
 
 def _shingles(found: list[bytes], words: int) -> list[bytes]:
@@ -148,10 +154,29 @@ def long_fingerprint(text: bytes, words: int = FEATURE, lanes: int = LANES) -> l
     return out
 
 
+def _shingle_hashes(text: bytes) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, sorted."""
+    shingles = _shingles(text.translate(_LOWER).split(), SHINGLE)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+
+
+def parity_sketch(hashes: np.ndarray) -> list[int]:
+    """``PARITIES`` x 64 bits, each the parity of the hashes that fall on it, as signed numbers; then the number of hashes.
+
+    Two sets differ in at least as many elements as their sketches in bits, so a
+    sketch never turns a similar pair away.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist(), len(hashes)]
+
+
 def _long_prints(rows: DataFrame) -> DataFrame:
+    """fp: the long fingerprint, followed by the parity sketch of the shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [long_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(3)]
+            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(3))
+            prints = [long_fingerprint(t) + parity_sketch(_shingle_hashes(t)) for t in texts]
             yield pa.record_batch([*batch.columns[:3], pa.array(prints, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "fp"])
 
     return rows.mapInArrow(run, "row bigint, doc_id bigint, digest string, fp array<bigint>")
@@ -162,8 +187,7 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ((t.as_buffer().to_pybytes() if t.is_valid else b"").translate(_LOWER).split() for t in batch.column(1))
-            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s))).view(np.int64) for s in (_shingles(w, SHINGLE) for w in texts)]
+            sets = [_shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"").view(np.int64) for t in batch.column(1)]
             ends = np.cumsum([0, *map(len, sets)])
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.record_batch([batch.column(0), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -171,24 +195,52 @@ def _shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _apart(a: str, b: str) -> Column:
-    """Bits in which two long fingerprints differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+def _differing(a: str, b: str, lanes: range) -> Column:
+    found = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in lanes]
+    return sum(found[1:], found[0])
+
+
+def _candidates(a: str, b: str) -> Column:
+    """Fingerprints within the radius, and nothing in the numbers and parities of the shingles that rules a similarity of ``SIMILAR`` out."""
+    few, many = F.least(*(n := [F.get(c, F.lit(LANES + PARITIES)) for c in (a, b)])), F.greatest(*n)
+    most = (few + many) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+    return (_differing(a, b, range(LANES)) <= RADIUS) & (few >= SIMILAR * many - 1e-6) & (_differing(a, b, range(LANES, LANES + PARITIES)) <= most)
 
 
-def _collisions(nodes: DataFrame) -> DataFrame:
-    """node, key and the smallest node of every variant that several nodes emit; a task makes the variants of some ``NODES_PER_TASK`` nodes."""
-    nodes = nodes.repartition(parts(nodes.count(), NODES_PER_TASK, nodes.sparkSession))
+def _block(fp: str, no: Column) -> Column:
+    """Block ``no`` of a long fingerprint."""
     per = 64 // BLOCK_BITS
-    mask = F.lit((1 << BLOCK_BITS) - 1)
+    shift = (F.lit(BLOCK_BITS) * (no % per)).cast("int")
+    return F.call_function("shiftrightunsigned", F.get(fp, (no / per).cast("int")), shift).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+
+
+def _meet_here(a: str, b: str) -> Column:
+    """Of the variants that two blocks share, ``key`` is the one where the pair is taken: once a block, not once a variant."""
+    no = F.shiftright("key", BLOCK_BITS)
+    one, two = _block(a, no), _block(b, no)
+    differ = one.bitwiseXOR(two)
+    lowest = differ.bitwiseAND(-differ)
+    return F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == F.least(one.bitwiseXOR(lowest), two.bitwiseXOR(lowest))
+
+
+def _collisions(nodes: DataFrame) -> list[DataFrame]:
+    """node, key and the smallest node of every variant that several nodes emit; a task makes the variants of some ``NODES_PER_TASK`` nodes.
+
+    Settled tables, one for each ``BLOCKS_AT_ONCE`` blocks: variants of other blocks
+    never meet, so only so many of them are on the disks at a time.
+    """
+    nodes = settle(nodes.repartition(parts(nodes.count(), NODES_PER_TASK, nodes.sparkSession)))
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j).cast("bigint") for j in range(BLOCK_BITS)])
-    blocks = [F.struct(F.lit(k).cast("bigint").alias("no"), F.shiftrightunsigned(F.get("fp", F.lit(k // per)), BLOCK_BITS * (k % per)).bitwiseAND(mask).alias("bits"))
-              for k in range(LANES * per)]
-    cut = nodes.select("node", F.inline(F.array(*blocks)))
-    balls = cut.select("node", F.explode(F.transform(flips, lambda f: F.shiftleft("no", BLOCK_BITS).bitwiseOR(F.col("bits").bitwiseXOR(f)))).alias("key"))
     same = Window.partitionBy("key")
-    met = balls.select("node", "key", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("_last"))
-    return met.where(F.col("lead") != F.col("_last")).drop("_last")
+    out = []
+    for first in range(0, LANES * 64 // BLOCK_BITS, BLOCKS_AT_ONCE):
+        blocks = [F.struct(F.lit(k).cast("bigint").alias("no"), _block("fp", F.lit(k)).alias("bits")) for k in range(first, first + BLOCKS_AT_ONCE)]
+        cut = nodes.select("node", F.inline(F.array(*blocks)))
+        balls = cut.select("node", F.explode(F.transform(flips, lambda f: F.shiftleft("no", BLOCK_BITS).bitwiseOR(F.col("bits").bitwiseXOR(f)))).alias("key"))
+        met = balls.select("node", "key", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("_last"))
+        out.append(settle(met.where(F.col("lead") != F.col("_last")).drop("_last")))
+    forget(nodes)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -208,33 +260,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_groups(rows: DataFrame) -> DataFrame:
     """``rows`` (row, doc_id, text), settled -> row, doc_id, group: equal for rows that links of near copies join.
 
-    Two passes leave no colliding pair untested and make no table of all pairs of
-    a group: first every node meets the smallest node of each variant, then the
-    members of a variant that are not in one component yet meet each other.
+    No colliding pair of different components is left untested, and no table of all
+    pairs of a group is made: first every node meets the smallest node of each
+    variant; then, ``FURTHER_LEADS`` times, the members of a variant that are not in
+    one component yet meet another lead of it, drawn by a hash; those still apart
+    meet each other.
     """
     text = F.translate(text_of(), UPPER, LOWER)
     prints = settle(_long_prints(rows.select("row", "doc_id", F.sha2(text, 256).alias("digest"), F.col("text").cast("string").alias("text"))))
     nodes = settle(prints.groupBy("digest").agg(F.min("row").alias("node"), F.max("fp").alias("fp")))
     fps = nodes.select("node", "fp")
-    met = settle(_collisions(fps))
+    tables = _collisions(fps)
+    met = reduce(DataFrame.unionByName, tables)
     texts = rows.withColumnRenamed("row", "node")
+    sides = [fps.select(F.col("node").alias(c), F.col("fp").alias("f" + c)) for c in "ab"]
 
     stars = met.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(fps.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    links = _verified(settle(stars.where(_apart("fa", "fb") <= RADIUS).select("a", "b")), texts)
-
-    labels = connected(links)
-    labelled = met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = settle(labelled.join(mixed, "key").join(fps, "node"))
-    one, two = (members.select("key", *[F.col(c).alias(c + side) for c in ("node", "label", "fp")]) for side in "ab")
-    rest = one.join(two, "key").where((F.col("labela") != F.col("labelb")) & (F.col("nodea") < F.col("nodeb")) & (_apart("fpa", "fpb") <= RADIUS))
-    more = _verified(settle(rest.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()), texts)
-
-    final = connected(links.unionByName(more))
-    placed = nodes.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
+    stars = stars.join(sides[0], "a").join(sides[1], "b")
+    labels = settle(connected(_verified(settle(stars.where(_candidates("fa", "fb")).select("a", "b")), texts)))
+
+    members, least, greatest = met.select("key", "node").join(fps, "node"), F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")
+    for turn in range(FURTHER_LEADS + 1):
+        labelled = members.select("key", "node", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        before, members = members, settle(labelled.join(mixed, "key").select("key", "node", "fp", "label"))
+        forget(before)
+        one, two = (members.select("key", *[F.col(c).alias(c + side) for c in ("node", "label", "fp")]) for side in "ab")
+        if turn < FURTHER_LEADS:
+            order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("nodea"), F.col("label").alias("labela"), F.col("fp").alias("fpa"))
+            one = members.groupBy("key").agg(F.min(order).alias("r")).select("key", "r.nodea", "r.labela", "r.fpa")
+        apart = (F.col("labela") != F.col("labelb")) & (F.lit(True) if turn < FURTHER_LEADS else (F.col("nodea") < F.col("nodeb")) & _meet_here("fpa", "fpb"))
+        pairs = settle(one.join(two, "key").where(apart & _candidates("fpa", "fpb")).select(least, greatest).distinct())
+        if pairs.isEmpty():
+            continue
+        stars = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = settle(connected(stars.unionByName(_verified(pairs, texts))))
+
+    placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
     out = settle(prints.select("row", "doc_id", "digest").join(placed, "digest").select("row", "doc_id", "group"))
-    for done in (prints, met, members):
+    for done in (prints, members, *tables):
         forget(done)
     return out
 
@@ -242,6 +306,7 @@ def similar_groups(rows: DataFrame) -> DataFrame:
 def keep_one_of_similar(docs: DataFrame) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id, with all columns of ``docs``; null doc_id only where a group has no other."""
     (row,) = fresh(docs, "_row")
+    drop_shuffles(docs.sparkSession)
     held = settle(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = similar_groups(held.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("r")).select(F.col("r.row").alias(row))

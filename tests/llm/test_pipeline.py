@@ -106,3 +106,35 @@ def test_near_copies_in_a_chain_are_one_group(spark):
 def test_capacities_refuse_pieces_that_fit_nowhere():
     with pytest.raises(ValueError):
         packing.plan({50: 1}, packing.Capacities(100, attention=2000))
+
+
+def test_a_sketch_never_turns_a_similar_pair_away(spark):
+    """The sketch bounds the difference of two sets from below, and long fingerprints carry it; a group of unlike texts makes few pairs."""
+    rnd = random.Random(10)
+    for n in (0, 1, 5, 60, 146, 900, 5000):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(n)]
+        for every in (7, 30, 90):
+            a, b = (simhash._shingle_hashes(" ".join(w).encode()) for w in (words, _edited(words, every, rnd)))
+            one, two = simhash.parity_sketch(a), simhash.parity_sketch(b)
+            bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(one[:-1], two[:-1]))
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (one[-1], two[-1]) == (len(a), len(b))
+            shared = len(set(a.tolist()) & set(b.tolist()))
+            row = spark.createDataFrame([([0] * simhash.LANES + one, [0] * simhash.LANES + two)], "a array<bigint>, b array<bigint>")
+            if shared >= simhash.SIMILAR * (len(a) + len(b) - shared):
+                assert row.select(simhash._candidates("a", "b")).first()[0]
+
+
+def test_two_blocks_meet_at_one_variant(spark):
+    """Blocks within 2 bits share variants and are taken at exactly one of them."""
+    rnd = random.Random(11)
+    for k in (0, 3, 7):
+        base = [rnd.getrandbits(63) for _ in range(simhash.LANES + simhash.PARITIES + 1)]
+        for flips in ((), (0,), (31,), (3, 17), (30, 31)):
+            other = list(base)
+            for bit in flips:
+                other[k // 2] ^= 1 << bit + 32 * (k % 2)
+            other[k // 2] -= (1 << 64) * (other[k // 2] >> 63)
+            blocks = [(x[k // 2] >> 32 * (k % 2)) & 0xFFFFFFFF for x in (base, other)]
+            balls = [{b, *(b ^ 1 << j for j in range(32))} for b in blocks]
+            keys = spark.createDataFrame([(base, other, (k << 32) | v) for v in balls[0] & balls[1]], "a array<bigint>, b array<bigint>, key bigint")
+            assert keys.where(simhash._meet_here("a", "b")).count() == 1
