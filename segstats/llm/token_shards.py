@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from segstats.llm.common import before
 from segstats.llm.tokens import encoder
-from segstats.scale import ensure_checkpoint_dir, settle
+from segstats.scale import ensure_checkpoint_dir, row_numbers, running, settle, with_chunks
 
 MAGIC = b"TOKSHRD1"
 _HEAD = struct.Struct("<8sHHIQQ")
@@ -155,6 +155,18 @@ class Shard:
         begin, length = (int(x[0]) for x in self.find([(doc_id, number)]))
         return None if begin < 0 else self.ids[begin : begin + length].astype("<u4")
 
+    def all_of(self, doc_id: int | None) -> list[np.ndarray]:
+        """Ids of every document of that doc_id; a match of the stored fingerprint is checked against the stored doc_id."""
+        if not hasattr(self, "_begins"):
+            self._begins = self.places[self.slots]  # ascending: documents lie in their order and none is empty
+        found: list[np.ndarray] = []
+        while True:
+            begin, length = (int(x[0]) for x in self.find([(doc_id, len(found))]))
+            at = int(np.searchsorted(self._begins, begin)) if begin >= 0 else self.n
+            if at >= self.n or bool(self.nulls[at]) != (doc_id is None) or int(self.doc_ids[at]) != (doc_id or 0):
+                return found
+            found.append(self.ids[begin : begin + length])
+
     def numbered_keys(self) -> Iterator[tuple[int | None, int]]:
         """(doc_id, number) of every document, in order."""
         last, number = object(), 0
@@ -167,6 +179,8 @@ class Shard:
 
 # ---------------------------------------------------------------- writing and reading
 
+_MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+
 
 def _opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
@@ -179,7 +193,7 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
-    """Encode ``docs`` in ascending doc_id order into ``folder``; one row per shard: part, number, n_docs, n_ids."""
+    """Encode ``docs`` in ascending doc_id order into ``folder``; one row per shard: part, number, n_docs, n_ids, first_id, last_id."""
     store, path = _opened(folder)
     store.create_dir(path, recursive=True)
     end = struct.pack("<I", end_id)
@@ -196,7 +210,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             with out_fs.open_output_stream(draft) as f:
                 f.write(pack_shard(keys, payloads, vocabulary))
             out_fs.move(draft, name)
-            row = pa.record_batch([[task.partitionId()], [number], [len(keys)], [held]], schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = pa.record_batch([[task.partitionId()], [number], [len(keys)], [held], [keys[0][0]], [keys[-1][0]]], schema=_MANIFEST)
             keys, payloads, held, number = [], [], 0, number + 1
             return row
 
@@ -217,7 +231,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(ordered.mapInArrow(run, "part int, number int, n_docs bigint, n_ids bigint"))
+    return settle(ordered.mapInArrow(run, "part int, number int, n_docs bigint, n_ids bigint, first_id bigint, last_id bigint"))
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -243,6 +257,52 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return docs.join(places, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def shards_of(keys: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The shards that may hold each distinct doc_id of ``keys``: doc_id, part, number.
+
+    Shards lie in the order of their ids, so those of a key end at the last shard
+    that begins at or before it and start at the last one that begins before it: two
+    running maxima over keys and shards in one order.  Null is the smallest id.
+    """
+    shards = settle(row_numbers(manifest, ["part", "number"], out="ordinal").select("part", "number", "first_id", "last_id", F.col("ordinal").cast("bigint").alias("ordinal")))
+    ids = keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    none = F.lit(None).cast("bigint")
+    events = (ids.select("doc_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("kind"), none.alias("ordinal"))
+              .unionByName(shards.select(F.col("first_id").alias("doc_id"), F.lit(1).alias("kind"), "ordinal")))
+    events = events.withColumns({"known": F.col("doc_id").isNotNull(), "least": F.coalesce("doc_id", F.lit(0))})
+    order = ["known", "least", "kind"]
+    seen = running(with_chunks(events, order), [], order, {"upto": ("max", "ordinal")}).where("kind <> 1")
+    ends = seen.groupBy("known", "least").agg(F.max(F.when(F.col("kind") == 0, F.col("upto"))).alias("low"), F.max(F.when(F.col("kind") == 2, F.col("upto"))).alias("high"))
+    spans = ends.where("high is not null").select(F.when(F.col("known"), F.col("least")).alias("doc_id"), F.explode(F.sequence(F.coalesce("low", F.lit(1)), "high")).alias("ordinal"))
+    reaches = F.col("doc_id").isNull() | (F.col("last_id") >= F.col("doc_id"))
+    return spans.join(shards, "ordinal").where(reaches).select("doc_id", "part", "number")
+
+
+def lookup(keys: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
+    """The documents of each distinct doc_id of ``keys``: doc_id, part, number, copy, ids; ids that no shard holds give no row.
+
+    Only shards whose range holds a key are opened, each once by a task; the keys of
+    one shard may be read by several tasks.  ``copy`` counts the documents of a
+    doc_id inside a shard.
+    """
+    path = _opened(folder)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_fs, name, shard = _opened(folder)[0], None, None
+        for batch in batches:
+            for doc_id, part, number in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != (name := f"{path}/shard-{part:06d}-{number:06d}.ids"):
+                    with out_fs.open_input_file(name) as f:
+                        shard = Shard(f.read())
+                for copy, ids in enumerate(shard.all_of(doc_id)):
+                    yield pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([copy], pa.int64()),
+                                           pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "part", "number", "copy", "ids"])
+
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = shards_of(keys, manifest).repartitionByRange(n, "part", "number", "doc_id").sortWithinPartitions("part", "number", "doc_id")
+    return asked.mapInArrow(run, "doc_id bigint, part int, number int, copy bigint, ids array<bigint>")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Write ``docs`` and read them back."""
     spark = docs.sparkSession

@@ -1,5 +1,6 @@
 """The ten operators on awkward rows, on empty tables and against brute force."""
 
+import collections
 import hashlib
 import os
 import random
@@ -9,6 +10,7 @@ import uuid
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import cases  # noqa: E402
@@ -202,6 +204,25 @@ def test_shard_answers_by_key():
     assert token_shards.Shard(token_shards.pack_shard([], [], 100)).get(1) is None
 
 
+def test_lookup_opens_only_the_shards_of_its_keys(spark):
+    """Null ids, ids that fill several shards, ids before, between and beyond the shards; copies are given whole."""
+    rows = [(d, f"text {d} " * (1 + d % 5)) for d in range(0, 400, 2)] + [(None, f"nobody {k}") for k in range(30)] + [(100, f"again {k} " * 8) for k in range(60)]
+    docs = cases.docs(spark, [t for _, t in rows], [d for d, _ in rows])
+    folder, path = token_shards.new_folder(spark), public_tokenizers.path(WORD_BPE)
+    manifest = token_shards.write_shards(docs, folder, path, ids_per_shard=60)
+    asked = [None, 0, 1, 98, 100, 102, 398, 399, -5, 1000, 100]
+    keys = spark.createDataFrame([(d,) for d in asked], "doc_id long")
+    found = token_shards.lookup(keys, folder, manifest).collect()
+    coder = Tokenizer.from_file(path)
+    want = collections.Counter((d, *coder.encode(t, add_special_tokens=False).ids, token_shards.END_ID) for d, t in rows if d in set(asked))
+    assert collections.Counter((r["doc_id"], *r["ids"]) for r in found) == want
+    opened = token_shards.shards_of(keys, manifest).collect()
+    assert len({(r["part"], r["number"]) for r in opened}) < manifest.count() / 2
+    assert len({(r["part"], r["number"]) for r in opened if r["doc_id"] == 100}) > 5
+    assert max(collections.Counter(r["doc_id"] for r in opened if r["doc_id"] not in (None, 100)).values()) <= 2
+    assert token_shards.lookup(keys.where("doc_id < -100"), folder, manifest).isEmpty()
+
+
 def test_no_documents_no_tokens(nothing):
     assert token_shards.token_files(nothing, public_tokenizers.path(WORD_BPE)).count() == 0
     assert packing.pack_documents(nothing, public_tokenizers.path(BYTE_BPE)).count() == 0
