@@ -23,10 +23,16 @@ def running_counts(pixels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [pa.array(np.r_[0, np.cumsum(np.bincount(np.asarray(xs.values) - first))], pa.int32()) for first, xs in zip(batch.column(2).to_pylist(), batch.column(3))]
-            ends = np.cumsum([0, *map(len, counts)])
-            flat = pa.concat_arrays(counts) if counts else pa.array([], pa.int32())
-            yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["image_id", "y", "x_from", "upto"])
+            first, lists = np.asarray(batch.column(2)), batch.column(3)
+            line = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            place = np.asarray(lists.flatten()) - first[line] + 1
+            size = np.zeros(batch.num_rows, np.int64)
+            np.maximum.at(size, line, place + 1)
+            ends = np.cumsum(np.r_[0, size])
+            total = np.cumsum(np.bincount(ends[:-1][line] + place, minlength=ends[-1]))
+            before = np.r_[0, total][ends[:-1]]  # what the lines before have added up to
+            upto = pa.array(total - np.repeat(before, size), pa.int32())
+            yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), upto)], names=["image_id", "y", "x_from", "upto"])
 
     kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ("image_id", "y", "x_from"))
     return lines.mapInArrow(run, f"{kinds}, upto array<int>")

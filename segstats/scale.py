@@ -88,6 +88,13 @@ def configure(spark: SparkSession) -> None:
     ship(spark)
 
 
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Broadcasts by the size a finished stage has, not by the estimate of a plan, which knows
+    neither how well a file is packed nor how many rows an ``explode`` makes."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for each context; Spark's own file server copies it to them."""
     sc = spark.sparkContext
