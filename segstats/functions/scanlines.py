@@ -27,6 +27,17 @@ def edges_of(segmentation: pa.ListArray) -> dict[str, np.ndarray]:
     return {"ring": coord_ring, "obj": ring_obj[coord_ring], "hole": ~first[coord_ring], "x1": x, "y1": y, "x2": x[following], "y2": y[following]}
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One sort key for (a, b); a is not negative."""
+    if not len(a):
+        return a
+    span = int(b.max()) - int(b.min()) + 1
+    if (int(a.max()) + 1) * span >= 1 << 62:
+        names, b = np.unique(b, return_inverse=True)
+        span = len(names)
+    return a * span + (b - b.min())
+
+
 def _closed_runs(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Runs (object, hole, y, first, last) whose union is the closed region of each ring.
 
@@ -43,7 +54,7 @@ def _closed_runs(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     reading = np.repeat([0, 1], len(row))
     dx, dy = e["x2"][which] - e["x1"][which], e["y2"][which] - e["y1"][which]
     x = (e["x1"][which] * dy + (y - e["y1"][which]) * dx) / dy
-    order = np.lexsort((x, reading, y, e["ring"][which]))
+    order = np.lexsort((x, _joined(e["ring"][which], y) * 2 + reading))
     left, right = order[::2], order[1::2]
     level = np.flatnonzero(low == high)
     a = np.concatenate([np.ceil(x[left]).astype(np.int64), np.minimum(e["x1"], e["x2"])[level]])
@@ -59,7 +70,7 @@ def _outer_minus_holes(obj, hole, y, a, b) -> tuple[np.ndarray, ...]:
     pos = np.concatenate([a, b + 1])
     sign = np.repeat([1, -1], len(a))
     obj2, y2, hole2 = np.tile(obj, 2), np.tile(y, 2), np.tile(hole, 2)
-    order = np.lexsort((pos, y2, obj2))
+    order = np.lexsort((pos, _joined(obj2, y2)))
     pos, obj2, y2 = pos[order], obj2[order], y2[order]
     delta = sign[order]
     outer = np.cumsum(np.where(hole2[order], 0, delta))
@@ -73,76 +84,158 @@ def _outer_minus_holes(obj, hole, y, a, b) -> tuple[np.ndarray, ...]:
     return o[starts], line[starts], begin[starts], end[ends]
 
 
-def batch_spans(batch: pa.RecordBatch, ids: list[str], segmentation: str):
-    """Spans of the objects of a batch, in slices of bounded size."""
+def _fold_heights(edges: dict[str, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Give the edges of objects that are all upright and level the numbers of their bands for y.
+
+    Between two vertex lines every line of such an object is the same: vertex line i becomes line
+    2 i, and all between it and the next one line 2 i + 1.  Returns which objects are folded, where
+    each object's vertex lines begin, and the vertex lines.
+    """
+    obj, y = edges["obj"], edges["y1"]
+    slanted = np.bincount(obj[(edges["x1"] != edges["x2"]) & (edges["y1"] != edges["y2"])], minlength=rows) > 0
+    order = np.lexsort((y, obj))
+    new = np.r_[True, (obj[order][1:] != obj[order][:-1]) | (y[order][1:] != y[order][:-1])][: len(obj)]
+    lines, owner = y[order][new], obj[order][new]
+    start = np.searchsorted(owner, np.arange(rows))
+    rank = np.empty(len(obj), np.int64)
+    rank[order] = np.cumsum(new) - 1 - start[obj[order]]
+    following = np.arange(len(obj)) + 1  # the end of an edge is the begin of the next one of its ring
+    ring = edges["ring"]
+    last = np.r_[ring[1:] != ring[:-1], True][: len(ring)]
+    opens = np.maximum.accumulate(np.where(np.r_[True, last[:-1]][: len(ring)], np.arange(len(ring)), 0))
+    following = np.where(last, opens, following)
+    folded = ~slanted
+    edges["y1"] = np.where(folded[obj], 2 * rank, edges["y1"])
+    edges["y2"] = np.where(folded[obj], 2 * rank[following], edges["y2"])
+    return folded, start, lines
+
+
+def _unfold(obj: np.ndarray, y: np.ndarray, folded: np.ndarray, start: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last real line of each line of :func:`_fold_heights`; empty bands end before they begin."""
+    mine, band = folded[obj], y % 2 == 1
+    at = np.where(mine, start[obj] + y // 2, 0)
+    after = np.minimum(at + 1, len(lines) - 1)
+    low, high = np.where(band, lines[at] + 1, lines[at]), np.where(band, lines[after] - 1, lines[at])
+    return np.where(mine, low, y), np.where(mine, high, y)
+
+
+def runs_of(row: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, y_to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spans folded to upright runs: equal ends on neighbouring lines of an object.  The object of each run, and [y from, y to, x0, x1]."""
+    y_to = y if y_to is None else y_to
+    order = np.lexsort((y, x1, _joined(row, x0)))
+    row, y, y_to, x0, x1 = row[order], y[order], y_to[order], x0[order], x1[order]
+    opens = np.r_[True, (row[1:] != row[:-1]) | (x0[1:] != x0[:-1]) | (x1[1:] != x1[:-1]) | (y[1:] != y_to[:-1] + 1)][: len(row)]
+    first = np.flatnonzero(opens)
+    last = np.r_[first[1:], len(row)][: len(first)] - 1
+    return row[first], np.column_stack([y[first], y_to[last], x0[first], x1[first]])
+
+
+def run_lists(row: np.ndarray, runs: np.ndarray, rows: int) -> pa.ListArray:
+    """Runs sorted by object as one flat list for each of ``rows`` objects."""
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=rows))] * 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(runs.ravel(), pa.int64()))
+
+
+def batch_masks(batch: pa.RecordBatch, ids: list[str], segmentation: str):
+    """Objects of a batch with area, box and the list of their runs, in slices of bounded size."""
     edges = edges_of(batch.column(segmentation))
+    bands = _fold_heights(edges, batch.num_rows)
     load = np.zeros(batch.num_rows, dtype=np.int64)
     np.add.at(load, edges["obj"], np.abs(edges["y2"] - edges["y1"]) + 1)
     slot = np.cumsum(load) // ROWS_AT_ONCE
     for part in np.unique(slot[load > 0]):
         mine = slot[edges["obj"]] == part
         obj, y, x0, x1 = _outer_minus_holes(*_closed_runs({k: v[mine] for k, v in edges.items()}))
-        rows = pa.array(obj)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ids], pa.array(y), pa.array(x0), pa.array(x1)],
-                                         names=[*ids, "y", "x0", "x1"])
-
-
-def batch_masks(batch: pa.RecordBatch, ids: list[str], segmentation: str):
-    """Objects of a batch with area, box and the list of their lines."""
-    n = len(ids)
-    for part in batch_spans(batch.append_column("_row", pa.array(np.arange(batch.num_rows))), [*ids, "_row"], segmentation):
-        row, y, x0, x1 = (part.column(k).to_numpy() for k in range(n, n + 4))
-        if not len(row):
+        y, y_to = _unfold(obj, y, *bands)
+        real = y <= y_to
+        if not real.any():
             continue
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # the spans of an object stand together, in order
-        ends = np.append(first, len(row)).astype(np.int32)
-        lines = pa.StructArray.from_arrays([pa.array(y), pa.array(x0), pa.array(x1)], names=["y", "x0", "x1"])
-        sums = [np.add.reduceat(x1 - x0 + 1, first), np.minimum.reduceat(x0, first), np.minimum.reduceat(y, first), np.maximum.reduceat(x1, first), np.maximum.reduceat(y, first)]
-        yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(first)) for k in range(n)], *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), lines)],
-                                         names=[*ids, "area", "x0", "y0", "x1", "y1", "lines"])
-
-
-def _lines_of(lists: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """y, x0, x1 of all lists, and where each list begins and ends."""
-    lines = lists.flatten()
-    fields = [lines.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-    return fields, np.r_[0, ends[:-1]] if len(ends) else ends, ends
-
-
-def line_overlaps(left: pa.Array, right: pa.Array, block: int = 4_000_000) -> np.ndarray:
-    """Common pixels of each pair of masks, given as lists of lines in order of y."""
-    (ay, a0, a1), astart, aend = _lines_of(left)
-    (by, b0, b1), bstart, bend = _lines_of(right)
+        row, runs = runs_of(obj[real], y[real], x0[real], x1[real], y_to[real])
+        first = _first_of(row)
+        number = np.cumsum(np.r_[0, row[1:] != row[:-1]])
+        top, bottom, left, right = runs.T
+        sums = [np.add.reduceat((bottom - top + 1) * (right - left + 1), first), np.minimum.reduceat(left, first), np.minimum.reduceat(top, first),
+                np.maximum.reduceat(right, first), np.maximum.reduceat(bottom, first)]
+        rows = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in ids], *map(pa.array, sums), run_lists(number, runs, len(first))],
+                                         names=[*ids, "area", "x0", "y0", "x1", "y1", "runs"])
+
+
+def fold_lines(lines: pa.ListArray) -> pa.ListArray:
+    """Lists of lines (y, x0, x1) as lists of runs."""
+    flat = lines.flatten()
+    y, x0, x1 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    row = np.repeat(np.arange(len(lines)), np.asarray(pc.list_value_length(lines)))
+    return run_lists(*runs_of(row, y, x0, x1), len(lines))
+
+
+def expand_runs(lists: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Row, y, x0, x1 of every line of lists of runs."""
+    runs = np.asarray(lists.flatten()).reshape(-1, 4)
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)) // 4)
+    height = runs[:, 1] - runs[:, 0] + 1
+    step = np.arange(height.sum()) - np.repeat(np.cumsum(height) - height, height)
+    return np.repeat(row, height), np.repeat(runs[:, 0], height) + step, np.repeat(runs[:, 2], height), np.repeat(runs[:, 3], height)
+
+
+def batch_differences(outer: pa.ListArray, holes: pa.ListArray) -> pa.ListArray:
+    """Runs of each mask without those of its holes."""
+    o, h = expand_runs(outer), expand_runs(holes)
+    both = [np.concatenate([a, b]) for a, b in zip(o, h)]
+    cut = _outer_minus_holes(both[0], np.repeat([False, True], [len(o[0]), len(h[0])]), *both[1:])
+    return run_lists(*runs_of(*cut), len(outer))
+
+
+def _meetings(left: pa.ListArray, right: pa.ListArray, block: int):
+    """Every run of a left mask with every run of its right one, in blocks: number of the pair (ascending) and both runs."""
+    a, b = (np.asarray(lists.flatten()).reshape(-1, 4) for lists in (left, right))
+    na, nb = (np.asarray(pc.list_value_length(lists)).astype(np.int64) // 4 for lists in (left, right))
+    pair, start = np.repeat(np.arange(len(na)), na), np.cumsum(nb) - nb
+    load = nb[pair]
+    slot = (np.cumsum(load) - load) // block
+    cuts = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, len(pair)]
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        i = np.repeat(np.arange(s, e), load[s:e])
+        if len(i):
+            place = np.arange(len(i)) - np.repeat(np.cumsum(load[s:e]) - load[s:e], load[s:e])
+            yield pair[i], a[i], b[start[pair[i]] + place]
+
+
+def _first_of(pair: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The common box of two runs, empty where its ends are the wrong way round."""
+    return np.column_stack([np.maximum(a[:, 0], b[:, 0]), np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 2], b[:, 2]), np.minimum(a[:, 3], b[:, 3])])
+
+
+def run_overlaps(left: pa.ListArray, right: pa.ListArray, block: int = 2_000_000) -> np.ndarray:
+    """Common pixels of each pair of masks, given as lists of runs."""
     out = np.zeros(len(left), np.int64)
-    for i in range(len(left)):
-        a, b = slice(astart[i], aend[i]), slice(bstart[i], bend[i])
-        if a.start == a.stop or b.start == b.stop:
-            continue
-        low, high = max(ay[a.start], by[b.start]), min(ay[a.stop - 1], by[b.stop - 1])
-        a = slice(a.start + np.searchsorted(ay[a], low), a.start + np.searchsorted(ay[a], high, side="right"))
-        b = slice(b.start + np.searchsorted(by[b], low), b.start + np.searchsorted(by[b], high, side="right"))
-        step = max(1, block // max(1, b.stop - b.start))
-        for at in range(a.start, a.stop, step):
-            c = slice(at, min(at + step, a.stop))
-            wide = np.minimum(a1[c][:, None], b1[b][None, :]) - np.maximum(a0[c][:, None], b0[b][None, :]) + 1
-            out[i] += int((np.maximum(wide, 0) * (ay[c][:, None] == by[b][None, :])).sum())
+    for pair, a, b in _meetings(left, right, block):
+        c, first = _common(a, b), _first_of(pair)
+        out[pair[first]] += np.add.reduceat(np.maximum(c[:, 1] - c[:, 0] + 1, 0) * np.maximum(c[:, 3] - c[:, 2] + 1, 0), first)
     return out
 
 
-def line_gaps(left: pa.Array, right: pa.Array, block: int = 4_000_000) -> np.ndarray:
-    """Least distance of each pair of masks, given as lists of lines (y, x0, x1); NaN where a mask is empty."""
+def run_commons(left: pa.ListArray, right: pa.ListArray, block: int = 2_000_000) -> pa.ListArray:
+    """The common part of each pair of masks, as lists of runs."""
+    pairs, parts = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
+    for pair, a, b in _meetings(left, right, block):
+        c = _common(a, b)
+        some = (c[:, 0] <= c[:, 1]) & (c[:, 2] <= c[:, 3])
+        pairs.append(pair[some])
+        parts.append(c[some])
+    return run_lists(np.concatenate(pairs), np.concatenate(parts), len(left))
+
+
+def run_gaps(left: pa.ListArray, right: pa.ListArray, block: int = 2_000_000) -> np.ndarray:
+    """Least distance of each pair of masks, given as lists of runs; NaN where a mask is empty."""
     out = np.full(len(left), np.nan)
-    (ay, a0, a1), astart, aend = _lines_of(left)
-    (by, b0, b1), bstart, bend = _lines_of(right)
-    for i in range(len(left)):
-        b = slice(bstart[i], bend[i])
-        step = max(1, block // max(1, bend[i] - bstart[i]))
-        for at in range(astart[i], aend[i], step):
-            a = slice(at, min(at + step, aend[i]))
-            if b.start == b.stop:
-                continue
-            dx = np.maximum(0, np.maximum(b0[b][None, :] - a1[a][:, None], a0[a][:, None] - b1[b][None, :]))
-            dy = ay[a][:, None] - by[b][None, :]
-            out[i] = np.fmin(out[i], np.sqrt((dx * dx + dy * dy).min()))
+    for pair, a, b in _meetings(left, right, block):
+        dy = np.maximum(0, np.maximum(b[:, 0] - a[:, 1], a[:, 0] - b[:, 1]))
+        dx = np.maximum(0, np.maximum(b[:, 2] - a[:, 3], a[:, 2] - b[:, 3]))
+        first = _first_of(pair)
+        out[pair[first]] = np.fmin(out[pair[first]], np.sqrt(np.minimum.reduceat(dx * dx + dy * dy, first)))
     return out

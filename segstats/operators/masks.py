@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
-from segstats.functions.scanlines import batch_masks, batch_spans, line_gaps, line_overlaps
-from segstats.operators.matching import connected_groups, meeting_boxes
+from segstats.functions.scanlines import batch_differences, batch_masks, expand_runs, fold_lines, run_commons, run_gaps, run_overlaps
+from segstats.operators.matching import BOX, connected_groups, meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
 SPAN = "struct<a:bigint,b:bigint>"
@@ -63,18 +63,11 @@ def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), s
     """Scan conversion of polygons with holes to spans, without a shuffle.
 
     Objects are independent, so each Arrow batch is converted where it is, all
-    of its objects at once.  Output grows with the height of the objects: give a
-    table with few partitions more of them first (:func:`spread`).
+    of its objects at once, and leaves Python as runs of equal lines.  Output grows
+    with the height of the objects: give a table with few partitions more of them
+    first (:func:`spread`).
     """
-    rings = _rings(objects, ids, segmentation)
-    schema = T.StructType([*[rings.schema[c] for c in ids], *[T.StructField(c, T.LongType()) for c in ("y", "x0", "x1")]])
-    names = list(ids)
-
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from batch_spans(batch, names, "rings")
-
-    return rings.mapInArrow(convert, schema)
+    return unpack_spans(rasterize_packed(objects, ids, segmentation), ids)
 
 
 def _rings(objects: DataFrame, ids: Sequence[str], segmentation: str) -> DataFrame:
@@ -164,13 +157,14 @@ def _areas(spans: DataFrame, image: str, ident: str, out: str) -> DataFrame:
     return spans.groupBy(image, ident).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias(out))
 
 
-LINES = "array<struct<y:bigint,x0:bigint,x1:bigint>>"
-
-
 def rasterize_packed(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), segmentation: str = "segmentation") -> DataFrame:
-    """:func:`rasterize` with one row per object: its lines in order, area and box, all from the one conversion."""
+    """:func:`rasterize` with one row per object: area, box and ``runs``, all from the one conversion.
+
+    ``runs`` is a flat list [y from, y to, x0, x1, ...]: spans with equal ends on
+    neighbouring lines are one run, so an upright mask has a handful of them.
+    """
     rings, names = _rings(objects, ids, segmentation), list(ids)
-    schema = ", ".join(f"`{c}` {rings.schema[c].dataType.simpleString()}" for c in ids) + f", area bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, lines {LINES}"
+    schema = ", ".join(f"`{c}` {rings.schema[c].dataType.simpleString()}" for c in ids) + ", area bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, runs array<bigint>"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +176,40 @@ def rasterize_packed(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_
 def pack_spans(spans: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Span tables in the form of :func:`rasterize_packed`; the lines of an object are brought together once."""
     line = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("y", "x0", "x1")])
-    return spans.groupBy(*ids).agg(
+    listed = spans.groupBy(*ids).agg(
         F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("area"), F.min("x0").cast("bigint").alias("x0"), F.min("y").cast("bigint").alias("y0"),
-        F.max("x1").cast("bigint").alias("x1"), F.max("y").cast("bigint").alias("y1"), F.sort_array(F.collect_list(line)).alias("lines"))
+        F.max("x1").cast("bigint").alias("x1"), F.max("y").cast("bigint").alias("y1"), F.collect_list(line).alias("lines"))
+    keep = listed.columns[:-1]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*[batch.column(c) for c in keep], fold_lines(batch.column("lines"))], names=[*keep, "runs"])
+
+    return listed.mapInArrow(fold, ", ".join(f"`{c}` {listed.schema[c].dataType.simpleString()}" for c in keep) + ", runs array<bigint>")
+
+
+def unpack_spans(packed: DataFrame, ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
+    """The spans of packed masks."""
+    at = lambda k: F.get("runs", F.col("_run") * 4 + k)
+    listed = packed.where(F.size("runs") > 0).select(*ids, "runs", F.explode(F.sequence(F.lit(0), (F.size("runs") / 4).cast("int") - 1)).alias("_run"))
+    return listed.select(*ids, at(0).alias("_y0"), at(1).alias("_y1"), at(2).alias("x0"), at(3).alias("x1")).select(
+        *ids, F.explode(F.sequence("_y0", "_y1")).alias("y"), "x0", "x1")
+
+
+def _packed(masks: DataFrame, ids: Sequence[str]) -> DataFrame:
+    return masks if "runs" in masks.columns else pack_spans(masks, ids)
+
+
+def subtract_packed(outer: DataFrame, holes: DataFrame, ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
+    """:func:`subtract_holes` for packed masks: ids and ``runs``; a mask meets all of its holes in one row."""
+    cover = holes.groupBy(*ids).agg(F.flatten(F.collect_list("runs")).alias("_holes"))
+    met = outer.select(*ids, "runs").join(cover, list(ids), "left").select(*ids, "runs", F.coalesce("_holes", F.array().cast("array<bigint>")).alias("_holes"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*[batch.column(c) for c in ids], batch_differences(batch.column("runs"), batch.column("_holes"))], names=[*ids, "runs"])
+
+    return met.mapInArrow(cut, ", ".join(f"`{c}` {met.schema[c].dataType.simpleString()}" for c in ids) + ", runs array<bigint>")
 
 
 def mask_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_idx", image: str = "image_id",
@@ -192,20 +217,20 @@ def mask_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_id
     """IoU of every overlapping mask pair of an image; zero pairs only where ``candidates`` asks for them.
 
     Both sides are span tables or packed masks.  Only masks whose boxes overlap
-    meet, in grid cells of the boxes; areas ride along with the lines, which are
+    meet, in grid cells of the boxes; areas ride along with the runs, which are
     intersected in Arrow batches where the pair is.
     """
-    a, b = (m if "lines" in m.columns else pack_spans(m, [image, i]) for m, i in ((a, a_id), (b, b_id)))
-    left = a.withColumnsRenamed({"area": "area_a", "lines": "lines_a"})
-    right = b.withColumnsRenamed({"area": "area_b", "lines": "lines_b"})
-    met = meeting_boxes(left, right, [image], a_id, b_id, cell, keep_a=["area_a", "lines_a"], keep_b=["area_b", "lines_b"])
-    rows = met.select(image, a_id, b_id, "area_a", "area_b", "lines_a", "lines_b")
+    a, b = (_packed(m, [image, i]) for m, i in ((a, a_id), (b, b_id)))
+    left = a.withColumnsRenamed({"area": "area_a", "runs": "runs_a"})
+    right = b.withColumnsRenamed({"area": "area_b", "runs": "runs_b"})
+    met = meeting_boxes(left, right, [image], a_id, b_id, cell, keep_a=["area_a", "runs_a"], keep_b=["area_b", "runs_b"])
+    rows = met.select(image, a_id, b_id, "area_a", "area_b", "runs_a", "runs_b")
     keys = [image, a_id, b_id, "area_a", "area_b"]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", inter bigint"
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter = pa.array(line_overlaps(batch.column("lines_a"), batch.column("lines_b")), pa.int64())
+            inter = pa.array(run_overlaps(batch.column("runs_a"), batch.column("runs_b")), pa.int64())
             yield pa.record_batch([*[batch.column(k) for k in keys], inter], names=[*keys, "inter"])
 
     sized = rows.mapInArrow(intersect, schema).where(F.col("inter") > 0)
@@ -230,21 +255,25 @@ def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, fl
     logarithm of the longest chain.
     """
     order = items.select("image_id", "obj_id", "pos")
-    area = _areas(spans, "image_id", "obj_id", "area")
-    other = spans.withColumnRenamed("obj_id", "earlier")
-    pieces = span_overlaps(spans, other, "obj_id", "earlier").where(F.col("obj_id") != F.col("earlier"))
-    ranks = order.select("image_id", F.col("obj_id").alias("earlier"), F.col("pos").alias("earlier_pos"))
-    pieces = attach(attach(pieces, order, ["image_id", "obj_id"], ["earlier", "y"], how="inner"), ranks, ["image_id", "earlier"],
-                    ["obj_id", "y"], how="inner")
+    packed = settle(_packed(spans, ["image_id", "obj_id"]).select("image_id", "obj_id", "area", *BOX, "runs").join(order, ["image_id", "obj_id"]))
+    first = packed.select("image_id", F.col("obj_id").alias("earlier"), F.col("pos").alias("earlier_pos"), *BOX, F.col("runs").alias("earlier_runs"))
+    met = meeting_boxes(packed, first, ["image_id"], "obj_id", "earlier", keep_a=["pos", "area", "runs"], keep_b=["earlier_pos", "earlier_runs"])
     before = F.struct("earlier_pos", "earlier") < F.struct(F.col("pos").alias("earlier_pos"), F.col("obj_id").alias("earlier"))
-    pieces = settle(pieces.where(before).drop("earlier_pos"))
-    links = pieces.select("image_id", "obj_id", "earlier").distinct()
-    met = links.select("image_id", "obj_id").unionByName(links.select("image_id", F.col("earlier").alias("obj_id")))
-    groups = settle(connected_groups(settle(links), met, ["image_id"], "obj_id", "earlier"))
-    sized = attach(pieces, groups.join(area, ["image_id", "obj_id"]), ["image_id", "obj_id"], ["earlier", "y"], how="inner")
     limit = F.greatest(F.lit(floor), F.floor(F.col("area") * F.lit(frac))).cast("bigint")
-    walk = sized.select("image_id", "group_id", "pos", "obj_id", F.col("earlier").cast("bigint").alias("earlier"), F.col("y").cast("bigint").alias("y"),
-                        F.col("x0").cast("bigint").alias("x0"), F.col("x1").cast("bigint").alias("x1"), limit.alias("limit"))
+    rows = met.where(before).select("image_id", "obj_id", "earlier", "pos", limit.alias("limit"), "runs", "earlier_runs")
+    keys = ["image_id", "obj_id", "earlier", "pos", "limit"]
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*[batch.column(k) for k in keys], run_commons(batch.column("runs"), batch.column("earlier_runs"))], names=[*keys, "common"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", common array<bigint>"
+    pieces = settle(rows.mapInArrow(share, schema).where(F.size("common") > 0))
+    links = pieces.select("image_id", "obj_id", "earlier")
+    met = links.select("image_id", "obj_id").unionByName(links.select("image_id", F.col("earlier").alias("obj_id")))
+    groups = settle(connected_groups(links, met, ["image_id"], "obj_id", "earlier"))
+    walk = attach(pieces, groups, ["image_id", "obj_id"], ["earlier"], how="inner").select(
+        "image_id", "group_id", "pos", "obj_id", F.col("earlier").cast("bigint").alias("earlier"), "limit", "common")
     # A group is small in most tables; a large one passes through its task in order, a few numbers of an item at a time.
     sorted_ = walk.repartition("image_id", "group_id").sortWithinPartitions("image_id", "group_id", "pos", "obj_id")
     kinds = ", ".join(f"{c} {walk.schema[c].dataType.simpleString()}" for c in ("image_id", "obj_id"))
@@ -271,9 +300,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (item["image_id"][0].as_py(), item["group_id"][0].as_py())
         if key != group:
             group, dropped = key, []
-        earlier, y, x0, x1 = (item[c].to_numpy() for c in ("earlier", "y", "x0", "x1"))
-        stays = ~np.isin(earlier, dropped)
-        if not stays.any() or _union_length(y[stays], x0[stays], x1[stays]) <= item["limit"][0].as_py():
+        stays = ~np.isin(item["earlier"].to_numpy(), dropped)
+        if not stays.any():
+            return False
+        _, y, x0, x1 = expand_runs(item["common"].combine_chunks().filter(pa.array(stays)))
+        if _union_length(y, x0, x1) <= item["limit"][0].as_py():
             return False
         dropped.append(item["obj_id"][0].as_py())
         return True
@@ -327,19 +358,20 @@ def resize_spans(spans: DataFrame, plans: DataFrame, image: str = "image_id") ->
 def pairwise_gap(spans: DataFrame, categories: DataFrame, max_gap: float | None = None) -> DataFrame:
     """Smallest pixel distance of same-category masks of an image; 0 if they overlap.
 
-    One row per pair is the result asked for: all pairs, or with ``max_gap``
-    those within it, whose boxes are paired by grid cells first.  The lines of a
-    mask travel as one array; distances are taken in Arrow batches where a pair
-    is, in blocks of a bounded number of line pairs.
+    ``spans`` is a span table or packed masks.  One row per pair is the result
+    asked for: all pairs, or with ``max_gap`` those within it, whose boxes are
+    paired by grid cells first.  A mask travels as one list of runs; distances
+    are taken in Arrow batches where a pair is, in blocks of a bounded number of
+    pairs of runs.
     """
-    line = F.struct(F.col("y").cast("bigint").alias("y"), F.col("x0").cast("bigint").alias("x0"), F.col("x1").cast("bigint").alias("x1"))
-    lines = spans.groupBy("image_id", "obj_id").agg(F.collect_list(line).alias("lines"))  # the lines of one mask
-    named = lines.join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
-    other = named.select("image_id", "category_name", F.col("obj_id").alias("other"), F.col("lines").alias("other_lines"))
+    named = _packed(spans, ["image_id", "obj_id"])
+    if "category_name" not in named.columns:
+        named = named.join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
+    boxes, named = named, named.select("image_id", "obj_id", "category_name", "runs")
+    other = named.select("image_id", "category_name", F.col("obj_id").alias("other"), F.col("runs").alias("other_runs"))
     if max_gap is None:
         pairs = skew_join(named, other, ["image_id", "category_name"], ["obj_id"], ["other"]).where(F.col("obj_id") < F.col("other"))
     else:
-        boxes = mask_stats(spans).join(categories.select("image_id", "obj_id", "category_name"), ["image_id", "obj_id"])
         close = meeting_boxes(boxes.select("image_id", "category_name", "obj_id", "x0", "y0", "x1", "y1"),
                               boxes.select("image_id", "category_name", F.col("obj_id").alias("other"), "x0", "y0", "x1", "y1"),
                               ["image_id", "category_name"], "obj_id", "other", reach=int(-(-max_gap // 1)))
@@ -349,10 +381,10 @@ def pairwise_gap(spans: DataFrame, categories: DataFrame, max_gap: float | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gaps = pa.array(line_gaps(batch.column("lines"), batch.column("other_lines")), pa.float64())
+            gaps = pa.array(run_gaps(batch.column("runs"), batch.column("other_runs")), pa.float64())
             yield pa.record_batch([*[batch.column(k) for k in keys], gaps], names=[*keys, "gap"])
 
-    rows = pairs.select(*keys, "lines", "other_lines")
+    rows = pairs.select(*keys, "runs", "other_runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:4]) + ", gap double"
     out = rows.mapInArrow(run, schema)
     return out if max_gap is None else out.where(F.col("gap") <= max_gap)

@@ -137,6 +137,8 @@ def view(source, name: str):
             inputs[table] = source.table(table)
     for used in inputs:
         text = re.sub(rf"\b(from|join) {used}\b", rf"\1 {{{used}}}", text)
-    df = source.spark.sql(text, **inputs)
     # Polygon work is long per row: use every core even when the table is one small file.
-    return spread(df, ["image_id", "obj_id"]) if name.endswith("polygons") else df
+    # The boxes are spread, not the rings that are made of them.
+    if name.endswith("polygons"):
+        inputs["fx_gt"] = spread(inputs["fx_gt"], getattr(source, "spread_by", ["image_id", "gt_idx"]))
+    return source.spark.sql(text, **inputs)

@@ -14,3 +14,27 @@ def plan_of(df):
 def test_pixels_are_not_broadcast_on_an_estimate(spark, name):
     """The estimate of the pixel view is that of its orders, 64 times too small."""
     assert "BroadcastHashJoin" not in plan_of(entry.queries()[name](spark, SF))
+
+
+def test_masks_leave_python_as_few_runs(spark):
+    """An upright mask has a handful of runs, however tall it is; a slanted one a run for each line at most."""
+    from segstats.operators import masks
+
+    tall = [[0, 0, 9, 0, 9, 5000, 0, 5000], [2, 10, 4, 10, 4, 4000, 2, 4000]]
+    df = spark.createDataFrame([(0, 1, tall), (0, 2, [[0, 0, 8, 0, 8, 8]])], "image_id long, obj_id long, segmentation array<array<long>>")
+    packed = {r["obj_id"]: r for r in masks.rasterize_packed(df).collect()}
+    assert len(packed[1]["runs"]) == 4 * 4 and packed[1]["area"] == 10 * 5001 - 3 * 3991
+    assert len(packed[2]["runs"]) == 4 * 9 and packed[2]["area"] == 45
+    assert masks.rasterize(df).where("obj_id = 1").count() == 5001 + 3991
+
+
+def test_polygons_are_made_after_the_shuffle(spark):
+    """The boxes are spread, not the rings: a ring takes several times the room."""
+    plan = plan_of(entry.queries()["mask_stats"](spark, SF))
+    exchanges = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert exchanges and all("gt_idx" in line and "obj_id" not in line for line in exchanges)
+
+
+def test_holes_are_subtracted_a_row_for_a_mask(spark):
+    """No span is shuffled: a mask meets its holes as one row."""
+    assert "collect_set" not in plan_of(entry.queries()["hole_subtract"](spark, SF))
