@@ -18,10 +18,13 @@ def _point(x: Column, y: Column) -> Column:
 
 
 def ring_points(ring: Column) -> Column:
-    """Flat ring to an array of (x, y)."""
-    n = F.floor(F.size(ring) / 2).cast("int")
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: _point(F.get(ring, 2 * i), F.get(ring, 2 * i + 1)))
+    """Flat ring to an array of (x, y).  The ring is bound first: a lambda would make it anew for every vertex."""
+    def points(r: Column) -> Column:
+        n = F.floor(F.size(r) / 2).cast("int")
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(index, lambda i: _point(F.get(r, 2 * i), F.get(r, 2 * i + 1)))
+
+    return let(ring, points)
 
 
 def flat_ring(points: Column) -> Column:
@@ -169,24 +172,25 @@ def edge_on_rect_perimeter(ex0: Column, ey0: Column, ex1: Column, ey1: Column,
     return F.when(ex0 == ex1, upright).when(ey0 == ey1, level).otherwise(F.lit(False))
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd ray cast; 1e-9 keeps the slope finite."""
-    def odd(points: Column) -> Column:
-        def crosses(p: Column, i: Column) -> Column:
-            q = _previous(points, i)
-            at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + F.lit(1e-9)) + p["x"]
-            return ((p["y"] > y) != (q["y"] > y)) & (x < at)
+def _point_in(x: Column, y: Column, points: Column) -> Column:
+    def crosses(p: Column, i: Column) -> Column:
+        q = _previous(points, i)
+        at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + F.lit(1e-9)) + p["x"]
+        return ((p["y"] > y) != (q["y"] > y)) & (x < at)
 
-        return F.size(F.filter(points, crosses)) % 2 == 1
+    return F.size(F.filter(points, crosses)) % 2 == 1
 
-    return let(ring_points(ring), odd)
+
+def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd ray cast; 1e-9 keeps the slope finite."""
+    return let(ring_points(ring), lambda points: _point_in(x, y, points))
 
 
 def rect_in_ring(x: Column, y: Column, w: Column, h: Column, ring: Column, margin: int = 8) -> Column:
     """All four corners of the rectangle, grown by ``margin``, are inside the ring."""
     left, top, right, bottom = x - margin, y - margin, x + w + margin, y + h + margin
-    return (point_in_ring(left, top, ring) & point_in_ring(right, top, ring)
-            & point_in_ring(right, bottom, ring) & point_in_ring(left, bottom, ring))
+    return let(ring_points(ring), lambda points: _point_in(left, top, points) & _point_in(right, top, points)
+               & _point_in(right, bottom, points) & _point_in(left, bottom, points))
 
 
 def strip_tiles(x0: Column, y0: Column, x1: Column, y1: Column, n: Column, seed: int, key: Column,

@@ -407,13 +407,15 @@ def rects_in_polygons(rects: DataFrame, polygons: DataFrame, image: str = "image
     box = polygon_bbox(F.col("ring"))
     listed = (polygons.select(image, "poly_id", "ring", box.alias("_box"))
               .withColumn("_gx", F.explode(F.sequence(F.floor(F.col("_box.x0") / cell), F.floor(F.col("_box.x1") / cell))))
-              .withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_box.y0") / cell), F.floor(F.col("_box.y1") / cell))))
-              .drop("_box"))
+              .withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_box.y0") / cell), F.floor(F.col("_box.y1") / cell)))))
     placed = rects.select(image, "rect_id", "x", "y", "w", "h", F.floor((F.col("x") - margin) / cell).alias("_gx"),
                           F.floor((F.col("y") - margin) / cell).alias("_gy"))
+    # A rectangle that leaves the box of a ring (by more than rounding) is not inside it; most pairs end here.
+    within = ((F.col("x") - margin >= F.col("_box.x0") - 1) & (F.col("x") + F.col("w") + margin <= F.col("_box.x1") + 1)
+              & (F.col("y") - margin >= F.col("_box.y0") - 1) & (F.col("y") + F.col("h") + margin <= F.col("_box.y1") + 1))
     met = skew_join(placed, listed, [image, "_gx", "_gy"], ["rect_id"], ["poly_id"])
     inside = rect_in_ring(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("ring"), margin)
-    return met.where(inside).select(image, "rect_id", "poly_id")
+    return met.where(within).where(inside).select(image, "rect_id", "poly_id")
 
 
 def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 128, max_size: int = 512, seed: int = 42,
