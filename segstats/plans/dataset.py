@@ -22,13 +22,16 @@ AREA = """area as (select image_id, obj_id, sum(case when ring_idx=0 then a else
 
 def _annotations(s):
     """Annotations as the reader would deliver them: packed to JSON per image, parsed again, exploded."""
-    p = s.polygons
+    return _bodies(s.by_image().polygons)
+
+
+def _bodies(p, *keep):
     outline = F.get("segmentation", F.lit(0))
     body = F.struct(F.col("id"), (F.col("l_partkey") % 5 + 1).alias("category_id"), F.when(F.col("cat") < 2, F.col("category_name")).alias("category_name"),
                     F.concat(F.lit("tile_"), (F.col("l_partkey") % 5).cast("string"), F.lit(".png")).alias("reference_tile"), F.col("segmentation"),
                     (F.size("segmentation") - 1).alias("num_holes"), g.bbox_xywh(outline).alias("bbox"), g.area_with_holes(F.col("segmentation")).alias("area"),
                     F.when(F.col("role") != "garage", F.col("role")).alias("role"))
-    return p.select("image_id", body.alias("a"))
+    return p.select("image_id", body.alias("a"), *keep)
 
 
 @query(f"""with {AREA} select p.image_id, p.id, row_number() over (partition by p.image_id order by p.id)-1 as ann_idx, a.holes as num_holes, round(a.area,6)::double as area,
@@ -54,7 +57,7 @@ SPOILED = """spoiled as (select image_id, case when l_suppkey%17=0 then 0 else i
 @query(f"""with {SPOILED} select image_id, id, l_partkey%11<>0 as holes_ok, l_partkey%9<>0 as bbox_ok, l_partkey%7<>0 as area_ok, not (rings>1 and l_suppkey%13=0) as holes_inside,
  count(*) over (partition by image_id, id)>1 as repeated_id from spoiled""")
 def annotation_qa(s):
-    flat = _annotations(s).select("image_id", "a.*").join(s.polygons.select("image_id", "id", "l_partkey", F.expr("obj_id div 1000 % 1000000").alias("l_suppkey")), ["image_id", "id"])
+    flat = _bodies(s.by_image().polygons, "l_partkey", F.expr("obj_id div 1000 % 1000000").alias("l_suppkey")).select("image_id", "a.*", "l_partkey", "l_suppkey")
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     moved = F.transform("segmentation", lambda ring, i: F.transform(ring, lambda v: v + F.when((i > 0) & (supp % 13 == 0), F.lit(100_000)).otherwise(F.lit(0))))
     spoiled = flat.withColumns({"area": F.when(part % 7 == 0, F.col("area") + 1).otherwise(F.col("area")), "segmentation": moved,

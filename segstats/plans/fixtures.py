@@ -140,5 +140,5 @@ def view(source, name: str):
     # Polygon work is long per row: use every core even when the table is one small file.
     # The boxes are spread, not the rings that are made of them.
     if name.endswith("polygons"):
-        inputs["fx_gt"] = spread(inputs["fx_gt"], getattr(source, "spread_by", ["image_id", "gt_idx"]))
+        inputs["fx_gt"] = spread(inputs["fx_gt"], source.spread_by)
     return source.spark.sql(text, **inputs)

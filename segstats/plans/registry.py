@@ -19,9 +19,16 @@ class Source:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.spread_by = ["image_id", "gt_idx"]
         configure(spark)
         measured_broadcasts(spark)
 
+    def by_image(self) -> Source:
+        """The same tables, with polygons spread by image: what is grouped by image needs no second shuffle."""
+        other = Source(self.spark, self.sf_dir)
+        other.spread_by = ["image_id"]
+        return other
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

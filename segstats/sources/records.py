@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segstats.functions.scalar import byte_luma
+from segstats.functions.scalar import byte_luma, let
 from segstats.schemas import ANNOTATION, ANNOTATION_FILE, ANNOTATIONS, TILE_MANIFEST
 
 
@@ -27,13 +27,17 @@ def read_records(spark: SparkSession, path: str, config: str | None = None, spli
     return df.orderBy("record_id").limit(max_records) if max_records else df
 
 
-def parse_annotation_list(elements: Column) -> tuple[Column, Column]:
-    """(annotations, texts of the elements that do not fit the schema) of a list of JSON texts."""
+def parse_annotation_list(elements: Column) -> Column:
+    """Struct (good: annotations, bad: texts of the elements that do not fit the schema) of a list of JSON texts.
+
+    Every element is parsed once; give the struct a name before its fields are used.
+    """
     marked = T.StructType([*ANNOTATION.fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.transform(elements, lambda e: F.struct(F.from_json(e, marked, {"columnNameOfCorruptRecord": "_corrupt"}).alias("a"), e.alias("e")))
     fits = lambda p: p["a"].isNotNull() & p["a"]["_corrupt"].isNull() & p["e"].startswith("{")
-    good = F.transform(F.filter(parsed, fits), lambda p: F.struct(*[p["a"][n].alias(n) for n in ANNOTATION.fieldNames()]))
-    return good, F.transform(F.filter(parsed, lambda p: ~F.coalesce(fits(p), F.lit(False))), lambda p: F.coalesce(p["e"], F.lit("null")))
+    good = lambda all_: F.transform(F.filter(all_, fits), lambda p: F.struct(*[p["a"][n].alias(n) for n in ANNOTATION.fieldNames()]))
+    bad = lambda all_: F.transform(F.filter(all_, lambda p: ~F.coalesce(fits(p), F.lit(False))), lambda p: F.coalesce(p["e"], F.lit("null")))
+    return let(parsed, lambda all_: F.struct(good(all_).alias("good"), bad(all_).alias("bad")))
 
 
 def normalise_annotations(records: DataFrame, col: str = "annotations") -> DataFrame:
@@ -46,9 +50,10 @@ def normalise_annotations(records: DataFrame, col: str = "annotations") -> DataF
     kind = records.schema[col].dataType
     if isinstance(kind, T.StringType):
         elements = F.when(F.ltrim(F.col(col)).startswith("["), F.from_json(F.col(col), "array<string>"))
-        good, bad = parse_annotation_list(elements)
-        rejected = F.when(F.col(col).isNotNull() & elements.isNull(), F.col(col)).when(F.size(bad) > 0, F.to_json(bad))
-        return records.withColumns({"bad_annotations": rejected, col: good})
+        listed = records.withColumn("_elements", elements).withColumn("_parsed", parse_annotation_list(F.col("_elements")))
+        bad = F.col("_parsed.bad")
+        rejected = F.when(F.col(col).isNotNull() & F.col("_elements").isNull(), F.col(col)).when(F.size(bad) > 0, F.to_json(bad))
+        return listed.withColumns({"bad_annotations": rejected, col: F.col("_parsed.good")}).drop("_elements", "_parsed")
     have = {f.name: f.dataType for f in kind.elementType.fields}
 
     def conform(a: Column) -> Column:

@@ -30,9 +30,9 @@ def read_annotation_stream(spark: SparkSession, path: str, max_files: int = 1000
     whole = T.StructType([*[f for f in ANNOTATION_FILE.fields if f.name != "annotations"], T.StructField("annotations", T.ArrayType(T.StringType())), T.StructField("_corrupt", T.StringType())])
     doc = F.from_json(F.col("value"), whole, {"columnNameOfCorruptRecord": "_corrupt"})
     parsed = lines.select("value", doc.alias("_d"), F.current_timestamp().alias("arrived"))
-    good, wrong = parse_annotation_list(F.col("_d.annotations"))
-    broken = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull() | F.col("_d.image.file_name").isNull() | F.coalesce(F.size(wrong) > 0, F.lit(False))
-    return parsed.select("value", "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", good.alias("annotations"), broken.alias("bad"))
+    parsed = parsed.withColumn("_a", parse_annotation_list(F.col("_d.annotations")))
+    broken = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull() | F.col("_d.image.file_name").isNull() | F.coalesce(F.size("_a.bad") > 0, F.lit(False))
+    return parsed.select("value", "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", F.col("_a.good").alias("annotations"), broken.alias("bad"))
 
 
 def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:

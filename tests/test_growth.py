@@ -38,3 +38,26 @@ def test_polygons_are_made_after_the_shuffle(spark):
 def test_holes_are_subtracted_a_row_for_a_mask(spark):
     """No span is shuffled: a mask meets its holes as one row."""
     assert "collect_set" not in plan_of(entry.queries()["hole_subtract"](spark, SF))
+
+
+def test_rings_are_bound_once(spark):
+    """A ring that is an expression is not made anew for each of its vertices."""
+    from pyspark.sql import functions as F
+    from segstats.functions import geometry as g
+
+    ring = F.transform(F.col("r"), lambda v: v / 4.0)
+    text = spark.createDataFrame([([0, 0, 8, 0, 8, 8],)], "r array<long>").select(g.ring_points(ring).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("/") == 1
+
+
+@pytest.mark.parametrize("name", ["annotation_json_roundtrip", "annotation_files"])
+def test_documents_are_grouped_where_the_boxes_were_spread(spark, name):
+    """Annotations are not shuffled with their rings."""
+    from segstats.plans.dataset import _annotations, _headers
+    from segstats.plans.registry import Source
+    from segstats.sources import records
+
+    s = Source(spark, SF)
+    plan = plan_of(records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)))
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "segmentation" in line]
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # boxes and headers
