@@ -300,7 +300,7 @@ def records_of_a_split(s):
 def annotation_files(s):
     """Annotation documents written as JSON in folders by mode and read with the fixed schema."""
     path = shared_folder(s.spark, "annotations")
-    records.write_annotations(records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)), path)
+    records.write_annotations(records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)), path, compression="gzip")
     docs = s.spark.read.schema(ANNOTATION_FILE).json(path)
     image = F.regexp_extract("image.file_name", r"(\d+)", 1).cast("bigint").alias("image_id")
     return big(records.explode_annotations(docs.select(image, "mode", "annotations"), "image_id", "mode").select("image_id", "id", "ann_idx", "num_holes", "mode"), "ann_idx")
@@ -345,7 +345,7 @@ def ingested_stream(s):
     docs = records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)).withColumn("text", F.to_json(F.struct("image", "mode", "annotations")))
     spoiled = F.when(F.col("image_id") % 7 == 0, F.to_json(F.struct("image", "mode", F.lit("oops").alias("annotations")))).when(
         F.col("image_id") % 11 == 0, F.to_json(F.struct("image", "mode", F.array(F.struct(F.lit("x").alias("id"))).alias("annotations")))).otherwise(F.col("text"))
-    docs.select(spoiled.alias("value")).write.text(f"{path}/in")
+    docs.select(spoiled.alias("value")).write.option("compression", "gzip").text(f"{path}/in")
     ingest_annotations_stream(s.spark, f"{path}/in", f"{path}/out", f"{path}/state").awaitTermination()
     good = s.spark.read.parquet(f"{path}/out/records").select("file_name", F.size("annotations").cast("bigint").alias("n_annotations"))
     return good.unionByName(s.spark.read.parquet(f"{path}/out/rejected").agg(F.lit(None).cast("string").alias("file_name"), F.count(F.lit(1)).alias("n_annotations")))

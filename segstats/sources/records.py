@@ -172,6 +172,6 @@ def annotation_documents(annotations: DataFrame, headers: DataFrame) -> DataFram
                         F.coalesce("annotations", F.array().cast(ANNOTATIONS)).alias("annotations"))
 
 
-def write_annotations(documents: DataFrame, path: str, fmt: str = "json") -> None:
+def write_annotations(documents: DataFrame, path: str, fmt: str = "json", compression: str = "none") -> None:
     """Documents partitioned by mode, many to a file."""
-    documents.withColumn("mode_dir", F.col("mode")).write.mode("overwrite").partitionBy("mode_dir").format(fmt).save(path)
+    documents.withColumn("mode_dir", F.col("mode")).write.mode("overwrite").option("compression", compression).partitionBy("mode_dir").format(fmt).save(path)

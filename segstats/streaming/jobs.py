@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,10 @@ def read_annotation_stream(spark: SparkSession, path: str, max_files: int = 1000
     parsed = lines.select("value", doc.alias("_d"), F.current_timestamp().alias("arrived"))
     parsed = parsed.withColumn("_a", parse_annotation_list(F.col("_d.annotations")))
     broken = F.col("_d").isNull() | F.col("_d._corrupt").isNotNull() | F.col("_d.image.file_name").isNull() | F.coalesce(F.size("_a.bad") > 0, F.lit(False))
-    return parsed.select("value", "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", F.col("_a.good").alias("annotations"), broken.alias("bad"))
+    # A document goes on either as text or parsed, never as both.
+    parsed = parsed.withColumn("_broken", broken)
+    broken = F.col("_broken")
+    return parsed.select(F.when(broken, F.col("value")).alias("value"), "arrived", "_d.image.file_name", "_d.image.width", "_d.image.height", "_d.mode", F.when(~broken, F.col("_a.good")).alias("annotations"), broken.alias("bad"))
 
 
 def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
@@ -40,12 +44,14 @@ def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoi
 
     Runs over what has arrived and stops; a repeated batch rewrites its own folder, so a restart adds nothing twice.
     """
+    # The names seen so far grow with the documents; they belong on disk, not on the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     docs = read_annotation_stream(spark, path).withWatermark("arrived", watermark)
     key = F.when(F.col("bad"), F.sha2("value", 256)).otherwise(F.col("file_name"))
     unique = docs.withColumn("doc_key", key).dropDuplicatesWithinWatermark(["doc_key"])
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.persist()  # one run of the state for both writes
+        batch.persist(StorageLevel.DISK_ONLY)  # one run of the state for both writes
         good = batch.where(~F.col("bad")).select("file_name", "width", "height", "mode", "annotations")
         good.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
         batch.where("bad").select("value").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
