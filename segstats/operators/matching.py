@@ -6,7 +6,7 @@ has IoU 0, so no image ever expands to all of its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -259,53 +259,80 @@ def pick_neighbour(nearest: DataFrame, seed: int, by: Sequence[str] = ()) -> Dat
 
 #: Points, queries and ground truths of a block of the matrix product: at most 16 MB of doubles on either side.
 POINT_BLOCK, ROW_BLOCK = 4096, 512
+#: Entries of either side that one task's call takes together, on average.
+ENTRIES_AT_ONCE = 500_000
 
 
 def _point_products(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
     """image_id, q_idx, gt_idx, xg = sum of logit * value, pg = sum of sigmoid(logit) * value, one row per pair and block of points.
 
     Both sides are packed into (image, block of points, blocks of queries and of
-    ground truths); each meeting is one product of two matrices.
+    ground truths).  The blocks of an image are as many as its rows ask for,
+    whatever their numbers are, and many small meetings go through one call.
     """
-    numbered = lambda c, n: F.floor(F.col(c) / n).cast("bigint")
-    preds = pred_points.select("image_id", numbered("point_id", POINT_BLOCK).alias("_pb"), numbered("q_idx", ROW_BLOCK).alias("_qb"), F.col("q_idx").cast("bigint").alias("q_idx"),
-                               F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col("logit").cast("double").alias("v"))
-    truths = gt_points.where(F.col("value") > 0).select(
-        "image_id", numbered("point_id", POINT_BLOCK).alias("_pb"), numbered("gt_idx", ROW_BLOCK).alias("_gb"), F.col("gt_idx").cast("bigint").alias("gt_idx"),
-        F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col("value").cast("double").alias("v"))
-    packed = lambda df, block, row: df.groupBy("image_id", "_pb", block, row).agg(F.collect_list("p").alias("ps"), F.collect_list("v").alias("vs"))
-    q, g = packed(preds, "_qb", "q_idx"), packed(truths, "_gb", "gt_idx")  # POINT_BLOCK points in a row at most
-    blocks = lambda df, block: df.groupBy("image_id", "_pb").agg(F.collect_set(block).alias(f"{block}s"))
-    q, g = (q.join(blocks(truths, "_gb"), ["image_id", "_pb"]).withColumn("_gb", F.explode("_gbs")).drop("_gbs"),
-            g.join(blocks(preds, "_qb"), ["image_id", "_pb"]).withColumn("_qb", F.explode("_qbs")).drop("_qbs"))
+    truths = gt_points.where(F.col("value") > 0)
+
+    def packed(df: DataFrame, row: str, value: str, block: str) -> tuple[DataFrame, DataFrame]:
+        placed = df.select("image_id", F.floor(F.col("point_id") / POINT_BLOCK).cast("bigint").alias("_pb"), F.col(row).cast("bigint").alias(row),
+                           F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col(value).cast("double").alias("v"))
+        rows = settle(placed.groupBy("image_id", "_pb", row).agg(F.collect_list("p").alias("ps"), F.collect_list("v").alias("vs")))  # POINT_BLOCK points in a row at most
+        blocks = rows.groupBy("image_id", "_pb").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias(f"{block}s"))
+        dealt = attach(rows, blocks, ["image_id", "_pb"], [row], how="inner")
+        return dealt.withColumn(block, F.pmod(hash_bits(29, row), F.col(f"{block}s")).cast("int")), blocks
+
+    (q, q_blocks), (g, g_blocks) = packed(pred_points, "q_idx", "logit", "_qb"), packed(truths, "gt_idx", "value", "_gb")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = attach(q.drop("_qbs"), g_blocks, ["image_id", "_pb"], ["q_idx"], how="inner").withColumn("_gb", each("_gbs")).drop("_gbs")
+    g = attach(g.drop("_gbs"), q_blocks, ["image_id", "_pb"], ["gt_idx"], how="inner").withColumn("_qb", each("_qbs")).drop("_qbs")
     keys = ["image_id", "_pb", "_qb", "_gb"]
+    entries = q.agg(F.sum(F.size("ps"))).first()[0] or 0
+    together = F.pmod(hash_bits(31, *keys), F.lit(-(-entries // ENTRIES_AT_ONCE) or 1)).cast("bigint").alias("_call")
+    q, g = q.select(together, *keys, "q_idx", "ps", "vs"), g.select(together, *keys, "gt_idx", "ps", "vs")
     kinds = ", ".join(f"{c} {t}" for c, t in (("image_id", q.schema["image_id"].dataType.simpleString()), ("q_idx", "bigint"), ("gt_idx", "bigint"), ("xg", "double"), ("pg", "double")))
 
-    def side(table: pa.Table, row: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Names of the rows, and of every entry its row, its point and its value."""
+    def side(table: pa.Table, row: str) -> tuple[np.ndarray, ...]:
+        """Names of the rows, how many entries each has, and the points and values of all."""
         places = table["ps"].combine_chunks()
-        lines = np.repeat(np.arange(table.num_rows), np.asarray(places.value_lengths()))
-        return table[row].to_numpy(), lines, np.asarray(places.flatten()), np.asarray(table["vs"].combine_chunks().flatten())
+        return table[row].to_numpy(), np.asarray(places.value_lengths()).astype(np.int64), np.asarray(places.flatten()), np.asarray(table["vs"].combine_chunks().flatten())
 
     def product(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"image_id": left["image_id"][:0], "q_idx": pa.array([], pa.int64()), "gt_idx": pa.array([], pa.int64()), "xg": pa.array([], pa.float64()), "pg": pa.array([], pa.float64())})
-        qs, q_lines, q_points, logits = side(left, "q_idx")
-        gs, g_lines, g_points, values = side(right, "gt_idx")
-        points = np.unique(g_points)  # only where some ground truth is
-        here = np.isin(q_points, points)
-        q_cells = q_lines[here] * len(points) + np.searchsorted(points, q_points[here])
-        matrix = lambda cells, weights, rows: np.bincount(cells, weights, rows * len(points)).reshape(rows, len(points))
-        v = matrix(g_lines * len(points) + np.searchsorted(points, g_points), values, len(gs))
-        x = matrix(q_cells, logits[here], len(qs))
-        sure = matrix(q_cells, 1 / (1 + np.exp(-np.clip(logits[here], -700, 700))), len(qs))
-        met = (sure @ v.T).ravel()
-        some = np.flatnonzero(met)
-        i, j = np.divmod(some, len(gs))
-        image = left["image_id"].combine_chunks().take(pa.array(np.zeros(len(some), np.int64)))
-        return pa.table({"image_id": image, "q_idx": qs[i], "gt_idx": gs[j], "xg": (x @ v.T).ravel()[some], "pg": met[some]})
-
-    return q.groupBy(*keys).cogroup(g.groupBy(*keys)).applyInArrow(product, kinds)
+        out = [[] for _ in range(4)]
+        if left.num_rows and right.num_rows:
+            left, right = (t.append_column("_at", pa.array(np.arange(t.num_rows))) for t in (left, right))
+            left, right = left.sort_by([(k, "ascending") for k in keys]), right.sort_by([(k, "ascending") for k in keys])
+            qs, qn, qp, qv = side(left, "q_idx")
+            gs, gn, gp, gv = side(right, "gt_idx")
+            names = [pa.concat_arrays([left[k].combine_chunks(), right[k].combine_chunks()]).dictionary_encode().indices.to_numpy() for k in keys]
+            codes = np.unique(np.column_stack(names), axis=0, return_inverse=True)[1].ravel()
+            q_code, g_code = codes[:len(qs)], codes[len(qs):]
+            # Equal codes stand together on either side, since both are in the order of the keys.
+            q_first, g_first = (np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) for c in (q_code, g_code))
+            g_where = {int(g_code[i]): (i, j) for i, j in zip(g_first, np.r_[g_first[1:], len(gs)])}
+            q_at, g_at = (np.r_[0, np.cumsum(n)] for n in (qn, gn))
+            sure = 1 / (1 + np.exp(-np.clip(qv, -700, 700)))
+            for i, j in zip(q_first, np.r_[q_first[1:], len(qs)]):
+                k, m = g_where.get(int(q_code[i]), (0, 0))
+                if k == m:
+                    continue
+                mine, theirs = slice(q_at[i], q_at[j]), slice(g_at[k], g_at[m])
+                points, column = np.unique(gp[theirs], return_inverse=True)  # only where some ground truth is
+                v = np.zeros((m - k, len(points)))
+                np.add.at(v, (np.repeat(np.arange(m - k), gn[k:m]), column), gv[theirs])
+                place = np.minimum(np.searchsorted(points, qp[mine]), len(points) - 1)
+                here = points[place] == qp[mine]
+                cells = (np.repeat(np.arange(j - i), qn[i:j]) * len(points) + place)[here]
+                matrix = lambda weights: np.bincount(cells, weights, (j - i) * len(points)).reshape(j - i, len(points)) @ v.T  # noqa: B023, E731
+                met = matrix(sure[mine][here])
+                a, b = np.nonzero(met)
+                for part, values in zip(out, (a + i, b + k, matrix(qv[mine][here])[a, b], met[a, b])):
+                    part.append(values)
+        i, j = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in out[:2])
+        xg, pg = (np.concatenate(p) if p else np.zeros(0) for p in out[2:])
+        if not len(i):
+            return pa.table({"image_id": left["image_id"][:0], "q_idx": pa.array([], pa.int64()), "gt_idx": pa.array([], pa.int64()), "xg": xg, "pg": pg})
+        return pa.table({"image_id": left["image_id"].take(pa.array(i)), "q_idx": qs[i], "gt_idx": gs[j], "xg": xg, "pg": pg})
+
+    return q.groupBy("_call").cogroup(g.groupBy("_call")).applyInArrow(product, kinds)
 
 
 def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0)) -> DataFrame:
@@ -434,6 +461,27 @@ def picture_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _nearest_of_task(batches: Iterator[pa.RecordBatch], n: int, room: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Of pairs (pos, synth_pos, other_mode, distance) the n nearest of each (pos, other_mode), held n at a time and ``room`` rows more."""
+    def cut(parts: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        pos, synth, other, distance = (table[c].to_numpy() for c in ("pos", "synth_pos", "other_mode", "distance"))
+        order = np.lexsort((synth, distance, other, pos))
+        pos, other = pos[order], other[order]
+        first = np.r_[True, (pos[1:] != pos[:-1]) | (other[1:] != other[:-1])]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        return table.take(pa.array(order[place < n]))
+
+    parts, rows, held = [], 0, 0
+    for batch in batches:
+        parts, rows = [*parts, batch], rows + batch.num_rows
+        if rows - held > room + held:
+            parts = cut(parts).combine_chunks().to_batches()
+            rows = held = sum(p.num_rows for p in parts)
+    if rows:
+        yield from cut(parts).combine_chunks().to_batches()
+
+
 def choose_review_pairs(reals: DataFrame, synths: DataFrame) -> DataFrame:
     """A synth for each real picture: in the order of ``pos``, the nearest unused one of its mode, or of any mode when none is left.
 
@@ -452,6 +500,8 @@ def choose_review_pairs(reals: DataFrame, synths: DataFrame) -> DataFrame:
     left = F.broadcast(reals.select(F.lit(0).alias("_k"), "pos", F.col("mode").alias("_mode"), F.col("features").alias("_f")))
     pairs = synths.select(F.lit(0).alias("_k"), "synth_pos", "mode", "features").join(left, "_k")
     wish = pairs.select("pos", "synth_pos", (F.col("mode") != F.col("_mode")).cast("int").alias("other_mode"), picture_distance(F.col("_f"), F.col("features")).alias("distance"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wish.schema.fields)
+    wish = wish.mapInArrow(lambda batches: _nearest_of_task(batches, n), kinds)  # no task sorts all of its pairs
     nearest = Window.partitionBy("pos", "other_mode").orderBy("distance", "synth_pos")
     wishes = settle(wish.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= n).drop("_rn"))
     order = F.struct("other_mode", "distance", "synth_pos")

@@ -45,9 +45,9 @@ def test_rings_are_bound_once(spark):
     from pyspark.sql import functions as F
     from segstats.functions import geometry as g
 
-    ring = F.transform(F.col("r"), lambda v: v / 4.0)
+    ring = F.transform(F.col("r"), lambda v: v + 0.25)
     text = spark.createDataFrame([([0, 0, 8, 0, 8, 8],)], "r array<long>").select(g.ring_points(ring).alias("p"))._jdf.queryExecution().analyzed().toString()
-    assert text.count("/") == 1
+    assert text.count("0.25") == 1
 
 
 @pytest.mark.parametrize("name", ["annotation_json_roundtrip", "annotation_files"])
@@ -61,3 +61,24 @@ def test_documents_are_grouped_where_the_boxes_were_spread(spark, name):
     plan = plan_of(records.annotation_documents(_annotations(s).select("image_id", "a.*"), _headers(s)))
     assert not [line for line in plan.splitlines() if "Exchange" in line and "segmentation" in line]
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # boxes and headers
+
+
+def test_many_small_images_share_a_call(spark):
+    """Numbers far apart make no block of their own: the products of many images go through one call."""
+    plan = plan_of(entry.queries()["match_cost"](spark, SF))
+    line = next(line for line in plan.splitlines() if "FlatMapCoGroups" in line)
+    assert "_call" in line and "image_id" not in line.split("product")[0]
+
+
+def test_nearest_of_a_task_are_held_a_few_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+    from segstats.operators.matching import _nearest_of_task
+
+    rnd = np.random.default_rng(3)
+    rows = [(int(p), s, int(o), float(d)) for s, (p, o, d) in enumerate(zip(rnd.integers(0, 3, 5000), rnd.integers(0, 2, 5000), rnd.integers(0, 40, 5000)))]
+    names = ["pos", "synth_pos", "other_mode", "distance"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i:i + 100]]) for i in range(0, 5000, 100)]
+    got = sorted(tuple(r.values()) for b in _nearest_of_task(iter(batches), 4, room=300) for r in b.to_pylist())
+    want = [sorted((r for r in rows if (r[0], r[2]) == (p, o)), key=lambda r: (r[3], r[1]))[:4] for p in range(3) for o in range(2)]
+    assert got == sorted(r for part in want for r in part)
