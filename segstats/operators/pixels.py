@@ -128,22 +128,68 @@ def sample_points(rows: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
     return rows.withColumns({axis: hash_uniform(seed, F.lit(axis), *ids) for axis in ("u", "v")})
 
 
+#: Lines of a band of a picture, whose pixels are brought together.
+BAND_LINES = 64
+SUMS = ("n", "total", "squares", "n_white", "n_below", "below", "n_right", "right")
+
+
+def _bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pixels (image_id, y, x, v) of a batch as one row per image and band; the first line of a band goes to the band above too."""
+    code = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    y, x, v = (np.asarray(batch.column(k)) for k in (1, 2, 3))
+    top = np.flatnonzero(y % BAND_LINES == 0)
+    rows = np.r_[np.arange(len(y)), top]
+    band = np.r_[y // BAND_LINES, y[top] // BAND_LINES - 1]
+    order = np.lexsort((band, code[rows]))
+    rows, band = rows[order], band[order]
+    first = np.flatnonzero(np.r_[True, (code[rows][1:] != code[rows][:-1]) | (band[1:] != band[:-1])][: len(rows)])
+    ends = pa.array(np.r_[first, len(rows)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c[rows])) for c in (y, x, v)]
+    return pa.record_batch([batch.column(0).take(pa.array(rows[first])), pa.array(band[first]), *lists], names=["image_id", "band", "ys", "xs", "vs"])
+
+
+def _band_sums(batch: pa.RecordBatch, white: float) -> pa.RecordBatch:
+    """Sums over the pixels of each band: a place counts once, with its largest value."""
+    n = batch.num_rows
+    row = np.repeat(np.arange(n), np.asarray(batch.column(2).value_lengths()))
+    y, x, v = (np.asarray(batch.column(k).flatten()) for k in (2, 3, 4))
+    order = np.lexsort((v, x, y, row))
+    last = np.r_[(row[order][1:] != row[order][:-1]) | (y[order][1:] != y[order][:-1]) | (x[order][1:] != x[order][:-1]), True][: len(order)]
+    row, y, x, v = (c[order][last] for c in (row, y, x, v))
+    own = y // BAND_LINES == np.asarray(batch.column(1))[row]
+    width, low = int(x.max() - x.min() + 2), int(x.min())
+    place = (row * (BAND_LINES + 2) + y - np.asarray(batch.column(1))[row] * BAND_LINES) * width + x - low  # ascending
+
+    def step(away: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(place, place + away), len(place) - 1)
+        met = own & (place[at] == place + away)
+        return row[met], np.abs(v[at[met]] - v[met])
+
+    down, right = step(width), step(1)
+    add = lambda rows, weights=None: np.bincount(rows, weights, n).astype(np.int64 if weights is None else np.float64)
+    mine, g = row[own], v[own]
+    far = [np.full(n, np.iinfo(np.int64).min) for _ in "xy"]
+    np.maximum.at(far[0], mine, x[own])
+    np.maximum.at(far[1], mine, y[own])
+    sums = [add(mine), add(mine, g), add(mine, g * g), add(mine[g > white]), add(down[0]), add(*down), add(right[0]), add(*right)]
+    return pa.record_batch([batch.column(0), *map(pa.array, [*sums, *far])], names=["image_id", *SUMS, "x_last", "y_last"])
+
+
 def image_features(pixels: DataFrame) -> DataFrame:
     """Gray mean, deviation, white share, edge strength and aspect of every picture.
 
     Edge strength is the mean step to the pixel below plus the mean step to the
-    pixel on the right; neighbours are found by sending each pixel to the place
-    before it, one aggregate per place instead of a self-join.
+    pixel on the right.  The pixels of a band of lines are brought together as
+    arrays, with the line below the band, and summed in Arrow batches.
     """
-    g = F.col("gray") / 255.0
-    places = pixels.select("image_id", F.inline(F.array(
-        F.struct(F.col("y").alias("y"), F.col("x").alias("x"), F.lit(0).alias("k"), g.alias("v")),
-        F.struct((F.col("y") - 1).alias("y"), F.col("x").alias("x"), F.lit(1).alias("k"), g.alias("v")),
-        F.struct(F.col("y").alias("y"), (F.col("x") - 1).alias("x"), F.lit(2).alias("k"), g.alias("v")))))
-    met = places.groupBy("image_id", "y", "x").agg(*[
-        F.max(F.when(F.col("k") == i, F.col("v"))).alias(n) for i, n in enumerate(["own", "below", "right"])])
-    own = met.where(F.col("own").isNotNull())
-    return own.groupBy("image_id").agg(
-        F.avg("own").alias("mean"), F.stddev_pop("own").alias("std"), F.avg((F.col("own") > 0.97).cast("double")).alias("white"),
-        (F.avg(F.abs(F.col("below") - F.col("own"))) + F.avg(F.abs(F.col("right") - F.col("own")))).alias("edge"),
-        ((F.max("x") + 1) / F.greatest(F.lit(1), F.max("y") + 1)).alias("aspect"))
+    rows = pixels.where(F.col("gray").isNotNull()).select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), (F.col("gray") / 255.0).alias("v"))
+    image = f"image_id {rows.schema['image_id'].dataType.simpleString()}"
+    parts = rows.mapInArrow(lambda batches: (_bands(b) for b in batches if b.num_rows), f"{image}, band bigint, ys array<bigint>, xs array<bigint>, vs array<double>")
+    bands = parts.groupBy("image_id", "band").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ys", "xs", "vs")])
+    kinds = ", ".join(f"{c} {'bigint' if c.startswith('n') else 'double'}" for c in SUMS)
+    sums = bands.mapInArrow(lambda batches: (_band_sums(b, 0.97) for b in batches if b.num_rows), f"{image}, {kinds}, x_last bigint, y_last bigint")
+    whole = sums.groupBy("image_id").agg(*[F.sum(c).alias(c) for c in SUMS], F.max("x_last").alias("x_last"), F.max("y_last").alias("y_last")).where("n > 0")
+    share = lambda a, n: F.when(F.col(n) > 0, F.col(a) / F.col(n))
+    mean = share("total", "n")
+    return whole.select("image_id", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), share("squares", "n") - mean * mean)).alias("std"), share("n_white", "n").alias("white"),
+                        (share("below", "n_below") + share("right", "n_right")).alias("edge"), ((F.col("x_last") + 1) / F.greatest(F.lit(1), F.col("y_last") + 1)).alias("aspect"))
