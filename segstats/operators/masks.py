@@ -340,15 +340,19 @@ def resize_spans(spans: DataFrame, plans: DataFrame, image: str = "image_id") ->
     """Nearest-neighbour resize of masks (plans: image, height, width, nh, nw).
 
     Target pixel t reads source pixel floor(t * source / target), so source
-    pixels [a, b] fill targets ceil(a*t/s) .. ceil((b+1)*t/s) - 1.
+    pixels [a, b] fill targets ceil(a*t/s) .. ceil((b+1)*t/s) - 1.  The same holds
+    for lines, so boxes and upright runs (y0, y1 in place of y) are resized as a
+    whole and listed line by line only then.
     """
-    ids = [c for c in spans.columns if c not in (image, "y", "x0", "x1")]
-    placed = attach(spans, plans.select(image, "height", "width", "nh", "nw"), [image], [*ids, "y"], how="inner")
+    if "y" in spans.columns:
+        spans = spans.withColumns({"y0": F.col("y"), "y1": F.col("y")}).drop("y")
+    ids = [c for c in spans.columns if c not in (image, "y0", "y1", "x0", "x1")]
+    placed = attach(spans, plans.select(image, "height", "width", "nh", "nw"), [image], [*ids, "y0"], how="inner")
 
     def first(v: Column, target: str, source: str) -> Column:
         return F.floor((v * F.col(target) + F.col(source) - 1) / F.col(source))
 
-    y0, y1 = first(F.col("y"), "nh", "height"), first(F.col("y") + 1, "nh", "height") - 1
+    y0, y1 = first(F.col("y0"), "nh", "height"), first(F.col("y1") + 1, "nh", "height") - 1
     x0, x1 = first(F.col("x0"), "nw", "width"), first(F.col("x1") + 1, "nw", "width") - 1
     sized = placed.select(image, *ids, y0.alias("_y0"), y1.alias("_y1"), x0.alias("x0"), x1.alias("x1")).where(
         (F.col("_y0") <= F.col("_y1")) & (F.col("x0") <= F.col("x1")))

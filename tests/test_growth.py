@@ -82,3 +82,28 @@ def test_nearest_of_a_task_are_held_a_few_at_a_time():
     got = sorted(tuple(r.values()) for b in _nearest_of_task(iter(batches), 4, room=300) for r in b.to_pylist())
     want = [sorted((r for r in rows if (r[0], r[2]) == (p, o)), key=lambda r: (r[3], r[1]))[:4] for p in range(3) for o in range(2)]
     assert got == sorted(r for part in want for r in part)
+
+
+def test_picture_features_take_bands_of_lines(spark):
+    """Pixels are shuffled as arrays of a band, and steps across bands are not lost."""
+    import numpy as np
+    from segstats.operators import pixels
+
+    gray = np.random.default_rng(5).integers(0, 256, (130, 7)).astype(float)
+    rows = [(1, y, x, float(gray[y, x])) for y in range(130) for x in range(7)]
+    df = pixels.image_features(spark.createDataFrame(rows, "image_id long, y int, x int, gray double").repartition(5))
+    assert "array<bigint>" in df._jdf.queryExecution().analyzed().toString() or "ys" in plan_of(df)
+    got, v = df.first(), gray / 255
+    assert got["mean"] == pytest.approx(v.mean()) and got["std"] == pytest.approx(v.std()) and got["white"] == pytest.approx((v > 0.97).mean())
+    assert got["edge"] == pytest.approx(np.abs(np.diff(v, axis=0)).mean() + np.abs(np.diff(v, axis=1)).mean()) and got["aspect"] == 7 / 130
+
+
+def test_boxes_are_resized_as_a_whole(spark):
+    """A box gives the spans that its lines would give, and no line is shuffled to its picture."""
+    from segstats.operators import masks
+
+    boxes = spark.createDataFrame([(0, 1, 3, 2, 40, 33), (0, 2, 0, 0, 5, 59)], "image_id long, obj_id long, x0 long, y0 long, x1 long, y1 long")
+    plans = spark.createDataFrame([(0, 60, 80, 17, 23)], "image_id long, height long, width long, nh long, nw long")
+    order = ["image_id", "obj_id", "y", "x0", "x1"]
+    whole, lines = (sorted(tuple(r) for r in masks.resize_spans(df, plans).select(order).collect()) for df in (boxes, masks.box_spans(boxes)))
+    assert whole and whole == sorted(set(lines)) and len(whole) == len(lines)
