@@ -11,13 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
 from segstats.functions.scalar import hash_int, hash_uniform, let
-from segstats.functions.scanlines import batch_differences, batch_masks, expand_runs, fold_lines, run_commons, run_gaps, run_overlaps
+from segstats.functions.scanlines import batch_differences, batch_masks, expand_runs, fold_lines, run_commons, run_gaps, run_lists, run_overlaps
 from segstats.operators.matching import BOX, connected_groups, meeting_boxes
 from segstats.scale import attach, settle, skew_join
 
@@ -87,6 +88,14 @@ def box_spans(boxes: DataFrame, ids: Sequence[str] = ("image_id", "obj_id")) ->
     return boxes.select(*ids, F.explode(F.sequence("y0", "y1")).alias("y"), "x0", "x1")
 
 
+def packed_boxes(boxes: DataFrame, ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
+    """Pixel boxes x0, y0, x1, y1 in the form of :func:`rasterize_packed`: one run each, no line is listed."""
+    x0, y0, x1, y1 = (F.col(c).cast("bigint") for c in BOX)
+    area = (x1 - x0 + 1) * (y1 - y0 + 1)
+    return boxes.where((x0 <= x1) & (y0 <= y1)).select(
+        *ids, area.alias("area"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.array(y0, y1, x0, x1).alias("runs"))
+
+
 def clip_spans(spans: DataFrame, headers: DataFrame, image: str = "image_id") -> DataFrame:
     """Spans cut to the canvas (headers: image, width, height)."""
     ids = [c for c in spans.columns if c not in ("x0", "x1", image)]
@@ -422,81 +431,129 @@ def rects_in_polygons(rects: DataFrame, polygons: DataFrame, image: str = "image
     return met.where(within).where(inside).select(image, "rect_id", "poly_id")
 
 
+def _centroids(packed: DataFrame) -> DataFrame:
+    """Packed masks with sides and truncated centroid (``w``, ``h``, ``cx``, ``cy``)."""
+    def add(acc: Column, k: Column) -> Column:
+        y0, y1, x0, x1 = (F.get("runs", k * 4 + i) for i in range(4))
+        n = (y1 - y0 + 1) * (x1 - x0 + 1)
+        return F.struct((acc["x"] + (x0 + x1) * n).alias("x"), (acc["y"] + (y0 + y1) * n).alias("y"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+    sums = packed.where(F.size("runs") > 0).withColumn("_sums", F.aggregate(F.sequence(F.lit(0), (F.size("runs") / 4).cast("int") - 1), zero, add))
+    return sums.withColumns({
+        "w": F.col("x1") - F.col("x0") + 1, "h": F.col("y1") - F.col("y0") + 1, "cx": (F.col("_sums.x") / 2 / F.col("area")).cast("bigint"),
+        "cy": (F.col("_sums.y") / 2 / F.col("area")).cast("bigint")}).drop("_sums")
+
+
+TRY = "try bigint, pixel bigint, bx bigint, by bigint, bw bigint, bh bigint"
+DRAWN = ["_try", "_bx", "_by", "_bw", "_bh"]
+
+
+def _first_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first box of ``_tries`` that its mask covers, a bounded number of lines and meetings at a time.
+
+    Boxes with a pixel number are centred on that pixel of the mask, in reading order, and moved inside the canvas.
+    """
+    for batch in batches:
+        heights = np.bincount(*_run_heights(batch.column("runs")), minlength=batch.num_rows).astype(np.int64)
+        n_tries, n_runs = (np.asarray(pc.list_value_length(batch.column(c))).astype(np.int64) for c in ("_tries", "runs"))
+        load = np.where(n_tries > 0, heights + n_tries * n_runs, 0)
+        cuts = np.r_[0, np.flatnonzero(np.diff((np.cumsum(load) - load) // 1_000_000)) + 1, batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            part = batch.slice(start, end - start)
+            drawn = [part.column(c).to_numpy(zero_copy_only=False) for c in DRAWN]
+            open_ = pa.array(np.flatnonzero(n_tries[start:end]))
+            if len(open_):
+                row, boxes = _covered(*(part.column(c).take(open_) for c in ("runs", "_tries", "_right", "_bottom")))
+                drawn = [d.astype(np.float64) for d in drawn]  # a null is NaN; pixel numbers of a canvas are exact
+                for d, values in zip(drawn, boxes):
+                    d[open_.to_numpy()[row]] = values
+            yield pa.record_batch([*[part.column(c) for c in part.schema.names if c not in ("_tries", *DRAWN)],
+                                   *[pa.array(d, from_pandas=True).cast(pa.int64()) for d in drawn]],
+                                  names=[*[c for c in part.schema.names if c not in ("_tries", *DRAWN)], *DRAWN])
+
+
+def _run_heights(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.asarray(runs.flatten()).reshape(-1, 4)
+    return np.repeat(np.arange(len(runs)), np.asarray(pc.list_value_length(runs)) // 4), flat[:, 1] - flat[:, 0] + 1
+
+
+def _covered(runs: pa.ListArray, tries: pa.ListArray, right: pa.Array, bottom: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of each mask that covers one of its boxes, and the first such box (try, x, y, w, h)."""
+    row = np.asarray(pc.list_parent_indices(tries)).astype(np.int64)
+    flat = tries.flatten()
+    number, pixel, x, y, w, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
+    if (pixel >= 0).any():
+        line_row, line_y, x0, x1 = expand_runs(runs)
+        order = np.lexsort((x0, line_y, line_row))
+        line_row, line_y, x0, x1 = line_row[order], line_y[order], x0[order], x1[order]
+        upto = np.cumsum(x1 - x0 + 1)
+        first = np.searchsorted(line_row, np.arange(len(runs)))
+        place = (np.r_[0, upto][first])[row] + pixel
+        at = np.searchsorted(upto, place, side="right")
+        half = w // 2
+        x = np.maximum(0, np.minimum(x0[at] + place - (upto[at] - (x1[at] - x0[at] + 1)) - half, np.asarray(right)[row] - w))
+        y = np.maximum(0, np.minimum(line_y[at] - half, np.asarray(bottom)[row] - h))
+    boxes = np.column_stack([y, y + h - 1, x, x + w - 1]).astype(np.int64)
+    common = run_overlaps(run_lists(np.arange(len(row)), boxes, len(row)), runs.take(pa.array(row)))
+    hit = np.flatnonzero(common == w * h)
+    served, first = np.unique(row[hit], return_index=True)
+    return served, [v[hit[first]] for v in (number, x, y, w, h)]
+
+
 def sample_reference_box(spans: DataFrame, headers: DataFrame, min_size: int = 128, max_size: int = 512, seed: int = 42,
                          objects: DataFrame | None = None) -> DataFrame:
     """A square patch that lies wholly inside each mask, drawn by hash.
 
-    ``objects`` (image_id, obj_id) names masks that may be empty: without a span they get (0, 0, 32, 32).
+    ``spans`` is a span table or packed masks.  ``objects`` (image_id, obj_id)
+    names masks that may be empty: without a span they get (0, 0, 32, 32).
 
     200 squares centred on mask pixels, size min + (max - min) * sqrt(u); then
-    50 boxes for each of five side fractions; else 32 x 32 at the centroid.
-    Each (object, try) is a row; the first try whose box is fully covered wins.
-    A box is covered when the spans inside it add up to its area; boxes that
-    cannot fit the mask are dropped before any line is joined.
+    50 boxes for each of five side fractions; else 32 x 32 at the centroid.  The
+    first try whose box is fully covered wins.  Masks are independent: each stays
+    one row with its runs, and its tries are looked at where it is.
     """
     ids = ["image_id", "obj_id"]
-    disjoint = merge_spans(spans, [*ids, "y"])
-    stats = mask_stats(disjoint).join(headers.select("image_id", "width", "height"), "image_id")
+    packed = spans if "runs" in spans.columns else pack_spans(merge_spans(spans, [*ids, "y"]), ids)
+    state = _centroids(packed).join(headers.select("image_id", "width", "height"), "image_id")
     cap = F.greatest(F.least(F.lit(max_size), F.floor(F.col("w") * 0.7), F.floor(F.col("h") * 0.7)), F.lit(min_size))
-    stats = stats.withColumn("_cap", cap)
+    free = F.lit(1 << 40)  # a canvas of unknown size does not move a box
+    state = state.select(*ids, "area", *BOX, "w", "h", "cx", "cy", "runs", cap.alias("_cap"), F.coalesce("width", free).cast("bigint").alias("_right"),
+                         F.coalesce("height", free).cast("bigint").alias("_bottom"), *[F.lit(None).cast("bigint").alias(c) for c in DRAWN])
 
-    def u(stage: str) -> Column:
-        return hash_uniform(seed, F.lit(stage), "image_id", "obj_id", "try")
+    def u(stage: str, t: Column) -> Column:
+        return hash_uniform(seed, F.lit(stage), "image_id", "obj_id", t)
 
-    # Pixel number -> (x, y): a running count over the lines of one mask.
-    n = F.col("x1") - F.col("x0") + 1
-    lines = disjoint.withColumn("_upto", F.sum(n).over(Window.partitionBy(*ids).orderBy("y", "x0")))
-    lines = settle(lines.select(*ids, "y", "x0", "x1", "_upto", (F.col("_upto") - n).alias("_from")))
-    stats = settle(stats)
-
-    def squares(left: DataFrame, first: int, last: int) -> DataFrame:
-        tries = left.select(*ids, "area", "w", "h", "width", "height", "_cap", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
-        tries = tries.select(
-            *ids, "try", "area", "w", "h", "width", "height", F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size"))).alias("_size"),
-            hash_int(F.lit(0), F.col("area") - 1, u("pixel")).alias("_pixel")).where(
-                (F.col("_size") * F.col("_size") <= F.col("area")) & (F.col("_size") <= F.least("w", "h")))
-        at = tries.join(lines.drop("x1"), ids).where((F.col("_pixel") >= F.col("_from")) & (F.col("_pixel") < F.col("_upto")))
-        half = F.floor(F.col("_size") / 2)
-        cx = F.col("x0") + F.col("_pixel") - F.col("_from")
-        return at.select(*ids, "try", F.greatest(F.lit(0), F.least(cx - half, F.col("width") - F.col("_size"))).alias("bx"),
-                         F.greatest(F.lit(0), F.least(F.col("y") - half, F.col("height") - F.col("_size"))).alias("by"),
-                         F.col("_size").alias("bw"), F.col("_size").alias("bh"))
-
-    def boxes(left: DataFrame, first: int, last: int) -> DataFrame:
-        fractions = F.array(*[F.lit(f) for f in (0.6, 0.5, 0.4, 0.3, 0.2)])
-        later = left.select(*ids, "area", "x0", "y0", "x1", "y1", "w", "h", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("try"))
-        frac = F.get(fractions, F.floor((F.col("try") - first) / 50).cast("int"))
-        later = later.select("*", F.greatest(F.lit(min_size), F.floor(F.col("w") * frac)).alias("bw"),
-                             F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("bh")).where(
-                                 (F.col("bw") * F.col("bh") <= F.col("area")) & (F.col("bw") <= F.col("w")) & (F.col("bh") <= F.col("h")))
-        return later.select(*ids, "try", hash_int(F.col("x0"), F.greatest(F.col("x0"), F.col("x1") - F.col("bw")), u("x")).alias("bx"),
-                            hash_int(F.col("y0"), F.greatest(F.col("y0"), F.col("y1") - F.col("bh")), u("y")).alias("by"), "bw", "bh")
-
-    def first_inside(every: DataFrame) -> DataFrame:
-        band = 64
-        listed = every.withColumn("_band", F.explode(F.sequence(F.floor(F.col("by") / band), F.floor((F.col("by") + F.col("bh") - 1) / band))))
-        met = listed.join(lines.select(*ids, "y", "x0", "x1", F.floor(F.col("y") / band).alias("_band")), [*ids, "_band"]).where(
-            (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + F.col("bh")))
-        common = F.greatest(F.lit(0), F.least("x1", F.col("bx") + F.col("bw") - 1) - F.greatest("x0", "bx") + 1)
-        inside = met.groupBy(*ids, "try", "bx", "by", "bw", "bh").agg(F.sum(common).alias("_in")).where(
-            F.col("_in") == F.col("bw") * F.col("bh"))
-        return inside.groupBy(*ids).agg(F.min(F.struct("try", "bx", "by", "bw", "bh")).alias("_box"))
+    def row(t: Column, *values: Column) -> Column:
+        return F.struct(*[v.cast("bigint").alias(n.split()[0]) for n, v in zip(TRY.split(", "), (t, *values))])
+
+    def squares(t: Column) -> Column:
+        size = F.floor(F.lit(min_size) + (F.col("_cap") - min_size) * F.sqrt(u("size", t)))
+        return row(t, hash_int(F.lit(0), F.col("area") - 1, u("pixel", t)), F.lit(0), F.lit(0), size, size)
+
+    def boxes(t: Column) -> Column:
+        frac = F.get(F.array(*[F.lit(f) for f in (0.6, 0.5, 0.4, 0.3, 0.2)]), F.floor((t - 201) / 50).cast("int"))
+        return let(F.struct(F.greatest(F.lit(min_size), F.floor(F.col("w") * frac)).alias("w"), F.greatest(F.lit(min_size), F.floor(F.col("h") * frac)).alias("h")), lambda b: row(
+            t, F.lit(-1), hash_int(F.col("x0"), F.greatest(F.col("x0"), F.col("x1") - b["w"]), u("x", t)),
+            hash_int(F.col("y0"), F.greatest(F.col("y0"), F.col("y1") - b["h"]), u("y", t)), b["w"], b["h"]))
 
     # Fixed values of the draw: 200 squares, 50 boxes for each of five fractions, 32 pixels.
     # Most masks are served by the first few squares; only the others go on to the later tries.
-    first, left = None, stats
+    none = F.array().cast(f"array<struct<{TRY.replace(' ', ':')}>>".replace(",:", ","))
+    fits = lambda b: (b["bw"] * b["bh"] <= F.col("area")) & (b["bw"] <= F.col("w")) & (b["bh"] <= F.col("h"))
     for make, start, end in ((squares, 1, 10), (squares, 11, 200), (boxes, 201, 450)):
-        found = settle(first_inside(make(left, start, end)))
-        first = found if first is None else first.unionByName(found)
-        left = left.join(found, ids, "left_anti")
+        asked = F.col("_try").isNull() & (F.least("w", "h") >= min_size)  # no box is smaller
+        state = state.withColumn("_tries", F.when(asked, F.filter(F.transform(F.sequence(F.lit(start), F.lit(end)), make), fits)).otherwise(none))
+        kept = state.drop("_tries", *DRAWN).schema.fields
+        state = state.mapInArrow(_first_covered, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"{c} bigint" for c in DRAWN]]))
     side = F.lit(32).cast("bigint")
-    drawn = stats.join(first, ids, "left").select(
-        *ids, F.coalesce("_box.bx", F.greatest(F.lit(0), F.col("cx") - 16)).cast("bigint").alias("x"),
-        F.coalesce("_box.by", F.greatest(F.lit(0), F.col("cy") - 16)).cast("bigint").alias("y"),
-        F.coalesce("_box.bw", side).cast("bigint").alias("w"), F.coalesce("_box.bh", side).cast("bigint").alias("h"),
-        F.coalesce("_box.try", F.lit(0)).cast("bigint").alias("try"))
+    drawn = state.select(
+        *ids, F.coalesce("_bx", F.greatest(F.lit(0), F.col("cx") - 16)).cast("bigint").alias("x"),
+        F.coalesce("_by", F.greatest(F.lit(0), F.col("cy") - 16)).cast("bigint").alias("y"),
+        F.coalesce("_bw", side).alias("w"), F.coalesce("_bh", side).alias("h"), F.coalesce("_try", F.lit(0)).cast("bigint").alias("try"))
     if objects is None:
         return drawn
-    nothing = objects.select(*ids).distinct().join(stats.select(*ids), ids, "left_anti")
+    drawn = settle(drawn)  # read twice
+    nothing = objects.select(*ids).distinct().join(drawn.select(*ids), ids, "left_anti")
     zero = F.lit(0).cast("bigint")
     return drawn.unionByName(nothing.select(*ids, zero.alias("x"), zero.alias("y"), side.alias("w"), side.alias("h"), zero.alias("try")))

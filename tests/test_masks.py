@@ -121,6 +121,23 @@ def test_reference_box_lies_inside_its_mask(spark):
     assert [(r["x"], r["y"], r["w"], r["h"]) for r in every if r["obj_id"] == 9] == [(0, 0, 32, 32)]
 
 
+def test_reference_box_of_packed_masks(spark):
+    """A mask stays one row with its runs; packed boxes, span tables and masks with holes draw the same patches."""
+    boxes = [(i, 0, 3 * i, 5, 3 * i + 40 + 7 * i, 60 + 9 * i) for i in range(8)]
+    df = spark.createDataFrame(boxes, "image_id long, obj_id long, x0 long, y0 long, x1 long, y1 long")
+    heads = spark.createDataFrame([(i, 90 + 10 * i, 110) for i in range(8)], "image_id long, width long, height long")
+    draw = lambda m: sorted(tuple(r) for r in masks.sample_reference_box(m, heads, min_size=12, max_size=64).collect())
+    packed = draw(masks.packed_boxes(df))
+    assert packed == draw(masks.box_spans(df)) and len(packed) == 8
+    ring = [[0, 0, 100, 0, 60, 90, 0, 90], [20, 20, 50, 20, 50, 60, 20, 60]]
+    polygons = spark.createDataFrame([(i, 0, ring) for i in range(4)], "image_id long, obj_id long, segmentation array<array<long>>")
+    cells = {(r["y"], x) for r in masks.rasterize(polygons.where("image_id = 0")).collect() for x in range(r["x0"], r["x1"] + 1)}
+    drawn = draw(masks.rasterize_packed(polygons))
+    assert drawn == draw(masks.rasterize(polygons)) and any(r[-1] > 0 for r in drawn)
+    for _, _, x, y, w, h, tried in drawn:
+        assert not tried or all((v, u) in cells for v in range(y, y + h) for u in range(x, x + w))
+
+
 def test_gaps_equal_pixel_distances(spark):
     boxes = [(0, 1, 0, 0, 4, 4, "a"), (0, 2, 8, 7, 10, 9, "a"), (0, 3, 3, 3, 6, 6, "a"), (0, 4, 5, 0, 6, 4, "b"), (0, 5, 90, 90, 95, 95, "a")]
     df = spark.createDataFrame(boxes, "image_id long, obj_id long, x0 long, y0 long, x1 long, y1 long, category_name string")
