@@ -3,6 +3,7 @@
 * ``skew_join``      equi-join on keys that may be hot;
 * ``running``        running aggregates as a prefix scan over chunks of bounded size, to any depth;
 * ``kth_smallest``   the k-th row of a hash order without sorting the table;
+* ``parted``         rows of small keys, which a row can hold, and those of the others;
 * ``settle``         table written to the checkpoint folder the cluster names;
 * ``until_stable``   fixpoint loop over settled rounds.
 """
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
+#: Rows of a key that are brought together in one row; larger keys go through joins.
+ROWS_PER_GROUP = 1_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -152,6 +155,30 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ids: Seq
     return skew_join(left, right, keys, left_ids, how=how, salts=salts)
 
 
+def parted(frames: Sequence[DataFrame], by: Sequence[str], rows_per_group: int = ROWS_PER_GROUP) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The frames cut by key: keys with at most ``rows_per_group`` rows in all frames, and the larger ones (None if there are none).
+
+    Rows with a null key are left out, as a join leaves them out.
+    """
+    known = [f.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])) for f in frames]
+    keys = reduce(lambda a, b: a.unionByName(b), [f.select(*by) for f in known])
+    large = settle(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_group).select(*by))
+    if large.isEmpty():
+        forget(large)
+        return known, None
+    return [f.join(large, list(by), "left_anti") for f in known], [f.join(large, list(by), "left_semi") for f in known]
+
+
+def packed_by(df: DataFrame, by: Sequence[str], *columns: str, out: str = "members") -> DataFrame:
+    """One row per key with the list of its rows."""
+    return df.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias(out))
+
+
+def fields(df: DataFrame, names: Sequence[str]) -> str:
+    """Names and types of columns, for a schema string."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
 
 
