@@ -5,12 +5,15 @@ Touching intervals merge; an intersection needs a positive length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstats.scale import ROWS_PER_CHUNK, attach, running, skew_join, with_chunks
+from segstats.functions.groups import by_load, meetings, members, ranked, sizes, two_sided
+from segstats.scale import ROWS_PER_CHUNK, ROWS_PER_GROUP, attach, fields, packed_by, parted, running, skew_join, with_chunks
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -71,14 +74,55 @@ def subtract_intervals(segments: DataFrame, hidden: DataFrame, by: Sequence[str]
     return cut.unionByName(untouched.select(*by, *ids, "lo", "hi"))
 
 
-def two_sided_cover(segments: DataFrame, rects: DataFrame, by: Sequence[str], bin_width: float = 1024.0) -> DataFrame:
+def two_sided_cover(segments: DataFrame, rects: DataFrame, by: Sequence[str], bin_width: float = 1024.0,
+                    rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Parts of each wall line covered on both sides by rectangles of one cluster.
 
     ``segments``: key, seg_id, kind ('v'/'h'), pos, lo, hi.  ``rects``: key,
     cluster, x0, y0, x1, y1.  A rectangle covers the near side of a line at
     ``pos`` when it reaches from at most pos-1 to at least pos across it, and the
     far side from at most pos to at least pos+1.
+
+    Lines and rectangles of a key are brought together in one row each, and many
+    keys go through one call; larger keys go through joins.
     """
+    box = ["x0", "y0", "x1", "y1"]
+    lines = segments.select(*by, "seg_id", "kind", "pos", "lo", "hi").where(F.col("kind").isin("v", "h") & (F.col("lo") < F.col("hi"))).dropna()
+    sides = rects.select(*by, "cluster", *box).dropna()
+    (lines, sides), large = parted([lines, sides], by, rows_per_group)
+    upright = lines.withColumn("kind", F.col("kind") == "v")
+    met = packed_by(upright, by, "seg_id", "kind", "pos", "lo", "hi", out="lines").join(packed_by(sides, by, "cluster", *box, out="sides"), list(by))
+    keys = list(by)
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("lines")) * sizes(b.column("sides"))):
+            row, (names, upright, pos, lo, hi) = members(batch.column("lines"))
+            _, (clusters, *ends) = members(batch.column("sides"))
+            (names, (name,)), (_, (cluster,)) = ranked(names), ranked(clusters)
+            i, j = meetings(*(sizes(batch.column(c)) for c in ("lines", "sides")))
+            x0, y0, x1, y1 = (e[j] for e in ends)
+            v, pos = upright.astype(bool)[i], pos[i]
+            from_, to = np.where(v, x0, y0), np.where(v, x1, y1)
+            near, far = (from_ <= pos - 1) & (to >= pos), (from_ <= pos) & (to >= pos + 1)
+            lo, hi = np.maximum(lo[i], np.where(v, y0, x0)), np.minimum(hi[i], np.where(v, y1, x1))
+            some = (near | far) & (lo < hi)
+            line = (row[i] * len(names) + name[i])[some]
+            line, lo, hi = two_sided((line, cluster[j][some]), (lo[some], hi[some]), near[some], far[some])
+            owner, kind = pa.array(line // max(len(names), 1)), batch.schema.field("lines").type.value_type.field("seg_id").type
+            yield pa.record_batch([*[batch.column(k).take(owner) for k in keys], pa.array(names[line % max(len(names), 1)], kind), pa.array(lo), pa.array(hi)],
+                                  names=[*keys, "seg_id", "lo", "hi"])
+
+    kinds = [f"{c} {span.schema[c].dataType.simpleString()}" for span in [_ends(lines, sides)] for c in ("lo", "hi")]
+    out = met.mapInArrow(cover, ", ".join([fields(segments, [*by, "seg_id"]), *kinds]))
+    return out if large is None else out.unionByName(_joined_cover(*large, by, bin_width))
+
+
+def _ends(lines: DataFrame, sides: DataFrame) -> DataFrame:
+    """No rows; ``lo`` and ``hi`` of the type that both sides have in common."""
+    return lines.select("lo", "hi").limit(0).union(sides.select(F.greatest("x0", "y0"), F.greatest("x1", "y1")).limit(0))
+
+
+def _joined_cover(segments: DataFrame, rects: DataFrame, by: Sequence[str], bin_width: float) -> DataFrame:
     along_v = rects.select(*by, "cluster", F.lit("v").alias("kind"), F.col("x0").alias("_p0"), F.col("x1").alias("_p1"),
                            F.col("y0").alias("_lo"), F.col("y1").alias("_hi"))
     along_h = rects.select(*by, "cluster", F.lit("h").alias("kind"), F.col("y0").alias("_p0"), F.col("y1").alias("_p1"),

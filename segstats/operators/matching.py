@@ -7,6 +7,8 @@ has IoU 0, so no image ever expands to all of its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstats.functions.geometry import box_iou, rect_intersection_area
+from segstats.functions.groups import by_load, members, shared_sides, sizes, smallest_reachable
 from segstats.functions.scalar import hash_bits, sigmoid, softplus
-from segstats.scale import attach, forget, settle, skew_join, until_stable
+from segstats.scale import ROWS_PER_GROUP, attach, fields, forget, packed_by, parted, settle, skew_join, until_stable
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -101,11 +104,30 @@ def overlap_pairs(rects: DataFrame, image: str = "image_id", ident: str = "gt_id
     return met.where(F.col(ident) < F.col("other")).select(image, ident, "other", area.alias("area")).where(F.col("area") > 0)
 
 
-def shared_edges(rects: DataFrame, image: str = "image_id", ident: str = "gt_idx", bin_width: int = 512) -> DataFrame:
+def shared_edges(rects: DataFrame, image: str = "image_id", ident: str = "gt_idx", bin_width: int = 512,
+                 rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Pairs of rectangles that share part of an edge: equal coordinate, positive overlap along it.
 
-    Sides meet on (image, axis, coordinate, bin along the edge).
+    The rectangles of an image are brought together in one row, and many images
+    go through one call; in images with more than a row should hold, sides meet
+    on (image, axis, coordinate, bin along the edge).
     """
+    whole = rects.select(image, ident, *BOX)
+    (small,), large = parted([whole.dropna()], [image], rows_per_group)
+    packed = packed_by(small, [image], ident, *BOX)
+
+    def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("members")) ** 2):
+            row, (names, *box) = members(batch.column("members"))
+            at, a, b = shared_sides(row, names, box, sizes(batch.column("members")))
+            kind = batch.schema.field("members").type.value_type.field(ident).type
+            yield pa.record_batch([batch.column(image).take(pa.array(at)), pa.array(a, kind), pa.array(b, kind)], names=[image, ident, "other"])
+
+    out = packed.mapInArrow(touching, f"{fields(whole, [image, ident])}, other {whole.schema[ident].dataType.simpleString()}")
+    return out if large is None else out.unionByName(_joined_edges(large[0], image, ident, bin_width))
+
+
+def _joined_edges(rects: DataFrame, image: str, ident: str, bin_width: int) -> DataFrame:
     def sides(far: bool, out: str) -> DataFrame:
         v = F.struct(F.lit("v").alias("axis"), F.col("x1" if far else "x0").alias("at"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
         h = F.struct(F.lit("h").alias("axis"), F.col("y1" if far else "y0").alias("at"), F.col("x0").alias("lo"), F.col("x1").alias("hi"))
@@ -382,12 +404,38 @@ def assign_one_to_one(costs: DataFrame) -> DataFrame:
     return fixed if fixed is not None else state
 
 
-def connected_groups(edges: DataFrame, nodes: DataFrame, by: Sequence[str], ident: str, other: str) -> DataFrame:
-    """Smallest node id reachable from each node, as ``group_id``.
+def connected_groups(edges: DataFrame, nodes: DataFrame, by: Sequence[str], ident: str, other: str,
+                     rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """Smallest node id reachable from each node, as ``group_id``; a node without a key or id is a group of its own.
 
-    Every round a node takes the smallest label among its neighbours and then
-    the label of that label, so long chains halve each time.
+    Nodes and edges of a key are brought together in one row, and many keys go
+    through one call.  Keys with more than a row should hold, and a table without
+    keys, go in rounds: a node takes the smallest label among its neighbours and
+    then the label of that label, so long chains halve each time.
     """
+    if not by:
+        return _groups_in_rounds(edges, nodes, by, ident, other)
+    kept = nodes.select(*by, ident).dropna()
+    alone = nodes.select(*by, ident).where(reduce(or_, [F.col(c).isNull() for c in [*by, ident]])).distinct().withColumn("group_id", F.col(ident))
+    links = settle(edges.select(*by, ident, other).dropna())  # read twice
+    (links, kept), large = parted([links, kept], by, rows_per_group)
+    rows = links.select(*by, F.col(ident).alias("u"), F.col(other).alias("v"), F.lit(False).alias("node")).unionByName(
+        kept.select(*by, F.col(ident).alias("u"), F.col(ident).alias("v"), F.lit(True).alias("node")))
+    packed, keys = packed_by(rows, by, "u", "v", "node"), list(by)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("members"))):
+            row, (u, v, node) = members(batch.column("members"))
+            at, name, least = smallest_reachable(row, u, v, node.astype(bool))
+            kind, owner = batch.schema.field("members").type.value_type.field("u").type, pa.array(at)
+            yield pa.record_batch([*[batch.column(k).take(owner) for k in keys], pa.array(name, kind), pa.array(least, kind)], names=[*keys, ident, "group_id"])
+
+    out = packed.mapInArrow(reach, f"{fields(nodes, [*by, ident])}, group_id {nodes.schema[ident].dataType.simpleString()}")
+    out = out.unionByName(alone)
+    return out if large is None else out.unionByName(_groups_in_rounds(*large, by, ident, other))
+
+
+def _groups_in_rounds(edges: DataFrame, nodes: DataFrame, by: Sequence[str], ident: str, other: str) -> DataFrame:
     both = edges.select(*by, F.col(ident).alias("u"), F.col(other).alias("v")).unionByName(
         edges.select(*by, F.col(other).alias("u"), F.col(ident).alias("v"))).distinct()
     both = settle(both)

@@ -45,3 +45,57 @@ def test_union_of_small_and_large_keys(spark, boxes, limit):
 
 def test_union_of_small_keys_takes_one_shuffle(spark, boxes):
     assert plan_of(rects.rect_union_edges(frame(spark, boxes), ["image_id"])).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("limit", [0, 5, 1000])
+def test_groups_of_small_and_large_keys(spark, boxes, limit):
+    df = frame(spark, boxes)
+    label, links = {(i, k): k for i, k, *_ in boxes}, set()
+    for i, a, x0, y0, x1, y1 in boxes:
+        for _, b, u0, v0, u1, v1 in [o for o in boxes if o[0] == i and o[1] != a]:
+            if (x1 == u0 and max(y0, v0) < min(y1, v1)) or (y1 == v0 and max(x0, u0) < min(x1, u1)):
+                links.add((i, min(a, b), max(a, b)))
+    edges = matching.shared_edges(df, ident="room_id", rows_per_group=limit)
+    assert sorted(tuple(r) for r in edges.collect()) == sorted(links)
+    before = None
+    while label != before:
+        before = dict(label)
+        for i, a, b in links:
+            label[i, a] = label[i, b] = min(label[i, a], label[i, b])
+    stray = edges.unionByName(spark.createDataFrame([(0, 0, 999), (77, 1, 2)], edges.schema))  # ends that are no nodes lead nowhere
+    out = matching.connected_groups(stray, df, ["image_id"], "room_id", "other", limit).collect()
+    assert {(r["image_id"], r["room_id"]): r["group_id"] for r in out} == label and len(out) == len(label)
+
+
+def test_groups_of_small_keys_take_no_rounds(spark, boxes, monkeypatch):
+    monkeypatch.setattr(matching, "until_stable", None)
+    df = frame(spark, boxes)
+    nulls = df.select("image_id", "room_id").unionByName(spark.createDataFrame([(None, 4), (None, 4), (3, None)], "image_id long, room_id long"))
+    out = matching.connected_groups(matching.shared_edges(df, ident="room_id"), nulls, ["image_id"], "room_id", "other").collect()
+    assert len(out) == len(boxes) + 2 and {tuple(r) for r in out} >= {(None, 4, 4), (3, None, None)}
+
+
+@pytest.mark.parametrize("limit", [0, 9, 1000])
+def test_cover_of_small_and_large_keys(spark, boxes, limit):
+    """Unit pieces of each line with one cluster on both sides, joined."""
+    df = frame(spark, boxes).withColumn("cluster", F.col("room_id") % 2)
+    lines = df.select("image_id", (2 * F.col("room_id")).alias("seg_id"), F.lit("v").alias("kind"), F.col("x1").alias("pos"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
+    lines = lines.unionByName(df.select("image_id", (2 * F.col("room_id") + 1).alias("seg_id"), F.lit("h").alias("kind"), F.col("y1").alias("pos"), F.col("x0").alias("lo"), F.col("x1").alias("hi")))
+    want = []
+    for i, k, x0, y0, x1, y1 in boxes:
+        own = [b for b in boxes if b[0] == i]
+        for seg, pos, lo, hi, flip in ((2 * k, x1, y0, y1, False), (2 * k + 1, y1, x0, x1, True)):
+            turned = [(b[1] % 2, *((b[3], b[2], b[5], b[4]) if flip else b[2:])) for b in own]
+            on = [any(all(any(c == d and p <= pos - s and q >= pos + 1 - s and l <= u and u + 1 <= h for d, p, l, q, h in turned) for s in (0, 1)) for c in (0, 1))
+                  for u in range(lo, hi)]
+            start = None
+            for u, yes in zip(range(lo, hi + 1), [*on, False]):
+                if yes and start is None:
+                    start = u
+                if not yes and start is not None:
+                    want.append((i, seg, start, u))
+                    start = None
+    got = intervals.two_sided_cover(lines, df, ["image_id"], rows_per_group=limit)
+    if limit == 1000:
+        assert plan_of(got).count("Exchange hashpartitioning") == 2
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
