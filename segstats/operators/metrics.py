@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segstats.functions.scalar import bce_with_logits, foreground_score, sigmoid, strip_aux
 from segstats.operators.matching import BOX, best_gt_per_pred, box_pairs, collapse_boxes
-from segstats.scale import ROWS_PER_CHUNK, quantile_columns, running, settle, with_chunks
+from segstats.scale import ROWS_PER_CHUNK, quantile_columns, running, settle, skew_join, with_chunks
 
 # Loss weights and the weight of the no-object class.
 LOSS_WEIGHTS = {"loss_ce": 2.0, "loss_mask": 5.0, "loss_dice": 5.0, "loss_ref": 2.0}
@@ -295,6 +295,32 @@ def class_loss(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg((F.sum(w * nll) / F.sum(w)).alias("loss_ce"))
 
 
+#: Point numbers of a block: the points of an instance are shuffled as lists of that many.
+POINTS_PER_LIST = 64
+
+
+def paired_points(pred_points: DataFrame, gt_points: DataFrame, instance: Sequence[str], point: str = "point_id") -> DataFrame:
+    """Instance keys, logit and value of every point that both sides have, as the join on (instance, point) gives them.
+
+    Points are shuffled as lists of a block of numbers; where both lists name the
+    same points in the same order, and none twice, they pair up by place.
+    """
+    def packed(df: DataFrame, value: str, tag: str) -> DataFrame:
+        lists = {f"_{tag}p": F.col(point), f"_{tag}v": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), f"_{tag}n": F.col(value).isNull()}  # lists leave nulls out
+        block = F.floor(F.col(point) / POINTS_PER_LIST).alias("_block")
+        return df.where(F.col(point).isNotNull()).groupBy(*instance, block).agg(*[F.collect_list(c).alias(n) for n, c in lists.items()])
+
+    names = ["_pv", "_pn", "_gv", "_gn"]
+    places = lambda tag: F.sequence(F.lit(0), F.size(f"_{tag}p") - 1)
+    pair = lambda i, j: F.struct(*[F.get(n, i if n.startswith("_p") else j).alias(n) for n in names])
+    met = skew_join(packed(pred_points, "logit", "p"), packed(gt_points, "value", "g"), [*instance, "_block"], list(instance))
+    same = (F.col("_pp") == F.col("_gp")) & (F.size(F.array_distinct("_pp")) == F.size("_pp"))
+    apart = F.flatten(F.transform(places("p"), lambda i: F.transform(
+        F.filter(places("g"), lambda j: F.get("_gp", j) == F.get("_pp", i)), lambda j: pair(i, j))))
+    rows = met.select(*instance, F.inline(F.when(same, F.arrays_zip(*names)).otherwise(apart)))
+    return rows.select(*instance, F.when(~F.col("_pn"), F.col("_pv")).alias("logit"), F.when(~F.col("_gn"), F.col("_gv")).alias("value"))
+
+
 def mask_losses(points: DataFrame, instance: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean point BCE and mean dice over matched instances; points: instance keys, logit, value."""
     p, g = sigmoid(F.col("logit")), F.col("value")

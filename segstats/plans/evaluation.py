@@ -257,7 +257,7 @@ def class_loss(s):
  join fx_gt_points g on p.image_id=g.image_id and p.q_idx=g.gt_idx and p.point_id=g.point_id group by 1,2)
 select image_id, round(sum(bce)/sum(n),6) as loss_mask, round(avg(dice),6) as loss_dice from each group by image_id""")
 def mask_losses(s):
-    matched = s.pred_points.join(s.gt_points.withColumnRenamed("gt_idx", "q_idx"), ["image_id", "q_idx", "point_id"])
+    matched = metrics.paired_points(s.pred_points, s.gt_points.withColumnRenamed("gt_idx", "q_idx"), ["image_id", "q_idx"])
     return rounded(metrics.mask_losses(matched, ["image_id", "q_idx"], ["image_id"]), "loss_mask", "loss_dice")
 
 

@@ -99,3 +99,20 @@ def test_cover_of_small_and_large_keys(spark, boxes, limit):
     if limit == 1000:
         assert plan_of(got).count("Exchange hashpartitioning") == 2
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+
+
+def test_points_pair_up_as_a_join_pairs_them(spark):
+    """Shuffled as lists; missing, repeated and shuffled points, several blocks and null values included."""
+    from segstats.operators import metrics
+
+    rnd = random.Random(2)
+    pred = [(i % 3, i, p, rnd.choice([None, 0.5, -2.0, float(p)])) for i in range(12) for p in rnd.sample(range(-70, 200), 40 + i)] + [(0, 0, None, 1.0), (1, 1, 5, 7.0), (1, 1, 5, 8.0)]
+    gt = [(i % 3, i, p, rnd.choice([None, 0.0, 1.0])) for i in range(1, 13) for p in range(-80, 150, 1 + i % 2)] + [(0, 0, None, 1.0), (1, 1, 5, 0.25)]
+    even = [(5, 99, p, float(p)) for p in range(8)]
+    a = spark.createDataFrame(pred + even, "image_id long, q_idx long, point_id long, logit double").repartition(3)
+    b = spark.createDataFrame(gt + even, "image_id long, q_idx long, point_id long, value double")
+    out = metrics.paired_points(a, b, ["image_id", "q_idx"])
+    assert "point_id" not in [line for line in plan_of(out).splitlines() if "Exchange hashpartitioning" in line][0]
+    key = lambda r: tuple((v is not None, v) for v in r)
+    joined = a.join(b, ["image_id", "q_idx", "point_id"]).select("image_id", "q_idx", "logit", "value")
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, joined.collect()), key=key)
