@@ -141,3 +141,62 @@ def shared_sides(row: np.ndarray, ident: np.ndarray, box: Sequence[np.ndarray],
     i, j = i[touch], j[touch]
     pairs = np.unique(np.column_stack([row[i], np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j])]), axis=0)
     return pairs[:, 0], names[pairs[:, 1]], names[pairs[:, 2]]
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Places of the rows that differ from the row before in one of the keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def overlaps(a: Sequence[np.ndarray], b: Sequence[np.ndarray], n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Members of a row whose pixel boxes overlap, and their IoU."""
+    i, j = meetings(n_a, n_b)
+    w = np.minimum(a[2][i], b[2][j]) - np.maximum(a[0][i], b[0][j]) + 1
+    h = np.minimum(a[3][i], b[3][j]) - np.maximum(a[1][i], b[1][j]) + 1
+    met = (w >= 1) & (h >= 1)
+    i, j, inter = i[met], j[met], (w * h)[met]
+    area = lambda box, k: (box[2][k] - box[0][k] + 1) * (box[3][k] - box[1][k] + 1)
+    return i, j, inter.astype(np.float64) / np.maximum(area(a, i) + area(b, j) - inter, 1)
+
+
+def grid_counts(gt: dict[str, np.ndarray], preds: dict[str, np.ndarray], pairs: tuple[np.ndarray, ...], n_s: int, n_m: int, iou_t: float,
+                count_unmatched: bool) -> dict[str, np.ndarray]:
+    """What whole images add to each (score, match) cut-off of a grid; members: row, id, and ref_match or si, mi (cut-offs passed)."""
+    g, q, iou = pairs
+    rows = int(max([0, *(d["row"].max() + 1 for d in (gt, preds) if len(d["row"]))]))
+    wanted = np.bincount(gt["row"], gt["ref_match"], rows)
+    # The label of a prediction: its best ground truth, or the first of the image.
+    order = np.lexsort((gt["id"][g], -iou, q))
+    best = order[_firsts(q[order])]
+    by_id = np.lexsort((gt["id"], gt["row"]))
+    first = by_id[_firsts(gt["row"][by_id])]
+    label = np.full(rows, -1)
+    label[gt["row"][first]] = first
+    label = label[preds["row"]]
+    label[q[best]] = g[best]
+    known = label >= 0
+    right = np.zeros(len(label))
+    right[known] = gt["ref_match"][label[known]]
+    counted = known & (count_unmatched | (wanted[preds["row"]] > 0))
+    # Best first for each ground truth.
+    good = np.flatnonzero(iou >= iou_t)
+    order = good[np.lexsort((preds["id"][q[good]], -iou[good], g[good]))]
+    g, q, iou = g[order], q[order], iou[order]
+    out = {name: np.zeros(n_s * n_m) for name in ("tp", "iou_sum", "kept", "match_total", "match_ok", "found")}
+    for s in range(n_s):
+        scored = preds["si"] > s
+        cover = scored[q]
+        covered = len(_firsts(g[cover]))
+        for m in range(n_m):
+            passed, at = scored & (preds["mi"] > m), s * n_m + m
+            use = np.flatnonzero(passed[q] & (gt["ref_match"][g] == 1))
+            best = use[_firsts(g[use])]
+            claims = best[np.lexsort((gt["id"][g[best]], q[best]))]
+            claims = claims[_firsts(q[claims])]
+            for name, value in (("tp", len(claims)), ("iou_sum", iou[claims].sum()), ("kept", (passed & known).sum()),
+                                ("match_total", (passed & counted).sum()), ("match_ok", right[passed].sum()), ("found", covered)):
+                out[name][at] = value
+    return out

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segstats.functions.groups import by_load, grid_counts, members, overlaps, sizes
 from segstats.functions.scalar import bce_with_logits, foreground_score, sigmoid, strip_aux
 from segstats.operators.matching import BOX, best_gt_per_pred, box_pairs, collapse_boxes
-from segstats.scale import ROWS_PER_CHUNK, quantile_columns, running, settle, skew_join, with_chunks
+from segstats.scale import ROWS_PER_CHUNK, ROWS_PER_GROUP, packed_by, parted, quantile_columns, running, settle, skew_join, with_chunks
 
 # Loss weights and the weight of the no-object class.
 LOSS_WEIGHTS = {"loss_ce": 2.0, "loss_mask": 5.0, "loss_dice": 5.0, "loss_ref": 2.0}
@@ -85,6 +88,12 @@ def _staircase(per_gt: DataFrame) -> DataFrame:
 def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
                   count_unmatched_images: bool) -> DataFrame:
     """Metrics from folded tables: gt with n, preds with n, si, mi (cut-offs passed), pairs with both sides' columns."""
+    return _grid_rates(_grid_parts(gt, preds, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images), s_cuts, m_cuts)
+
+
+def _grid_parts(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
+                count_unmatched_images: bool) -> DataFrame:
+    """A few rows per grid point s, m (numbers of the cut-offs), which add up to its counts."""
     pairs = settle(pairs)  # read by both aggregates below
     n_s, n_m = len(s_cuts), len(m_cuts)
 
@@ -121,9 +130,15 @@ def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Seq
     det = spread(part("found").withColumn("mi", F.lit(n_m)), "found")
     kept = spread(part("kept"), "kept", "match_total", "match_ok")
     whole = spread(part("total").select("gt_total", "wanted").withColumns({"si": F.lit(n_s), "mi": F.lit(n_m)}), "gt_total", "wanted")
-    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [whole, tps, kept, det])
-    names = ["gt_total", "wanted", "tp", "iou_sum", "kept", "match_total", "match_ok", "found"]
-    summed = parts.groupBy("s", "m").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [whole, tps, kept, det])
+
+
+COUNTS = ["gt_total", "wanted", "tp", "kept", "match_total", "match_ok", "found"]
+
+
+def _grid_rates(parts: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float]) -> DataFrame:
+    """Metrics of every grid point from the counts that make it up."""
+    summed = parts.groupBy("s", "m").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*COUNTS, "iou_sum"]])
     cut = lambda cuts, i: F.get(F.array(*[F.lit(float(c)) for c in cuts]), F.col(i))
     counts = summed.select(
         cut(s_cuts, "s").alias("score_t"), cut(m_cuts, "m").alias("match_t"), F.col("tp").cast("bigint").alias("tp"),
@@ -135,18 +150,52 @@ def _grid_metrics(gt: DataFrame, preds: DataFrame, pairs: DataFrame, s_cuts: Seq
 
 
 def evaluate_boxes(gt: DataFrame, preds: DataFrame, score_ts: Sequence[float] = (0.5,), match_ts: Sequence[float] = (0.0,),
-                   iou_t: float = 0.5, count_unmatched_images: bool = False, cell: int = 512) -> DataFrame:
-    """:func:`evaluate_pairs` for boxes.  Copies of a box are folded before any pair is formed."""
+                   iou_t: float = 0.5, count_unmatched_images: bool = False, cell: int = 512, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """:func:`evaluate_pairs` for boxes.
+
+    The boxes of an image are brought together in two rows, and an image adds its
+    counts where it is.  In images with more boxes than a row should hold, copies
+    of a box are folded and pairs are formed by joins.
+    """
     if iou_t <= 0:
         raise ValueError("iou_t must be positive: pairs with IoU 0 are not in the table")
     s_cuts, m_cuts = sorted(score_ts), sorted(match_ts)
-    gt = gt.withColumn("ref_match", F.col("ref_match").cast("int"))
+    gt = gt.select("image_id", "gt_idx", *BOX, F.col("ref_match").cast("int").alias("ref_match"))
+    signed = preds.select("image_id", "q_idx", *BOX, _passed("score", s_cuts).alias("si"), _passed("sim", m_cuts).alias("mi")).where(F.col("si") > 0)
+    (gt, signed), large = parted([gt, signed], ["image_id"], rows_per_group, nulls=True)
+    met = packed_by(gt, ["image_id"], "gt_idx", *BOX, "ref_match", out="gt").join(
+        packed_by(signed, ["image_id"], "q_idx", *BOX, "si", "mi", out="preds"), ["image_id"], "left")
+    met = met.select("gt", F.coalesce("preds", F.array().cast(met.schema["preds"].dataType)).alias("preds"))
+    n_s, n_m = len(s_cuts), len(m_cuts)
+    points = np.divmod(np.arange(n_s * n_m), n_m)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("gt")) * np.maximum(sizes(b.column("preds")), 1)):
+            row, (ident, *box, ref_match) = members(batch.column("gt"))
+            q_row, (q_ident, *q_box, si, mi) = members(batch.column("preds"))
+            pairs = overlaps(box, q_box, *(sizes(batch.column(c)) for c in ("gt", "preds")))
+            counts = grid_counts({"row": row, "id": ident, "ref_match": ref_match}, {"row": q_row, "id": q_ident, "si": si, "mi": mi},
+                                 pairs, n_s, n_m, iou_t, count_unmatched_images)
+            counts |= {"gt_total": np.full(n_s * n_m, len(row)), "wanted": np.full(n_s * n_m, ref_match.sum())}
+            yield pa.record_batch([*map(pa.array, points), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], pa.array(counts["iou_sum"])],
+                                  names=["s", "m", *COUNTS, "iou_sum"])
+
+    parts = met.mapInArrow(count, f"s bigint, m bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, iou_sum double")
+    empty = gt.sparkSession.range(n_s * n_m).select(F.floor(F.col("id") / n_m).alias("s"), (F.col("id") % n_m).alias("m"))
+    parts = parts.unionByName(empty, allowMissingColumns=True)  # a point of the grid that nothing adds to is there as well
+    if large is not None:
+        parts = parts.unionByName(_folded_parts(*large, s_cuts, m_cuts, iou_t, count_unmatched_images, cell), allowMissingColumns=True)
+    return _grid_rates(parts, s_cuts, m_cuts)
+
+
+def _folded_parts(gt: DataFrame, signed: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
+                  count_unmatched_images: bool, cell: int) -> DataFrame:
+    """What images of any size add.  Copies of a box are folded before any pair is formed."""
     objects = collapse_boxes(gt, "gt_idx", ["ref_match"]).withColumnRenamed("n", "gt_n")
-    signed = preds.withColumns({"si": _passed("score", s_cuts), "mi": _passed("sim", m_cuts)}).where(F.col("si") > 0)
     signed = collapse_boxes(signed, "q_idx", ["si", "mi"])
     pairs = box_pairs(objects, signed, cell=cell, keep_gt=["ref_match", "gt_n"], keep_pred=["si", "mi"])
     # Image totals and first ground truths come from the unfolded table: one aggregate, no folding again.
-    return _grid_metrics(gt.select("image_id", "gt_idx", "ref_match", F.lit(1).alias("n")), signed, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
+    return _grid_parts(gt.select("image_id", "gt_idx", "ref_match", F.lit(1).alias("n")), signed, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
 
 
 def threshold_sweep(gt: DataFrame, preds: DataFrame, score_ts: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5),

@@ -155,18 +155,23 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ids: Seq
     return skew_join(left, right, keys, left_ids, how=how, salts=salts)
 
 
-def parted(frames: Sequence[DataFrame], by: Sequence[str], rows_per_group: int = ROWS_PER_GROUP) -> tuple[list[DataFrame], list[DataFrame] | None]:
+def parted(frames: Sequence[DataFrame], by: Sequence[str], rows_per_group: int = ROWS_PER_GROUP,
+           nulls: bool = False) -> tuple[list[DataFrame], list[DataFrame] | None]:
     """The frames cut by key: keys with at most ``rows_per_group`` rows in all frames, and the larger ones (None if there are none).
 
-    Rows with a null key are left out, as a join leaves them out.
+    Rows with a null key are left out, as a join leaves them out.  With ``nulls``
+    they count as a large key, and so does every key that has a null in any column.
     """
-    known = [f.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])) for f in frames]
-    keys = reduce(lambda a, b: a.unionByName(b), [f.select(*by) for f in known])
-    large = settle(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_group).select(*by))
+    has_null = lambda names: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
+    known = list(frames) if nulls else [f.where(~has_null(by)) for f in frames]
+    keys = reduce(lambda a, b: a.unionByName(b), [f.select(*by, (has_null(f.columns) if nulls else F.lit(False)).alias("_odd")) for f in known])
+    counted = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd"))
+    large = settle(counted.where((F.col("_n") > rows_per_group) | F.col("_odd")).select(*[F.col(k).alias(f"_large_{k}") for k in by]))
     if large.isEmpty():
         forget(large)
         return known, None
-    return [f.join(large, list(by), "left_anti") for f in known], [f.join(large, list(by), "left_semi") for f in known]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in by])
+    return [f.join(large, same, "left_anti") for f in known], [f.join(large, same, "left_semi") for f in known]
 
 
 def packed_by(df: DataFrame, by: Sequence[str], *columns: str, out: str = "members") -> DataFrame:

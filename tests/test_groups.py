@@ -116,3 +116,35 @@ def test_points_pair_up_as_a_join_pairs_them(spark):
     key = lambda r: tuple((v is not None, v) for v in r)
     joined = a.join(b, ["image_id", "q_idx", "point_id"]).select("image_id", "q_idx", "logit", "value")
     assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, joined.collect()), key=key)
+
+
+@pytest.mark.parametrize("limit", [0, 12, 1000])
+def test_grid_of_small_and_large_images(spark, limit):
+    """Counts of images in rows, by joins and of both; ties, copies, nulls and images of one side included."""
+    from segstats.operators import metrics
+
+    rnd = random.Random(4)
+    gt, preds = [(50, 0, 0, 0, 5, 5, 1), (None, 7, 0, 0, 5, 5, 1), (0, 900, None, 0, 5, 5, 0)], [(51, 0, 0, 0, 5, 5, 0.9, 0.9), (None, 3, 0, 0, 5, 5, 0.9, 0.9), (1, 901, 0, 0, 5, 5, 0.9, None)]
+    for i in range(25):
+        for k in range(rnd.choice([1, 3, 6, 14])):
+            x, y, w, h = rnd.randrange(5), rnd.randrange(5), rnd.randrange(8), rnd.randrange(8)
+            gt.append((i, k, x, y, x + w, y + h, rnd.randrange(2)))
+            for c in range(rnd.randrange(3)):
+                preds.append((i, 10 * k + c, x + rnd.randrange(2), y, x + w, y + h, rnd.choice([0.15, 0.35, 0.6]), rnd.choice([-0.5, 0.05, 0.7])))
+    g = spark.createDataFrame(gt, "image_id long, gt_idx long, x0 long, y0 long, x1 long, y1 long, ref_match int")
+    p = spark.createDataFrame(preds, "image_id long, q_idx long, x0 long, y0 long, x1 long, y1 long, score double, sim double")
+    cuts = ((0.1, 0.3, 0.5), (-0.6, 0.0, 0.5))
+    want = metrics.evaluate_pairs(g, p, matching.box_pairs(g, p), *cuts, count_unmatched_images=True).collect()
+    got = metrics.evaluate_boxes(g, p, *cuts, count_unmatched_images=True, rows_per_group=limit).collect()
+    assert len(got) == 9
+    for a, b in zip(sorted(want), sorted(got)):
+        assert tuple(b) == pytest.approx(tuple(a))
+
+
+def test_grid_of_small_images_forms_no_pair_table(spark, boxes, monkeypatch):
+    from segstats.operators import metrics
+
+    monkeypatch.setattr(metrics, "box_pairs", None)
+    gt = frame(spark, boxes, "gt_idx").withColumn("ref_match", F.lit(1))
+    preds = frame(spark, boxes, "q_idx").withColumns({"score": F.lit(0.9), "sim": F.lit(0.9)})
+    assert metrics.evaluate_boxes(gt, preds).first()["det_recall"] > 0
