@@ -177,9 +177,9 @@ def _long_prints(rows: DataFrame) -> DataFrame:
         for batch in batches:
             texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(3))
             prints = [long_fingerprint(t) + parity_sketch(_shingle_hashes(t)) for t in texts]
-            yield pa.record_batch([*batch.columns[:3], pa.array(prints, pa.list_(pa.int64()))], names=["row", "doc_id", "digest", "fp"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(prints, pa.list_(pa.int64())), batch.column(4)], names=["row", "doc_id", "digest", "fp", "place"])
 
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, digest string, fp array<bigint>")
+    return rows.mapInArrow(run, "row bigint, doc_id bigint, digest string, fp array<bigint>, place bigint")
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
@@ -243,10 +243,28 @@ def _collisions(nodes: DataFrame) -> list[DataFrame]:
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar; only the texts of ``pairs`` are read."""
+def _listed(met: DataFrame, fps: DataFrame) -> DataFrame:
+    """node, keys, fp: the variants where :func:`_meet_here` takes the node with any other, 33 a block at most, in one row.
+
+    Equal blocks are taken at themselves.  Of others the larger flip decides: the
+    variant is the smaller place of the two if that flip leads to a larger block.
+    """
+    listed = lambda rows: rows.groupBy("node").agg(F.collect_list("key").alias("keys")).join(fps, "node")
+    at = F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    flips = listed(met).select("node", "fp", F.explode("keys").alias("key"))
+    flips = flips.select("node", "key", at.bitwiseXOR(_block("fp", F.shiftright("key", BLOCK_BITS))).alias("flip"))
+    same = Window.partitionBy("key")
+    up = F.max(at.bitwiseXOR(F.col("flip"))).over(same).bitwiseXOR(at)  # the flip of the largest block
+    unequal = (at.bitwiseXOR(up) > at) & (F.col("flip") <= up) & (F.min("flip").over(same) < up)
+    equal = (F.col("flip") == 0) & (F.sum(F.when(F.col("flip") == 0, 1).otherwise(0)).over(same) > 1)
+    return settle(listed(flips.select("node", "key", (unequal | equal).alias("_taken")).where("_taken")))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar; the texts stay in the buckets of their place, where the nodes of ``pairs`` meet them."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = settle(_shingle_sets(texts.join(wanted, "node").select("node", "text")))
+    wanted = wanted.join(nodes.select("node", "place"), "node").select("place").distinct()
+    sets = settle(_shingle_sets(texts.join(wanted.hint("shuffle_hash"), "place", "left_semi").select("node", "text")))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -258,17 +276,19 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_groups(rows: DataFrame) -> DataFrame:
-    """``rows`` (row, doc_id, text), settled -> row, doc_id, group: equal for rows that links of near copies join.
+    """``rows`` (row, place, doc_id, text), settled in buckets of their place -> row, place, doc_id, group: equal for rows that links of near copies join.
 
     No colliding pair of different components is left untested, and no table of all
     pairs of a group is made: first every node meets the smallest node of each
     variant; then, ``FURTHER_LEADS`` times, the members of a variant that are not in
     one component yet meet another lead of it, drawn by a hash; those still apart
-    meet each other.
+    meet each other.  A node carries the list of its variants, so labels are joined
+    once a node and not once a variant.
     """
     text = F.translate(text_of(), UPPER, LOWER)
-    prints = settle(_long_prints(rows.select("row", "doc_id", F.sha2(text, 256).alias("digest"), F.col("text").cast("string").alias("text"))))
-    nodes = settle(prints.groupBy("digest").agg(F.min("row").alias("node"), F.max("fp").alias("fp")))
+    prints = settle(_long_prints(rows.select("row", "doc_id", F.sha2(text, 256).alias("digest"), F.col("text").cast("string").alias("text"), "place")))
+    first = F.min(F.struct("row", "place")).alias("r")
+    nodes = settle(prints.groupBy("digest").agg(first, F.max("fp").alias("fp")).select("digest", F.col("r.row").alias("node"), "r.place", "fp"))
     fps = nodes.select("node", "fp")
     tables = _collisions(fps)
     met = reduce(DataFrame.unionByName, tables)
@@ -277,37 +297,52 @@ def similar_groups(rows: DataFrame) -> DataFrame:
 
     stars = met.where(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sides[0], "a").join(sides[1], "b")
-    labels = settle(connected(_verified(settle(stars.where(_candidates("fa", "fb")).select("a", "b")), texts)))
+    labels = settle(connected(_verified(settle(stars.where(_candidates("fa", "fb")).select("a", "b")), nodes, texts)))
 
-    members, least, greatest = met.select("key", "node").join(fps, "node"), F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")
+    listed = _listed(met, fps)
+    least, greatest = F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")
     for turn in range(FURTHER_LEADS + 1):
-        labelled = members.select("key", "node", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        before, members = members, settle(labelled.join(mixed, "key").select("key", "node", "fp", "label"))
-        forget(before)
+        labelled = listed.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "fp", F.explode("keys").alias("key"))
+        if turn == FURTHER_LEADS:
+            same = Window.partitionBy("key")
+            labelled = labelled.withColumns({"low": F.min("label").over(same), "high": F.max("label").over(same)}).where("low <> high").drop("low", "high")
+        members = settle(labelled)
         one, two = (members.select("key", *[F.col(c).alias(c + side) for c in ("node", "label", "fp")]) for side in "ab")
         if turn < FURTHER_LEADS:
             order = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node").alias("nodea"), F.col("label").alias("labela"), F.col("fp").alias("fpa"))
-            one = members.groupBy("key").agg(F.min(order).alias("r")).select("key", "r.nodea", "r.labela", "r.fpa")
+            leads = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("r")).where("low <> high")
+            one = leads.select("key", "r.nodea", "r.labela", "r.fpa")
         apart = (F.col("labela") != F.col("labelb")) & (F.lit(True) if turn < FURTHER_LEADS else (F.col("nodea") < F.col("nodeb")) & _meet_here("fpa", "fpb"))
         pairs = settle(one.join(two, "key").where(apart & _candidates("fpa", "fpb")).select(least, greatest).distinct())
+        forget(members)
         if pairs.isEmpty():
             continue
         stars = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-        labels = settle(connected(stars.unionByName(_verified(pairs, texts))))
+        labels = settle(connected(stars.unionByName(_verified(pairs, nodes, texts))))
 
     placed = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("group"))
-    out = settle(prints.select("row", "doc_id", "digest").join(placed, "digest").select("row", "doc_id", "group"))
-    for done in (prints, members, *tables):
+    out = settle(prints.select("row", "place", "doc_id", "digest").join(placed, "digest").select("row", "place", "doc_id", "group"))
+    for done in (prints, listed, nodes, *tables):
         forget(done)
     return out
 
 
 def keep_one_of_similar(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id, with all columns of ``docs``; null doc_id only where a group has no other."""
-    (row,) = fresh(docs, "_row")
+    """Of each group of near copies the row with the smallest doc_id, with all columns of ``docs``; null doc_id only where a group has no other.
+
+    The texts are shuffled once, into buckets of a hash of doc_id and text; what looks
+    at some of them later, and the rows that stay, meet them there.
+    """
+    place, row, kept = fresh(docs, "_place", "_row", "_kept")
     drop_shuffles(docs.sparkSession)
-    held = settle(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = similar_groups(held.select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    stay = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("r")).select(F.col("r.row").alias(row))
-    return held.join(settle(stay), row, "left_semi").select(*docs.columns)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = docs.withColumn(place, F.xxhash64(F.col("doc_id"), text_of())).repartition(buckets, place)
+    held = settle(spread.withColumn(row, F.monotonically_increasing_id()), (buckets, place))  # numbered where they are written
+    named = [F.col(row).alias("row"), F.col(place).alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"]
+    groups = similar_groups(held.select(*named))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "place")).alias("r")
+    stay = settle(groups.groupBy("group").agg(first).select(F.col("r.place").alias(place), F.col("r.row").alias(kept)))
+    forget(groups)
+    # Rows that repeat doc_id and text share a place; the row is no join key, which would move the texts again.
+    same = (held[place] == stay[place]) & held[row].between(stay[kept], stay[kept])
+    return held.join(stay.hint("shuffle_hash"), same, "left_semi").select(*docs.columns)

@@ -44,16 +44,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
     Cuts the lineage and survives executor loss like ``checkpoint()``, but stays
     columnar, so readers take only the columns they need and plan with real sizes.
+    With ``buckets`` (number, column), which ``df`` should be partitioned by, joins on
+    that column do not move the table.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if buckets is None:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        name = f"settled_{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(name)
+        out = spark.table(name)
     out._settled = path
     return out
 

@@ -1,5 +1,6 @@
 """The queries of the subpackage and the pipeline on the smallest tables."""
 
+import functools
 import os
 import random
 import sys
@@ -138,3 +139,41 @@ def test_two_blocks_meet_at_one_variant(spark):
             balls = [{b, *(b ^ 1 << j for j in range(32))} for b in blocks]
             keys = spark.createDataFrame([(base, other, (k << 32) | v) for v in balls[0] & balls[1]], "a array<bigint>, b array<bigint>, key bigint")
             assert keys.where(simhash._meet_here("a", "b")).count() == 1
+
+
+def test_a_node_lists_the_variants_where_it_is_taken(spark):
+    """Every pair of blocks within 2 bits is taken at one variant that both nodes list, and no other variant is listed."""
+    rnd = random.Random(12)
+    hubs = [rnd.getrandbits(32) for _ in range(16)]
+    fps = []
+    for node in range(60):
+        blocks = [h ^ sum(1 << b for b in rnd.sample(range(32) if k % 3 else [0, 1, 2, 30, 31], rnd.randrange(3))) for k, h in enumerate(hubs[:2 * simhash.LANES])]
+        lanes = [blocks[2 * k] | blocks[2 * k + 1] << 32 for k in range(simhash.LANES)]
+        fps.append((node, [x - ((1 << 64) * (x >> 63)) for x in lanes] + [0] * (simhash.PARITIES + 1), blocks))
+    expected = set()
+    for a, _, one in fps:
+        for b, _, two in fps:
+            for k, (x, y) in enumerate(zip(one, two)):
+                if a != b and (x ^ y).bit_count() <= 2:
+                    low = (x ^ y) & -(x ^ y)
+                    expected |= {(node, k << 32 | min(x ^ low, y ^ low)) for node in (a, b)}
+    nodes = spark.createDataFrame([r[:2] for r in fps], "node long, fp array<bigint>")
+    met = simhash._collisions(nodes)
+    listed = simhash._listed(functools.reduce(lambda x, y: x.unionByName(y), met), nodes).collect()
+    assert sorted((r["node"], k) for r in listed for k in r["keys"]) == sorted(expected)
+
+
+def test_texts_are_shuffled_once_for_near_copies(spark):
+    """With tables too large to broadcast the kept rows are found where the texts lie, and rows that repeat doc_id and text stay once."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        out = simhash.keep_one_of_similar(cases.docs(spark, ["one two three", "four five six", "one two three", None], [5, 6, 5, 7]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert sorted(r["doc_id"] for r in out.collect()) == [5, 6, 7]
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
