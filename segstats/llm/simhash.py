@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from segstats.llm.common import LOWER, UPPER, drop_shuffles, fresh, parts, text_of
 from segstats.llm.components import connected
 from segstats.operators.matching import connected_groups
-from segstats.scale import forget, settle
+from segstats.scale import forget, measured_broadcasts, settle
 
 SEED = 42
 BITS = 3
@@ -83,6 +83,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column ``fp``) that differ in at most ``bits`` <= 3 bits."""
     if not 0 <= bits <= 3:
         raise ValueError("a half differs in at most 1 bit up to 3 bits only")
+    measured_broadcasts(fps.sparkSession)  # the estimate of the variants is that of the fingerprints, 33 times too small
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), _half(F.col("fp"), s).alias("half")) for s in (0, 1)])).alias("h")
     halves = fps.select("fp", sides).select("fp", "h.side", "h.half")
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << j).cast("bigint") for j in range(32)])

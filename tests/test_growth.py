@@ -107,3 +107,22 @@ def test_boxes_are_resized_as_a_whole(spark):
     order = ["image_id", "obj_id", "y", "x0", "x1"]
     whole, lines = (sorted(tuple(r) for r in masks.resize_spans(df, plans).select(order).collect()) for df in (boxes, masks.box_spans(boxes)))
     assert whole and whole == sorted(set(lines)) and len(whole) == len(lines)
+
+
+def test_variants_are_not_broadcast_on_an_estimate(spark):
+    """The estimate of the variants is that of their fingerprints, 33 times too small."""
+    from segstats.llm import simhash
+    from segstats.scale import settle
+
+    names = [f"spark.sql.{adaptive}autoBroadcastJoinThreshold" for adaptive in ("", "adaptive.")]
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        fps = settle(spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long"))
+        found = simhash.links(fps)
+        assert "BroadcastHashJoin" not in plan_of(found)
+        assert sorted(tuple(r) for r in found.collect()) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
