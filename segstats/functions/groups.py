@@ -21,6 +21,15 @@ def members(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.asarray(pc.list_parent_indices(lists)).astype(np.int64), [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
 
 
+def numbers(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row of packed bytes holds, and all of them."""
+    if not len(packed):
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    n = np.diff(ends) // 8
+    return n, np.frombuffer(packed.buffers()[2], kind, n.sum(), ends[0])
+
+
 def by_load(batches: Iterator[pa.RecordBatch], load: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a bounded load."""
     for batch in batches:
@@ -200,3 +209,93 @@ def grid_counts(gt: dict[str, np.ndarray], preds: dict[str, np.ndarray], pairs:
                                 ("match_total", (passed & counted).sum()), ("match_ok", right[passed].sum()), ("found", covered)):
                 out[name][at] = value
     return out
+
+
+def codes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct tuple, in the order of the tuples, and the number of each member's tuple."""
+    order = np.lexsort(keys[::-1])
+    first = _firsts(*[k[order] for k in keys])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    return order[first], number
+
+
+def point_costs(q: Sequence[np.ndarray], g: Sequence[np.ndarray], scores: Sequence[np.ndarray], weights: tuple[float, float, float],
+                at_once: int = MEETINGS_AT_ONCE) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, query, ground truth and cost of every pair of a row, rows ascending.
+
+    ``q`` and ``g``: row, id, point and value of the points; ``scores``: row, id
+    and score of the queries.  Rows are taken together up to ``at_once`` meetings.
+    """
+    q, g, scores = ([c[order] for c in side] for side in (q, g, scores) for order in [np.lexsort((side[1], side[0]))])
+    rows = int(max([-1, *(side[0][-1] for side in (q, g, scores) if len(side[0]))])) + 1
+    load = np.bincount(q[0], minlength=rows) * np.bincount(g[0], minlength=rows)
+    slot = (np.cumsum(load) - load) // at_once
+    cuts = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, rows]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        mine = [[c[slice(*np.searchsorted(side[0], [start, end]))] for c in side] for side in (q, g, scores)]
+        if all(len(side[0]) for side in mine):
+            yield _point_costs(*[[side[0] - start, *side[1:]] for side in mine], int(end - start), start, weights)
+
+
+def _point_costs(q, g, scores, rows: int, start: int, weights: tuple[float, float, float]) -> tuple[np.ndarray, ...]:
+    (q_row, q_id, q_point, x), (g_row, g_id, g_point, value), (s_row, s_id, score) = q, g, scores
+    q_first, q_no = codes(q_row, q_id)
+    g_first, g_no = codes(g_row, g_id)
+    n_q, n_g = len(q_first), len(g_first)
+    with np.errstate(over="ignore"):
+        sure = 1.0 / (1.0 + np.exp(-x))
+        soft = np.bincount(q_no, np.maximum(x, 0.0) + np.log1p(np.exp(-np.abs(x))), n_q)
+    points, p_sum, g_sum = np.bincount(q_no, minlength=n_q), np.bincount(q_no, sure, n_q), np.bincount(g_no, value, n_g)
+    # Pair k of a query is the k-th ground truth of its row.
+    g_of_row = np.bincount(g_row[g_first], minlength=rows)
+    g_start = np.cumsum(g_of_row) - g_of_row
+    width = g_of_row[q_row[q_first]]
+    at = np.cumsum(width) - width
+    # Points meet on (row, point).
+    names, (q_rank, g_rank) = ranked(q_point, g_point)
+    some = value > 0
+    key = (g_row * len(names) + g_rank)[some]
+    order = np.argsort(key, kind="stable")
+    key, no, value = key[order], g_no[some][order], value[some][order]
+    wanted = q_row * len(names) + q_rank
+    low = np.searchsorted(key, wanted)
+    n = np.searchsorted(key, wanted, side="right") - low
+    i = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)
+    pair = at[q_no[i]] + no[j] - g_start[q_row[i]]
+    xg, pg = (np.bincount(pair, v[i] * value[j], width.sum()) for v in (x, sure))
+    # The rows of the result: every score with every ground truth of its row.
+    both = codes(np.r_[q_row[q_first], s_row], np.r_[q_id[q_first], s_id])[1]
+    query = np.full(int(both.max()) + 1, -1)
+    query[both[:n_q]] = np.arange(n_q)
+    query = query[both[n_q:]]
+    known = np.flatnonzero(query >= 0)
+    query = query[known]
+    i = np.repeat(np.arange(len(query)), width[query])
+    k = np.arange(len(i)) - np.repeat(np.cumsum(width[query]) - width[query], width[query])
+    a, pair = query[i], at[query[i]] + k
+    b = g_start[s_row[known][i]] + k
+    w_class, w_bce, w_dice = weights
+    bce = (soft[a] - xg[pair]) / points[a]
+    dice = 1.0 - (2.0 * pg[pair] + 1.0) / (p_sum[a] + g_sum[b] + 1.0)
+    return start + s_row[known][i], s_id[known][i], g_id[g_first][b], score[known][i] * -w_class + bce * w_bce + dice * w_dice
+
+
+def greedy_pairs(row: np.ndarray, q: np.ndarray, g: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Places of the pairs that stay when the cheapest pair of a row (ties by q, then g) is fixed and both of its sides leave, until none is left."""
+    alive = np.lexsort((g, q, cost, row))
+    sides = [codes(row, q)[1], codes(row, g)[1]]
+    used = [np.zeros(int(s.max()) + 1 if len(s) else 0, bool) for s in sides]
+    chosen = [alive[:0]]
+    while len(alive):
+        place, take = np.arange(len(alive)), np.ones(len(alive), bool)
+        for side, gone in zip(sides, used):
+            first = np.empty(len(gone), np.int64)
+            first[side[alive][::-1]] = place[::-1]  # the last to write is the cheapest
+            take &= first[side[alive]] == place
+        chosen.append(alive[take])
+        for side, gone in zip(sides, used):
+            gone[side[alive[take]]] = True
+        alive = alive[~(used[0][sides[0][alive]] | used[1][sides[1][alive]])]
+    return np.concatenate(chosen)

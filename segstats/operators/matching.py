@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from segstats.functions.geometry import box_iou, rect_intersection_area
-from segstats.functions.groups import by_load, members, shared_sides, sizes, smallest_reachable
-from segstats.functions.scalar import hash_bits, sigmoid, softplus
-from segstats.scale import ROWS_PER_GROUP, attach, fields, forget, packed_by, parted, settle, skew_join, until_stable
+from segstats.functions.groups import by_load, greedy_pairs, members, numbers, point_costs, shared_sides, sizes, smallest_reachable
+from segstats.functions.scalar import foreground_score, hash_bits, sigmoid, softplus
+from segstats.scale import ROWS_PER_GROUP, attach, batched_by, fields, forget, has_null, packed_by, parted, settle, skew_join, until_stable
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -283,6 +285,8 @@ def pick_neighbour(nearest: DataFrame, seed: int, by: Sequence[str] = ()) -> Dat
 POINT_BLOCK, ROW_BLOCK = 4096, 512
 #: Entries of either side that one task's call takes together, on average.
 ENTRIES_AT_ONCE = 500_000
+#: Meetings of points that weigh as much as one entry.
+MEETINGS_OF_ENTRY = 100
 
 
 def _point_products(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
@@ -295,7 +299,7 @@ def _point_products(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
     truths = gt_points.where(F.col("value") > 0)
 
     def packed(df: DataFrame, row: str, value: str, block: str) -> tuple[DataFrame, DataFrame]:
-        placed = df.select("image_id", F.floor(F.col("point_id") / POINT_BLOCK).cast("bigint").alias("_pb"), F.col(row).cast("bigint").alias(row),
+        placed = df.where(~has_null(["point_id", value])).select("image_id", F.floor(F.col("point_id") / POINT_BLOCK).cast("bigint").alias("_pb"), F.col(row).cast("bigint").alias(row),
                            F.pmod("point_id", F.lit(POINT_BLOCK)).cast("int").alias("p"), F.col(value).cast("double").alias("v"))
         rows = settle(placed.groupBy("image_id", "_pb", row).agg(F.collect_list("p").alias("ps"), F.collect_list("v").alias("vs")))  # POINT_BLOCK points in a row at most
         blocks = rows.groupBy("image_id", "_pb").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias(f"{block}s"))
@@ -357,17 +361,74 @@ def _point_products(pred_points: DataFrame, gt_points: DataFrame) -> DataFrame:
     return q.groupBy("_call").cogroup(g.groupBy("_call")).applyInArrow(product, kinds)
 
 
-def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0)) -> DataFrame:
+def _costs(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float], rows_per_group: int,
+           lists: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Costs of the images whose points a row may hold (one row a pair, or with ``lists`` an image), and of the larger ones."""
+    preds, frames = preds.select("image_id", "q_idx", "logit0", "logit1"), (pred_points.select("image_id", "q_idx", "point_id", "logit"), gt_points.select("image_id", "gt_idx", "point_id", "value"))
+    keys = [f.select("image_id", F.lit(q).alias("_q"), F.lit(g).alias("_g"), has_null(f.columns).alias("_odd")) for f, q, g in zip((preds, *frames), (0, 1, 0), (0, 0, 1))]
+    n_q, n_g = F.sum("_q"), F.sum("_g")
+    counted = settle(reduce(DataFrame.unionByName, keys).groupBy("image_id").agg(
+        (n_q + n_g).alias("_n"), F.greatest(n_q, n_g, n_q * n_g / MEETINGS_OF_ENTRY).alias("_load"), F.max("_odd").alias("_odd")))
+    (small, q, g), large = parted([preds, *frames], ["image_id"], rows_per_group, nulls=True, counted=counted)
+    load = counted.where(F.col("_n") <= rows_per_group).agg(F.sum("_load")).first()[0] or 0
+    forget(counted)
+    together = F.pmod(hash_bits(31, "image_id"), F.lit(int(load // ENTRIES_AT_ONCE) + 1)).cast("bigint").alias("_call")
+
+    def side(df: DataFrame, ident: str, value: Column, score: bool = False) -> DataFrame:
+        rows = df.select("image_id", F.col(ident).cast("bigint").alias(ident), *[] if score else [F.col("point_id").cast("bigint").alias("point_id")], value.cast("double").alias("_v"))
+        packed = batched_by(rows, ["image_id"], *rows.columns[1:])
+        return packed.select(together, "image_id", ident, (F.lit(None).cast("binary") if score else F.col("point_id")).alias("point_id"), "_v")
+
+    left = side(q, "q_idx", F.col("logit")).unionByName(side(small, "q_idx", foreground_score(F.col("logit0"), F.col("logit1")), True))  # a score is no point
+    right = side(g, "gt_idx", F.col("value"))
+    kinds = {"image_id": pred_points.schema["image_id"].dataType, "q_idx": pred_points.schema["q_idx"].dataType, "gt_idx": gt_points.schema["gt_idx"].dataType}
+    kinds = [*((n, k.simpleString()) for n, k in kinds.items()), ("cost", "double")]
+    if lists:
+        kinds = [kinds[0], *((n, f"array<{k}>") for n, k in kinds[1:])]
+    schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in kinds)).fields])
+
+    def product(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        images = pa.concat_arrays([left["image_id"].combine_chunks(), right["image_id"].combine_chunks()]).dictionary_encode()
+        rows = np.split(images.indices.to_numpy(), [left.num_rows])
+
+        def points(table: pa.Table, row: np.ndarray, ident: str, score: bool = False) -> list[np.ndarray]:
+            only = table["point_id"].is_null().to_numpy() == score
+            table = table.filter(pa.array(only)).combine_chunks()
+            flat = {c: numbers(table[c].combine_chunks(), kind) for c, kind in ((ident, np.int64), ("point_id", np.int64), ("_v", np.float64)) if c != "point_id" or not score}
+            return [np.repeat(row[only], flat[ident][0]), *(values for _, values in flat.values())]
+
+        found = list(point_costs(points(left, rows[0], "q_idx"), points(right, rows[1], "gt_idx"), points(left, rows[0], "q_idx", True), weights))
+        row, *columns = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+        if not lists:
+            arrays = [images.dictionary.take(pa.array(row)), *map(pa.array, columns)]
+        else:
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            ends = pa.array(np.r_[first, len(row)], pa.int32())
+            arrays = [images.dictionary.take(pa.array(row[first])), *[pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]]
+        return pa.table([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+
+    out = left.groupBy("_call").cogroup(right.groupBy("_call")).applyInArrow(product, ", ".join(f"{n} {k}" for n, k in kinds))
+    return out, None if large is None else _joined_costs(*large, weights)
+
+
+def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0),
+               rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Cost of every (query, ground truth) of an image: -class, point BCE and point dice, weighted.
 
     ``preds``: image_id, q_idx, logit0, logit1; ``pred_points``: image_id, q_idx,
     point_id, logit; ``gt_points``: image_id, gt_idx, point_id, value in [0, 1].
-    BCE(x, g) = softplus(x) - x*g, so the sums over all points come from one
-    aggregate per query, and what both sides share are matrix products
-    (:func:`_point_products`): no row holds a point of a pair.
+    BCE(x, g) = softplus(x) - x*g, so the sums over all points are one number
+    per query, and what both sides share is summed where their points meet.
+
+    Points are packed where they stand and shuffled once, many images go through
+    one call.  Images with more points than a row should hold go through matrix
+    products of blocks (:func:`_point_products`): no row holds a point of a pair.
     """
-    from segstats.functions.scalar import foreground_score
+    out, large = _costs(preds, pred_points, gt_points, weights, rows_per_group, False)
+    return out if large is None else out.unionByName(large)
+
 
+def _joined_costs(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
     p = sigmoid(F.col("logit"))
     per_query = pred_points.groupBy("image_id", "q_idx").agg(
         F.count(F.lit(1)).alias("_points"), F.sum(softplus(F.col("logit"))).alias("_soft"), F.sum(p).alias("_psum"))
@@ -383,13 +444,45 @@ def match_cost(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, w
     return pairs.select("image_id", "q_idx", "gt_idx", (F.col("_fg") * -w_class + bce * w_bce + dice * w_dice).alias("cost"))
 
 
-def assign_one_to_one(costs: DataFrame) -> DataFrame:
+def _greedy(packed: DataFrame) -> DataFrame:
+    """The pairs that stay of images in one row: image_id, and lists q_idx, gt_idx, cost."""
+    names = ["image_id", "q_idx", "gt_idx", "cost"]
+
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("cost"))):
+            row = np.repeat(np.arange(batch.num_rows), sizes(batch.column("cost")))
+            flat = [batch.column(c).flatten() for c in names[1:]]
+            stay = greedy_pairs(row, *[c.to_numpy(zero_copy_only=False) for c in flat])
+            yield pa.record_batch([batch.column("image_id").take(pa.array(row[stay])), *[c.take(pa.array(stay)) for c in flat]], names=names)
+
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.elementType.simpleString()}" for c in names[1:])
+    return packed.select(*names).mapInArrow(fix, f"{fields(packed, ['image_id'])}, {kinds}")
+
+
+def assign_one_to_one(costs: DataFrame, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """One-to-one pairs by ascending cost (greedy; ties by q_idx, gt_idx), not the optimal assignment.
 
-    Pairs that are the cheapest for both of their sides are fixed together,
-    their rows leave the table, and the rest repeats; every round at least the
-    cheapest pair of each image is fixed.
+    The pairs of an image are brought together in one row and walked there.  In
+    images with more pairs than a row should hold, pairs that are the cheapest
+    for both of their sides are fixed together, their rows leave the table, and
+    the rest repeats; every round at least the cheapest pair of each image is fixed.
     """
+    names = ["image_id", "q_idx", "gt_idx", "cost"]
+    (small,), large = parted([settle(costs.select(*names))], ["image_id"], rows_per_group, nulls=True)
+    out = _greedy(small.groupBy("image_id").agg(*[F.collect_list(c).alias(c) for c in names[1:]]))
+    return out if large is None else out.unionByName(_assigned_in_rounds(*large).select(*names))
+
+
+def match_one_to_one(preds: DataFrame, pred_points: DataFrame, gt_points: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0),
+                     rounded: int | None = None, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """:func:`assign_one_to_one` of :func:`match_cost`, to ``rounded`` places; the costs of an image are walked where they are made."""
+    cost = lambda c: c if rounded is None else F.round(c, rounded)
+    packed, large = _costs(preds, pred_points, gt_points, weights, rows_per_group, True)
+    out = _greedy(packed.withColumn("cost", F.transform("cost", cost)))
+    return out if large is None else out.unionByName(assign_one_to_one(large.withColumn("cost", cost(F.col("cost"))), rows_per_group))
+
+
+def _assigned_in_rounds(costs: DataFrame) -> DataFrame:
     order = F.struct("cost", "q_idx", "gt_idx")
     state = settle(costs.select("image_id", "q_idx", "gt_idx", "cost"))
     fixed = None

@@ -238,7 +238,7 @@ def match_cost(s):
   from step st join c on c.image_id=st.image_id and not list_contains(st.uq, c.q_idx) and not list_contains(st.ug, c.gt_idx) group by st.image_id, st.uq, st.ug) t)
 select image_id, q as q_idx, g as gt_idx, round(cost,6) as cost from step where q is not null""".replace("{{", "{").replace("}}", "}"))
 def assign_one_to_one(s):
-    return rounded(matching.assign_one_to_one(_costs(s).withColumn("cost", F.round("cost", 6))), "cost")
+    return rounded(matching.match_one_to_one(s.logits, s.pred_points, s.gt_points, rounded=6), "cost")
 
 
 @query(f"select image_id, q_idx, round({FG},6) as score from fx_logits")

@@ -4,6 +4,7 @@
 * ``running``        running aggregates as a prefix scan over chunks of bounded size, to any depth;
 * ``kth_smallest``   the k-th row of a hash order without sorting the table;
 * ``parted``         rows of small keys, which a row can hold, and those of the others;
+* ``batched_by``     rows of a key that stand together as one row, before they are shuffled;
 * ``settle``         table written to the checkpoint folder the cluster names;
 * ``until_stable``   fixpoint loop over settled rounds.
 """
@@ -14,9 +15,11 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,17 +165,22 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ids: Seq
     return skew_join(left, right, keys, left_ids, how=how, salts=salts)
 
 
+def has_null(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
+
+
 def parted(frames: Sequence[DataFrame], by: Sequence[str], rows_per_group: int = ROWS_PER_GROUP,
-           nulls: bool = False) -> tuple[list[DataFrame], list[DataFrame] | None]:
+           nulls: bool = False, counted: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame] | None]:
     """The frames cut by key: keys with at most ``rows_per_group`` rows in all frames, and the larger ones (None if there are none).
 
     Rows with a null key are left out, as a join leaves them out.  With ``nulls``
     they count as a large key, and so does every key that has a null in any column.
+    ``counted`` (keys, ``_n``, ``_odd``) spares the count where it is known.
     """
-    has_null = lambda names: reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
     known = list(frames) if nulls else [f.where(~has_null(by)) for f in frames]
-    keys = reduce(lambda a, b: a.unionByName(b), [f.select(*by, (has_null(f.columns) if nulls else F.lit(False)).alias("_odd")) for f in known])
-    counted = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd"))
+    if counted is None:
+        keys = reduce(lambda a, b: a.unionByName(b), [f.select(*by, (has_null(f.columns) if nulls else F.lit(False)).alias("_odd")) for f in known])
+        counted = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd"))
     large = settle(counted.where((F.col("_n") > rows_per_group) | F.col("_odd")).select(*[F.col(k).alias(f"_large_{k}") for k in by]))
     if large.isEmpty():
         forget(large)
@@ -186,6 +194,29 @@ def packed_by(df: DataFrame, by: Sequence[str], *columns: str, out: str = "membe
     return df.groupBy(*by).agg(F.collect_list(F.struct(*columns)).alias(out))
 
 
+def batched_by(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
+    """Rows of a key that stand in one Arrow batch as one row, each column as the bytes of its numbers; a key may have several rows.
+
+    Columns are bigint or double, without nulls; :func:`segstats.functions.groups.numbers` reads them.
+    """
+    names = [*by, *columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in by]
+            order = np.lexsort(codes[::-1])
+            new = np.any([np.r_[True, c[order][1:] != c[order][:-1]] for c in codes], axis=0)
+            first = np.flatnonzero(new)
+            ends = pa.py_buffer((np.r_[first, batch.num_rows] * 8).astype(np.int32))
+            numbers = [np.ascontiguousarray(batch.column(c).to_numpy()[order]) for c in columns]
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(n)]) for n in numbers]
+            yield pa.record_batch([*[batch.column(c).take(pa.array(order[first])) for c in by], *packed], names=names)
+
+    return df.select(*names).mapInArrow(pack, f"{fields(df, by)}, {', '.join(f'`{c}` binary' for c in columns)}")
+
+
 def fields(df: DataFrame, names: Sequence[str]) -> str:
     """Names and types of columns, for a schema string."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

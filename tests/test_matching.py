@@ -197,3 +197,39 @@ def test_nearest_neighbours_skip_blocks_of_far_clusters(spark):
     q, c = (matching._cells(df.withColumnRenamed("vec_id", n), n, centre, ["grp"], 40) for n in ("query_id", "vec_id"))
     blocks = c.select("_pivot", "_block").distinct().count()
     assert matching.block_pairs(q, c, centre, ["grp"], 3).count() <= blocks ** 2 / 4
+
+
+def test_costs_of_whole_images_equal_those_of_the_joins(spark):
+    """Images in one call and images in blocks give the same, with points that only one side has, repeated queries, and nulls."""
+    rnd = random.Random(8)
+    q = [(i, i * 100 + k, p, rnd.uniform(-3, 3)) for i in range(12) for k in range(1 + i % 4) for p in rnd.sample(range(9), 6)]
+    g = [(i, i * 100 + k, p, rnd.choice([0.0, 0.5, 1.0])) for i in range(1, 13) for k in range(1 + i % 3) for p in rnd.sample(range(9), 6)]
+    q, g = [*q, (5, 501, 3, None), *[r for r in q if r[0] == 6][:2]], [*g, (7, 700, 2, None)]
+    scores = [(i, k, rnd.random(), rnd.random()) for i, k in sorted({r[:2] for r in q})][1:]
+    frames = [spark.createDataFrame(rows, kinds).repartition(3) for rows, kinds in (
+        ([*scores, scores[4]], "image_id long, q_idx int, logit0 double, logit1 double"), (q, "image_id long, q_idx int, point_id int, logit double"), (g, "image_id long, gt_idx long, point_id int, value double"))]
+    whole, joined = (sorted((*r[:3], round(r["cost"], 9)) for r in matching.match_cost(*frames, rows_per_group=n).collect() if r["cost"] is not None) for n in (1000, 0))
+    assert whole and whole == joined and matching.match_cost(*frames).schema == matching.match_cost(*frames, rows_per_group=0).schema
+    kept = [frames[0].dropDuplicates(["image_id", "q_idx"]), *(f.dropna() for f in frames[1:])]
+    fused = {tuple(r) for r in matching.match_one_to_one(*kept, rounded=6).collect()}
+    costs = matching.match_cost(*kept).withColumn("cost", F.round("cost", 6))
+    assert fused and fused == {tuple(r) for r in matching.assign_one_to_one(costs, 0).collect()} == {tuple(r) for r in matching.assign_one_to_one(costs).collect()}
+    assert fused == {tuple(r) for r in matching.match_one_to_one(*kept, rounded=6, rows_per_group=20).collect()}
+
+
+def test_points_are_packed_before_they_are_shuffled(spark):
+    """A point is no row of a shuffle, and pairs that are assigned where they are made are in none at all."""
+    def frames(images):
+        points = spark.range(images * 16).selectExpr("id div 16 image_id", "id div 8 ident", "id % 8 point_id", "id % 5 - 2.0d v")
+        scores = spark.range(images * 2).selectExpr("id div 2 image_id", "id q_idx", "0.5d logit0", "id % 3 + 0.0d logit1")
+        return scores, points.withColumnsRenamed({"ident": "q_idx", "v": "logit"}), points.withColumnsRenamed({"ident": "gt_idx", "v": "value"})
+
+    def shuffled(df):
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        df.write.format("noop").mode("overwrite").save()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    for run in (lambda: matching.match_cost(*frames(2000)), lambda: matching.match_one_to_one(*frames(2000))):
+        before = shuffled(spark.range(1))
+        assert shuffled(run()) - before < 20_000  # 64,000 points
