@@ -220,6 +220,15 @@ def codes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], number
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the left and right members with equal numbers, by left place."""
+    order = np.argsort(right, kind="stable")
+    low = np.searchsorted(right[order], left)
+    n = np.searchsorted(right[order], left, side="right") - low
+    i = np.repeat(np.arange(len(left)), n)
+    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)]
+
+
 def point_costs(q: Sequence[np.ndarray], g: Sequence[np.ndarray], scores: Sequence[np.ndarray], weights: tuple[float, float, float],
                 at_once: int = MEETINGS_AT_ONCE) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, query, ground truth and cost of every pair of a row, rows ascending.
@@ -255,14 +264,8 @@ def _point_costs(q, g, scores, rows: int, start: int, weights: tuple[float, floa
     # Points meet on (row, point).
     names, (q_rank, g_rank) = ranked(q_point, g_point)
     some = value > 0
-    key = (g_row * len(names) + g_rank)[some]
-    order = np.argsort(key, kind="stable")
-    key, no, value = key[order], g_no[some][order], value[some][order]
-    wanted = q_row * len(names) + q_rank
-    low = np.searchsorted(key, wanted)
-    n = np.searchsorted(key, wanted, side="right") - low
-    i = np.repeat(np.arange(len(n)), n)
-    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)
+    no, value = g_no[some], value[some]
+    i, j = joined(q_row * len(names) + q_rank, (g_row * len(names) + g_rank)[some])
     pair = at[q_no[i]] + no[j] - g_start[q_row[i]]
     xg, pg = (np.bincount(pair, v[i] * value[j], width.sum()) for v in (x, sure))
     # The rows of the result: every score with every ground truth of its row.

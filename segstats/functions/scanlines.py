@@ -38,24 +38,56 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * span + (b - b.min())
 
 
+def _places(owner: np.ndarray, *ys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Add the result to a line of an owner (a small number) for a place of its own; the lines lie between the smallest and the largest of ``ys``; how many places there are."""
+    owners = int(owner.max()) + 1 if len(owner) else 0
+    top, bottom = np.full(owners, np.iinfo(np.int64).max), np.full(owners, np.iinfo(np.int64).min)
+    for y in ys:
+        np.minimum.at(top, owner, y)
+        np.maximum.at(bottom, owner, y)
+    some = top <= bottom
+    lines = np.where(some, bottom - np.where(some, top, 0) + 1, 0)
+    return np.cumsum(lines) - lines - np.where(some, top, 0), int(lines.sum())
+
+
+def _by_twos(place: np.ndarray, x: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours along x of the crossings of each place: the first with the second, the third with the fourth."""
+    n = np.bincount(place, minlength=places)
+    one, other = np.zeros(places, np.int64), np.zeros(places, np.int64)
+    number = np.arange(len(place))
+    other[place] = number
+    one[place[::-1]] = number[::-1]
+    twos = np.flatnonzero(n == 2)
+    one, other = one[twos], other[twos]
+    turned = x[one] > x[other]
+    left, right = np.where(turned, other, one), np.where(turned, one, other)
+    more = np.flatnonzero(n[place] > 2)
+    more = more[np.lexsort((x[more], place[more]))]
+    return np.concatenate([left, more[::2]]), np.concatenate([right, more[1::2]])
+
+
 def _closed_runs(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Runs (object, hole, y, first, last) whose union is the closed region of each ring.
 
     Every slanted edge is cut at each line it meets, once without its top end and
-    once without its bottom end; sorted crossings of a reading pair up.
+    once without its bottom end; sorted crossings of a reading pair up.  The two
+    readings differ on the lines of the vertices only, so the second one is made there.
     """
     low, high = np.minimum(e["y1"], e["y2"]), np.maximum(e["y1"], e["y2"])
+    base, places = _places(e["ring"], low, high)
+    corner = np.zeros(places, bool)
+    corner[base[e["ring"]] + e["y1"]] = True
     slanted = np.flatnonzero(low != high)
     height = high[slanted] - low[slanted]
     row = np.repeat(slanted, height)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(height) - height, height)
-    which = np.concatenate([row, row])
-    y = np.concatenate([low[row] + step, low[row] + step + 1])
-    reading = np.repeat([0, 1], len(row))
+    line = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(height) - height, height)
+    place = base[e["ring"][row]] + line
+    again = np.flatnonzero(corner[place + 1])
+    which = np.concatenate([row, row[again]])
+    y = np.concatenate([line, line[again] + 1])
     dx, dy = e["x2"][which] - e["x1"][which], e["y2"][which] - e["y1"][which]
     x = (e["x1"][which] * dy + (y - e["y1"][which]) * dx) / dy
-    order = np.lexsort((x, _joined(e["ring"][which], y) * 2 + reading))
-    left, right = order[::2], order[1::2]
+    left, right = _by_twos(np.concatenate([place, places + place[again] + 1]), x, 2 * places)
     level = np.flatnonzero(low == high)
     a = np.concatenate([np.ceil(x[left]).astype(np.int64), np.minimum(e["x1"], e["x2"])[level]])
     b = np.concatenate([np.floor(x[right]).astype(np.int64), np.maximum(e["x1"], e["x2"])[level]])
@@ -66,7 +98,19 @@ def _closed_runs(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
 
 
 def _outer_minus_holes(obj, hole, y, a, b) -> tuple[np.ndarray, ...]:
-    """Sweep along each (object, line): covered by the outline and by no hole; touching pieces are joined."""
+    """Covered by the outline and by no hole; touching pieces are joined.  Lines with one run need no sweep."""
+    base, places = _places(obj, y)
+    if places > 4 * len(y) + 1000:  # a hole far from its outline
+        return _sweep(obj, hole, y, a, b)
+    place = base[obj] + y
+    lone = np.bincount(place, minlength=places)[place] == 1
+    rest, lone = ~lone, lone & ~hole
+    swept = _sweep(*(c[rest] for c in (obj, hole, y, a, b)))
+    return tuple(np.concatenate([c[lone], d]) for c, d in zip((obj, y, a, b), swept))
+
+
+def _sweep(obj, hole, y, a, b) -> tuple[np.ndarray, ...]:
+    """Sweep along each (object, line)."""
     pos = np.concatenate([a, b + 1])
     sign = np.repeat([1, -1], len(a))
     obj2, y2, hole2 = np.tile(obj, 2), np.tile(y, 2), np.tile(hole, 2)

@@ -8,6 +8,7 @@ towards zero first.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segstats.functions.geometry import point_in_ring, polygon_bbox, rect_in_ring
+from segstats.functions.groups import by_load, codes, joined, meetings, members, sizes
 from segstats.functions.scalar import hash_int, hash_uniform, let
 from segstats.functions.scanlines import batch_differences, batch_masks, expand_runs, fold_lines, run_commons, run_gaps, run_lists, run_overlaps
 from segstats.operators.matching import BOX, connected_groups, meeting_boxes
-from segstats.scale import attach, settle, skew_join
+from segstats.scale import ROWS_PER_GROUP, attach, fields, packed_by, parted, settle, skew_join
 
 SPAN = "struct<a:bigint,b:bigint>"
 NO_SPANS = f"array<{SPAN}>"
@@ -72,10 +74,9 @@ def rasterize(objects: DataFrame, ids: Sequence[str] = ("image_id", "obj_id"), s
 
 
 def _rings(objects: DataFrame, ids: Sequence[str], segmentation: str) -> DataFrame:
-    """Objects that have an outline, with rings of whole points."""
-    outline = F.get(F.col(segmentation), F.lit(0))
+    """Objects with rings of whole points.  Those without an outline leave no mask; a filter would make all rings a second time, before they are spread."""
     whole = F.transform(F.col(segmentation), lambda r: F.slice(r, 1, F.size(r) - F.size(r) % 2).cast("array<double>"))
-    return objects.where(F.size(outline) >= 2).select(*ids, whole.alias("rings"))
+    return objects.select(*ids, whole.alias("rings"))
 
 
 def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -253,6 +254,93 @@ def mask_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_id
                         (F.col("inter").cast("double") / F.greatest(union, F.lit(1))).alias("iou"))
 
 
+def _images(frames: dict[str, DataFrame], image: str) -> DataFrame:
+    """One row per image of the first frame with the list of each frame's rows; frames that were spread by image are not moved."""
+    packed = [packed_by(f, [image], *[c for c in f.columns if c != image], out=tag) for tag, f in frames.items()]
+    whole = reduce(lambda a, b: a.join(b, [image], "left"), packed)
+    return whole.select(image, *[F.coalesce(tag, F.array().cast(whole.schema[tag].dataType)).alias(tag) for tag in frames])
+
+
+def listed_masks(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray, list[np.ndarray], pa.ListArray]:
+    """Row, id, area, box and runs of the masks of lists of (id, rings), rows ascending; empty masks drop out."""
+    ids, rings = lists.flatten().flatten()
+    kinds = {"row": pa.int64(), "id": ids.type, **dict.fromkeys(("area", *BOX), pa.int64()), "runs": pa.list_(pa.int64())}
+    batch = pa.record_batch([pc.list_parent_indices(lists).cast(pa.int64()), ids, rings], names=["row", "id", "rings"])
+    parts = [b.cast(pa.schema(kinds)) for b in batch_masks(batch, ["row", "id"], "rings")] if batch.num_rows else []
+    table = pa.Table.from_batches(parts, pa.schema(kinds))
+    row, ids, area, *box, runs = (table[c].combine_chunks() for c in table.column_names)
+    return row.to_numpy(), ids, area.to_numpy(), [c.to_numpy() for c in box], runs
+
+
+def listed_pairs(a: tuple, b: tuple, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the masks (see :func:`listed_masks`) of a row that overlap, and their common pixels."""
+    i, j = meetings(*(np.bincount(m[0], minlength=rows) for m in (a, b)))
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = a[3], b[3]
+    near = (ax0[i] <= bx1[j]) & (bx0[j] <= ax1[i]) & (ay0[i] <= by1[j]) & (by0[j] <= ay1[i])
+    i, j = i[near], j[near]
+    inter = run_overlaps(a[4].take(pa.array(i)), b[4].take(pa.array(j)))
+    return i[inter > 0], j[inter > 0], inter[inter > 0]
+
+
+def polygon_iou(a: DataFrame, b: DataFrame, a_id: str = "gt_idx", b_id: str = "q_idx", image: str = "image_id",
+                rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """:func:`mask_iou` of polygons (image, id, segmentation).
+
+    The polygons of an image are brought together in one row before they are
+    converted, so masks are made and met in one call for many images; images with
+    more polygons than a row should hold go through :func:`mask_iou`.
+    """
+    (small_a, small_b), large = parted([a.select(image, a_id, "segmentation"), b.select(image, b_id, "segmentation")], [image], rows_per_group)
+    packed = _images({"a": _rings(small_a, [image, a_id], "segmentation"), "b": _rings(small_b, [image, b_id], "segmentation")}, image).where((F.size("a") > 0) & (F.size("b") > 0))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda x: sizes(x.column("a")) * sizes(x.column("b"))):
+            left, right = (listed_masks(batch.column(c)) for c in ("a", "b"))
+            i, j, inter = listed_pairs(left, right, batch.num_rows)
+            union = left[2][i] + right[2][j] - inter
+            yield pa.record_batch([batch.column(image).take(pa.array(left[0][i])), left[1].take(pa.array(i)), right[1].take(pa.array(j)),
+                                   *map(pa.array, (inter, union, inter / np.maximum(union, 1)))], names=[image, a_id, b_id, "inter", "union_area", "iou"])
+
+    out = packed.mapInArrow(meet, f"{fields(a, [image, a_id])}, {fields(b, [b_id])}, inter bigint, union_area bigint, iou double")
+    return out if large is None else out.unionByName(mask_iou(*(rasterize_packed(f, (image, i)) for f, i in zip(large, (a_id, b_id))), a_id, b_id, image))
+
+
+def suppress_polygons(items: DataFrame, polygons: DataFrame, frac: float = 0.03, floor: int = 64, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """:func:`suppress_overlaps` of polygons (image_id, obj_id, segmentation); an image whose items and polygons a row may hold is walked in one call."""
+    ids = ["image_id", "obj_id"]
+    (small, outlines), large = parted([items, polygons.select(*ids, "segmentation")], ["image_id"], rows_per_group, nulls=True)
+    names = [c for c in items.columns if c != "image_id"]
+    packed = _images({"items": small, "masks": _rings(outlines, ids, "segmentation")}, "image_id").where(F.size("items") > 0)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("items")) ** 2 + sizes(b.column("masks"))):
+            row, columns = members(batch.column("items"))
+            masks = listed_masks(batch.column("masks"))
+            obj, pos = (columns[names.index(c)] for c in ("obj_id", "pos"))
+            # Items meet their masks by (row, id), which has one number on both sides.
+            first, number = codes(np.r_[row, masks[0]], np.r_[obj, masks[1].to_numpy(zero_copy_only=False)])
+            mine, theirs = np.split(number, [len(row)])
+            item, mask = joined(mine, theirs)
+            order = np.lexsort((obj[item], pos[item], row[item]))
+            item, mask = item[order], mask[order]
+            there = (masks[0][mask], None, masks[2][mask], [c[mask] for c in masks[3]], masks[4].take(pa.array(mask)))
+            i, j, _ = listed_pairs(there, there, batch.num_rows)
+            before = (pos[item[j]] < pos[item[i]]) | ((pos[item[j]] == pos[item[i]]) & (obj[item[j]] < obj[item[i]]))
+            i, j = i[before], j[before]
+            limit = np.maximum(floor, np.floor(there[2][i] * frac)).astype(np.int64)
+            common = run_commons(there[4].take(pa.array(i)), there[4].take(pa.array(j)))
+            walk = pa.record_batch([*map(pa.array, (row[item[i]], row[item[i]], mine[item[i]], mine[item[j]], limit)), common],
+                                   names=["image_id", "group_id", "obj_id", "earlier", "limit", "common"])
+            gone = np.zeros(len(first), bool)
+            for out in _walk(iter([walk])):
+                gone[out.column("obj_id").to_numpy()] = True
+            yield pa.record_batch([batch.column("image_id").take(pa.array(row)), *batch.column("items").flatten().flatten(), pa.array(~gone[mine])],
+                                  names=["image_id", *names, "accepted"])
+
+    out = packed.mapInArrow(decide, f"{fields(items, ['image_id', *names])}, accepted boolean").select(*items.columns, "accepted")
+    return out if large is None else out.unionByName(suppress_overlaps(large[0], rasterize_packed(large[1]), frac, floor))
+
+
 def suppress_overlaps(items: DataFrame, spans: DataFrame, frac: float = 0.03, floor: int = 64) -> DataFrame:
     """Walk the items of an image in order; drop one that covers too much of what was accepted before.
 

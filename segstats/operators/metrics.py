@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segstats.functions.groups import by_load, grid_counts, members, overlaps, sizes
+from segstats.functions.groups import by_load, codes, grid_counts, joined, members, overlaps, sizes
 from segstats.functions.scalar import bce_with_logits, foreground_score, sigmoid, strip_aux
+from segstats.operators import masks
 from segstats.operators.matching import BOX, best_gt_per_pred, box_pairs, collapse_boxes
 from segstats.scale import ROWS_PER_CHUNK, ROWS_PER_GROUP, packed_by, parted, quantile_columns, running, settle, skew_join, with_chunks
 
@@ -166,28 +167,86 @@ def evaluate_boxes(gt: DataFrame, preds: DataFrame, score_ts: Sequence[float] =
     met = packed_by(gt, ["image_id"], "gt_idx", *BOX, "ref_match", out="gt").join(
         packed_by(signed, ["image_id"], "q_idx", *BOX, "si", "mi", out="preds"), ["image_id"], "left")
     met = met.select("gt", F.coalesce("preds", F.array().cast(met.schema["preds"].dataType)).alias("preds"))
-    n_s, n_m = len(s_cuts), len(m_cuts)
-    points = np.divmod(np.arange(n_s * n_m), n_m)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_load(batches, lambda b: sizes(b.column("gt")) * np.maximum(sizes(b.column("preds")), 1)):
             row, (ident, *box, ref_match) = members(batch.column("gt"))
             q_row, (q_ident, *q_box, si, mi) = members(batch.column("preds"))
             pairs = overlaps(box, q_box, *(sizes(batch.column(c)) for c in ("gt", "preds")))
-            counts = grid_counts({"row": row, "id": ident, "ref_match": ref_match}, {"row": q_row, "id": q_ident, "si": si, "mi": mi},
-                                 pairs, n_s, n_m, iou_t, count_unmatched_images)
-            counts |= {"gt_total": np.full(n_s * n_m, len(row)), "wanted": np.full(n_s * n_m, ref_match.sum())}
-            yield pa.record_batch([*map(pa.array, points), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], pa.array(counts["iou_sum"])],
-                                  names=["s", "m", *COUNTS, "iou_sum"])
-
-    parts = met.mapInArrow(count, f"s bigint, m bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, iou_sum double")
-    empty = gt.sparkSession.range(n_s * n_m).select(F.floor(F.col("id") / n_m).alias("s"), (F.col("id") % n_m).alias("m"))
-    parts = parts.unionByName(empty, allowMissingColumns=True)  # a point of the grid that nothing adds to is there as well
+            yield _image_counts({"row": row, "id": ident, "ref_match": ref_match}, {"row": q_row, "id": q_ident, "si": si, "mi": mi}, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
+
+    parts = _with_grid(met.mapInArrow(count, IMAGE_COUNTS), s_cuts, m_cuts)
     if large is not None:
         parts = parts.unionByName(_folded_parts(*large, s_cuts, m_cuts, iou_t, count_unmatched_images, cell), allowMissingColumns=True)
     return _grid_rates(parts, s_cuts, m_cuts)
 
 
+def evaluate_masks(gt: DataFrame, gt_polygons: DataFrame, preds: DataFrame, pred_polygons: DataFrame, score_ts: Sequence[float] = (0.5,),
+                   match_ts: Sequence[float] = (0.0,), iou_t: float = 0.5, count_unmatched_images: bool = False, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """:func:`evaluate_pairs` for polygons (image_id, gt_idx or q_idx, segmentation).
+
+    What belongs to an image is brought together in one row and adds its counts
+    where it is; larger images go through the pairs of :func:`mask_iou`.
+    """
+    if iou_t <= 0:
+        raise ValueError("iou_t must be positive: pairs with IoU 0 are not in the table")
+    s_cuts, m_cuts = sorted(score_ts), sorted(match_ts)
+    frames = [gt.select("image_id", "gt_idx", F.col("ref_match").cast("int").alias("ref_match")),
+              preds.select("image_id", "q_idx", _passed("score", s_cuts).alias("si"), _passed("sim", m_cuts).alias("mi")).where(F.col("si") > 0),
+              gt_polygons.select("image_id", "gt_idx", "segmentation"), pred_polygons.select("image_id", "q_idx", "segmentation")]
+    (gt, signed, outlines, found), large = parted(frames, ["image_id"], rows_per_group, nulls=True)
+    rings = [masks._rings(f, ["image_id", i], "segmentation") for f, i in ((outlines, "gt_idx"), (found, "q_idx"))]
+    met = masks._images(dict(zip(("gt", "preds", "a", "b"), (gt, signed, *rings))), "image_id").where(F.size("gt") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_load(batches, lambda b: sizes(b.column("a")) * sizes(b.column("b")) + sizes(b.column("gt")) + sizes(b.column("preds"))):
+            row, (ident, ref_match) = members(batch.column("gt"))
+            q_row, (q_ident, si, mi) = members(batch.column("preds"))
+            left, right = (masks.listed_masks(batch.column(c)) for c in ("a", "b"))
+            i, j, inter = masks.listed_pairs(left, right, batch.num_rows)
+            iou = inter / np.maximum(left[2][i] + right[2][j] - inter, 1)
+            named = [np.split(codes(np.r_[r, m[0][k]], np.r_[n, m[1].to_numpy(zero_copy_only=False)[k]])[1], [len(r)]) for r, n, m, k in ((row, ident, left, i), (q_row, q_ident, right, j))]
+            pair, g = joined(named[0][1], named[0][0])  # pairs of masks as pairs of members
+            at, q = joined(named[1][1][pair], named[1][0])
+            pairs = g[at], q, iou[pair[at]]
+            yield _image_counts({"row": row, "id": ident, "ref_match": ref_match}, {"row": q_row, "id": q_ident, "si": si, "mi": mi}, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
+
+    parts = _with_grid(met.mapInArrow(count, IMAGE_COUNTS), s_cuts, m_cuts)
+    if large is not None:
+        pairs = masks.mask_iou(*(masks.rasterize_packed(f, ("image_id", i)) for f, i in zip(large[2:], ("gt_idx", "q_idx"))))
+        parts = parts.unionByName(_pair_parts(large[0], large[1], pairs, s_cuts, m_cuts, iou_t, count_unmatched_images), allowMissingColumns=True)
+    return _grid_rates(parts, s_cuts, m_cuts)
+
+
+def _pair_parts(gt: DataFrame, signed: DataFrame, pairs: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
+                count_unmatched_images: bool) -> DataFrame:
+    """What images add whose pairs are a table; gt: ref_match, signed: si, mi."""
+    gt, signed = gt.withColumn("n", F.lit(1)), signed.withColumn("n", F.lit(1))
+    pairs = pairs.select("image_id", "gt_idx", "q_idx", "iou").join(
+        signed.select("image_id", "q_idx", "si", "mi"), ["image_id", "q_idx"]).join(
+        gt.select("image_id", "gt_idx", "ref_match", F.col("n").alias("gt_n")), ["image_id", "gt_idx"])
+    return _grid_parts(gt, signed, pairs, s_cuts, m_cuts, iou_t, count_unmatched_images)
+
+
+IMAGE_COUNTS = f"s bigint, m bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, iou_sum double"
+
+
+def _image_counts(gt: dict, preds: dict, pairs: tuple, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float, count_unmatched_images: bool) -> pa.RecordBatch:
+    """What whole images add to each point of the grid."""
+    n_s, n_m = len(s_cuts), len(m_cuts)
+    counts = grid_counts(gt, preds, pairs, n_s, n_m, iou_t, count_unmatched_images)
+    counts |= {"gt_total": np.full(n_s * n_m, len(gt["row"])), "wanted": np.full(n_s * n_m, gt["ref_match"].sum())}
+    return pa.record_batch([*map(pa.array, np.divmod(np.arange(n_s * n_m), n_m)), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], pa.array(counts["iou_sum"])],
+                           names=["s", "m", *COUNTS, "iou_sum"])
+
+
+def _with_grid(parts: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float]) -> DataFrame:
+    """A point of the grid that nothing adds to is there as well."""
+    n_s, n_m = len(s_cuts), len(m_cuts)
+    empty = parts.sparkSession.range(n_s * n_m).select(F.floor(F.col("id") / n_m).alias("s"), (F.col("id") % n_m).alias("m"))
+    return parts.unionByName(empty, allowMissingColumns=True)
+
+
 def _folded_parts(gt: DataFrame, signed: DataFrame, s_cuts: Sequence[float], m_cuts: Sequence[float], iou_t: float,
                   count_unmatched_images: bool, cell: int) -> DataFrame:
     """What images of any size add.  Copies of a box are folded before any pair is formed."""

@@ -189,3 +189,78 @@ def test_suppression_of_a_chain_of_two_hundred(spark):
     spans = spark.createDataFrame([(1, i, y, 12 * i, 12 * i + 19) for i in range(n) for y in range(10)] + [(2, 0, 0, 0, 5)], "image_id long, obj_id long, y long, x0 long, x1 long")
     got = {(r["image_id"], r["obj_id"]): r["accepted"] for r in masks.suppress_overlaps(items, spans).collect()}
     assert got == {(1, i): i % 2 == 0 for i in range(n)} | {(2, 0): True}
+
+
+def random_polygons(seed, images, ident, most=6):
+    """Polygons with slanted edges, holes (some far away) and repeated shapes; some images are empty, some objects have no outline."""
+    rnd, rows = random.Random(seed), []
+    for image in range(images):
+        for k in range(rnd.randrange(most)):
+            x, y, w, h = rnd.randrange(40), rnd.randrange(40), rnd.randrange(3, 30), rnd.randrange(3, 30)
+            rings = [rnd.choice([[x, y, x + w, y, x + w, y + h, x, y + h], [x + w // 2, y, x + w, y + h, x, y + h - 2], [x, y, x + w, y + h, x + w, y, x, y + h], []])]
+            rings += rnd.choice([[], [[x + 1, y + 1, x + w // 2, y + 1, x + w // 2, y + h // 2]], [[x, 5000, x + 2, 5000, x + 2, 5003]]])
+            rows.append((image, k, rings))
+    return rows, f"image_id long, {ident} long, segmentation array<array<long>>"
+
+
+def test_crossings_of_a_place_pair_up():
+    """Rings that cross a line more than twice, and twice at one point, against the point tests."""
+    import pyarrow as pa
+    from segstats.functions import scanlines
+
+    rings = [[0, 0, 20, 0, 20, 12, 15, 4, 10, 12, 5, 4, 0, 12], [0, 0, 9, 9, 9, 0, 0, 9], [3, 1, 7, 5, 3, 9, 0, 5]]
+    batch = pa.record_batch([pa.array(range(3)), pa.array([[[float(v) for v in r]] for r in rings], pa.list_(pa.list_(pa.float64())))], names=["id", "rings"])
+    got = {k: set() for k in range(3)}
+    for out in scanlines.batch_masks(batch, ["id"], "rings"):
+        row, y, x0, x1 = scanlines.expand_runs(out.column("runs"))
+        for i, line, a, b in zip(row, y, x0, x1):
+            got[out.column("id")[int(i)].as_py()] |= {(int(line), x) for x in range(a, b + 1)}
+    for k, ring in enumerate(rings):
+        assert got[k] == {(y, x) for x in range(-1, 22) for y in range(-1, 14) if inside(x, y, ring)}
+
+
+def test_polygons_of_whole_images_equal_the_joins(spark):
+    """IoU, suppression and metrics of images in one row are those of the pair tables."""
+    from segstats.operators import metrics
+
+    a, b = (spark.createDataFrame(*random_polygons(s, 40, i)).repartition(3) for s, i in ((3, "gt_idx"), (4, "q_idx")))
+    pairs = masks.mask_iou(masks.rasterize_packed(a, ("image_id", "gt_idx")), masks.rasterize_packed(b, ("image_id", "q_idx")))
+    want = {tuple(r) for r in pairs.collect()}
+    for rows in (1000, 8):
+        found = masks.polygon_iou(a, b, rows_per_group=rows)
+        assert want and {tuple(r) for r in found.collect()} == want and found.columns == pairs.columns
+    gt = a.select("image_id", "gt_idx", (F.col("gt_idx") % 2 == 0).alias("ref_match"))
+    preds = b.select("image_id", "q_idx", (F.col("q_idx") / 5).alias("score"), (F.col("q_idx") % 3 - 1.0).alias("sim"))
+    cuts = ((0.1, 0.5), (-0.5, 0.5), 0.1)
+    want = sorted(tuple(round(v, 9) for v in r) for r in metrics.evaluate_pairs(gt, preds, pairs, *cuts).collect())
+    for rows in (1000, 16):
+        assert sorted(tuple(round(v, 9) for v in r) for r in metrics.evaluate_masks(gt, a, preds, b, *cuts, rows_per_group=rows).collect()) == want
+    polygons = spark.createDataFrame(*random_polygons(9, 40, "obj_id", 9))
+    items = polygons.select("image_id", "obj_id", (F.col("obj_id") % 4).alias("pos"))
+    want = {tuple(r) for r in masks.suppress_overlaps(items, masks.rasterize_packed(polygons), 0.1, 5).collect()}
+    assert len({accepted for *_, accepted in want}) == 2
+    for rows in (1000, 10):
+        assert {tuple(r) for r in masks.suppress_polygons(items, polygons, 0.1, 5, rows).collect()} == want
+
+
+@pytest.mark.parametrize("name, exchanges", [("span_iou", 2), ("suppress_overlaps", 2)])
+def test_masks_of_an_image_are_not_shuffled(spark, name, exchanges):
+    """Boxes are spread by image; masks are made and met there."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == exchanges and not [line for line in moved if "runs" in line]
+
+
+@pytest.mark.parametrize("name", ["span_iou", "rasterize_spans"])
+def test_rings_are_made_once(spark, name):
+    """No filter on the rings goes below the spread of the boxes, where it would make them as well."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "CASE WHEN" in line]
+    odd = spark.createDataFrame([(0, 1, None), (0, 2, []), (0, 3, [[]]), (0, 4, [None, [0, 0, 4, 0, 4, 4]]), (0, 5, [[], [0, 0, 4, 0, 4, 4]]), (0, 6, [[7]]), (0, 7, [[1, 1, 2, 1, 2, 2], None])],
+                                "image_id long, obj_id long, segmentation array<array<long>>")
+    assert [r["obj_id"] for r in masks.rasterize_packed(odd).collect()] == [7]
+    assert masks.rasterize_packed(odd.where("obj_id < 3")).collect() == []
