@@ -225,8 +225,8 @@ def joined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(right, kind="stable")
     low = np.searchsorted(right[order], left)
     n = np.searchsorted(right[order], left, side="right") - low
-    i = np.repeat(np.arange(len(left)), n)
-    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low, n)]
+    i, place = listed(low, n)
+    return i, order[place]
 
 
 def point_costs(q: Sequence[np.ndarray], g: Sequence[np.ndarray], scores: Sequence[np.ndarray], weights: tuple[float, float, float],
@@ -302,3 +302,82 @@ def greedy_pairs(row: np.ndarray, q: np.ndarray, g: np.ndarray, cost: np.ndarray
             gone[side[alive[take]]] = True
         alive = alive[~(used[0][sides[0][alive]] | used[1][sides[1][alive]])]
     return np.concatenate(chosen)
+
+
+class Lines:
+    """Pixels in the order of row, y and x, and what lies on a stretch of a line."""
+
+    def __init__(self, row: np.ndarray, y: np.ndarray, x: np.ndarray):
+        self.ys, self.xs = np.unique(y), np.unique(x)
+        key = self._key(row, np.searchsorted(self.ys, y), np.searchsorted(self.xs, x))
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+
+    def _key(self, row: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (row * (len(self.ys) + 1) + y) * (len(self.xs) + 1) + x
+
+    def between(self, row: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in ``order`` and number of the pixels of line y with x0 <= x <= x1."""
+        line = np.searchsorted(self.ys, y)
+        there = (line < len(self.ys)) & (x0 <= x1)
+        there[there] = self.ys[line[there]] == y[there]
+        ends = [np.searchsorted(self.key, self._key(row, line, np.searchsorted(self.xs, x, side))) for x, side in ((x0, "left"), (x1, "right"))]
+        return ends[0], np.where(there, ends[1] - ends[0], 0)
+
+
+def listed(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number start, start + 1, ... of n, with the place of its start."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+def cut_boxes(pixels: Sequence[np.ndarray], boxes: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Row, box, y, x and values of the pixels inside each box, relative to its corner; pixels: row, y, x, values; boxes: row, id, x, y, w, h."""
+    row, y, x, *values = pixels
+    lines = Lines(row, y, x)
+    owner, ident, left, top, w, h = boxes
+    first = np.searchsorted(lines.ys, top)
+    n = np.maximum(np.searchsorted(lines.ys, top + h) - first, 0)
+    slot = (np.cumsum(n) - n) // MEETINGS_AT_ONCE
+    cuts = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, len(n)]
+    found = [[np.zeros(0, np.int64)] * 2]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        box, line = listed(first[start:end], n[start:end])
+        box += start
+        begin, length = lines.between(owner[box], lines.ys[line], left[box], left[box] + w[box] - 1)
+        at, place = listed(begin, length)
+        found.append([box[at], lines.order[place]])
+    box, pixel = (np.concatenate(c) for c in zip(*found))
+    return [owner[box], ident[box], y[pixel] - top[box], x[pixel] - left[box], *(v[pixel] for v in values)]
+
+
+def ink_of_spans(dark: Sequence[np.ndarray], spans: Sequence[np.ndarray], headers: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Row, mask, area and share of dark pixels of each mask; dark: row, y, x; spans: row, mask, y, x0, x1; headers: row, width, height."""
+    i, j = joined(spans[0], headers[0])
+    row, mask, y, x0, x1 = (c[i] for c in spans)
+    x0, x1 = np.maximum(x0, 0), np.minimum(x1, headers[1][j] - 1)
+    inside = (y >= 0) & (y < headers[2][j]) & (x0 <= x1)
+    row, mask, y, x0, x1 = (c[inside] for c in (row, mask, y, x0, x1))
+    first, number = codes(row, mask)
+    area = np.bincount(number, x1 - x0 + 1, len(first)).astype(np.int64)
+    ink = np.bincount(number, Lines(*dark).between(row, y, x0, x1)[1], len(first))
+    return [row[first], mask[first], area, ink / area]
+
+
+def sampled(raster: Sequence[np.ndarray], points: Sequence[np.ndarray], headers: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Row, point and bilinear value; raster: row, y, x, value; points: row, id, u, v; headers: row, width, height."""
+    i, j = joined(points[0], headers[0])
+    row, ident, u, v = (c[i] for c in points)
+    right, bottom = headers[1][j] - 1, headers[2][j] - 1
+    fx, fy = (np.fmin(np.maximum(c * (last + 1) - 0.5, 0.0), last) for c, last in ((u, right), (v, bottom)))  # not a number: the last
+    x, y = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+    wx, wy = fx - x, fy - y
+    first, number = codes(row, ident)
+    lines = Lines(*raster[:3])
+    value, met = np.zeros(len(first)), np.zeros(len(first), bool)
+    for cx, cy, w in ((x, y, (1 - wx) * (1 - wy)), (np.minimum(x + 1, right), y, wx * (1 - wy)), (x, np.minimum(y + 1, bottom), (1 - wx) * wy),
+                      (np.minimum(x + 1, right), np.minimum(y + 1, bottom), wx * wy)):
+        at, place = listed(*lines.between(row, cy, cx, cx))
+        value += np.bincount(number[at], w[at] * raster[3][lines.order[place]], len(first))
+        met[number[at]] = True
+    return [row[first][met], ident[first][met], value[met]]

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from segstats.functions.groups import cut_boxes, ink_of_spans, sampled
 from segstats.functions.scalar import GRAY_SATURATION, byte_luma, hash_uniform, luma, saturation
 from segstats.operators.masks import clip_spans
-from segstats.scale import skew_join
+from segstats.scale import ROWS_PER_GROUP, are_numbers, in_calls, skew_join
 
 
 def running_counts(pixels: DataFrame) -> DataFrame:
@@ -45,15 +47,27 @@ def counted(upto: str, x_from: str, x0: Column, x1: Column) -> Column:
 
 
 def ink_coverage(pixels: DataFrame, spans: DataFrame, headers: DataFrame, threshold: int = 200,
-                 ids: Sequence[str] = ("image_id", "obj_id")) -> DataFrame:
+                 ids: Sequence[str] = ("image_id", "obj_id"), rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Share of the pixels of each mask that are darker than ``threshold``; empty masks drop out.
 
-    Dark pixels become running counts of their line, and every span of a mask
-    looks up two of them: the join has a row per span, not per span and pixel.
+    Many small pictures go through one call.  In the others dark pixels become
+    running counts of their line, and every span of a mask looks up two of them:
+    the join has a row per span, not per span and pixel.
     """
+    dark, own = pixels.where(F.col("gray") < threshold).select("image_id", "y", "x"), [c for c in ids if c != "image_id"]
+    frames = [dark, spans.select("image_id", *own, "y", "x0", "x1"), headers.select("image_id", "width", "height")]
+    like = _joined_ink(*frames, ids)
+    if len(own) != 1 or not all(are_numbers(f, "image_id") for f in frames):
+        return like
+    out, large = in_calls(frames, "image_id", ink_of_spans, T.StructType([like.schema[c] for c in ("image_id", *own, "area", "ink")]), rows_per_group)
+    out = out.select(*ids, "area", "ink")
+    return out if large is None else out.unionByName(_joined_ink(*large, ids))
+
+
+def _joined_ink(dark: DataFrame, spans: DataFrame, headers: DataFrame, ids: Sequence[str]) -> DataFrame:
     inside = clip_spans(spans, headers)
     own = [c for c in ids if c != "image_id"]
-    dark = running_counts(pixels.where(F.col("gray") < threshold).select("image_id", "y", "x"))
+    dark = running_counts(dark)
     met = skew_join(inside, dark, ["image_id", "y"], own, how="left")
     ink = F.coalesce(counted("upto", "x_from", F.col("x0"), F.col("x1")), F.lit(0))
     sums = met.groupBy(*ids).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_area"), F.sum(ink).alias("_ink"))
@@ -80,12 +94,22 @@ def to_gray(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"r": v, "g": v, "b": v})
 
 
-def crop(pixels: DataFrame, boxes: DataFrame, box_id: str = "box_id") -> DataFrame:
+def crop(pixels: DataFrame, boxes: DataFrame, box_id: str = "box_id", rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Pixels of each box (x, y, w, h), with coordinates relative to its corner.
 
-    A picture line is one row with its pixels in order; a box line takes its
-    stretch of it, by place where the line has no gaps.
+    Many small pictures go through one call.  In the others a picture line is one
+    row with its pixels in order; a box line takes its stretch of it, by place
+    where the line has no gaps.
     """
+    frames = [pixels.select("image_id", "y", "x", *[c for c in pixels.columns if c not in ("image_id", "y", "x")]), boxes.select("image_id", box_id, "x", "y", "w", "h")]
+    like = _joined_crop(*frames, box_id)
+    if not all(are_numbers(f, "image_id") for f in frames):
+        return like
+    out, large = in_calls(frames, "image_id", cut_boxes, like.schema, rows_per_group)
+    return out if large is None else out.unionByName(_joined_crop(*large, box_id))
+
+
+def _joined_crop(pixels: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
     values = [c for c in pixels.columns if c not in ("image_id", "y", "x")]
     lines = pixels.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", *values))).alias("_px"))
     first, last = (F.get("_px", i)["x"] for i in (F.lit(0), F.size("_px") - 1))
@@ -100,11 +124,22 @@ def crop(pixels: DataFrame, boxes: DataFrame, box_id: str = "box_id") -> DataFra
     return cut.select("image_id", box_id, "y", (F.col("x") - F.col("_bx")).alias("x"), *values)
 
 
-def bilinear_sample(raster: DataFrame, points: DataFrame, headers: DataFrame, value: str = "v", image: str = "image_id") -> DataFrame:
+def bilinear_sample(raster: DataFrame, points: DataFrame, headers: DataFrame, value: str = "v", image: str = "image_id",
+                    rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Value at points (u, v in the unit square), pixel centres at half steps, borders repeated.
 
-    Every point asks for its four neighbours; neighbours off the picture fall on the border pixel.
+    Every point asks for its four neighbours; neighbours off the picture fall on
+    the border pixel.  Many small pictures go through one call.
     """
+    frames = [raster.select(image, "y", "x", value), points.select(image, "point_id", "u", "v"), headers.select(image, "width", "height")]
+    like = _joined_sample(*frames, value, image)
+    if not all(are_numbers(f, image) for f in frames):
+        return like
+    out, large = in_calls(frames, image, sampled, like.schema, rows_per_group)
+    return out if large is None else out.unionByName(_joined_sample(*large, value, image))
+
+
+def _joined_sample(raster: DataFrame, points: DataFrame, headers: DataFrame, value: str, image: str) -> DataFrame:
     placed = points.select(image, "point_id", "u", "v").join(headers.select(image, "width", "height"), image)
     fx = F.least(F.greatest(F.col("u") * F.col("width") - 0.5, F.lit(0.0)), F.col("width") - 1.0)
     fy = F.least(F.greatest(F.col("v") * F.col("height") - 0.5, F.lit(0.0)), F.col("height") - 1.0)

@@ -5,6 +5,7 @@
 * ``kth_smallest``   the k-th row of a hash order without sorting the table;
 * ``parted``         rows of small keys, which a row can hold, and those of the others;
 * ``batched_by``     rows of a key that stand together as one row, before they are shuffled;
+* ``in_calls``       a function on the rows of many small keys at a time, which are shuffled packed;
 * ``settle``         table written to the checkpoint folder the cluster names;
 * ``until_stable``   fixpoint loop over settled rounds.
 """
@@ -22,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ROWS_PER_CHUNK = 2_000_000
 #: Rows of a key that are brought together in one row; larger keys go through joins.
 ROWS_PER_GROUP = 1_000
+#: Rows of small keys that one call takes together, on average.
+ROWS_PER_CALL = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -217,6 +222,53 @@ def batched_by(df: DataFrame, by: Sequence[str], *columns: str) -> DataFrame:
     return df.select(*names).mapInArrow(pack, f"{fields(df, by)}, {', '.join(f'`{c}` binary' for c in columns)}")
 
 
+def in_calls(frames: Sequence[DataFrame], key: str, work: Callable, schema: T.StructType, rows_per_group: int = ROWS_PER_GROUP) -> tuple[DataFrame, list[DataFrame] | None]:
+    """``work`` on the rows of many small keys at a time, and the frames of the larger keys, or those with nulls (None if there are none).
+
+    ``frames`` hold the key and numbers (see :func:`are_numbers`).  Rows are
+    packed where they stand and shuffled once.  ``work`` gets for each frame the
+    numbers of its keys, which are equal in all frames, and its columns, and
+    returns the same for ``schema``, whose first field is the key.
+    """
+    from segstats.functions.groups import numbers
+
+    keys = reduce(DataFrame.unionByName, [f.select(key, has_null(f.columns).alias("_odd")) for f in frames])
+    counted = settle(keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_odd").alias("_odd")))
+    small, large = parted(frames, [key], rows_per_group, nulls=True, counted=counted)
+    rows = counted.where(F.col("_n") <= rows_per_group).agg(F.sum("_n")).first()[0] or 0
+    forget(counted)
+    call = F.pmod(F.xxhash64(F.lit(37), key), F.lit(rows // ROWS_PER_CALL + 1)).cast("bigint").alias("_call")
+    kinds = [[np.float64 if f.schema[c].dataType.simpleString() in ("float", "double") else np.int64 for c in f.columns if c != key] for f in frames]
+    names = [f"_c{k}" for k in range(max(map(len, kinds)))]
+
+    def packed(df: DataFrame, number: int) -> DataFrame:
+        columns = [F.col(c).cast("double" if kind is np.float64 else "bigint").alias(n) for n, c, kind in zip(names, [c for c in df.columns if c != key], kinds[number])]
+        mine = names[: len(columns)]
+        return batched_by(df.select(key, *columns), [key], *mine).select(call, key, F.lit(number).alias("_frame"), *[F.col(n) if n in mine else F.lit(None).cast("binary").alias(n) for n in names])
+
+    out_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        found = table[key].combine_chunks().dictionary_encode()
+        codes, frame = found.indices.to_numpy(), table["_frame"].to_numpy()
+        sides = []
+        for number, own in enumerate(kinds):
+            only = frame == number
+            part = table.filter(pa.array(only)).combine_chunks()
+            columns = [numbers(part[n].combine_chunks(), kind) for n, kind in zip(names, own)]
+            sides.append([np.repeat(codes[only], columns[0][0]), *(c for _, c in columns)])
+        row, *columns = work(*sides)
+        return pa.table([a.cast(f.type, safe=False) for a, f in zip([found.dictionary.take(pa.array(row)), *map(pa.array, columns)], out_schema)], schema=out_schema)
+
+    rows = reduce(DataFrame.unionByName, [packed(f, k) for k, f in enumerate(small)])
+    return rows.groupBy("_call").applyInArrow(run, schema), large
+
+
+def are_numbers(df: DataFrame, key: str) -> bool:
+    """All columns but the key hold plain numbers."""
+    return all(f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double") for f in df.schema.fields if f.name != key)
+
+
 def fields(df: DataFrame, names: Sequence[str]) -> str:
     """Names and types of columns, for a schema string."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

@@ -264,3 +264,33 @@ def test_rings_are_made_once(spark, name):
                                 "image_id long, obj_id long, segmentation array<array<long>>")
     assert [r["obj_id"] for r in masks.rasterize_packed(odd).collect()] == [7]
     assert masks.rasterize_packed(odd.where("obj_id < 3")).collect() == []
+
+
+def test_small_pictures_in_one_call_equal_the_joins(spark):
+    """Crops, ink and samples of pictures with gaps, nulls, odd boxes and missing headers."""
+    rnd = random.Random(12)
+    px = [(i, y, x, None if i == 5 and x == y else float(rnd.randrange(256))) for i in range(14) for y in range(-1, 6) for x in range(7) if rnd.random() < 0.8 or i % 3]
+    boxes = [(i, i * 10 + k, rnd.randrange(-2, 6), rnd.randrange(-2, 6), rnd.randrange(-1, 9), rnd.randrange(1, 9)) for i in range(16) for k in range(i % 4)]
+    spans = [(i, b, y + k, x, x + w - 1) for i, b, x, y, w, h in boxes for k in range(h)]
+    points = [(i, i * 10 + k, rnd.choice([rnd.random(), 0.0, 1.0, float("nan")]), rnd.random()) for i in range(16) for k in range(3)]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds).repartition(3)
+    px, boxes, spans = frame(px, "image_id long, y int, x int, gray double"), frame(boxes, "image_id long, box_id int, x int, y int, w int, h int"), frame(spans, "image_id long, obj_id long, y int, x0 int, x1 int")
+    points, headers = frame(points, "image_id long, point_id long, u double, v double"), frame([(i, 7, 6) for i in range(13)], "image_id long, width int, height int")
+    runs = [lambda n: pixels.crop(px, boxes, rows_per_group=n), lambda n: pixels.ink_coverage(px, spans, headers, 100, rows_per_group=n),
+            lambda n: pixels.bilinear_sample(px, points, headers, "gray", rows_per_group=n)]
+    for run in runs:
+        whole, mixed, joins = (run(n) for n in (1000, 60, 0))
+        want = sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in joins.collect())
+        assert want and whole.dtypes == joins.dtypes
+        for found in (whole, mixed):
+            assert sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["crop_patches", "ink_report", "bilinear_sample"])
+def test_pixels_are_packed_before_they_are_shuffled(spark, name):
+    """No pixel, line or corner is a row of a shuffle."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and (" y#" in line or "(y#" in line or " x#" in line)]
