@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from segstats.scale import forget, settle
 from segstats.schemas import ANNOTATION_FILE
 from segstats.sources.records import parse_annotation_list
 
@@ -48,13 +48,13 @@ def ingest_annotations_stream(spark: SparkSession, path: str, out: str, checkpoi
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     docs = read_annotation_stream(spark, path).withWatermark("arrived", watermark)
     key = F.when(F.col("bad"), F.sha2("value", 256)).otherwise(F.col("file_name"))
-    unique = docs.withColumn("doc_key", key).dropDuplicatesWithinWatermark(["doc_key"])
+    unique = docs.withColumn("doc_key", key).dropDuplicatesWithinWatermark(["doc_key"]).drop("doc_key", "arrived")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.persist(StorageLevel.DISK_ONLY)  # one run of the state for both writes
-        good = batch.where(~F.col("bad")).select("file_name", "width", "height", "mode", "annotations")
+        held = settle(batch)  # one run of the state for both writes; a block of the cache would take three times the room
+        good = held.where(~F.col("bad")).select("file_name", "width", "height", "mode", "annotations")
         good.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
-        batch.where("bad").select("value").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-        batch.unpersist()
+        held.where("bad").select("value").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+        forget(held)
 
     return (unique.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start())

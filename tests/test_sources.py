@@ -173,6 +173,24 @@ def test_arriving_annotation_files(spark, tmp_path):
     assert [r["value"] for r in spark.read.parquet(f"{out}/rejected").collect()] == ["broken"]
 
 
+def test_arrived_documents_are_held_as_a_table(spark, tmp_path, monkeypatch):
+    """A batch is not held as uncompressed blocks of the cache, and what holds it goes with it."""
+    import os
+
+    from segstats import scale
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *_: pytest.fail("persisted"))
+    scale.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"image": {"file_name": "x.png", "width": 1, "height": 1}, "mode": "m", "annotations": [annotation(1, SQUARE)]}) + "\nbroken\n")
+    ingest_annotations_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    good, bad = (spark.read.parquet(str(tmp_path / "out" / k)) for k in ("records", "rejected"))
+    assert [(r["file_name"], len(r["annotations"])) for r in good.collect()] == [("x.png", 1)] and [r["value"] for r in bad.collect()] == ["broken"]
+    assert set(os.listdir(folder)) == before
+
+
 def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
